@@ -15,7 +15,10 @@ LOG_BITS = 25
 
 
 def _places(h: np.ndarray, log_bits: int) -> np.ndarray:
-    return (h.view(np.uint64) >> np.uint64(64 - log_bits)).astype(np.int64)
+    # Hashes may be minima, so their high bits aren't even.
+    h = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(64 - log_bits)).astype(np.int64)
 
 
 def bit_array(hashes: DataFrame, log_bits: int = LOG_BITS) -> bytes:

@@ -1,3 +1,97 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express.
 
-ORACLES: dict[str, str] = {}
+Operators whose results SQL can't express (signatures, the trained model, tokenised
+packing, byte-level repeats, keyed surrogates, records with digests of HTML text) are
+tested against brute-force versions instead.
+"""
+
+from .quality import ALPHA, CUTOFFS, DELTA
+
+_SPACE = r"[\x20\x09-\x0D]"
+
+OP9 = rf"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents
+), keyed AS (
+  SELECT doc_id, i, line, translate(regexp_replace(line, '^{_SPACE}+|{_SPACE}+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines
+), frequent AS (
+  SELECT k, max(doc_id) AS holder FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+  SELECT doc_id, i, line, coalesce(holder <> doc_id, false) AS gone FROM keyed LEFT JOIN frequent USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+OP7 = """
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, turn // 512 AS part FROM conversations
+), speakers AS (
+  SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'
+), seated AS (
+  SELECT conv_id, perspective, part, turn, role, text, role = perspective AS own,
+    '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head
+  FROM turns JOIN speakers USING (conv_id)
+), pieces AS (
+  SELECT *, head || text || '<|im_end|>' || chr(10) AS piece FROM seated
+), placed AS (
+  SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, role, text) AS stop FROM pieces
+)
+SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(piece, '' ORDER BY turn, role, text) AS text,
+  coalesce(string_agg((stop - length(piece) + length(head)) || '-' || (stop - 1), ' ' ORDER BY turn, role, text) FILTER (own), '') AS mask,
+  CAST(coalesce(sum(length(piece) - length(head) - 1) FILTER (own), 0) AS BIGINT) AS mask_chars
+FROM placed GROUP BY conv_id, perspective, part
+"""
+
+_TESTS = " UNION ALL ".join(
+    f"SELECT stratum, '{s}' AS signal, {i} AS i, CAST({c} AS DOUBLE) AS cutoff, count(*) AS n, count(*) FILTER ({s} > {c}) AS k FROM held GROUP BY stratum" for s, cs in CUTOFFS.items() for i, c in enumerate(cs)
+)
+_P = ALPHA / len(CUTOFFS)
+
+OP2 = rf"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+words AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts),
+grams AS (
+  SELECT doc_id, unnest(generate_series(1, len(w) - 4)) AS p, unnest(list_transform(generate_series(1, len(w) - 4), lambda p: array_to_string(w[p:p+4], ' '))) AS g
+  FROM words WHERE len(w) >= 5
+), twice AS (
+  SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1
+), repeats AS (SELECT doc_id, sum(least(5, coalesce(gap, 5))) AS n FROM twice GROUP BY doc_id),
+counts AS (
+  SELECT t.doc_id, stratum, CAST(len(w.w) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '{_SPACE}+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS BIGINT) AS n_upper,
+    CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+       - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM texts t JOIN words w USING (doc_id) LEFT JOIN repeats r USING (doc_id)
+), found AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    n_symbols / greatest(word_chars, 1) AS symbol_ratio, n_upper / greatest(word_chars, 1) AS upper_ratio,
+    n_repeat_words / greatest(n_words, 1) AS repeat_ratio, word_chars / greatest(n_words, 1) AS mean_word
+  FROM counts
+), held AS (
+  SELECT * FROM found WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1)
+), tests AS ({_TESTS}),
+tails AS (
+  SELECT *, CASE WHEN k >= n * {_P} THEN 1.0 ELSE list_sum(list_transform(generate_series(0, k), lambda j:
+    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_P}) + (n - j) * ln(1 - {_P})))) END AS tail
+  FROM tests
+), checked AS (SELECT *, tail * {len(CUTOFFS)} * (SELECT count(DISTINCT stratum) FROM held) <= {DELTA} AS ok FROM tails),
+accepted AS (
+  SELECT stratum, signal, min(cutoff) AS cutoff
+  FROM checked c WHERE ok AND NOT EXISTS (SELECT 1 FROM checked d WHERE d.stratum = c.stratum AND d.signal = c.signal AND d.i < c.i AND NOT d.ok)
+  GROUP BY stratum, signal
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (
+    SELECT 1 FROM accepted a WHERE a.stratum = f.stratum AND a.cutoff < CASE signal {' '.join(f"WHEN '{s}' THEN f.{s}" for s in CUTOFFS)} END
+  ) AS kept
+FROM found f
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op7_chat_rotation": OP7, "op9_line_dedup": OP9}

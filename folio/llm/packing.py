@@ -1,8 +1,8 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
 Documents are tokenised inside Spark tasks. A document longer than the capacity
-is first cut into full sequences; what remains of each document is one item.
-Items are dealt by hash into groups of a bounded expected size, and each group
+is first cut into full sequences; what remains of each document is cut into items
+of at most a quarter of the capacity, small enough to balance. Items are dealt by hash into groups of a bounded expected size, and each group
 is partitioned in its own task: partial partitions (tuples of window loads) with
 the largest spreads are merged in opposing order, which leaves near-equal
 windows. While the fullest window exceeds the capacity, the window count rises.
@@ -56,6 +56,13 @@ class Words(dict):
         return [i for w in text.split() for i in self[w]]
 
 
+def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of ``n`` tokens: full sequences, then quarters at most."""
+    full = n - n % capacity
+    quarter = max(1, capacity // 4)
+    return [(k, capacity) for k in range(0, full, capacity)] + [(k, min(quarter, n - k)) for k in range(full, n, quarter)]
+
+
 def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, doc_tokens and, for each piece of at most
     ``capacity`` ids, its checksum (and its ids if ``keep_ids``)."""
@@ -66,7 +73,7 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
             sums, sizes, ids = [], [], []
             for text in batch.column("text").to_pylist():
                 of = np.array([*words.encode(text or ""), end_id], "<u4")
-                pieces = [of[k : k + capacity] for k in range(0, len(of), capacity)]
+                pieces = [of[k : k + size] for k, size in cuts(len(of), capacity)]
                 sums.append([zlib.crc32(p.tobytes()) for p in pieces])
                 sizes.append(len(of))
                 ids.append([p.tolist() for p in pieces] if keep_ids else None)
@@ -134,12 +141,12 @@ def pack_group(sizes: list[int], capacity: int) -> list[list[int]]:
     if not sizes:
         return []
     low = -(-sum(sizes) // capacity)
-    m, step = low, 1
+    m = low
     while True:
         sets = difference(sizes, m)
         if max(sum(sizes[i] for i in s) for s in sets) <= capacity:
             return [s for s in sets if s]
-        m, step = m + step, max(1, low // 200)
+        m += 1
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, group_docs: int = GROUP_DOCS, keep_ids: bool = False) -> DataFrame:
@@ -159,8 +166,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         rows = rows.sort_values(["doc_id", "doc_tokens"], kind="stable").reset_index(drop=True)
         base, out, rest = int(key[0]) << 32, [], []
         for k, (doc, n, sums) in enumerate(zip(rows.doc_id, rows.doc_tokens, rows.sums)):
-            for i, crc in enumerate(sums):
-                start, length = i * capacity, min(capacity, n - i * capacity)
+            for i, (crc, (start, length)) in enumerate(zip(sums, cuts(n, capacity))):
                 piece = [doc, start, length, crc, n, None, 0, rows.ids[k][i] if keep_ids else None]
                 (out if length == capacity else rest).append(piece)
         for seq, piece in enumerate(out):

@@ -45,7 +45,8 @@ CHUNK = 1 << 20
 #: Distinct segments of one anchor beyond which it is broken into windows.
 MAX_GROUP = 4000
 
-_OCCURRENCE = "h long, digest long, doc_id long, at long, n long, first boolean"
+_OCCURRENCE = "h long, digest long, doc_id long, at long, n long, k long, first boolean"
+_SEGMENT = "h long, doc_id long, at long, k long, bytes binary"
 
 
 def kgram_hashes(data: np.ndarray) -> np.ndarray:
@@ -62,8 +63,8 @@ def kgram_hashes(data: np.ndarray) -> np.ndarray:
     return mix(h[:n] * powers[K - 16] + kept[16 : 16 + n])
 
 
-def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each run of windows with the same anchor: anchor hash, first window, number of windows."""
+def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """For each run of windows with the same anchor: anchor hash, first window, number of windows, anchor's place after the first window."""
     found = []
     for begin in range(0, max(0, len(data) - length + 1), PIECE):
         part = data[begin : begin + PIECE + length - 1]
@@ -78,9 +79,9 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
             low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
         where = (low & np.uint64(0xFFFFFF)).astype(np.int64)
         cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        found.append((h[where[cut]], begin + cut, np.diff(np.append(cut, len(where)))))
+        found.append((h[where[cut]], begin + cut, np.diff(np.append(cut, len(where))), where[cut] - cut))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -113,18 +114,18 @@ def _occurrences(docs: DataFrame, bits: bytes, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 raw = _bytes(text)
-                h, at, n = anchors(np.frombuffer(raw, np.uint8), length)
+                h, at, n, where = anchors(np.frombuffer(raw, np.uint8), length)
                 if not len(h) or doc is None:
                     continue
                 ok = has_bit(bits, h)
-                h, at, n = _signed(h[ok]), at[ok], n[ok]
+                h, at, n, where = _signed(h[ok]), at[ok], n[ok], where[ok]
                 seen = set()
-                for x, a, m in zip(h.tolist(), at.tolist(), n.tolist()):
+                for x, a, m, k in zip(h.tolist(), at.tolist(), n.tolist(), where.tolist()):
                     digest = xxhash.xxh3_64_intdigest(raw[a : a + m + length - 1]) - (1 << 63)
-                    for c, v in zip(out, (x, digest, doc, a, m, (x, digest) not in seen)):
+                    for c, v in zip(out, (x, digest, doc, a, m, k, (x, digest) not in seen)):
                         c.append(v)
                     seen.add((x, digest))
             yield _rows(out, _OCCURRENCE)
@@ -220,63 +221,80 @@ def _runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return doc[cut], pos[cut], pos[last] - pos[cut] + 1
 
 
+def _can_match(group: list[tuple], length: int) -> list[tuple]:
+    """Segments (doc, at, anchor's place, bytes) of one anchor that can share a window with another one:
+    a window has ``length - K`` bytes beside its anchor, so at least half of them lie on one side."""
+    half = (length - K) // 2
+    sides: dict[bytes, int] = {}
+    keys = []
+    for _, _, k, raw in group:
+        own = [b"<" + raw[k - half : k]] if k >= half else []
+        own += [b">" + raw[k + K : k + K + half]] if len(raw) - k - K >= half else []
+        keys.append(own)
+        for x in own:
+            sides[x] = sides.get(x, 0) + 1
+    return [s for s, own in zip(group, keys) if any(sides[x] > 1 for x in own)]
+
+
 def _expand(segments: DataFrame, length: int) -> DataFrame:
-    """h, doc_id, at, bytes, sorted by h within partitions -> repeated windows as (doc_id, at, n)."""
+    """h, doc_id, at, k, bytes, sorted by h within partitions -> repeated windows as (doc_id, at, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, size = None, [], 0
+        key, group, held, size = None, [], [], 0
 
         def flush() -> pa.RecordBatch:
-            doc, pos = repeated_windows([x[2] for x in held], np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64), length)
+            doc, pos = repeated_windows([x[3] for x in held], np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64), length)
             return _rows(list(_runs(doc, pos)), "doc_id long, at long, n long")
 
         for batch in batches:
-            for h, doc, at, raw in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "at", "bytes"))):
-                if h != key and (size > CHUNK or len(held) > 60_000):
-                    yield flush()
-                    held, size = [], 0
-                key = h
-                held.append((doc, at, raw))
-                size += len(raw)
+            for h, *segment in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "at", "k", "bytes"))):
+                if h != key:
+                    group = _can_match(group, length)
+                    held += group
+                    size += sum(len(x[3]) for x in group)
+                    key, group = h, []
+                    if size > CHUNK or len(held) > 60_000:
+                        yield flush()
+                        held, size = [], 0
+                group.append(segment)
+        held += _can_match(group, length)
         if held:
             yield flush()
 
-    return segments.select("h", "doc_id", "at", "bytes").mapInArrow(run, "doc_id long, at long, n long")
+    return segments.select("h", "doc_id", "at", "k", "bytes").mapInArrow(run, "doc_id long, at long, n long")
 
 
 def _cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Bytes of the wanted segments (doc_id, h, at, n)."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "n")).alias("w"))
-    schema = "h long, doc_id long, at long, bytes binary"
+    """Bytes of the wanted segments (doc_id, h, at, n, k)."""
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "n", "k")).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
+            out: list[list] = [[] for _ in range(5)]
             for doc, text, w in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "w"))):
                 raw = _bytes(text)
                 for x in w:
-                    for c, v in zip(out, (x["h"], doc, x["at"], raw[x["at"] : x["at"] + x["n"] + length - 1])):
+                    for c, v in zip(out, (x["h"], doc, x["at"], x["k"], raw[x["at"] : x["at"] + x["n"] + length - 1])):
                         c.append(v)
-            yield _rows(out, schema)
+            yield _rows(out, _SEGMENT)
 
-    return docs.join(lists, "doc_id").select("doc_id", "text", "w").mapInArrow(run, schema)
+    return docs.join(lists, "doc_id").select("doc_id", "text", "w").mapInArrow(run, _SEGMENT)
 
 
 def _single_windows(segments: DataFrame, length: int) -> DataFrame:
     """Break segments into windows keyed by anchor and content."""
-    schema = "h long, doc_id long, at long, bytes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
-            for h, doc, at, raw in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "at", "bytes"))):
-                for k in range(len(raw) - length + 1):
-                    one = raw[k : k + length]
-                    for c, v in zip(out, (xxhash.xxh3_64_intdigest(one, seed=h & 0xFFFFFFFF) - (1 << 63), doc, at + k, one)):
+            out: list[list] = [[] for _ in range(5)]
+            for h, doc, at, k, raw in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "at", "k", "bytes"))):
+                for i in range(len(raw) - length + 1):
+                    one = raw[i : i + length]
+                    for c, v in zip(out, (xxhash.xxh3_64_intdigest(one, seed=h & 0xFFFFFFFF) - (1 << 63), doc, at + i, k - i, one)):
                         c.append(v)
-            yield _rows(out, schema)
+            yield _rows(out, _SEGMENT)
 
-    return segments.select("h", "doc_id", "at", "bytes").mapInArrow(run, schema)
+    return segments.select("h", "doc_id", "at", "k", "bytes").mapInArrow(run, _SEGMENT)
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP) -> DataFrame:
@@ -289,7 +307,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_
     folded = materialise(folded.join(groups, "h").select("h", "digest", "doc0", "n_segments"), "segments")
     placed = materialise(found.join(folded, ["h", "digest"]).withColumn("origin", F.col("first") & (F.col("doc_id") == F.col("doc0"))), "placed")
     later = placed.where("not origin").select("doc_id", "at", "n")
-    contested = placed.where("origin and n_segments > 1").select("doc_id", "h", "at", "n", "n_segments")
+    contested = placed.where("origin and n_segments > 1").select("doc_id", "h", "at", "n", "k", "n_segments")
     cool = _cut_out(docs, contested.where(F.col("n_segments") <= max_group), length)
     found_windows = _expand(cool.repartition("h").sortWithinPartitions("h"), length)
     hot = contested.where(F.col("n_segments") > max_group)
@@ -297,10 +315,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_
         single = materialise(_single_windows(_cut_out(docs, hot, length), length), "windows")
         twice = single.groupBy("h").count().where("count > 1").select("h")
         # Equal windows fold to their first place; the others are repeats at once.
-        first = single.join(twice, "h").groupBy("h", "bytes").agg(F.min(F.struct("doc_id", "at")).alias("o"))
-        own = single.join(first, ["h", "bytes"])
+        first = single.join(twice, "h").groupBy("h", "k", "bytes").agg(F.min(F.struct("doc_id", "at")).alias("o"))
+        own = single.join(first, ["h", "k", "bytes"])
         repeats = own.where("o.doc_id <> doc_id or o.at <> at").select("doc_id", "at", F.lit(1).cast("long").alias("n"))
-        rest = first.select("h", F.col("o.doc_id").alias("doc_id"), F.col("o.at").alias("at"), "bytes")
+        rest = first.select("h", F.col("o.doc_id").alias("doc_id"), F.col("o.at").alias("at"), "k", "bytes")
         found_windows = found_windows.unionByName(_expand(rest.repartition("h").sortWithinPartitions("h"), length)).unionByName(repeats)
     return later.unionByName(found_windows)
 
