@@ -9,10 +9,11 @@ Long documents thus cost about one hash per element, short ones about k log k.
 
 Classes are found without emitting the pairs of a group:
 exact copies are folded first; documents that agree on a band are compared with the
-smallest one of that bucket only; buckets whose members then lie in one class are
-done. Documents of the remaining buckets are joined on their rarest shingles (prefix
-filter, exact for the given similarity), across different classes only. Every link
-is verified on the full shingle sets.
+smallest one of that bucket only, then, where a bucket still holds several classes,
+with a randomly chosen one of each bucket. Documents of buckets that are still mixed
+after a few turns are joined on their rarest shingles (prefix filter, exact for the
+given similarity), across different classes only. Every link is verified on the full
+shingle sets.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bits import bit_array, has_bit
 from .common import WordCodes, materialise, mix, windows, word_codes
 
 WIDTH = 5
@@ -33,6 +35,9 @@ SIMILAR = (4, 5)
 #: 20 bands of 4 coordinates: a pair of similarity 0.8 is missed with probability 3e-5.
 BANDS, ROWS = 20, 4
 
+#: Turns with random partners before the exact join takes the rest.
+TURNS = 3
+
 _RANK0 = 1 / 8
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,12 +140,15 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return mix(out)
 
 
-def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, shingles: the distinct hashes of ``width``-word windows, sorted."""
+def shingle_sets(docs: DataFrame, wanted: bytes, width: int = WIDTH) -> DataFrame:
+    """doc_id, shingles: the distinct hashes of ``width``-word windows, sorted, of the
+    documents in the bit array ``wanted`` (and a few more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
         for batch in batches:
+            ids = batch.column("doc_id").cast(pa.int64())
+            batch = batch.filter(pa.array(has_bit(wanted, ids.to_numpy().astype(np.uint64))))
             sets = [np.unique(windows(word_codes(t, codes), width).view(np.int64)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
@@ -216,13 +224,24 @@ def _rare_pairs(items: DataFrame, sets: DataFrame, similar: tuple[int, int]) ->
     ranked = rows.join(shared.select("s", "df", (F.col("r0") < F.col("r1")).alias("mixed")), "s")
     # n - ceil(n * num / den) + 1 rarest shingles; by document, so the sorted lists are bounded by its length.
     ordered = ranked.groupBy("doc_id", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s", "mixed"))).alias("l"))
-    prefix = ordered.select("doc_id", "root", "n", F.explode(F.slice("l", F.lit(1), F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1)).alias("x")).where("x.mixed")
-    prefix = prefix.select(F.col("x.s").alias("s"), "doc_id", "root", "n")
-    other = prefix.select("s", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    pairs = prefix.join(other, "s").where((F.col("doc_id") < F.col("b")) & (F.col("root") != F.col("rb")) & (F.least("n", "nb") * den >= F.greatest("n", "nb") * num))
+    length = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1
+    prefix = ordered.select("doc_id", "root", "n", F.posexplode(F.slice("l", F.lit(1), length)).alias("i", "x")).where("x.mixed")
+    prefix = prefix.select(F.col("x.s").alias("s"), "doc_id", "root", "n", "i")
+    other = prefix.select("s", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("i").alias("j"))
+    like = F.least("n", "nb") * den >= F.greatest("n", "nb") * num
+    # What can still be common from these places on must reach the overlap that the similarity takes.
+    enough = (1 + F.least(F.col("n") - F.col("i") - 1, F.col("nb") - F.col("j") - 1) + F.least("i", "j")) * (den + num) >= (F.col("n") + F.col("nb")) * num
+    pairs = prefix.join(other, "s").where((F.col("doc_id") < F.col("b")) & (F.col("root") != F.col("rb")) & like & enough)
     return pairs.select(F.col("doc_id").alias("a"), "b").distinct()
 
 
+def _mixed(items: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, doc_id, root) of the buckets that hold more than one class."""
+    named = items.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    several = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    return materialise(named.join(several, "key", "left_semi"), "mixed")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, bands: int = BANDS, rows: int = ROWS, weighting: str = "set") -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of at least ``similar`` of their word shingles.
 
@@ -240,16 +259,26 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int
     low = buckets.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
     shared = materialise(buckets.join(low, "key").select("key", "a", F.col("doc_id").alias("b")), "buckets")
     pairs = materialise(shared.where("a <> b").select("a", "b").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialise(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
+    wanted = shared.select(F.col("b").alias("doc_id")).distinct()
+    sets = shingle_sets(docs, bit_array(wanted), width).dropDuplicates(["doc_id"])
+    sets = materialise(sets.join(wanted, "doc_id", "left_semi"), "sets")
     links = materialise(_verified(pairs, sets, similar), "links")
     roots = materialise(components(links), "roots")
-    named = shared.select("key", F.col("b").alias("doc_id")).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    open_items = materialise(named.join(mixed, "key", "left_semi").select("doc_id", "root").distinct(), "open")
-    if not open_items.isEmpty():
-        more = _rare_pairs(open_items, sets, similar).join(pairs, ["a", "b"], "left_anti")
-        more = materialise(_verified(materialise(more, "pairs"), sets, similar), "links")
+    items = shared.select("key", F.col("b").alias("doc_id"))
+    for turn in range(TURNS):
+        mixed = _mixed(items, roots)
+        if mixed.isEmpty():
+            break
+        chosen = mixed.groupBy("key").agg(F.min_by(F.struct("doc_id", "root"), F.xxhash64("doc_id", "key", F.lit(turn))).alias("c"))
+        pairs = mixed.join(chosen, "key").where("root <> c.root").select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
+        more = materialise(_verified(materialise(pairs, "pairs"), sets, similar), "links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        roots = materialise(components(links), "roots")
+    mixed = materialise(_mixed(items, roots).select("doc_id", "root").distinct(), "open")
+    if not mixed.isEmpty():
+        more = materialise(_verified(materialise(_rare_pairs(mixed, sets, similar), "pairs"), sets, similar), "links")
         if not more.isEmpty():
             roots = materialise(components(links.unionByName(more)), "roots")
     of_copies = copies.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("group_id"))
