@@ -99,12 +99,12 @@ class LineRuns:
         return runs[0] if len(runs) == 1 else self._merged(runs)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, buckets: int = BUCKETS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, buckets: int = BUCKETS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Keys of at least ``min_chars`` code points found in at least ``min_docs`` documents
     lose all their lines except in the largest doc_id that holds them.
 
-    Returns doc_id, n_lines, n_dropped, text (the other lines joined by newlines), one row
-    per input row. A null or empty text is one empty line; a row with a null doc_id keeps
+    Returns doc_id, n_lines, n_dropped, text (the other lines joined by newlines) and the
+    columns named in ``keep``, one row per input row. A null or empty text is one empty line; a row with a null doc_id keeps
     all lines and counts for no key; repeated rows of a doc_id count as one document and are
     treated alike. An empty table gives no rows.
     """
@@ -125,7 +125,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     every = F.split(F.coalesce("text", F.lit("")), "\n")
     # Lines shorter than the limit can't have a long key, so their keys are never built.
     stays = F.filter(every, lambda x: F.when(F.length(x) < min_chars, F.lit(True)).otherwise(~F.array_contains("gone", _hash(line_key(x)))))
-    joined = docs.select("doc_id", "text").join(gone, "doc_id", "left")
+    joined = docs.select("doc_id", "text", *keep).join(gone, "doc_id", "left")
     kept = let(F.when(F.col("gone").isNull(), every).otherwise(stays), lambda x: F.struct(F.size(x).cast("long").alias("n"), F.array_join(x, "\n").alias("text")))
-    out = joined.select("doc_id", F.size(every).cast("long").alias("n_lines"), kept.alias("k")).select("doc_id", "n_lines", F.col("k.n").alias("n_left"), F.col("k.text").alias("text"))
-    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.col("n_left")).alias("n_dropped"), "text")
+    out = joined.select("doc_id", *keep, F.size(every).cast("long").alias("n_lines"), kept.alias("k")).select("doc_id", *keep, "n_lines", F.col("k.n").alias("n_left"), F.col("k.text").alias("text"))
+    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.col("n_left")).alias("n_dropped"), "text", *keep)
