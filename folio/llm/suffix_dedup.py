@@ -134,71 +134,64 @@ def _occurrences(docs: DataFrame, bits: bytes, length: int) -> DataFrame:
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` symbols or more (prefix doubling from packed symbols)."""
+    """Suffixes sorted by their first ``depth`` symbols (up to 256) or more: prefix doubling, from seven packed symbols."""
     n = len(symbols)
-    padded = np.concatenate([symbols.astype(np.uint64), np.zeros(4, np.uint64)])
-    key = (padded[:n] << np.uint64(48)) | (padded[1 : n + 1] << np.uint64(32)) | (padded[2 : n + 2] << np.uint64(16)) | padded[3 : n + 3]
-    width = 4
+    padded = np.concatenate([symbols.astype(np.uint64), np.zeros(7, np.uint64)])
+    key = padded[:n]
+    for k in range(1, 7):
+        key = (key << np.uint64(9)) | padded[k : n + k]
+    width = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if width >= depth:
             return order
         ordered = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]), dtype=np.uint64)
-        if int(rank[order[-1]]) == n:
-            return order
         nxt = np.zeros(n, np.uint64)
         nxt[: n - width] = rank[width:]
         key = (rank << np.uint64(32)) | nxt
         width *= 2
 
 
-def separated(symbols: np.ndarray, order: np.ndarray, singles: int, length: int) -> np.ndarray:
+def separated(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """Breadth-first backward extension on the transform of ``symbols``.
 
     Returns, for each row of the sorted suffixes, whether its common prefix with the
-    row above is shorter than ``length``. Symbols below ``singles`` separate strings:
-    each is unlike any other. A row ``b`` with symbol c in the transform and the row
+    row above is shorter than ``length``. Symbol 0 separates strings: no two of its rows
+    have anything in common. A row ``b`` with symbol c in the transform and the row
     ``a`` before it with the same symbol extend backward to two neighbouring rows; these
     part at value v + 1 as soon as a boundary of value v lies between ``a`` and ``b``.
     """
-    n = len(symbols)
     bwt = symbols[order - 1]  # the text ends with a separator, so the wrap-around is one too
-    by_symbol = np.argsort(bwt, kind="stable")  # row LF-order: by_symbol[x] is the row that extends to row x
-    part = np.zeros(n, bool)
-    same = bwt[by_symbol][1:] == bwt[by_symbol][:-1]
-    part[0] = True
-    part[1:] = ~same | (bwt[by_symbol][1:] < singles)
-    open_rows = np.flatnonzero(~part)
+    by_symbol = np.argsort(bwt.astype(np.uint16), kind="stable").astype(np.int32)  # row by_symbol[x] extends to row x
+    symbol = bwt[by_symbol]
+    part = np.ones(len(symbols), bool)
+    part[1:] = (symbol[1:] != symbol[:-1]) | (symbol[1:] == 0)
+    open_rows = np.flatnonzero(~part).astype(np.int32)
     b, a = by_symbol[open_rows], by_symbol[open_rows - 1]
     for _ in range(1, length):
-        if not len(open_rows):
-            break
-        upto = np.cumsum(part)
-        hit = upto[b] > upto[a]
+        upto = np.cumsum(part, dtype=np.int32)
+        hit = upto[b] != upto[a]
         if not hit.any():
             break
         part[open_rows[hit]] = True
-        keep = ~hit
+        keep = np.flatnonzero(~hit)
         open_rows, b, a = open_rows[keep], b[keep], a[keep]
     return part
 
 
 def repeated_windows(segments: list[bytes], docs: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows of the segments that also start in an earlier place: (document, position)."""
-    singles = len(segments)
     sizes = np.array([len(s) for s in segments], np.int64)
-    total = int(sizes.sum()) + singles
-    symbols, ends = np.empty(total, np.uint32), np.cumsum(sizes + 1) - 1
+    total = int(sizes.sum()) + len(segments)
+    symbols, ends = np.zeros(total, np.uint16), np.cumsum(sizes + 1) - 1
     body = np.ones(total, bool)
     body[ends] = False
-    symbols[body] = np.frombuffer(b"".join(segments), np.uint8).astype(np.uint32) + np.uint32(singles)
-    symbols[ends] = np.arange(singles, dtype=np.uint32)
+    symbols[body] = np.frombuffer(b"".join(segments), np.uint8).astype(np.uint16) + np.uint16(1)
     order = suffix_order(symbols, length + 1)
-    part = separated(symbols, order, singles, length)
-    group = np.cumsum(part)
-    owner = np.repeat(np.arange(singles), sizes + 1)
+    group = np.cumsum(separated(symbols, order, length))
+    owner = np.repeat(np.arange(len(segments)), sizes + 1)
     offset = np.arange(total) - (ends - sizes)[owner]
     valid = (offset <= sizes[owner] - length)[order]
     rows, group = order[valid], group[valid]
@@ -253,7 +246,7 @@ def _expand(segments: DataFrame, length: int) -> DataFrame:
                     held += group
                     size += sum(len(x[3]) for x in group)
                     key, group = h, []
-                    if size > CHUNK or len(held) > 60_000:
+                    if size > CHUNK:
                         yield flush()
                         held, size = [], 0
                 group.append(segment)
@@ -264,21 +257,43 @@ def _expand(segments: DataFrame, length: int) -> DataFrame:
     return segments.select("h", "doc_id", "at", "k", "bytes").mapInArrow(run, "doc_id long, at long, n long")
 
 
+def _place_hash(doc: int, digest: np.ndarray) -> np.ndarray:
+    return mix(digest.view(np.uint64) + np.uint64((doc * 0x9E3779B97F4A7C15) % (1 << 64)))
+
+
+def _place_bits(places: DataFrame) -> bytes:
+    """Bit array over (doc_id, digest)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, digest = (batch.column(k).to_numpy().astype(np.int64).view(np.uint64) for k in (0, 1))
+            yield _rows([mix(digest + doc * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)], "h long")
+
+    return bit_array(places.select("doc_id", "digest").mapInArrow(run, "h long"))
+
+
 def _cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Bytes of the wanted segments (doc_id, h, at, n, k)."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "n", "k")).alias("w"))
+    """Segments (h, doc_id, at, k, bytes) of the wanted places (doc_id, digest), cut from the
+    texts in a scan. A false hit of the bit array adds a true segment of the corpus, which changes no verdict."""
+    bits = _place_bits(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            for doc, text, w in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "w"))):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 raw = _bytes(text)
-                for x in w:
-                    for c, v in zip(out, (x["h"], doc, x["at"], x["k"], raw[x["at"] : x["at"] + x["n"] + length - 1])):
+                h, at, n, where = anchors(np.frombuffer(raw, np.uint8), length)
+                if not len(h):
+                    continue
+                parts = [raw[a : a + m + length - 1] for a, m in zip(at.tolist(), n.tolist())]
+                digest = np.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in parts], np.int64)
+                h = _signed(h)
+                for i in np.flatnonzero(has_bit(bits, _place_hash(doc, digest))).tolist():
+                    for c, v in zip(out, (int(h[i]), doc, int(at[i]), int(where[i]), parts[i])):
                         c.append(v)
             yield _rows(out, _SEGMENT)
 
-    return docs.join(lists, "doc_id").select("doc_id", "text", "w").mapInArrow(run, _SEGMENT)
+    return docs.select("doc_id", "text").mapInArrow(run, _SEGMENT)
 
 
 def _single_windows(segments: DataFrame, length: int) -> DataFrame:
@@ -307,7 +322,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_
     folded = materialise(folded.join(groups, "h").select("h", "digest", "doc0", "n_segments"), "segments")
     placed = materialise(found.join(folded, ["h", "digest"]).withColumn("origin", F.col("first") & (F.col("doc_id") == F.col("doc0"))), "placed")
     later = placed.where("not origin").select("doc_id", "at", "n")
-    contested = placed.where("origin and n_segments > 1").select("doc_id", "h", "at", "n", "k", "n_segments")
+    contested = placed.where("origin and n_segments > 1").select("doc_id", "digest", "n_segments")
     cool = _cut_out(docs, contested.where(F.col("n_segments") <= max_group), length)
     found_windows = _expand(cool.repartition("h").sortWithinPartitions("h"), length)
     hot = contested.where(F.col("n_segments") > max_group)
@@ -334,9 +349,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_G
     Texts shorter than ``length`` bytes keep everything. An empty table gives no rows.
     """
     ranges = repeated_ranges(docs, length, max_group).groupBy("doc_id").agg(F.collect_list("at").alias("ats"), F.collect_list("n").alias("ns"))
+    ranges = materialise(ranges, "ranges")
+    bits = bit_array(ranges.select("doc_id"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def touched(batch: pa.RecordBatch) -> np.ndarray:
+        ids = batch.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy()
+        return has_bit(bits, ids.astype(np.int64)) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(~touched(batch)))
+            raw = [_bytes(t) for t in batch.column("text").to_pylist()]
+            zero = [0] * len(raw)
+            yield _rows([batch.column("doc_id").to_pylist(), [len(x) for x in raw], zero, zero, [hashlib.sha256(x).hexdigest() for x in raw], raw], schema)
+
+    def dirty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(touched(batch)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for doc, text, ats, ns in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ats", "ns"))):
@@ -353,5 +385,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_G
                     c.append(v)
             yield _rows(out, schema)
 
-    joined = docs.select("doc_id", "text").join(ranges, "doc_id", "left").select("doc_id", "text", "ats", "ns")
-    return joined.mapInArrow(run, schema)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Only texts that lose something (and a few false hits) are shuffled to their ranges.
+    joined = texts.mapInArrow(dirty, "doc_id long, text string").join(ranges, "doc_id", "left").select("doc_id", "text", "ats", "ns")
+    return texts.mapInArrow(clean, schema).unionByName(joined.mapInArrow(cut, schema))
