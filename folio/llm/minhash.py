@@ -36,7 +36,7 @@ SIMILAR = (4, 5)
 BANDS, ROWS = 20, 4
 
 #: Turns with random partners before the exact join takes the rest.
-TURNS = 3
+TURNS = 2
 
 _RANK0 = 1 / 8
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -229,8 +229,8 @@ def _rare_pairs(items: DataFrame, sets: DataFrame, similar: tuple[int, int]) ->
     prefix = prefix.select(F.col("x.s").alias("s"), "doc_id", "root", "n", "i")
     other = prefix.select("s", F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("i").alias("j"))
     like = F.least("n", "nb") * den >= F.greatest("n", "nb") * num
-    # What can still be common from these places on must reach the overlap that the similarity takes.
-    enough = (1 + F.least(F.col("n") - F.col("i") - 1, F.col("nb") - F.col("j") - 1) + F.least("i", "j")) * (den + num) >= (F.col("n") + F.col("nb")) * num
+    # Positional filter: at a pair's first common shingle, what can be common from there on must reach the overlap that the similarity takes.
+    enough = (1 + F.least(F.col("n") - F.col("i") - 1, F.col("nb") - F.col("j") - 1)) * (den + num) >= (F.col("n") + F.col("nb")) * num
     pairs = prefix.join(other, "s").where((F.col("doc_id") < F.col("b")) & (F.col("root") != F.col("rb")) & like & enough)
     return pairs.select(F.col("doc_id").alias("a"), "b").distinct()
 
