@@ -300,7 +300,7 @@ def prompt_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = extraction.truncate(table(spark, sf_dir, "conversations"), "text", 80)
     head = F.concat_ws("\n", F.concat(F.lit("doc_id: "), F.col("conv_id").cast("string")), F.concat(F.lit("title: "), F.coalesce(F.nullif("role", F.lit("system")), F.lit("None"))))
     prompt = extraction.user_prompt(F.col("text"), doc_id=F.col("conv_id"), title=F.nullif("role", F.lit("system")))
-    return turns.select("conv_id", "turn", F.col("text").alias("passage"), "original_length", "truncated", F.instr(prompt, "Metadata:\n").cast("int").alias("at"), F.substr(prompt, F.instr(prompt, "Metadata:\n") + 10, F.length(head)).alias("metadata"))
+    return turns.select("conv_id", "turn", F.col("text").alias("passage"), "original_length", "truncated", F.substr(prompt, F.instr(prompt, "Metadata:\n") + 10, F.length(head)).alias("metadata"))
 
 
 def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
