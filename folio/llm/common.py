@@ -50,14 +50,14 @@ def fold_case(text: Column) -> Column:
 
 
 class WordCodes(dict):
-    """Word to 64-bit code, remembered per task; ``LIMIT`` bounds the memory."""
+    """Word to its 64-bit code (as bytes), remembered per task; ``LIMIT`` bounds the memory."""
 
     LIMIT = 1 << 19
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.LIMIT:
             self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        code = self[word] = xxhash.xxh3_64_digest(word)
         return code
 
 
@@ -82,5 +82,5 @@ def windows(codes: np.ndarray, width: int) -> np.ndarray:
 
 def word_codes(text: str | None, codes: WordCodes) -> np.ndarray:
     """Codes of the lower-cased words (runs without ASCII white space)."""
-    found = [codes[w] for w in (text or "").lower().encode("utf-8", "replace").split()]
-    return np.array(found, np.uint64)
+    words = (text or "").lower().encode("utf-8", "replace").split()
+    return np.frombuffer(b"".join(map(codes.__getitem__, words)), np.uint64)

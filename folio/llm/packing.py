@@ -12,9 +12,9 @@ Windows that come out below the capacity are padded to it.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -24,36 +24,109 @@ from pyspark.sql import functions as F
 
 CAPACITY = 2048
 #: Expected documents of a group; bounds the memory and time of one packing task.
-GROUP_DOCS = 2000
+GROUP_DOCS = 1000
 
-#: White space of the tokenizer's normaliser that is also a separator for ``str.split``.
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
+#: Texts with one of these are encoded whole: separators that only ``str.split`` knows, and the marks of special tokens.
+_UNSURE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: The vocabulary's own split of a lower-cased word into pieces that are encoded one by one.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
-class Words(dict):
-    """Token ids of white-space separated words, remembered per task (bounded)."""
+class Words:
+    """Token ids (little-endian 32 bits) of white-space separated words and their pieces.
 
-    LIMIT = 1 << 18
+    No token of this kind of vocabulary spans white space or a border of pieces, so the ids
+    of a text are those of its words one after the other, and those of a word the ids
+    of its pieces. New pieces are encoded many at a time, joined by spaces, and told apart
+    by the tokens that end a word. ``LIMIT`` bounds what is remembered."""
+
+    LIMIT = 1 << 20
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        # The same vocabulary for text that is already normalised and split into pieces.
+        self.of_pieces = Tokenizer(self.tokenizer.model)
+        self.of_pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.split = regex.compile(_PIECES + "|\n").findall
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        for k in range(0, len(new), 5000):
+            some = new[k : k + 5000]
+            ids = np.array(self.of_pieces.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                self.pieces.update(zip(some, _slices(ids.tobytes(), stops * 4)))
+            else:
+                self.pieces.update((x, self.whole(x)) for x in some)
+
+    def learn(self, words: set[str]) -> None:
+        """Make sure that these words are known."""
+        if len(self.words) > self.LIMIT:
+            self.words.clear()
+        if len(self.pieces) > self.LIMIT:
+            self.pieces.clear()
+        new = list(words - self.words.keys())
+        # Lower-casing and splitting them together must give what the normaliser gives for each.
+        odd = [w for w in new if not w.isascii() and (not is_normalized("NFC", w) or "Σ" in w or "İ" in w)]
+        self.words.update((w, self.whole(w)) for w in odd)
+        if odd:
+            new = list(set(new).difference(odd))
+        if not new:
+            return
+        pieces = self.split("\n".join(new).lower())
+        pieces.append("\n")
+        self.pieces["\n"] = _BORDER
+        self._learn_pieces(list(set(pieces) - self.pieces.keys()))
+        ids = np.frombuffer(b"".join(map(self.pieces.__getitem__, pieces)), "<u4")
+        borders = np.flatnonzero(ids == 0xFFFFFFFF)
+        self.words.update(zip(new, _slices(ids[ids != 0xFFFFFFFF].tobytes(), (borders - np.arange(len(borders))) * 4)))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        for k in range(0, len(texts), 1000):
+            some = [None if any(x in t for x in _UNSURE) else t.split() for t in texts[k : k + 1000]]
+            self.learn(set().union(*(x for x in some if x)))
+            get = self.words.__getitem__
+            for text, words in zip(texts[k : k + 1000], some):
+                yield self.whole(text) if words is None else b"".join(map(get, words))
+
+
+#: Stands between words while they are learnt; no vocabulary has this id.
+_BORDER = b"\xff\xff\xff\xff"
+
+
+def _slices(raw: bytes, stops: np.ndarray) -> list[bytes]:
+    at, out = 0, []
+    for stop in stops.tolist():
+        out.append(raw[at:stop])
+        at = stop
+    return out
+
+
+class _Shared:
+    """Makes its ``Words`` once for each worker process, which then serves all its tasks."""
+
+    def __init__(self, path: str):
+        self.path, self.words = path, None
 
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        ids = self[word] = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return ids
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "words": None}
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a text. No token of this kind of vocabulary spans white space,
-        so the ids of a text are those of its words one after the other; texts with
-        separators or markers that make this unsure are encoded as they are."""
-        if _ODD.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return [i for w in text.split() for i in self[w]]
+    def get(self) -> Words:
+        if self.words is None:
+            self.words = Words(self.path)
+        return self.words
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -66,13 +139,14 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, doc_tokens and, for each piece of at most
     ``capacity`` ids, its checksum (and its ids if ``keep_ids``)."""
+    shared = docs.sparkSession.sparkContext.broadcast(_Shared(tokenizer))  # a path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer)
+        words, end = shared.value.get(), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             sums, sizes, ids = [], [], []
-            for text in batch.column("text").to_pylist():
-                of = np.array([*words.encode(text or ""), end_id], "<u4")
+            for raw in words.encode([t or "" for t in batch.column("text").to_pylist()]):
+                of = np.frombuffer(raw + end, "<u4")
                 pieces = [of[k : k + size] for k, size in cuts(len(of), capacity)]
                 sums.append([zlib.crc32(p.tobytes()) for p in pieces])
                 sizes.append(len(of))
