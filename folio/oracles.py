@@ -31,7 +31,7 @@ _UNIT_P = r"(?i)(tỷ|ty|triệu|trieu|nghìn|ngàn|ngan|đồng|dong|đ|d|vnd)$
 
 def _phones(source: str) -> str:
     return rf"""
-    SELECT *, 'phone' AS detector, 'phone_number' AS span_type, 0.95 AS confidence, national AS normalized, '+84' || ltrim(national, '0') AS e164 FROM (
+    SELECT *, 'phone' AS detector, 'phone_number' AS span_type, CAST(0.95 AS DOUBLE) AS confidence, national AS normalized, '+84' || ltrim(national, '0') AS e164 FROM (
       SELECT *, CASE WHEN raw LIKE '84%' THEN CASE WHEN substring(raw, 3) LIKE '0%' THEN substring(raw, 3) ELSE '0' || substring(raw, 3) END ELSE raw END AS national
       FROM (SELECT *, regexp_replace(hit, '\D', '', 'g') AS raw FROM {source}) WHERE length(raw) >= 9
     ) WHERE length(national) IN (10, 11)"""
@@ -39,7 +39,7 @@ def _phones(source: str) -> str:
 
 def _dates(source: str) -> str:
     return rf"""
-    SELECT *, 'dob_full' AS detector, 'date_of_birth' AS span_type, 0.85 AS confidence, printf('%04d-%02d-%02d', year, month, day) AS normalized FROM (
+    SELECT *, 'dob_full' AS detector, 'date_of_birth' AS span_type, CAST(0.85 AS DOUBLE) AS confidence, printf('%04d-%02d-%02d', year, month, day) AS normalized FROM (
       SELECT *, CASE WHEN y >= 1900 THEN y WHEN y >= 30 THEN y + 1900 ELSE y + 2000 END AS year FROM (
         SELECT *, CAST(regexp_extract(hit, '(\d{{1,2}})[./-](\d{{1,2}})[./-](\d{{2,4}})$', 1) AS INTEGER) AS day,
           CAST(regexp_extract(hit, '(\d{{1,2}})[./-](\d{{1,2}})[./-](\d{{2,4}})$', 2) AS INTEGER) AS month,
@@ -49,7 +49,7 @@ def _dates(source: str) -> str:
 
 def _currency(source: str) -> str:
     return rf"""
-    SELECT *, 'currency' AS detector, 'currency_amount' AS span_type, 0.8 AS confidence, CAST(amount_vnd AS VARCHAR) AS normalized FROM (
+    SELECT *, 'currency' AS detector, 'currency_amount' AS span_type, CAST(0.8 AS DOUBLE) AS confidence, CAST(amount_vnd AS VARCHAR) AS normalized FROM (
       SELECT *, CAST(round_even(number * CASE WHEN unit IN ('tỷ', 'ty') THEN 1000000000 WHEN unit IN ('triệu', 'trieu') THEN 1000000 WHEN unit IN ('nghìn', 'ngàn', 'ngan') THEN 1000 ELSE 1 END, 0) AS BIGINT) AS amount_vnd FROM (
         SELECT *, lower(regexp_extract(hit, '{_UNIT_P}', 1)) AS unit,
           TRY_CAST(replace(replace(replace(trim(regexp_replace(hit, '{_UNIT_P}', ''), {_WS}), '.', ''), ' ', ''), ',', '.') AS DOUBLE) AS number FROM {source}
@@ -88,7 +88,7 @@ _PEOPLE = rf"""runs AS (
 ), people AS (
   SELECT CAST(p.doc_id AS VARCHAR) AS doc_id, '0.' || p.ord AS sentence_id, s0, substring(sentence, CASE WHEN hon THEN title_at ELSE s0 END + 1, e0 - CASE WHEN hon THEN title_at ELSE s0 END) AS name,
     p.base + CASE WHEN hon THEN title_at ELSE s0 END AS name_start, p.base + e0 AS name_end,
-    round_even(least(0.55 + CASE WHEN hon THEN 0.1 ELSE 0.0 END + 0.02 * (n + CAST(hon AS INTEGER) - 2), 0.85), 3) AS score
+    CAST(round_even(least(0.55 + CASE WHEN hon THEN 0.1 ELSE 0.0 END + 0.02 * (n + CAST(hon AS INTEGER) - 2), 0.85), 3) AS DOUBLE) AS score
   FROM titled p JOIN sentences s ON s.doc_id = p.doc_id AND s.ord = p.ord
 )"""
 _MARKED = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
