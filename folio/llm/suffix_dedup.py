@@ -288,7 +288,8 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 parts = [raw[a : a + m + length - 1] for a, m in zip(at.tolist(), n.tolist())]
                 digest = np.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in parts], np.int64)
                 h = _signed(h)
-                for i in np.flatnonzero(has_bit(bits, _place_hash(doc, digest))).tolist():
+                first = np.sort(np.unique(digest, return_index=True)[1])  # later ones in the same text are repeats already
+                for i in first[has_bit(bits, _place_hash(doc, digest[first]))].tolist():
                     for c, v in zip(out, (int(h[i]), doc, int(at[i]), int(where[i]), parts[i])):
                         c.append(v)
             yield _rows(out, _SEGMENT)
