@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bit_array, has_bit
-from .common import materialise, windows
+from .common import materialise, slices, windows
 
 WIDTH = 5
 #: Share of an item's windows, and of its slot values, that must agree: 4/5.
@@ -94,7 +94,7 @@ def _window_rows(table: DataFrame, key: str, bits: bytes | None, width: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = TemplateWords()
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(5)]
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 codes, where, slot = template(text, known)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bit_array, has_bit
-from .common import WordCodes, materialise, mix, windows, word_codes
+from .common import materialise, mix, slices, windows, word_codes, WordCodes
 
 WIDTH = 5
 #: A similarity of 4/5, kept as integers so that the comparison is exact.
@@ -146,7 +146,7 @@ def shingle_sets(docs: DataFrame, wanted: bytes, width: int = WIDTH) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id").cast(pa.int64())
             batch = batch.filter(pa.array(has_bit(wanted, ids.to_numpy().astype(np.uint64))))
             sets = [np.unique(windows(word_codes(t, codes), width).view(np.int64)) for t in batch.column("text").to_pylist()]
@@ -164,7 +164,7 @@ def signatures(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
-        for batch in batches:
+        for batch in slices(batches):
             d1, d2, keys = [], [], []
             for text in batch.column("text").to_pylist():
                 words = word_codes(text, codes)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 CAPACITY = 2048
 #: Expected documents of a group; bounds the memory and time of one packing task.
 GROUP_DOCS = 1000
@@ -143,7 +145,7 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = shared.value.get(), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, 1000):
             sums, sizes, ids = [], [], []
             for raw in words.encode([t or "" for t in batch.column("text").to_pylist()]):
                 of = np.frombuffer(raw + end, "<u4")

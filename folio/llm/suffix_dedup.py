@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bit_array, has_bit
-from .common import materialise, mix
+from .common import materialise, mix, slices
 
 LENGTH = 100
 K = 24
@@ -101,7 +101,7 @@ def _rows(columns: list, schema: str) -> pa.RecordBatch:
 
 def _anchor_counts(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             all_h = [anchors(np.frombuffer(_bytes(t), np.uint8), length)[0] for t in batch.column("text").to_pylist()]
             h, n = np.unique(np.concatenate(all_h) if all_h else np.zeros(0, np.uint64), return_counts=True)
             yield _rows([_signed(h), n], "h long, n long")
@@ -113,7 +113,7 @@ def _occurrences(docs: DataFrame, bits: bytes, length: int) -> DataFrame:
     """Segments of possibly repeated anchors; ``first``: the first one with these bytes in its document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(7)]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 raw = _bytes(text)
@@ -239,7 +239,7 @@ def _expand(segments: DataFrame, length: int) -> DataFrame:
             doc, pos = repeated_windows([x[3] for x in held], np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64), length)
             return _rows(list(_runs(doc, pos)), "doc_id long, at long, n long")
 
-        for batch in batches:
+        for batch in slices(batches):
             for h, *segment in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "at", "k", "bytes"))):
                 if h != key:
                     group = _can_match(group, length)
@@ -265,7 +265,7 @@ def _place_bits(places: DataFrame) -> bytes:
     """Bit array over (doc_id, digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             doc, digest = (batch.column(k).to_numpy().astype(np.int64).view(np.uint64) for k in (0, 1))
             yield _rows([mix(digest + doc * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)], "h long")
 
@@ -278,7 +278,7 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     bits = _place_bits(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(5)]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 raw = _bytes(text)
@@ -301,7 +301,7 @@ def _single_windows(segments: DataFrame, length: int) -> DataFrame:
     """Break segments into windows keyed by anchor and content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(5)]
             for h, doc, at, k, raw in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "at", "k", "bytes"))):
                 for i in range(len(raw) - length + 1):
@@ -359,18 +359,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_G
         return has_bit(bits, ids.astype(np.int64)) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             batch = batch.filter(pa.array(~touched(batch)))
             raw = [_bytes(t) for t in batch.column("text").to_pylist()]
             zero = [0] * len(raw)
             yield _rows([batch.column("doc_id").to_pylist(), [len(x) for x in raw], zero, zero, [hashlib.sha256(x).hexdigest() for x in raw], raw], schema)
 
     def dirty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(touched(batch)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(6)]
             for doc, text, ats, ns in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ats", "ns"))):
                 raw = _bytes(text)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 CRLF = "\r\n"
 #: Elements whose content isn't text, comments and declarations.
 _HIDDEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|head)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|$)", re.S | re.I)
@@ -90,7 +92,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1000):
             out: list[list] = [[] for _ in range(9)]
             for page_id, rid, uri, date, http, payload in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 rid, uri, date, http, payload = (x or "" for x in (rid, uri, date, http, payload))
