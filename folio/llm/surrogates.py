@@ -44,7 +44,7 @@ SYLLABLES = {
     "cyrillic": ["ба", "ве", "го", "де", "ки", "ло", "ма", "не", "по", "ра", "се", "ту", "фе", "ха", "чо", "ши"],
 }
 
-_ALL_TITLES = "|".join(t for ts in TITLES.values() for t in ts)
+_ALL_TITLES = "|".join(dict.fromkeys(x for ts in TITLES.values() for t in ts for x in (t, t.upper())))
 _NAME = r"\p{Lu}[\p{L}’'-]+"
 #: Type -> pattern; the first that fits at a place wins.
 PATTERNS = {
@@ -68,8 +68,8 @@ def _kind(x: Column) -> Column:
 
 
 def _gender(x: Column) -> Column:
-    title = F.regexp_extract(x, r"^[^ .]+", 0)
-    return F.when(title.isin(TITLES["m"]), "m").when(title.isin(TITLES["f"]), "f").otherwise("x")
+    title = F.upper(F.regexp_extract(x, r"^[^ .]+", 0))
+    return F.when(title.isin([t.upper() for t in TITLES["m"]]), "m").when(title.isin([t.upper() for t in TITLES["f"]]), "f").otherwise("x")
 
 
 def _entities(x: Column) -> Column:

@@ -38,7 +38,7 @@ def record_id(*parts: str) -> str:
 
 def plain_text(page: str) -> str:
     """Visible text, a line per block element, entities decoded, white space collapsed."""
-    text = _TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub(" ", page)))
+    text = _TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub("", page)))
     lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -50,7 +50,7 @@ def title(page: str) -> str:
 
 def links(page: str, base: str) -> list[str]:
     out = []
-    for m in _LINK.finditer(_HIDDEN.sub(" ", page)):
+    for m in _LINK.finditer(_HIDDEN.sub("", page)):
         href = html.unescape(next(x for x in m.groups() if x is not None)).strip()
         try:
             out.append(urljoin(base, href))
