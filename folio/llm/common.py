@@ -36,7 +36,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of any file system that Spark knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing still to be computed reads."""
+    for t in tables:
+        remove(t.sparkSession, t.scratch_path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bit_array, has_bit
-from .common import materialise, slices, windows
+from .common import materialise, release, slices, windows
 
 WIDTH = 5
 #: Share of an item's windows, and of its slot values, that must agree: 4/5.
@@ -128,6 +128,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: tupl
     bits = bit_array(items.select("h"))
     found = _window_rows(docs, "doc_id", bits, width).select("doc_id", F.col("at").alias("d_at"), "h", F.col("slots").alias("d_slots"))
     met = materialise(found.join(items, "h").select("doc_id", "item_id", "at", "d_at", "n", "slots", "d_slots"), "met")
+    release(items)
     likely = met.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("c"), F.max("n").alias("n")).where(F.col("c") * den >= F.col("n") * num).select("doc_id", "item_id")
     aligned = met.join(likely, ["doc_id", "item_id"]).withColumn("place", F.explode(F.array(F.col("d_at") - F.col("at"), F.lit(None).cast("long"))))
     keys = ["doc_id", "item_id", "place"]

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_case, let, materialise, shared_dir
+from .common import fold_case, let, materialise, release, remove, shared_dir
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Batches of the whole-table query and runs per level.
@@ -69,10 +69,11 @@ class LineRuns:
             batch = materialise(batch, "batch")
             fresh = self.fresh(batch).withColumn("holder", F.col("top"))
             known = batch.join(fresh.select("h1", "h2"), ["h1", "h2"], "left_anti").withColumn("holder", F.lit(None).cast("long"))
-            batch = fresh.unionByName(known).drop("top")
+            run = self._write(fresh.unionByName(known).select("h1", "h2", "n", "holder"))
+            release(batch)
         else:
-            batch = batch.withColumnRenamed("top", "holder")
-        self._put(0, self._write(batch.select("h1", "h2", "n", "holder")))
+            run = self._write(batch.select("h1", "h2", "n", F.col("top").alias("holder")))
+        self._put(0, run)
 
     def _put(self, level: int, name: str) -> None:
         while len(self.levels) <= level:
@@ -80,11 +81,20 @@ class LineRuns:
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             merged = self._write(self._merged([self.spark.table(n) for n in self.levels[level]]))
-            for old in self.levels[level]:
-                self.spark.sql(f"DROP TABLE {old}")
+            self._drop(self.levels[level])
             self.levels[level] = []
             self._put(level + 1, merged)
 
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            remove(self.spark, f"{shared_dir(self.spark)}/{name}")
+
+    def drop(self) -> None:
+        for level in self.levels:
+            self._drop(level)
+        self.levels = []
+
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
         def merge(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -119,9 +129,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             if a < b:
                 runs.add(lines.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)))
         frequent = runs.counts().where(F.col("n") >= min_docs).select("h1", "h2", "holder")
-        gone = lines.join(frequent, ["h1", "h2"]).where("doc_id <> holder").groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
+        gone = lines.join(frequent, ["h1", "h2"]).where("doc_id <> holder")
     else:
-        gone = lines.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
+        gone = lines
+    gone = materialise(gone.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone")), "gone")
+    runs.drop()
+    release(lines)
     every = F.split(F.coalesce("text", F.lit("")), "\n")
     # Lines shorter than the limit can't have a long key, so their keys are never built.
     stays = F.filter(every, lambda x: F.when(F.length(x) < min_chars, F.lit(True)).otherwise(~F.array_contains("gone", _hash(line_key(x)))))

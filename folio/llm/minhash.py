@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bit_array, has_bit
-from .common import materialise, mix, slices, windows, word_codes, WordCodes
+from .common import WordCodes, materialise, mix, release, slices, windows, word_codes
 
 WIDTH = 5
 #: A similarity of 4/5, kept as integers so that the comparison is exact.
@@ -196,11 +196,16 @@ def components(edges: DataFrame) -> DataFrame:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        edges = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
-        low = edges.groupBy("b").agg(F.min("a").alias("m"))
-        small = edges.join(low, "b")
-        edges = materialise(small.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b").unionByName(low.select(F.col("m").alias("a"), "b")).distinct(), "edges")
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+        large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
+        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(low, "b")
+        now = materialise(small.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b").unionByName(low.select(F.col("m").alias("a"), "b")).distinct(), "edges")
+        release(edges)
+        edges = now
+    roots = edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    out = materialise(roots, "roots")
+    release(edges)
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -232,7 +237,9 @@ def _rare_pairs(items: DataFrame, sets: DataFrame, similar: tuple[int, int]) ->
     # Positional filter: at a pair's first common shingle, what can be common from there on must reach the overlap that the similarity takes.
     enough = (1 + F.least(F.col("n") - F.col("i") - 1, F.col("nb") - F.col("j") - 1)) * (den + num) >= (F.col("n") + F.col("nb")) * num
     pairs = prefix.join(other, "s").where((F.col("doc_id") < F.col("b")) & (F.col("root") != F.col("rb")) & like & enough)
-    return pairs.select(F.col("doc_id").alias("a"), "b").distinct()
+    out = materialise(pairs.select(F.col("doc_id").alias("a"), "b").distinct(), "pairs")
+    release(rows)
+    return out
 
 
 def _mixed(items: DataFrame, roots: DataFrame) -> DataFrame:
@@ -263,24 +270,35 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int
     sets = shingle_sets(docs, bit_array(wanted), width).dropDuplicates(["doc_id"])
     sets = materialise(sets.join(wanted, "doc_id", "left_semi"), "sets")
     links = materialise(_verified(pairs, sets, similar), "links")
-    roots = materialise(components(links), "roots")
+    release(pairs)
+    roots = components(links)
     items = shared.select("key", F.col("b").alias("doc_id"))
+
+    def link(pairs: DataFrame) -> bool:
+        """Verify pairs; if any are linked, the links and classes are renewed."""
+        nonlocal links, roots
+        more = materialise(_verified(pairs, sets, similar), "links")
+        if more.isEmpty():
+            release(more)
+            return False
+        old, links = (links, more), materialise(links.unionByName(more), "links")
+        release(*old, roots)
+        roots = components(links)
+        return True
+
     for turn in range(TURNS):
         mixed = _mixed(items, roots)
-        if mixed.isEmpty():
-            break
         chosen = mixed.groupBy("key").agg(F.min_by(F.struct("doc_id", "root"), F.xxhash64("doc_id", "key", F.lit(turn))).alias("c"))
         pairs = mixed.join(chosen, "key").where("root <> c.root").select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
-        more = materialise(_verified(materialise(pairs, "pairs"), sets, similar), "links")
-        if more.isEmpty():
+        pairs = materialise(pairs, "pairs")
+        found = link(pairs)
+        release(mixed, pairs)
+        if not found:
             break
-        links = links.unionByName(more)
-        roots = materialise(components(links), "roots")
-    mixed = materialise(_mixed(items, roots).select("doc_id", "root").distinct(), "open")
-    if not mixed.isEmpty():
-        more = materialise(_verified(materialise(_rare_pairs(mixed, sets, similar), "pairs"), sets, similar), "links")
-        if not more.isEmpty():
-            roots = materialise(components(links.unionByName(more)), "roots")
+    mixed = _mixed(items, roots)
+    pairs = _rare_pairs(mixed.select("doc_id", "root").distinct(), sets, similar)
+    link(pairs)
+    release(mixed, pairs, sets, shared, links)
     of_copies = copies.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("group_id"))
     classed = signed.select("doc_id", "d1", "d2").join(of_copies, ["d1", "d2"], "left").select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"))
     out = classed.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bit_array, has_bit
-from .common import materialise, mix, slices
+from .common import materialise, mix, release, slices
 
 LENGTH = 100
 K = 24
@@ -322,6 +322,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_
     groups = folded.groupBy("h").agg(F.sum("n_occ").alias("n_anchor"), F.count("*").alias("n_segments")).where("n_anchor > 1")
     folded = materialise(folded.join(groups, "h").select("h", "digest", "doc0", "n_segments"), "segments")
     placed = materialise(found.join(folded, ["h", "digest"]).withColumn("origin", F.col("first") & (F.col("doc_id") == F.col("doc0"))), "placed")
+    release(found, folded)
     later = placed.where("not origin").select("doc_id", "at", "n")
     contested = placed.where("origin and n_segments > 1").select("doc_id", "digest", "n_segments")
     cool = _cut_out(docs, contested.where(F.col("n_segments") <= max_group), length)

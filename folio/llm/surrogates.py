@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise
+from .common import let, materialise, release
 
 #: Titles by gender, in the languages of the corpus and in Cyrillic.
 TITLES = {
@@ -173,9 +173,12 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         if done is not None:
             first = first.join(done.select("type", "surrogate"), ["type", "surrogate"], "left_anti")
         first = first.select("type", "value", "surrogate")
-        done = materialise(first if done is None else done.unionByName(first), "assigned")
+        now = materialise(first if done is None else done.unionByName(first), "assigned")
+        release(drawn, *([done] if done is not None else []))
+        done = now
         pending = entities.join(done, ["type", "value"], "left_anti")
         if pending.isEmpty():
+            release(entities)
             return done
         attempt += 1
 
