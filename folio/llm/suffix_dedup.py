@@ -42,8 +42,8 @@ K = 24
 PIECE = 1 << 23
 #: Bytes of segments per transform; whole anchor groups stay together.
 CHUNK = 1 << 20
-#: Distinct segments of one anchor beyond which it is broken into windows.
-MAX_GROUP = 4000
+#: Distinct segments of one anchor (at most 176 bytes each) that one transform takes; beyond, the anchor is broken into windows.
+MAX_GROUP = 20_000
 
 _OCCURRENCE = "h long, digest long, doc_id long, at long, n long, k long, first boolean"
 _SEGMENT = "h long, doc_id long, at long, k long, bytes binary"
@@ -109,26 +109,31 @@ def _anchor_counts(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def _digests(raw: bytes, at: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """Content hashes of segments."""
+    digest = xxhash.xxh3_64_digest
+    return np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(at.tolist(), (at + n + (length - 1)).tolist())]), np.int64)
+
+
 def _occurrences(docs: DataFrame, bits: bytes, length: int) -> DataFrame:
     """Segments of possibly repeated anchors; ``first``: the first one with these bytes in its document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out: list[list] = [[] for _ in range(7)]
+            parts = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 raw = _bytes(text)
                 h, at, n, where = anchors(np.frombuffer(raw, np.uint8), length)
-                if not len(h) or doc is None:
+                ok = np.flatnonzero(has_bit(bits, h))
+                if not len(ok):
                     continue
-                ok = has_bit(bits, h)
                 h, at, n, where = _signed(h[ok]), at[ok], n[ok], where[ok]
-                seen = set()
-                for x, a, m, k in zip(h.tolist(), at.tolist(), n.tolist(), where.tolist()):
-                    digest = xxhash.xxh3_64_intdigest(raw[a : a + m + length - 1]) - (1 << 63)
-                    for c, v in zip(out, (x, digest, doc, a, m, k, (x, digest) not in seen)):
-                        c.append(v)
-                    seen.add((x, digest))
-            yield _rows(out, _OCCURRENCE)
+                digest = _digests(raw, at, n, length)
+                first = np.zeros(len(h), bool)
+                first[np.unique(digest, return_index=True)[1]] = True
+                parts.append((h, digest, np.full(len(h), doc, np.int64), at, n, where, first))
+            if parts:
+                yield _rows([np.concatenate(c) for c in zip(*parts)], _OCCURRENCE)
 
     return docs.select("doc_id", "text").mapInArrow(run, _OCCURRENCE)
 
@@ -273,9 +278,9 @@ def _place_bits(places: DataFrame) -> bytes:
 
 
 def _cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Segments (h, doc_id, at, k, bytes) of the wanted places (doc_id, digest), cut from the
-    texts in a scan. A false hit of the bit array adds a true segment of the corpus, which changes no verdict."""
-    bits = _place_bits(wanted)
+    """Segments (h, doc_id, at, k, bytes) of the wanted places (h, doc_id, digest), cut from the
+    texts in a scan. A false hit of the bit arrays adds a true segment of the corpus, which changes no verdict."""
+    bits, of_anchors = _place_bits(wanted), bit_array(wanted.select("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -283,14 +288,14 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 raw = _bytes(text)
                 h, at, n, where = anchors(np.frombuffer(raw, np.uint8), length)
-                if not len(h):
+                ok = np.flatnonzero(has_bit(of_anchors, h))
+                if not len(ok):
                     continue
-                parts = [raw[a : a + m + length - 1] for a, m in zip(at.tolist(), n.tolist())]
-                digest = np.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in parts], np.int64)
-                h = _signed(h)
+                h, at, n, where = _signed(h[ok]), at[ok], n[ok], where[ok]
+                digest = _digests(raw, at, n, length)
                 first = np.sort(np.unique(digest, return_index=True)[1])  # later ones in the same text are repeats already
                 for i in first[has_bit(bits, _place_hash(doc, digest[first]))].tolist():
-                    for c, v in zip(out, (int(h[i]), doc, int(at[i]), int(where[i]), parts[i])):
+                    for c, v in zip(out, (int(h[i]), doc, int(at[i]), int(where[i]), raw[at[i] : at[i] + n[i] + length - 1])):
                         c.append(v)
             yield _rows(out, _SEGMENT)
 
@@ -324,12 +329,15 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_
     placed = materialise(found.join(folded, ["h", "digest"]).withColumn("origin", F.col("first") & (F.col("doc_id") == F.col("doc0"))), "placed")
     release(found, folded)
     later = placed.where("not origin").select("doc_id", "at", "n")
-    contested = placed.where("origin and n_segments > 1").select("doc_id", "digest", "n_segments")
-    cool = _cut_out(docs, contested.where(F.col("n_segments") <= max_group), length)
-    found_windows = _expand(cool.repartition("h").sortWithinPartitions("h"), length)
-    hot = contested.where(F.col("n_segments") > max_group)
-    if not hot.isEmpty():
-        single = materialise(_single_windows(_cut_out(docs, hot, length), length), "windows")
+    contested = placed.where("origin and n_segments > 1").select("h", "doc_id", "digest", "n_segments")
+    segments = _cut_out(docs, contested, length)
+    hot = contested.where(F.col("n_segments") > max_group).select("h").distinct()
+    if hot.isEmpty():
+        found_windows = _expand(segments.repartition("h").sortWithinPartitions("h"), length)
+    else:
+        segments = materialise(segments, "cut")
+        found_windows = _expand(segments.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h"), length)
+        single = materialise(_single_windows(segments.join(hot, "h", "left_semi"), length), "windows")
         twice = single.groupBy("h").count().where("count > 1").select("h")
         # Equal windows fold to their first place; the others are repeats at once.
         first = single.join(twice, "h").groupBy("h", "k", "bytes").agg(F.min(F.struct("doc_id", "at")).alias("o"))
