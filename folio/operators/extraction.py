@@ -14,13 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import braces, is_json, lenient_json, unfence_block
+from ..functions.text import is_json, lenient_json
 from ..schemas import PEOPLE, PERSON
 
 MAX_PASSAGE_CHARS = 4000
 
 _SPAN = {"text": "", "start": -1, "end": -1}
-#: The shape that a model is asked for.
+#: The fields that a model is asked for.
 ANSWER_SHAPE = {
     "people": [
         {
@@ -134,5 +134,3 @@ def missing_outputs(requests: DataFrame, done: DataFrame, keys: tuple[str, ...]
 def run_counts(found: DataFrame) -> DataFrame:
     return found.agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("passages"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("issues"))
 
-
-__all__ = ["Client", "ClientError", "braces", "extractions", "generate", "missing_outputs", "parse_status", "people", "run_counts", "truncate", "unfence_block", "user_prompt"]

@@ -66,9 +66,9 @@ _SPANS = f"""spans AS (
 )"""
 
 _SENTENCE_SPANS = f"""sentence_spans AS (
-  SELECT doc_id, ord, detector, hit, pos FROM ({_phones(_matches(_PHONE_P, "sentences", "sentence", "doc_id, ord, base"))})
-  UNION ALL SELECT doc_id, ord, detector, hit, pos FROM ({_dates(_matches(_DATE_P, "sentences", "sentence", "doc_id, ord, base"))})
-  UNION ALL SELECT doc_id, ord, detector, hit, pos FROM ({_currency(_matches(_CURRENCY_P, "sentences", "sentence", "doc_id, ord, base"))})
+  SELECT doc_id, ord, base, detector, span_type, confidence, hit, pos FROM ({_phones(_matches(_PHONE_P, "sentences", "sentence", "doc_id, ord, base"))})
+  UNION ALL SELECT doc_id, ord, base, detector, span_type, confidence, hit, pos FROM ({_dates(_matches(_DATE_P, "sentences", "sentence", "doc_id, ord, base"))})
+  UNION ALL SELECT doc_id, ord, base, detector, span_type, confidence, hit, pos FROM ({_currency(_matches(_CURRENCY_P, "sentences", "sentence", "doc_id, ord, base"))})
 )"""
 
 _EDGE = """'.,:;!?()[]{}"''“”‘’'"""
@@ -118,6 +118,16 @@ _LINES = """lines AS (
     len(list_filter(string_split(line, ' '), lambda t: t <> '')) AS n
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
 )"""
+#: Sentences of each line as a passage of its own, places as if the lines were joined by blank lines; ``ord`` counts through the document.
+_LINE_SENTENCES = rf"""{_LINES}, passages AS (
+  SELECT doc_id, i AS pid, start + length(line) - length(ltrim(line, {_WS})) AS start, trim(line, {_WS}) AS text FROM lines WHERE trim(line, {_WS}) <> ''
+), split AS (
+  SELECT doc_id, pid, start + pos + length(hit) - length(ltrim(hit, {_WS})) AS base, trim(hit, {_WS}) AS sentence FROM {_matches("[^.!?\\n]+[.!?…]*", "passages", "text", "doc_id, pid, start")} WHERE trim(hit, {_WS}) <> ''
+), sentences AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY base) AS ord, pid || '.' || (row_number() OVER (PARTITION BY doc_id, pid ORDER BY base) - 1) AS sid FROM (
+    SELECT * FROM split UNION ALL
+    SELECT doc_id, pid, start, text FROM passages p WHERE NOT EXISTS (SELECT 1 FROM split s WHERE s.doc_id = p.doc_id AND s.pid = p.pid))
+)"""
 _SOURCE = """source AS (
   SELECT o_orderkey, lower(c_mktsegment) AS site_slug, o_orderpriority AS ingest_category_slug, o_orderstatus AS category_id, c_mktsegment AS category_name,
     CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END AS publish_date, o_totalprice AS created_at
@@ -163,6 +173,16 @@ _VERDICTS = """reports AS (
     NOT bad AND verdict = 'supported' AND NOT (m = 4 AND NOT t) AND NOT (t AND m IN (0, 3)) AND NOT denied AS usable FROM reports
 )"""
 
+_BASELINE = f"""{_LINE_SENTENCES}, {_SENTENCE_SPANS}, {_TOKENS}, {_PEOPLE}, emitted AS (
+  SELECT CAST(doc_id AS VARCHAR) AS doc_id, ord, span_type, base + pos AS span_start, base + pos + length(hit) AS span_end, trim(hit, {_WS}) AS span_text, 'regex' AS source, confidence, detector FROM sentence_spans
+  UNION ALL SELECT doc_id, CAST(substring(sentence_id, 3) AS BIGINT), 'person', name_start, name_end, name, 'ner', score, NULL FROM people
+), kept AS (
+  SELECT * FROM emitted QUALIFY row_number() OVER (PARTITION BY doc_id, span_type, span_start, span_end, source, span_text ORDER BY confidence DESC, ord) = 1
+)"""
+_PACK = """list_reduce(
+        list_prepend([], list_transform(n, lambda c, k: [{'a': k, 'b': k, 'n': c}])),
+        lambda acc, x: CASE WHEN len(acc) = 0 THEN x WHEN %s THEN list_concat(acc, x) ELSE list_concat(acc[1:len(acc) - 1], [{'a': acc[len(acc)].a, 'b': x[1].b, 'n': acc[len(acc)].n + x[1].n}]) END)"""
+
 
 def _percent(part: str, whole: str) -> str:
     return f"coalesce(round_even({part} * 100.0 / nullif({whole}, 0), 2), 0.0)"
@@ -199,6 +219,28 @@ ORACLES: dict[str, str] = {
     "verify_stats": f"WITH {_SPANS}, {_CORRUPTED} SELECT doc_id, count(*) AS input_spans, count(*) FILTER (verified) AS verified_spans, count(*) FILTER (NOT verified) AS dropped_spans FROM judged GROUP BY doc_id",
     "verify_by_type": f"WITH {_SPANS}, {_CORRUPTED} SELECT doc_id, span_type, count(*) AS total, count(*) FILTER (verified) AS verified, coalesce(round_even(avg(confidence) FILTER (verified), 4), 0.0) AS avg_confidence FROM judged GROUP BY ALL",
     "verify_reasons": f"WITH {_SPANS}, {_CORRUPTED} SELECT doc_id, reason, count(*) AS n FROM judged WHERE NOT verified GROUP BY ALL",
+    "baseline_spans": f"""WITH {_BASELINE} SELECT k.doc_id, span_type, CAST(span_start AS INTEGER) AS span_start, CAST(span_end AS INTEGER) AS span_end, span_text, s.sid AS sentence_id, source, confidence
+      FROM kept k JOIN sentences s ON CAST(s.doc_id AS VARCHAR) = k.doc_id AND s.ord = k.ord""",
+    "baseline_stats": f"""WITH {_BASELINE},
+      s AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(*) AS sentences, count(DISTINCT pid) AS passages FROM sentences GROUP BY doc_id),
+      e AS (SELECT doc_id, count(*) FILTER (source = 'regex') AS regex_spans, count(*) FILTER (source = 'ner') AS ner_spans FROM emitted GROUP BY doc_id),
+      h AS (SELECT doc_id, detector, count(*) AS n FROM kept WHERE detector IS NOT NULL GROUP BY ALL),
+      j AS (SELECT doc_id, '{{' || string_agg('"' || detector || '":' || n, ',' ORDER BY detector) || '}}' AS hits FROM h GROUP BY doc_id),
+      t AS (SELECT doc_id, count(*) AS total_spans FROM kept GROUP BY doc_id)
+      SELECT s.doc_id, coalesce(regex_spans, 0) AS regex_spans, coalesce(ner_spans, 0) AS ner_spans, coalesce(total_spans, 0) AS total_spans, sentences, passages, coalesce(hits, '{{}}') AS detector_hits
+      FROM s LEFT JOIN e USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN j USING (doc_id)""",
+    "verify_own_spans": f"WITH {_BASELINE} SELECT count(DISTINCT doc_id) AS docs, count(*) AS input_spans, count(*) AS verified_spans, CAST(0 AS BIGINT) AS dropped_spans FROM kept",
+    "passage_pack": f"""WITH {_LINES}, docs AS (
+        SELECT doc_id, list(n ORDER BY i) AS n, list(line ORDER BY i) AS ps, list(start ORDER BY i) AS starts FROM lines GROUP BY doc_id
+      ), filled AS (SELECT *, {_PACK % "acc[len(acc)].n + x[1].n > 120"} AS f FROM docs
+      ), merged AS (
+        SELECT * REPLACE (list_reduce(list_prepend([], list_transform(f, lambda y: [y])), lambda acc, x: CASE WHEN len(acc) = 0 THEN x WHEN acc[len(acc)].n >= 40 THEN list_concat(acc, x)
+          ELSE list_concat(acc[1:len(acc) - 1], [{{'a': acc[len(acc)].a, 'b': x[1].b, 'n': acc[len(acc)].n + x[1].n}}]) END) AS f) FROM filled
+      ), tailed AS (
+        SELECT * REPLACE (CASE WHEN len(f) >= 2 AND f[len(f)].n < 40 THEN list_concat(f[1:len(f) - 2], [{{'a': f[len(f) - 1].a, 'b': f[len(f)].b, 'n': f[len(f) - 1].n + f[len(f)].n}}]) ELSE f END AS f) FROM merged
+      ), rows AS (SELECT doc_id, ps, starts, unnest(f) AS s, unnest(generate_series(0, len(f) - 1)) AS pid FROM tailed)
+      SELECT doc_id, CAST(pid AS INTEGER) AS passage_id, CAST(starts[s.a] AS INTEGER) AS p_start, CAST(starts[s.b] + length(ps[s.b]) AS INTEGER) AS p_end, CAST(s.n AS INTEGER) AS word_count,
+        md5(array_to_string(ps[s.a:s.b], chr(10) || chr(10))) AS text_md5, CAST(s.b - s.a + 1 AS INTEGER) AS n_paragraphs FROM rows""",
     "passage_fallback": f"""WITH {_LINES} SELECT doc_id, CAST(i AS INTEGER) AS passage_id, CAST(start + length(line) - length(ltrim(line, {_WS})) AS INTEGER) AS p_start,
       CAST(start + length(line) - length(ltrim(line, {_WS})) + length(trim(line, {_WS})) AS INTEGER) AS p_end, CAST(len(list_filter(string_split_regex(trim(line, {_WS}), '\\s+'), lambda t: t <> '')) AS INTEGER) AS word_count, trim(line, {_WS}) AS p_text
       FROM lines WHERE trim(line, {_WS}) <> ''""",

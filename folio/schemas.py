@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+#: The closed vocabularies.
 SPAN_TYPES = ["person", "organization", "location", "phone_number", "national_id", "date_of_birth", "currency_amount", "law_reference", "other"]
 SPAN_SOURCES = ["regex", "ner", "llm", "heuristic"]
 ROLES = ["suspect", "victim", "official", "witness", "lawyer", "judge", "other"]
