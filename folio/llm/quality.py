@@ -22,10 +22,10 @@ from .common import let, materialise
 
 ALPHA, DELTA = 0.01, 0.05
 #: Signal -> candidate cutoffs, the most lenient first; a document is beyond a cutoff if its signal is larger.
+#: Repeated words have a base rule of their own; every further signal takes a share of alpha.
 CUTOFFS: dict[str, list[float]] = {
     "symbol_ratio": [0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01],
     "upper_ratio": [0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08],
-    "repeat_ratio": [0.19, 0.17, 0.15, 0.13, 0.11, 0.09, 0.07, 0.05],
     "mean_word": [14.0, 12.0, 11.0, 10.0, 9.5, 9.0, 8.5, 8.0, 7.5],
 }
 #: Accepted cutoffs are broadcast up to so many rows; beyond, they are joined by shuffle.
