@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: 2**25 bits are 4 MB.
 LOG_BITS = 25
@@ -34,9 +35,9 @@ def bit_array(hashes: DataFrame, log_bits: int = LOG_BITS) -> bytes:
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
 
-    words = hashes.mapInArrow(run, "at long, word long").groupBy("at").agg({"word": "bit_or"}).toPandas()
+    words = hashes.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
     out = np.zeros(1 << (log_bits - 6), "<i8")
-    out[words.iloc[:, 0].to_numpy(np.int64)] = words.iloc[:, 1].to_numpy(np.int64)
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy()
     return out.tobytes()
 
 
