@@ -80,7 +80,9 @@ def find_all(text: Column, pattern: str) -> Column:
         hit = F.array(F.struct(here.alias("start"), x["hit"].alias("text")))
         return F.struct((here + F.length(x["hit"])).alias("at"), F.concat(acc["out"], hit).alias("out"))
 
-    return F.when(text.isNull(), F.array().cast("array<struct<start:int,text:string>>")).otherwise(F.aggregate(F.filter(both, lambda x: x["hit"].isNotNull()), start, add, lambda acc: acc["out"]))
+    # ``split`` compiles its pattern for every row, ``rlike`` once: texts without a match never reach it.
+    none = F.array().cast("array<struct<start:int,text:string>>")
+    return F.when(F.coalesce(~text.rlike(pattern), F.lit(True)), none).otherwise(F.aggregate(F.filter(both, lambda x: x["hit"].isNotNull()), start, add, lambda acc: acc["out"]))
 
 
 def explode_matches(df: DataFrame, text: str, pattern: str, keys: list[str]) -> DataFrame:

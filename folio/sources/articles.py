@@ -11,6 +11,13 @@ from ..functions.text import blank_to_null, first_filled, strip
 from ..schemas import ARTICLE, PASSAGE, RAW_ARTICLE, TIMELINE
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: a few large row groups would leave most of them
+    idle in the text expressions. A table with enough partitions is left as it is, without an exchange."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """A folder of JSON files, one article each; a missing doc_id is the file's name."""
     df = spark.read.schema(ARTICLE).option("multiLine", True).json(path)
