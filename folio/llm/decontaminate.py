@@ -2,11 +2,13 @@
 
 Texts and benchmark items become sequences of template tokens: numbers, names and
 units turn into typed placeholders, everything else into lower-cased words without
-outer punctuation. Windows of WIDTH template tokens are hash-joined; an item counts
-as found in a document when at least 4/5 of its windows are there and the values in
-the matched placeholders are consistent: one value of the item always stands for one
-value of the document. So re-parameterised questions are caught, chance meetings of
-templates are not.
+outer punctuation. There are two templates of each text: in one every run of
+capitalised words is a name, wherever it stands, in the other no word is, so that copies
+in all capitals or lower case are met too. Windows of WIDTH template tokens are
+hash-joined; an item counts as found in a document when, in either template by itself,
+at least 4/5 of its windows are there and the values in the matched placeholders are
+consistent: one value of the item always stands for one value of the document. So
+re-parameterised questions are caught, chance meetings of templates are not.
 """
 
 from __future__ import annotations
@@ -37,6 +39,18 @@ NUMBERS = frozenset(
     """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen
     nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion""".split()
 )
+#: Words that are no names, though they often begin a sentence, and so are capitalised.
+PLAIN = frozenset(
+    """a an the this that these those there here it its i he she we you they his her our your their my who whom whose what which
+    when where why how if in on at by for from with without of to as and or but so then than after before during while until
+    since because although though each every all both some any no not is are was were do does did has have had can could would
+    should must let given suppose find calculate compute determine today yesterday tomorrow
+    der die das ein eine einer er sie es wir ihr wer was wann wo warum wie wenn und oder aber im am auf mit nach vor bei von zu ist sind hat haben
+    le la les un une il elle nous vous ils elles qui que quand où pourquoi comment si et ou mais dans sur avec après avant est sont
+    el los las una él ella ellos quién qué cuándo dónde cómo cuántos cuántas y o pero en con después antes es son hay""".split()
+)
+#: Abbreviations before a name: their full stop ends no sentence.
+TITLES = frozenset("mr mrs ms dr prof st jr sr mme mlle sra srta hr fr".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/-]*%?")
 _OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "$+-%") + "“”‘’«»…–—¿¡"
 _NUM, _UNIT, _CAP, _END = 1, 2, 4, 8
@@ -54,34 +68,36 @@ class TemplateWords(dict):
             self.clear()
         core = word.strip(_OUTER)
         low = core.strip("$+-%").lower()
-        flags = _END if word.rstrip("\"')]}”’»")[-1:] in (".", "!", "?", ":", "…") else 0
+        abbreviated = word.endswith(".") and (low in TITLES or len(low) == 1 and low.isalpha())
+        flags = _END if not abbreviated and word.rstrip("\"')]}”’»")[-1:] in (".", "!", "?", ":", "…") else 0
         if _NUMBER.fullmatch(core) or low in NUMBERS:
             flags |= _NUM
         elif low in UNITS:
             flags |= _UNIT
-        if core[:1].isupper() and core[1:].lower() == core[1:] and len(core) > 1:
+        if core.strip("$+-%")[:1].isupper() and (low not in PLAIN or abbreviated):
             flags |= _CAP
         code = self[word] = (xxhash.xxh3_64_intdigest(low) >> 4) << 4 | flags if low else 0
         return code
 
 
-def template(text: str | None, known: TemplateWords) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Template codes, the words behind each (joined for a run of names), and whether it is a placeholder."""
+def templates(text: str | None, known: TemplateWords) -> Iterator[tuple[np.ndarray, tuple, np.ndarray]]:
+    """The template with names and the one without: codes, the words behind each (joined for a run of names), and whether it is a placeholder."""
     words = (text or "").split()
     packed = np.array([known[w] for w in words], np.uint64)
     real = np.flatnonzero(packed)
     packed = packed[real]
     flags, codes = (packed & np.uint64(15)).astype(np.int64), packed >> np.uint64(4)
-    after_end = np.concatenate([[True], (flags[:-1] & _END) > 0]) if len(flags) else np.zeros(0, bool)
     num = (flags & _NUM) > 0
     unit = ((flags & _UNIT) > 0) & np.concatenate([[False], num[:-1]]) if len(num) else num
-    name = ((flags & _CAP) > 0) & ~after_end & ~num & ~unit
-    for mask, kind in ((num, "num"), (unit, "unit"), (name, "name")):
+    for mask, kind in ((num, "num"), (unit, "unit")):
         codes = np.where(mask, _PLACE[kind], codes)
-    first = ~(name & np.concatenate([[False], name[:-1]])) if len(name) else name
-    begin = np.flatnonzero(first)
-    ends = np.append(begin[1:], len(codes))
-    return codes[begin], (words, real, begin, ends), (num | unit | name)[begin]
+    name = ((flags & _CAP) > 0) & ~num & ~unit
+    # A run of names ends with its sentence.
+    inside = name[1:] & name[:-1] & ((flags[:-1] & _END) == 0)
+    begin = np.flatnonzero(~np.concatenate([[False], inside])) if len(name) else real
+    yield np.where(name, _PLACE["name"], codes)[begin], (words, real, begin, np.append(begin[1:], len(codes))), (num | unit | name)[begin]
+    every = np.arange(len(codes))
+    yield codes, (words, real, every, every + 1), num | unit
 
 
 def _value(where: tuple, k: int) -> str:
@@ -90,29 +106,32 @@ def _value(where: tuple, k: int) -> str:
 
 
 def _window_rows(table: DataFrame, key: str, bits: bytes | None, width: int) -> DataFrame:
-    """(key, at, h, slots, n): windows with at least one literal word; n counts them in the text. With ``bits`` only windows that may be in it."""
+    """(key, variant, at, h, slots, n): windows with at least one literal word, of both templates; n counts them in the text. With ``bits`` only windows that may be in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = TemplateWords()
         for batch in slices(batches):
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes, where, slot = template(text, known)
-                if len(codes) < width:
-                    continue
-                h = windows(codes, width)
-                literal = np.convolve(~slot, np.ones(width, np.int64), "valid") > 0
-                at = np.flatnonzero(literal if bits is None else literal & has_bit(bits, h))
-                n = int(literal.sum())
-                signed = h.view(np.int64)
-                for k in at.tolist():
-                    values = [_value(where, k + j) for j in range(width) if slot[k + j]]
-                    for c, v in zip(out, (name, k, int(signed[k]), values, n)):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=[key, "at", "h", "slots", "n"])
-
-    return table.select(key, "text").where(F.col(key).isNotNull()).mapInArrow(run, f"{key} long, at long, h long, slots array<string>, n long")
+                for variant, (codes, where, slot) in enumerate(templates(text, known)):
+                    if len(codes) < width:
+                        continue
+                    # Windows of one template never meet those of the other.
+                    h = windows(codes, width) ^ np.uint64(variant)
+                    literal = np.convolve(~slot, np.ones(width, np.int64), "valid") > 0
+                    at = np.flatnonzero(literal if bits is None else literal & has_bit(bits, h))
+                    if not len(at):
+                        continue
+                    n = int(literal.sum())
+                    signed = h.view(np.int64)
+                    for k in at.tolist():
+                        values = [_value(where, k + j) for j in range(width) if slot[k + j]]
+                        for c, v in zip(out, (name, variant, k, int(signed[k]), values, n)):
+                            c.append(v)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=[key, "variant", "at", "h", "slots", "n"])
+
+    return table.select(key, "text").where(F.col(key).isNotNull()).mapInArrow(run, f"{key} long, variant int, at long, h long, slots array<string>, n long")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -120,25 +139,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: tupl
 
     Slots are checked per alignment of item and document, so two differently filled
     copies in one document don't contradict each other, and once over all alignments
-    for copies with small insertions. Items of fewer than ``width`` template tokens
+    for copies with small insertions. The counts are those of the template and alignment with most windows. Items of fewer than ``width`` template tokens
     can't be told from chance and are never found.
     """
     num, den = share
     items = materialise(_window_rows(benchmark, "item_id", None, width), "items")
     bits = bit_array(items.select("h"))
-    found = _window_rows(docs, "doc_id", bits, width).select("doc_id", F.col("at").alias("d_at"), "h", F.col("slots").alias("d_slots"))
-    met = materialise(found.join(items, "h").select("doc_id", "item_id", "at", "d_at", "n", "slots", "d_slots"), "met")
+    found = _window_rows(docs, "doc_id", bits, width).select("doc_id", "variant", F.col("at").alias("d_at"), "h", F.col("slots").alias("d_slots"))
+    pair = ["doc_id", "item_id", "variant"]
+    met = materialise(found.join(items, ["h", "variant"]).select(*pair, "at", "d_at", "n", "slots", "d_slots"), "met")
     release(items)
-    likely = met.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("c"), F.max("n").alias("n")).where(F.col("c") * den >= F.col("n") * num).select("doc_id", "item_id")
-    aligned = met.join(likely, ["doc_id", "item_id"]).withColumn("place", F.explode(F.array(F.col("d_at") - F.col("at"), F.lit(None).cast("long"))))
-    keys = ["doc_id", "item_id", "place"]
+    likely = met.groupBy(pair).agg(F.countDistinct("at").alias("c"), F.max("n").alias("n")).where(F.col("c") * den >= F.col("n") * num).select(pair)
+    aligned = met.join(likely, pair).withColumn("place", F.explode(F.array(F.col("d_at") - F.col("at"), F.lit(None).cast("long"))))
+    keys = [*pair, "place"]
     cover = aligned.groupBy(keys).agg(F.countDistinct("at").alias("n_found"), F.max("n").alias("n_windows")).where(F.col("n_found") * den >= F.col("n_windows") * num)
     values = aligned.select(*keys, F.explode(F.arrays_zip(F.col("slots").alias("i"), F.col("d_slots").alias("d"))).alias("v"))
     by_value = values.groupBy(*keys, F.col("v.i").alias("i"), F.col("v.d").alias("d")).count()
     agree = by_value.groupBy(*keys, "i").agg(F.max("count").alias("most"), F.sum("count").alias("all")).groupBy(keys).agg(F.sum("most").alias("most"), F.sum("all").alias("all"))
-    same = [F.col("c.doc_id") == F.col("s.doc_id"), F.col("c.item_id") == F.col("s.item_id"), F.col("c.place").eqNullSafe(F.col("s.place"))]
+    same = [*(F.col(f"c.{k}") == F.col(f"s.{k}") for k in pair), F.col("c.place").eqNullSafe(F.col("s.place"))]
     checked = cover.alias("c").join(agree.alias("s"), same, "left").where(F.col("s.all").isNull() | (F.col("s.most") * den >= F.col("s.all") * num))
-    return checked.groupBy("c.doc_id", "c.item_id").agg(F.max("c.n_found").alias("n_found"), F.max("c.n_windows").alias("n_windows"))
+    best = F.max(F.struct("c.n_found", "c.n_windows")).alias("best")
+    return checked.groupBy("c.doc_id", "c.item_id").agg(best).select("doc_id", "item_id", "best.n_found", "best.n_windows")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:

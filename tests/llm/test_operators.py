@@ -116,6 +116,30 @@ def test_leaks(spark):
     assert got[6] == got[7] == []
 
 
+NAMED = [
+    (1, "Tom has 5 apples. Tom buys 3 more apples. How many apples does Tom have now?"),
+    (2, "Mr. Smith pays 40 dollars for a coat. Mr. Jones pays 15 dollars less. How much does Mr. Jones pay for the coat?"),
+    (3, "McDonald sold 9 cows to O'Brien in spring and O'Brien sold 4 of them to J. Jean-Pierre. How many cows did O'Brien keep?"),
+    (4, "At noon the tall sailor called Tom gives 7 coins to Mary while Mary gives 2 coins to Tom at the harbour"),
+]
+
+
+def test_leaks_of_renamed_and_recased_items(spark):
+    """Names at sentence starts, after abbreviations and with inner capitals; copies in one case."""
+    renamed = [
+        NAMED[0][1].replace("Tom", "Anna"),
+        NAMED[1][1].replace("Smith", "Miller").replace("Jones", "Brown Taylor"),
+        NAMED[2][1].replace("McDonald", "Anna").replace("O'Brien", "MacLeod").replace("J. Jean-Pierre", "Dr. Wu"),
+        NAMED[3][1].replace("Tom", "Jean-Luc").replace("Mary", "O'Neil"),
+    ]
+    copies = [f(t) for _, t in NAMED for f in (str.upper, str.lower)]
+    got = found(spark, ["Some words before. " + t + " And some after." for t in renamed + copies], NAMED)
+    assert [got[i] for i in range(12)] == [[1], [2], [3], [4]] + [[i] for i in (1, 2, 3, 4) for _ in range(2)]
+    # One name that stands for two is no copy.
+    mixed = "Tom has 5 apples. Anna buys 3 more apples. How many apples does Karl have now?"
+    assert found(spark, [mixed, "Tom has a dog. Tom buys more bread. How many hours does Tom sleep now?"], NAMED) == {0: [], 1: []}
+
+
 def test_leaks_equal_plain_containment(spark):
     """Without slots an item is found where 4/5 of its 5-word windows are."""
     rng = random.Random(4)
