@@ -17,9 +17,16 @@ from pyspark.sql import functions as F
 from .common import slices
 
 CRLF = "\r\n"
-#: Elements whose content isn't text, comments and declarations.
-_HIDDEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|head)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|$)", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|$)", re.S | re.I)
+_ATTRS = r"\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>"
+#: Comments and elements whose content isn't markup, nor text of the page. Of a head only its title is
+#: text; anything else that isn't hidden ends the head, with or without ``</head>``. A title without end tag ends at the next tag.
+_RAW = re.compile(
+    rf"<!--.*?(?:-->|$)|<(script|style){_ATTRS}.*?(?:</\1\s*>|$)|<title{_ATTRS}(?:[^<]*+(?:<(?!/?title\b)[^<]*+)*+</title\s*>|[^<]*+)",
+    re.S | re.I,
+)
+#: Tags of elements that hide their content if they are closed.
+_SHUT = re.compile(rf"<(/?)(noscript|template|svg){_ATTRS}", re.I)
+_TITLE = re.compile(r"<title\b[^>]*>([^<]*+(?:<(?!/?title\b)[^<]*+)*+(?=</title\s*>)|[^<]*+)", re.I)
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul|body|html)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>", re.I)
 _TAG = re.compile(r"<[/!?]?[a-zA-Z](?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|<![^>]*>|<\?[^>]*>")
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -36,9 +43,31 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(10).join(parts))}>"
 
 
+def visible(page: str) -> str:
+    """The page without hidden content. A noscript, template or svg that is never closed hides nothing."""
+    page = _RAW.sub("", page)
+    opened, spans = {}, []
+    for m in _SHUT.finditer(page):
+        name = m[2].lower()
+        if not m[1]:
+            if not (name == "svg" and m[0].endswith("/>")):
+                opened.setdefault(name, []).append(m.start())
+        elif opened.get(name):
+            start = opened[name].pop()
+            while spans and spans[-1][0] >= start:
+                spans.pop()
+            spans.append((start, m.end()))
+    parts, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            parts.append(page[at:start])
+            at = end
+    return "".join([*parts, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """Visible text, a line per block element, entities decoded, white space collapsed."""
-    text = _TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub("", page)))
+    text = _TAG.sub("", _BLOCK.sub("\n", visible(page)))
     lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -50,7 +79,7 @@ def title(page: str) -> str:
 
 def links(page: str, base: str) -> list[str]:
     out = []
-    for m in _LINK.finditer(_HIDDEN.sub("", page)):
+    for m in _LINK.finditer(visible(page)):
         href = html.unescape(next(x for x in m.groups() if x is not None)).strip()
         try:
             out.append(urljoin(base, href))

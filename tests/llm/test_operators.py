@@ -307,6 +307,25 @@ def test_warc(spark, tmp_path):
     assert warc.derivatives(warc.responses(pages.where("false"))).count() == 0
 
 
+def test_pages_with_open_elements():
+    """No text or link is lost where an end tag is left out."""
+    link = "<a href=x>y</a>"
+    pages = {
+        f"<html><head><title>T</title><body><p>All the text</p>{link}</body></html>": "All the text\ny",
+        f"<head><meta a='>'><title>T</title><style>p{{}}</style><p>All{link}": "Ally",
+        f"<head><script>x</script>\n<title>T</title>bare {link}": "bare y",
+        f"<body><noscript>a<p>b{link}": "a\nby",
+        f"<p>a<template>b{link}<template>c</template>d": "abyd",
+        f"<p>a<svg><svg><path/></svg>no</svg><svg/>b<svg>c{link}": "abcy",
+        f"<NOSCRIPT>no</NOSCRIPT>a<noscript>b{link}<svg><noscript>no</noscript>": "aby",
+        f"<head><title>T<body>a{link}": "ay",
+    }
+    for page, text in pages.items():
+        assert (warc.plain_text(page), warc.links(page, "http://h/")) == (text, ["http://h/x"]), page
+        assert warc.title(page) == ("T" if "<title>" in page else "")
+    assert warc.plain_text("<html><head><title>T</title></head><body>" + PAGE) == warc.plain_text(PAGE)
+
+
 # --- packing -------------------------------------------------------------------------------
 
 
