@@ -3,8 +3,11 @@
 Entities are found by pattern. Each distinct entity (type and canonical form, so the
 same number in two layouts is one entity) gets a replacement drawn from a keyed hash
 that keeps its type, script, letter case, length and layout; a card number that passes
-the Luhn check gets one that passes it. Names after a title keep the title and get a
-given name of the title's gender and a family name of the same script. The table of
+the Luhn check gets one that passes it. Names after titles are runs of capitalised words,
+initials and particles of any length; the titles and particles stay, the last word gets a
+family name of the same script and each other word a given name of the title's gender (an
+initial the first letter of one). Mentions without a title of a name that has one
+elsewhere in the document get the same replacement. The table of
 distinct entities is checked for collisions: a replacement that two entities share, or
 that is itself an entity of the corpus, is drawn again until all differ. One entity thus
 has one replacement everywhere (coreference), and different entities stay different.
@@ -45,7 +48,19 @@ SYLLABLES = {
 }
 
 _ALL_TITLES = "|".join(dict.fromkeys(x for ts in TITLES.values() for t in ts for x in (t, t.upper())))
-_NAME = r"\p{Lu}[\p{L}’'-]+"
+#: Particles of family names; they stay as they are.
+PARTICLES = ["af", "al", "av", "bin", "da", "das", "de", "del", "della", "den", "der", "des", "di", "do", "dos", "du", "el", "ibn", "la", "le", "ten", "ter", "van", "von", "vom", "y", "zu", "zum", "zur", "фон", "де"]
+#: Words that end a name, of which a text in capitals has many.
+_NO_NAME = "and|are|as|at|but|by|for|from|had|has|have|he|in|is|of|on|or|said|says|she|that|the|they|to|was|were|who|will|with|aus|das|die|hat|ist|mit|und|war|est|et|avec|qui|con|es|fue|que|и|был|была"
+#: A capitalised word; an apostrophe or hyphen belongs to it only before a further part, not before a possessive s.
+_WORD = r"\p{Lu}(?:\p{L}|[’'-](?![sS](?!\p{L}))(?=\p{L}))+"
+#: The end of a word that isn't the start of an email address or a number.
+_STOP = r"(?![\p{L}\d@_]|[._%+-][A-Za-z0-9._%+-]*@)"
+_NAME = rf"(?!(?iu:{_NO_NAME})(?!\p{{L}})){_WORD}{_STOP}"
+_PART = rf"(?:{_NAME}|(?:\p{{Lu}}\.)+|\p{{Lu}}(?= )|{'|'.join(PARTICLES)})"
+#: Titles that may follow a title; a single letter there is an initial.
+_FURTHER = "|".join(t for t in _ALL_TITLES.split("|") if len(t) > 1)
+_TITLED = rf"(?:{_ALL_TITLES})\.? (?:(?:{_FURTHER})\.? )*"
 #: Type -> pattern; the first that fits at a place wins.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -55,7 +70,7 @@ PATTERNS = {
     "card": r"(?<![\d.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d])",
-    "person": rf"(?<!\p{{L}})(?:{_ALL_TITLES})\.? {_NAME}(?: {_NAME})?",
+    "person": rf"(?<!\p{{L}}){_TITLED}(?:{_PART} )*{_NAME}",
 }
 ENTITY = "|".join(PATTERNS.values())
 
@@ -67,18 +82,33 @@ def _kind(x: Column) -> Column:
     return out
 
 
+def _titles(x: Column) -> Column:
+    """The titles of a person with their spaces; empty for a mention without title."""
+    return F.regexp_extract(x, rf"^{_TITLED}", 0)
+
+
 def _gender(x: Column) -> Column:
-    title = F.upper(F.regexp_extract(x, r"^[^ .]+", 0))
-    return F.when(title.isin([t.upper() for t in TITLES["m"]]), "m").when(title.isin([t.upper() for t in TITLES["f"]]), "f").otherwise("x")
+    titles = F.split(F.upper(_titles(x)), r"[. ]+")
+    known = lambda g: F.arrays_overlap(titles, F.array(*(F.lit(t.upper()) for t in TITLES[g])))
+    return F.when(known("m"), "m").when(known("f"), "f").otherwise("x")
+
+
+def _words(x: Column) -> Column:
+    """The words of a person's name: array of (word, type); the last is the family name, the type of a particle is null."""
+    words = F.split(F.substr(x, F.length(_titles(x)) + 1), " ")
+    given = F.concat(F.lit("given_"), _gender(x))
+
+    def one(w: Column, n: Column, g: Column) -> Column:
+        return F.transform(w, lambda v, i: F.struct(v.alias("word"), F.when(i == n - 1, F.lit("family")).when(~F.lower(v).isin(PARTICLES), g).alias("type")))
+
+    return let(F.struct(words.alias("w"), given.alias("g")), lambda s: one(s["w"], F.size(s["w"]), s["g"]))
 
 
 def _entities(x: Column) -> Column:
-    """The entities of a match: array of (type, value). A person has a given and a family name, or the latter only."""
+    """The entities of a match: array of (type, value). A person has a family name, and given names or initials before it."""
     kind = _kind(x)
-    names = F.slice(F.split(x, " "), 2, 2)
-    family = F.struct(F.lit("family").alias("type"), F.lower(F.element_at(names, -1)).alias("value"))
-    given = F.struct(F.concat(F.lit("given_"), _gender(x)).alias("type"), F.lower(F.element_at(names, 1)).alias("value"))
-    person = F.when(F.size(names) > 1, F.array(given, family)).otherwise(F.array(family))
+    named = F.filter(_words(x), lambda e: e["type"].isNotNull())
+    person = F.transform(named, lambda e: F.struct(e["type"].alias("type"), F.lower(e["word"]).alias("value")))
     value = (
         F.when(kind == "email", F.lower(x)).when(kind.isin("secret", "ip"), x)
         .when(kind == "phone", F.regexp_replace(x, r"[^\d+]", "")).otherwise(F.regexp_replace(x, r"[^0-9A-Z]", ""))
@@ -199,16 +229,30 @@ def _cased(like: Column, name: Column) -> Column:
 
 
 def _render(x: Column, table: Column) -> Column:
-    def look(e: Column) -> Column:
-        return F.element_at(table, F.concat(e["type"], F.lit(":"), e["value"]))
+    def look(kind: Column, value: Column) -> Column:
+        return F.element_at(table, F.concat(kind, F.lit(":"), value))
 
-    def one(e: Column) -> Column:
-        kind, first = _kind(x), F.element_at(e, 1)
-        words = F.split(x, " ")
-        person = F.concat_ws(" ", F.element_at(words, 1), F.when(F.size(e) > 1, _cased(F.element_at(words, 2), look(first))), _cased(F.element_at(words, -1), look(F.element_at(e, -1))))
-        return F.when(kind == "person", person).when(kind.isin("email", "secret", "ip"), look(first)).otherwise(_lay_out(x, look(first)))
+    def name(e: Column) -> Column:
+        word = e["word"]
+        new = look(e["type"], F.lower(word))
+        initials = F.regexp_replace(word, r"\p{Lu}", F.upper(F.substring(new, 1, 1)))
+        return F.when(new.isNull(), word).when(word.rlike(r"^(?:\p{Lu}\.)+$|^\p{Lu}$"), initials).otherwise(_cased(word, new))
 
-    return let(_entities(x), one)
+    kind = _kind(x)
+    titled = F.concat(_titles(x), F.array_join(F.transform(_words(x), name), " "))
+    # A mention without title is one word: a family name if it is one, else a given name.
+    known = F.coalesce(*(look(F.lit(t), F.lower(x)) for t in ("family", "given_m", "given_f", "given_x")))
+    person = F.when(F.contains(x, F.lit(" ")), titled).otherwise(F.coalesce(_cased(x, known), x))
+    other = let(_entities(x), lambda e: F.when(kind.isin("email", "secret", "ip"), look(e[0]["type"], e[0]["value"])).otherwise(_lay_out(x, look(e[0]["type"], e[0]["value"]))))
+    return F.when(kind == "person", person).otherwise(other)
+
+
+def _pattern(table: Column) -> Column:
+    """The pattern of a row: all entities, and mentions without title of the names in its table."""
+    names = F.filter(F.map_keys(table), lambda k: k.rlike(r"^(?:given_.|family):\p{L}{2}|^(?:given_.|family):\p{L}[’'-]"))
+    names = F.array_distinct(F.transform(names, lambda k: F.substring_index(k, ":", -1)))
+    untitled = F.concat(F.lit(rf"{ENTITY}|(?<!\p{{L}})(?=\p{{Lu}})(?iu:"), F.array_join(names, "|"), F.lit(r")(?!\p{L})"))
+    return F.when(F.size(names) > 0, untitled).otherwise(F.lit(ENTITY))
 
 
 def pseudonymise(docs: DataFrame, key: str = "folio") -> DataFrame:
@@ -228,10 +272,14 @@ def pseudonymise(docs: DataFrame, key: str = "folio") -> DataFrame:
     entry = F.struct(F.concat("type", F.lit(":"), "value").alias("k"), F.col("surrogate").alias("v"))
     tables = met.join(given, ["type", "value"]).groupBy("__row").agg(F.map_from_entries(F.collect_set(entry)).alias("__table"), F.sort_array(F.collect_set("type")).alias("types"))
     joined = rows.join(tables, "__row", "left")
-    gaps = F.split("text", ENTITY, -1)
-    changed = let(
-        F.transform(found, lambda x: _render(x, F.col("__table"))),
-        lambda new: F.struct(F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "").alias("text"), F.size(new).cast("long").alias("n")),
-    )
+
+    def change(pattern: Column) -> Column:
+        again, gaps = F.regexp_extract_all("text", pattern, F.lit(0)), F.split("text", pattern, -1)
+        return let(
+            F.transform(again, lambda x: _render(x, F.col("__table"))),
+            lambda new: F.struct(F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), "").alias("text"), F.size(new).cast("long").alias("n")),
+        )
+
+    changed = let(_pattern(F.col("__table")), change)
     out = F.when(F.col("__table").isNotNull(), changed).otherwise(F.struct(F.col("text"), F.lit(0).cast("long").alias("n")))
     return joined.select("doc_id", out.alias("o"), F.coalesce("types", F.array().cast("array<string>")).alias("types")).select("doc_id", "o.text", F.col("o.n").alias("n_entities"), "types")

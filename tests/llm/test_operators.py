@@ -198,6 +198,27 @@ def test_surrogates(spark):
     assert surrogates.pseudonymise(docs(spark, [])).count() == 0
 
 
+def test_surrogates_of_long_names_and_untitled_mentions(spark):
+    rows = [
+        (1, "Dr. Anna Maria Schmidt came. Schmidt spoke, Anna wept; SCHMIDT's Smithson stayed."),
+        (2, "Mr. J. Smith met Herr Ludwig von Braun and Herr Dr. Weber-Kunz. Braun's car, Smith."),
+        (3, "Mr. John Smith left. Smith said: Smithson, not smith."),
+        (4, "Smith and Braun of no title stay. Mr. Paul Weiss DE89 3704 0044 0532 0130 00"),
+        (5, "MR. JOHN SMITH WAS HERE. Mr. Smith john.smith@mail.example.com, Mr. Smith Joe.Doe@mail.example.com"),
+    ]
+    got = {r.doc_id: r for r in surrogates.pseudonymise(docs(spark, rows), "k").collect()}
+    g, up = r"[A-Z][a-z]+", r"[A-Z]+"
+    one = re.fullmatch(rf"Dr\. ({g}) ({g}) ({g}) came\. ({g}) spoke, ({g}) wept; ({up})'s Smithson stayed\.", got[1].text)
+    assert one[3] == one[4] == one[6].capitalize() != "Schmidt" and one[1] == one[5] != one[2] and not {"Anna", "Maria"} & {one[1], one[2]} and got[1].n_entities == 4
+    two = re.fullmatch(rf"Mr\. [A-Z]\. ({g}) met Herr ({g}) von ({g}) and Herr Dr\. ({g})(?:-{g})? ?\. ({g})'s car, ({g})\.", got[2].text)
+    assert two[1] == two[6] != "Smith" and two[3] == two[5] != "Braun" and two[2] in surrogates.GIVEN["latin"]["m"] and two[4] != "Weber" and got[2].n_entities == 5
+    three = re.fullmatch(rf"Mr\. ({g}) ({g}) left\. ({g}) said: Smithson, not smith\.", got[3].text)
+    assert three[2] == three[3] == two[1] and three[1] != "John"
+    assert got[4].text.startswith("Smith and Braun of no title stay. Mr. ") and "Weiss" not in got[4].text and re.search(r" DE\d\d \d{4} ", got[4].text) and "3704" not in got[4].text
+    five = re.fullmatch(rf"MR\. ({up}) ({up}) WAS HERE\. Mr\. ({g}) \w{{4}}\.\w{{5}}@\S+, Mr\. ({g}) \w{{3}}\.\w{{3}}@\S+", got[5].text)
+    assert five[2].capitalize() == five[3] == five[4] == two[1] and got[5].n_entities == 5
+
+
 def test_surrogates_stay_distinct(spark):
     """Ten given names of one gender and all numbers of two digits: collisions are certain at first."""
     people = [("given_x", "n%d" % i) for i in range(60)] + [("ssn", "%02d" % i) for i in range(40)]
