@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,9 +23,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. The cluster names it in
-    ``spark.checkpoint.dir``; only where that is unset (tests) a local folder is made."""
+    ``spark.checkpoint.dir``. Where that is unset, a local folder serves if the session runs
+    in one process (tests); on a cluster that is an error, as executors wouldn't share it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folio-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,6 +57,33 @@ def release(*tables: DataFrame) -> None:
         remove(t.sparkSession, t.scratch_path)
 
 
+#: Bits for each key of a filter, and the largest filter: 2**26 bits are a million rows of 16 bytes.
+BITS_A_KEY, MAX_LOG_BITS = 16, 26
+
+
+def parted(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose ``column`` may be in ``keys`` (one column of that name), and
+    those whose isn't. A few others are in the first part too, so it takes an exact join; nulls are in the second.
+
+    The bits of the hashed keys, 64 to a row, are broadcast: at most 2**(MAX_LOG_BITS - 6) rows,
+    whatever the number of keys. Beyond about 2**MAX_LOG_BITS keys most rows land in the first part."""
+    log = max(12, min(MAX_LOG_BITS, (BITS_A_KEY * keys.count()).bit_length()))
+
+    def place(c: str) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(F.col(c).cast("long")), 64 - log)
+
+    def low(p: Column) -> Column:
+        return p.bitwiseAND(F.lit(63)).cast("int")
+
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), low(F.col("__p")))
+    words = keys.select(place(column).alias("__p")).select(F.shiftright("__p", 6).alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    words = materialise(words, "bits")
+    names = rows.columns
+    marked = rows.withColumn("__p", place(column)).withColumn("__word", F.shiftright("__p", 6)).join(F.broadcast(words), "__word", "left")
+    there = F.col(column).isNotNull() & F.coalesce(F.getbit("__bits", low(F.col("__p"))) == 1, F.lit(False))
+    return marked.where(there).select(*names), marked.where(~there).select(*names)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind a value once inside an expression (Catalyst has no LET of its own)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

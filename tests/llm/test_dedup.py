@@ -232,11 +232,58 @@ def test_line_dedup_edges(spark):
     assert sorted((r.doc_id, r.text, r.n) for r in kept) == [(0, "", 1), (1, "", 1), (2, "", 1), (3, "", 1), (4, line, 1)]
 
 
-def test_runs_are_levelled(spark):
-    runs = line_dedup.LineRuns(spark, fanout=2, buckets=2)
+def test_line_ends_are_ascii_only(spark):
+    """Only ASCII white space is stripped: lines that differ in U+0085 or U+2028 have different keys."""
+    base = "a" * 45
+    odd = [base + " \u0085", base + "\u0085", base + "\u2028", base + "\u00a0", base]
+    rows = [(3 * k + j, x) for k in range(3) for j, x in enumerate(odd)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(table(spark, rows)).collect()}
+    assert len({r[1] for r in rows}) == 5 and got == brute_lines(list({r[0]: r for r in rows}.values()))
+
+
+def test_repeated_ids_and_sparse_ids(spark):
+    """Texts of one doc_id lose their own lines only; far-off ids change nothing."""
+    line, other = "shared line of more than forty characters, no doubt", "a second shared line of more than forty characters"
+    rows = [(i, line) for i in range(4)] + [(7, "first\n" + line), (7, line + "\nsecond"), (10**15, other + "\n" + line)] + [(i, other) for i in range(20, 24)]
+    found = line_dedup.dedup_lines(table(spark, rows), batches=3).collect()
+    assert sorted(r.text for r in found if r.doc_id == 7) == ["first", "second"]
+    assert {r.doc_id: r.text for r in found if r.doc_id != 7} == {**{i: "" for i in (0, 1, 2, 3, 20, 21, 22, 23)}, 10**15: other + "\n" + line}
+    # Repeated rows of one document are one document.
+    few = [(1, line)] * 9 + [(2, line), (3, line), (4, line)]
+    assert {r.n_dropped for r in line_dedup.dedup_lines(table(spark, few)).collect()} == {0}
+
+
+def _batch(spark, rows):
+    return spark.createDataFrame([(h, h, 1, d) for h, d in rows], line_dedup._RUN.replace("holder", "top"))
+
+
+def test_runs_are_levelled_and_can_be_opened_again(spark, tmp_path):
+    folder = f"file://{tmp_path}/runs"
     for k in range(5):
-        runs.add(spark.createDataFrame([(h, h, 100 - k) for h in range(k, k + 3)], "h1 long, h2 long, doc_id long"))
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
-    got = {r.h1: (r.n, r.holder) for r in runs.counts().collect()}
+        runs = line_dedup.LineRuns(spark, folder, buckets=2)
+        for _ in range(2):  # the second time is left out
+            runs.add(_batch(spark, [(h, 100 - k) for h in range(k, k + 3)]), f"batch {k}")
+        runs.close()
+    runs = line_dedup.LineRuns(spark, folder)
+    assert runs.buckets == 2 and [len(x) for x in runs.levels] == [1, 0, 1]
+    got = {r.h1: (r.n, r.holder) for r in runs.state().collect()}
     assert got == {0: (1, 100), 1: (2, 100), 2: (3, 100), 3: (3, 99), 4: (3, 98), 5: (2, 97), 6: (1, 96)}
     assert {r.h1 for r in runs.fresh(spark.createDataFrame([(6, 6), (7, 7)], "h1 long, h2 long")).collect()} == {7}
+    runs.drop()
+
+
+def test_the_anti_join_decides_the_holder(spark, monkeypatch):
+    line = "shared line of more than forty characters, no doubt"
+    rows = [(i, line) for i in range(8)]
+    assert {r.doc_id for r in line_dedup.dedup_lines(table(spark, rows)).where("n_dropped = 0").collect()} == {7}
+    monkeypatch.setattr(line_dedup.LineRuns, "fresh", lambda self, batch: batch)
+    assert {r.doc_id for r in line_dedup.dedup_lines(table(spark, rows)).where("n_dropped = 0").collect()} != {7}
+
+
+def test_a_later_call_meets_the_runs_of_earlier_ones(spark, tmp_path):
+    folder, line = f"file://{tmp_path}/runs", "shared line of more than forty characters, no doubt"
+    first = line_dedup.dedup_lines(table(spark, [(i, line) for i in range(3)]), runs_at=folder, name="a")
+    assert {r.n_dropped for r in first.collect()} == {0}
+    for _ in range(2):
+        later = line_dedup.dedup_lines(table(spark, [(10, line), (11, line)]), runs_at=folder, name="b")
+        assert {r.n_dropped for r in later.collect()} == {1}
