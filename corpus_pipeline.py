@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialise, read
+from folio.llm.common import materialise, parted, read
 from folio.llm.decontaminate import contaminated
 from folio.llm.line_dedup import dedup_lines
 from folio.llm.minhash import near_duplicates
@@ -23,8 +23,17 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a certified cutoff reject go. Rows with a null
     doc_id can't be told apart; they stay if one of them passes."""
-    kept = judge(docs, read(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct().alias("k")
-    return docs.select(*COLUMNS).alias("d").join(kept, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    judged = judge(docs, read(spark, sf_dir, "labels")).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = materialise(judged.where("not kept").select("doc_id"), "rejected")
+    nulls = docs.where("doc_id is null").select(*COLUMNS)
+    stay = _without(docs.where("doc_id is not null").select(*COLUMNS), gone.where("doc_id is not null"))
+    return stay.unionByName(nulls.limit(0) if not gone.where("doc_id is null").isEmpty() else nulls)
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but those with a doc_id in ``gone`` (doc_id, distinct); only texts that may go are shuffled."""
+    maybe, others = parted(docs, gone, "doc_id")
+    return maybe.join(gone, "doc_id", "left_anti").select(*COLUMNS).unionByName(others)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +43,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays, the one with the smallest doc_id."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    gone = materialise(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "copies")
+    return _without(docs.select(*COLUMNS), gone)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    gone = contaminated(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    gone = materialise(contaminated(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct(), "leaked")
+    return _without(docs.select(*COLUMNS), gone)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

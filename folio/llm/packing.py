@@ -12,13 +12,16 @@ Windows that come out below the capacity are padded to it.
 from __future__ import annotations
 
 import heapq
+import sys
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,13 @@ _UNSURE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
+#: Texts that a vocabulary must encode word by word to the same ids as whole.
+_PROBES = (
+    "Don't STOP: it's 12,345.67 (or -3e5)!  We'll see\nthey've\tgone...", "naïve Ärger, Straße & ΣΊΣΥΦΟΣ; 東京 Ёлка I'm x_y a-b #tag @me", "...--- \"quoted\" ‘single’ don’t 1st 2nd 3½ ½ e\u0301",
+    "a\u00a0b\u2028c\u0085d \u200be co\u00adop", "THE Quick\r\nbrown\x0bfox",
+)
+
+
 class Words:
     """Token ids (little-endian 32 bits) of white-space separated words and their pieces.
 
@@ -58,6 +68,20 @@ class Words:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        #: Whether this vocabulary splits texts as assumed here; if not, every text is encoded whole.
+        self.fits = self._fits()
+
+    def _fits(self) -> bool:
+        if not self.ends.any():
+            return False
+        try:
+            return all(b"".join(self._known(t.split())) == self.whole(t) for t in _PROBES)
+        except (KeyError, ValueError, IndexError):
+            return False
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        self.learn(set(words))
+        return [self.words[w] for w in words]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -97,7 +121,7 @@ class Words:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
         for k in range(0, len(texts), 1000):
-            some = [None if any(x in t for x in _UNSURE) else t.split() for t in texts[k : k + 1000]]
+            some = [t.split() if self.fits and not any(x in t for x in _UNSURE) else None for t in texts[k : k + 1000]]
             self.learn(set().union(*(x for x in some if x)))
             get = self.words.__getitem__
             for text, words in zip(texts[k : k + 1000], some):
@@ -116,19 +140,13 @@ def _slices(raw: bytes, stops: np.ndarray) -> list[bytes]:
     return out
 
 
-class _Shared:
-    """Makes its ``Words`` once for each worker process, which then serves all its tasks."""
-
-    def __init__(self, path: str):
-        self.path, self.words = path, None
-
-    def __getstate__(self) -> dict:
-        return {"path": self.path, "words": None}
-
-    def get(self) -> Words:
-        if self.words is None:
-            self.words = Words(self.path)
-        return self.words
+def _words(path: str) -> Words:
+    """The ``Words`` of this worker process, made once for all its tasks. Kept on ``sys``, as functions
+    and classes that are shipped by value are new in each task."""
+    kept = sys.__dict__.setdefault("_folio_words", {})
+    if path not in kept:
+        kept[path] = Words(path)
+    return kept[path]
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -140,25 +158,30 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, doc_tokens and, for each piece of at most
-    ``capacity`` ids, its checksum (and its ids if ``keep_ids``)."""
-    shared = docs.sparkSession.sparkContext.broadcast(_Shared(tokenizer))  # a path
+    ``capacity`` ids, its checksum (and its ids if ``keep_ids``); ``salt`` numbers equal rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = shared.value.get(), np.array([end_id], "<u4").tobytes()
+        words, end = _words(tokenizer), np.array([end_id], "<u4").tobytes()
+        task, seen = TaskContext.get().partitionId(), Counter()
         for batch in slices(batches, 1000):
-            sums, sizes, ids = [], [], []
+            sums, sizes, ids, salts = [], [], [], []
             for raw in words.encode([t or "" for t in batch.column("text").to_pylist()]):
                 of = np.frombuffer(raw + end, "<u4")
                 pieces = [of[k : k + size] for k, size in cuts(len(of), capacity)]
                 sums.append([zlib.crc32(p.tobytes()) for p in pieces])
                 sizes.append(len(of))
                 ids.append([p.tolist() for p in pieces] if keep_ids else None)
+            # Equal rows are told apart by their number in the task: it doesn't depend on the order of rows.
+            for key in zip(batch.column("doc_id").to_pylist(), sizes, map(tuple, sums)):
+                h = hash(key)
+                salts.append(seen[h] << 32 | task)
+                seen[h] += 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.list_(pa.int64())))],
-                names=["doc_id", "doc_tokens", "sums", "ids"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.list_(pa.int64()))), pa.array(salts, pa.int64())],
+                names=["doc_id", "doc_tokens", "sums", "ids", "salt"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, doc_tokens long, sums array<long>, ids array<array<long>>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, doc_tokens long, sums array<long>, ids array<array<long>>, salt long")
 
 
 def difference(sizes: list[int], m: int) -> list[list[int]]:
@@ -236,7 +259,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """
     spark = docs.sparkSession
     groups = max(1, -(-docs.count() // group_docs))
-    of = tokenised(docs, tokenizer, capacity, end_id, keep_ids).withColumn("g", F.pmod(F.xxhash64("doc_id", "doc_tokens", "sums"), F.lit(groups)))
+    of = tokenised(docs, tokenizer, capacity, end_id, keep_ids).withColumn("g", F.pmod(F.xxhash64("doc_id", "doc_tokens", "sums", "salt"), F.lit(groups)))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "doc_tokens"], kind="stable").reset_index(drop=True)

@@ -389,3 +389,47 @@ def test_packing_is_an_exact_round_trip(spark):
         assert [i for r in own for i in r.ids] == ids and all(r.doc_tokens == len(ids) for r in own)
     assert len(pieces[3]) == 2 * len({r.start for r in pieces[3]})
     assert packing.pack(docs(spark, []), tokenizer_path()).count() == 0
+
+
+def test_packing_spreads_equal_rows(spark):
+    """Rows that can't be told apart still meet in many groups."""
+    rows = spark.range(0, 6000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    found = packing.pack(rows, tokenizer_path(), capacity=64, group_docs=500).collect()
+    per_group = Counter(r.sequence_id >> 32 for r in found)
+    assert len(found) == 6000 and len(per_group) == 12 and max(per_group.values()) < 1000
+
+
+def test_another_vocabulary_is_encoded_whole(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"a": 0, "b": 1, "[UNK]": 2}, unk_token="[UNK]"))
+    other.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    other.save(str(tmp_path / "t.json"))
+    words = packing.Words(str(tmp_path / "t.json"))
+    assert not words.fits and [list(np.frombuffer(x, "<u4")) for x in words.encode(["a b x", ""])] == [[0, 1, 2], []]
+    assert packing.Words(tokenizer_path()).fits
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """Driver with the repository on its path, workers without."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from folio.llm import packing, minhash, decontaminate
+docs = spark.createDataFrame([(i, "some words of document %d and a few more" % (i % 3)) for i in range(20)], "doc_id long, text string")
+assert packing.pack(docs, {tokenizer_path()!r}).count() >= 20
+assert minhash.near_duplicates(docs).where("kept").count() == 3
+items = spark.createDataFrame([(1, "some words of document 1 and a few more")], "item_id long, text string")
+assert decontaminate.contaminated(docs, items).where("contaminated").count() > 0
+print("done")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    found = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert found.stdout.endswith("done\n"), found.stderr[-2000:]
