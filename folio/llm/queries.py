@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,11 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def surrogate_key() -> str:
+    """The key of the surrogates: of real data it is a secret, set in the environment."""
+    return os.environ.get("FOLIO_SURROGATE_KEY", "an example, not a secret")
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -44,7 +50,7 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .surrogates import pseudonymise
 
-    return pseudonymise(read(spark, sf_dir, "documents"))
+    return pseudonymise(read(spark, sf_dir, "documents"), surrogate_key())
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,16 +3,19 @@
 Entities are found by pattern. Each distinct entity (type and canonical form, so the
 same number in two layouts is one entity) gets a replacement drawn from a keyed hash
 that keeps its type, script, letter case, length and layout; a card number that passes
-the Luhn check gets one that passes it. Names after titles are runs of capitalised words,
-initials and particles of any length; the titles and particles stay, the last word gets a
-family name of the same script and each other word a given name of the title's gender (an
-initial the first letter of one). Mentions without a title of a name that has one
-elsewhere in the document get the same replacement. The table of
+the Luhn check gets one that passes it. Names after titles or from a common given name on are
+runs of capitalised words, initials and particles of any length; the titles and particles
+stay, the last word gets a family name of the same script and each other word a given name
+of the title's (or given name's) gender (an initial the first letter of one). Other mentions
+of a word of such a name in the same document get the same replacement. The table of
 distinct entities is checked for collisions: a replacement that two entities share, or
-that is itself an entity of the corpus, is drawn again until all differ. One entity thus
-has one replacement everywhere (coreference), and different entities stay different.
-Only entities are shuffled for that; a text is joined once with the replacements of its
-own entities.
+that is itself an entity of the corpus, is drawn again until all differ, in a wider format
+after a few attempts. One entity thus has one replacement everywhere (coreference), and
+different entities stay different. Only entities are shuffled for that, and the texts that
+have any: each is joined once with the replacements of its own entities.
+
+Which replacement an entity gets depends on the key and, where draws collide, on the other
+entities of the corpus. Names without title whose given name isn't on the list aren't found.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, release
+from .common import let, materialise, parted, release
 
 #: Titles by gender, in the languages of the corpus and in Cyrillic.
 TITLES = {
@@ -47,6 +50,15 @@ SYLLABLES = {
     "cyrillic": ["ба", "ве", "го", "де", "ки", "ло", "ма", "не", "по", "ра", "се", "ту", "фе", "ха", "чо", "ши"],
 }
 
+#: Common given names, from which on a name without title is found.
+COMMON = {
+    "m": """Alexander Andreas Andrew Anthony Antonio Benjamin Carlos Charles Christian Christopher Daniel David Edward Francisco Frank George Hans Henry Jack
+    Jacques James Javier Jean Johannes John José Joseph Juan Jürgen Karl Klaus Luis Manuel Mark Matthew Michael Michel Miguel Nicolas Patrick Paul Pedro Peter
+    Philippe Pierre Richard Robert Stefan Stephen Thomas Werner William Wolfgang Алексей Андрей Дмитрий Иван Михаил Николай Сергей""".split(),
+    "f": """Alice Amelia Ana Anna Anne Barbara Carmen Catherine Charlotte Christina Claudia Elena Elizabeth Emily Eva Françoise Hannah Heidi Helen Ingrid Isabel
+    Jane Jennifer Jessica Karen Katharina Laura Lucy Margaret Maria María Marie Martha Mary Monika Nancy Nathalie Patricia Pilar Rosa Ruth Sabine Sandra Sarah
+    Sofia Sophie Susan Ursula Анна Екатерина Елена Мария Наталья Ольга Татьяна""".split(),
+}
 _ALL_TITLES = "|".join(dict.fromkeys(x for ts in TITLES.values() for t in ts for x in (t, t.upper())))
 #: Particles of family names; they stay as they are.
 PARTICLES = ["af", "al", "av", "bin", "da", "das", "de", "del", "della", "den", "der", "des", "di", "do", "dos", "du", "el", "ibn", "la", "le", "ten", "ter", "van", "von", "vom", "y", "zu", "zum", "zur", "фон", "де"]
@@ -61,24 +73,33 @@ _PART = rf"(?:{_NAME}|(?:\p{{Lu}}\.)+|\p{{Lu}}(?= )|{'|'.join(PARTICLES)})"
 #: Titles that may follow a title; a single letter there is an initial.
 _FURTHER = "|".join(t for t in _ALL_TITLES.split("|") if len(t) > 1)
 _TITLED = rf"(?:{_ALL_TITLES})\.? (?:(?:{_FURTHER})\.? )*"
+_COMMON = "|".join(x for names in COMMON.values() for x in names)
+#: Words that end an English address.
+_STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square"
+_TITLED_OR_NOT = rf"(?:{_TITLED})?"
 #: Type -> pattern; the first that fits at a place wins.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
+    "token": r"(?<![0-9A-Za-z])(?:(?:sk|pk|rk|ghp|gho|ghs|github_pat|glpat|hf|xox[abprs])[-_][A-Za-z0-9_-]{16,}|AKIA[0-9A-Z]{16})(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "card": r"(?<![\d.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d])",
-    "person": rf"(?<!\p{{L}}){_TITLED}(?:{_PART} )*{_NAME}",
+    "phone": r"(?<![\d.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{2,4}[ /-]\d{5,8}|0\d{2,4}[ /-]\d{3,4} \d{3,4}|0\d(?:[ .]\d{2}){4})(?![\d])",
+    "address": rf"(?<![\p{{L}}\d])\d{{1,5}} (?:\p{{Lu}}\p{{L}}+ ){{1,3}}(?:{_STREETS})(?!\p{{L}})|(?<!\p{{L}})\p{{Lu}}\p{{L}}+(?:straße|strasse|gasse|allee|platz) \d{{1,4}}[a-z]?(?![\p{{L}}\d])",
+    "passport": r"(?<=(?i:passport|reisepass|passeport|pasaporte)(?: (?i:no\.?|number|nr\.?|num\.?))?[ :]{1,2})[A-Z0-9]{1,2}\d{6,8}(?![0-9A-Za-z])",
+    "person": rf"(?<!\p{{L}})(?:{_TITLED}|(?=\p{{Lu}})(?:{_COMMON}) )(?:{_PART} )*{_NAME}",
 }
 ENTITY = "|".join(PATTERNS.values())
+#: Patterns that tell a match's type where its own pattern looks at what stands before it.
+_ALONE = {"passport": r"[A-Z0-9]{1,2}\d{6,8}"}
 
 
 def _kind(x: Column) -> Column:
     out = F.lit("person")
     for name, pattern in reversed([(n, p) for n, p in PATTERNS.items() if n != "person"]):
-        out = F.when(x.rlike(rf"^(?:{pattern})$"), F.lit(name)).otherwise(out)
+        out = F.when(x.rlike(rf"^(?:{_ALONE.get(name, pattern)})$"), F.lit(name)).otherwise(out)
     return out
 
 
@@ -88,9 +109,11 @@ def _titles(x: Column) -> Column:
 
 
 def _gender(x: Column) -> Column:
+    """That of the title, else that of a common given name."""
     titles = F.split(F.upper(_titles(x)), r"[. ]+")
     known = lambda g: F.arrays_overlap(titles, F.array(*(F.lit(t.upper()) for t in TITLES[g])))
-    return F.when(known("m"), "m").when(known("f"), "f").otherwise("x")
+    named = lambda g: x.rlike(rf"^{_TITLED_OR_NOT}(?:{'|'.join(COMMON[g])})(?!\p{{L}})")
+    return F.when(known("m"), "m").when(known("f"), "f").when(named("m"), "m").when(named("f"), "f").otherwise("x")
 
 
 def _words(x: Column) -> Column:
@@ -110,7 +133,7 @@ def _entities(x: Column) -> Column:
     named = F.filter(_words(x), lambda e: e["type"].isNotNull())
     person = F.transform(named, lambda e: F.struct(e["type"].alias("type"), F.lower(e["word"]).alias("value")))
     value = (
-        F.when(kind == "email", F.lower(x)).when(kind.isin("secret", "ip"), x)
+        F.when(kind.isin("email", "address"), F.lower(x)).when(kind.isin("secret", "token", "ip"), x)
         .when(kind == "phone", F.regexp_replace(x, r"[^\d+]", "")).otherwise(F.regexp_replace(x, r"[^0-9A-Z]", ""))
     )
     return F.when(kind == "person", person).otherwise(F.array(F.struct(kind.alias("type"), value.alias("value"))))
@@ -163,9 +186,18 @@ def _by_script(value: Column, make) -> Column:
     return F.when(value.rlike(r"\p{IsCyrillic}"), make("cyrillic")).otherwise(make("latin"))
 
 
+#: Attempts in an entity's own format, and the most attempts; later formats are longer by a character each, so
+#: every attempt but a few leaves most of those that are still pending with a surrogate.
+WIDEN_AFTER, MAX_ATTEMPTS = 2, 40
+
+
 def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
     """The replacement of an entity in canonical form, drawn with ``key`` for the given attempt."""
     seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, F.lit(str(attempt))), 256)
+    # After a few attempts the format is wider: its own space may be full.
+    more = max(0, attempt - WIDEN_AFTER)
+    extra = F.concat(F.lit(""), *(_pick("abcdefghijklmnopqrstuvwxyz", seed, F.lit(1000 + i)) for i in range(more)))
+    digits = F.concat(F.lit(""), *(_pick("0123456789", seed, F.lit(1000 + i)) for i in range(more)))
 
     def family(script: str) -> Column:
         parts = [_names(SYLLABLES[script], seed, i) for i in range(3 + attempt)]
@@ -177,15 +209,24 @@ def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
 
     at = F.instr(value, "@")
     domain = F.regexp_extract(value, r"@(.*)\.[^.]*$", 1)
-    domain_seed = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), domain), 256)
-    email = F.concat(_same_shape(F.substr(value, F.lit(1), at - 1), seed), F.lit("@"), _same_shape(domain, domain_seed), F.regexp_extract(value, r"(\.[^.@]*)$", 1))
+    # One domain has one replacement, unless that leaves no address free.
+    domain_seed = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), domain, F.lit(str(attempt))), 256)
+    email = F.concat(_same_shape(F.substr(value, F.lit(1), at - 1), seed), extra, F.lit("@"), _same_shape(domain, domain_seed), F.regexp_extract(value, r"(\.[^.@]*)$", 1))
     ip = F.concat_ws(".", *((_draw(seed, i, 254) + 1).cast("string") for i in range(4)))
-    iban = F.concat(F.substring(value, 1, 2), _same_shape(F.substring(value, 3, 64), seed))
+    iban = F.concat(F.substring(value, 1, 2), _same_shape(F.substring(value, 3, 64), seed), digits)
     # The country code of an international number stays.
     code = F.regexp_extract(value, r"^(\+\d)", 1)
-    phone = F.concat(code, _same_shape(F.substr(value, F.length(code) + 1), seed))
+    phone = F.concat(code, _same_shape(F.substr(value, F.length(code) + 1), seed), digits)
+    mark = F.regexp_extract(value, r"^(AKIA|[a-z_]+[-_])", 1)
+    token = F.concat(mark, _same_shape(F.substr(value, F.length(mark) + 1), seed))
+    shaped = F.concat(_same_shape(value, seed), digits)
+    number = F.concat(_same_shape(F.regexp_extract(value, r"(\d+)", 1), seed), digits, F.regexp_extract(value, r"\d([a-z]?)$", 1))
+    english = F.concat(number, F.lit(" "), family("latin"), F.lit(" "), F.substring_index(value, " ", -1))
+    german = F.concat(family("latin"), F.regexp_extract(value, r"(straße|strasse|gasse|allee|platz) ", 1), F.lit(" "), number)
+    address = F.when(value.rlike(r"^\d"), english).otherwise(german)
     out = F.when(kind == "email", email).when(kind == "secret", _same_shape(value, seed, hexadecimal=True)).when(kind == "ip", ip)
-    out = out.when(kind == "iban", iban).when(kind == "card", _card(value, seed)).when(kind == "ssn", _same_shape(value, seed)).when(kind == "phone", phone)
+    out = out.when(kind == "iban", iban).when(kind == "card", _card(value, seed)).when(kind.isin("ssn", "passport"), shaped)
+    out = out.when(kind == "phone", phone).when(kind == "token", token).when(kind == "address", address)
     for gender in ("m", "f", "x"):
         out = out.when(kind == f"given_{gender}", _by_script(value, lambda s, g=gender: given(s, g)))
     return out.otherwise(_by_script(value, family))
@@ -196,6 +237,8 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     entities = materialise(entities.distinct(), "entities")
     pending, done, attempt = entities, None, 0
     while True:
+        if attempt == MAX_ATTEMPTS:
+            raise RuntimeError(f"no free surrogates after {attempt} attempts")
         drawn = materialise(pending.withColumn("surrogate", surrogate(F.col("type"), F.col("value"), key, attempt)), "drawn")
         # The smallest value of those that share a surrogate keeps it.
         first = drawn.groupBy("type", "surrogate").agg(F.min("value").alias("value"))
@@ -221,11 +264,26 @@ def _lay_out(match: Column, plain: Column) -> Column:
         solid = c.rlike(r"[0-9A-Za-z+]")
         return F.struct(F.concat(acc["out"], F.when(solid, F.substr(plain, acc["i"], F.lit(1))).otherwise(c)).alias("out"), (acc["i"] + solid.cast("int")).alias("i"))
 
-    return F.aggregate(F.filter(F.split(match, ""), lambda c: c != ""), start, put, lambda a: a["out"])
+    # What a wider format has beyond the layout comes last.
+    return F.aggregate(F.filter(F.split(match, ""), lambda c: c != ""), start, put, lambda a: F.concat(a["out"], F.substr(plain, a["i"])))
 
 
 def _cased(like: Column, name: Column) -> Column:
-    return F.when(F.upper(like) == like, F.upper(name)).otherwise(F.array_join(F.transform(F.split(name, "-"), F.initcap), "-"))
+    """``name`` with the letter case of ``like`` and its apostrophes and hyphens: the first part of several letters gets the whole name, later ones syllables."""
+    parts, marks = F.split(like, "[’'-]"), F.regexp_extract_all(like, F.lit("([’'-])"), F.lit(1))
+    lead = F.when(F.length(F.get(parts, F.lit(0))) == 1, 1).otherwise(0)
+
+    def one(p: Column, i: Column) -> Column:
+        def syllables(script: str) -> Column:
+            return F.concat(*(F.get(F.array(*(F.lit(x) for x in SYLLABLES[script])), F.pmod(F.xxhash64(name, i, F.lit(k)), F.lit(len(SYLLABLES[script]))).cast("int")) for k in range(2)))
+
+        new = F.when(F.length(p) == 1, p).when(i == lead, name).otherwise(_by_script(name, syllables))
+        return F.concat(new, F.coalesce(F.get(marks, i), F.lit("")))
+
+    plain = F.when(F.size(parts) > 1, F.array_join(F.transform(parts, one), "")).otherwise(name)
+    # Every part begins with a capital.
+    capital = F.array_join(F.transform(F.split(F.regexp_replace(plain, "([’'-])", "$1\x00"), "\x00"), F.initcap), "")
+    return F.when(F.upper(like) == like, F.upper(plain)).otherwise(capital)
 
 
 def _render(x: Column, table: Column) -> Column:
@@ -243,7 +301,7 @@ def _render(x: Column, table: Column) -> Column:
     # A mention without title is one word: a family name if it is one, else a given name.
     known = F.coalesce(*(look(F.lit(t), F.lower(x)) for t in ("family", "given_m", "given_f", "given_x")))
     person = F.when(F.contains(x, F.lit(" ")), titled).otherwise(F.coalesce(_cased(x, known), x))
-    other = let(_entities(x), lambda e: F.when(kind.isin("email", "secret", "ip"), look(e[0]["type"], e[0]["value"])).otherwise(_lay_out(x, look(e[0]["type"], e[0]["value"]))))
+    other = let(_entities(x), lambda e: F.when(kind.isin("email", "secret", "token", "ip"), look(e[0]["type"], e[0]["value"])).when(kind == "address", F.initcap(look(e[0]["type"], e[0]["value"]))).otherwise(_lay_out(x, look(e[0]["type"], e[0]["value"]))))
     return F.when(kind == "person", person).otherwise(other)
 
 
@@ -255,23 +313,30 @@ def _pattern(table: Column) -> Column:
     return F.when(F.size(names) > 0, untitled).otherwise(F.lit(ENTITY))
 
 
-def pseudonymise(docs: DataFrame, key: str = "folio") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """Replace all detected entities of ``docs`` (doc_id, text).
 
     Returns doc_id, text, n_entities (mentions), types (sorted, distinct), one row per
     input row. A null text stays null and has no entities; rows with a null doc_id and repeated rows are
-    treated like all others. The same key gives the same replacements for the same
-    corpus; another key gives others. An empty table gives no rows.
+    treated like all others; texts of one doc_id are independent documents. The same key gives the same replacements for the same
+    corpus; another key gives others; keep it secret. An empty table gives no rows.
     """
+    if not key:
+        raise ValueError("a key is needed")
     found = F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))
-    # A row's own name: the texts of one doc_id may differ, and it may be null.
-    rows = docs.select(F.col("doc_id"), F.col("text"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.xxhash64("text").cast("string")), F.lit("null")).alias("__row"))
-    met = rows.select("__row", F.explode(F.array_distinct(F.flatten(F.transform(found, _entities)))).alias("e")).select("__row", "e.type", "e.value")
-    met = materialise(met.where("value is not null"), "mentions")
+    # A document is named by its id (which may be null) and its text.
+    rows = docs.select(F.col("doc_id"), F.col("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__doc"), F.xxhash64("text").alias("__text"))
+    own = ["__doc", "__text"]
+    met = rows.select(*own, F.explode_outer(F.array_distinct(F.flatten(F.transform(found, _entities)))).alias("e")).where("e.value is not null").select(*own, "e.type", "e.value")
+    met = materialise(met, "mentions")
     given = assign(met.select("type", "value"), key)
     entry = F.struct(F.concat("type", F.lit(":"), "value").alias("k"), F.col("surrogate").alias("v"))
-    tables = met.join(given, ["type", "value"]).groupBy("__row").agg(F.map_from_entries(F.collect_set(entry)).alias("__table"), F.sort_array(F.collect_set("type")).alias("types"))
-    joined = rows.join(tables, "__row", "left")
+    tables = met.join(given, ["type", "value"]).groupBy(*own).agg(F.map_from_entries(F.collect_set(entry)).alias("__table"), F.sort_array(F.collect_set("type")).alias("types"))
+    tables = materialise(tables, "tables")
+    release(met, given)
+    # Only texts with entities (and a few more) move to their tables.
+    touched, others = parted(rows, tables.select("__text").distinct(), "__text")
+    joined = touched.join(tables, own, "left")
 
     def change(pattern: Column) -> Column:
         again, gaps = F.regexp_extract_all("text", pattern, F.lit(0)), F.split("text", pattern, -1)
@@ -281,5 +346,8 @@ def pseudonymise(docs: DataFrame, key: str = "folio") -> DataFrame:
         )
 
     changed = let(_pattern(F.col("__table")), change)
-    out = F.when(F.col("__table").isNotNull(), changed).otherwise(F.struct(F.col("text"), F.lit(0).cast("long").alias("n")))
-    return joined.select("doc_id", out.alias("o"), F.coalesce("types", F.array().cast("array<string>")).alias("types")).select("doc_id", "o.text", F.col("o.n").alias("n_entities"), "types")
+    same = F.struct(F.col("text"), F.lit(0).cast("long").alias("n"))
+    none = F.array().cast("array<string>")
+    out = F.when(F.col("__table").isNotNull(), changed).otherwise(same)
+    a = joined.select("doc_id", out.alias("o"), F.coalesce("types", none).alias("types")).select("doc_id", "o.text", F.col("o.n").alias("n_entities"), "types")
+    return a.unionByName(others.select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), none.alias("types")))

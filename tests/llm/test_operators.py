@@ -195,7 +195,7 @@ def test_surrogates(spark):
     again = {r.doc_id: r.text for r in surrogates.pseudonymise(docs(spark, rows[:1]), "k1").collect()}
     other = {r.doc_id: r.text for r in surrogates.pseudonymise(docs(spark, rows[:1]), "k2").collect()}
     assert again[1] == text != other[1]
-    assert surrogates.pseudonymise(docs(spark, [])).count() == 0
+    assert surrogates.pseudonymise(docs(spark, []), "k").count() == 0
 
 
 def test_surrogates_of_long_names_and_untitled_mentions(spark):
@@ -210,7 +210,7 @@ def test_surrogates_of_long_names_and_untitled_mentions(spark):
     g, up = r"[A-Z][a-z]+", r"[A-Z]+"
     one = re.fullmatch(rf"Dr\. ({g}) ({g}) ({g}) came\. ({g}) spoke, ({g}) wept; ({up})'s Smithson stayed\.", got[1].text)
     assert one[3] == one[4] == one[6].capitalize() != "Schmidt" and one[1] == one[5] != one[2] and not {"Anna", "Maria"} & {one[1], one[2]} and got[1].n_entities == 4
-    two = re.fullmatch(rf"Mr\. [A-Z]\. ({g}) met Herr ({g}) von ({g}) and Herr Dr\. ({g})(?:-{g})? ?\. ({g})'s car, ({g})\.", got[2].text)
+    two = re.fullmatch(rf"Mr\. [A-Z]\. ({g}) met Herr ({g}) von ({g}) and Herr Dr\. ({g})-{g}\. ({g})'s car, ({g})\.", got[2].text)
     assert two[1] == two[6] != "Smith" and two[3] == two[5] != "Braun" and two[2] in surrogates.GIVEN["latin"]["m"] and two[4] != "Weber" and got[2].n_entities == 5
     three = re.fullmatch(rf"Mr\. ({g}) ({g}) left\. ({g}) said: Smithson, not smith\.", got[3].text)
     assert three[2] == three[3] == two[1] and three[1] != "John"
@@ -228,6 +228,46 @@ def test_surrogates_stay_distinct(spark):
     assert not any((r.type, r.surrogate) in values for r in got)
 
 
+def test_surrogates_of_a_full_format(spark):
+    """All one-letter addresses of all one-letter domains: fewer surrogates than entities in their own format."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    values = [f"{a}@{b}.io" for a in letters for b in letters]
+    got = surrogates.assign(spark.createDataFrame([("email", v) for v in values], "type string, value string"), "k").collect()
+    assert len(got) == 676 == len({r.surrogate for r in got}) and not {r.surrogate for r in got} & set(values)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.io", r.surrogate) for r in got)
+
+
+def test_surrogates_of_further_entities(spark):
+    secret = "sk-" + "aB3" * 8
+    text = (
+        "Dr Jane Miller called. Later Jane Miller left, and Miller wrote to Anna Schmidt at 12 Oak Street, Lindenstraße 5, phone 030 1234567 or 01 23 45 67 89, "
+        f"passport no. C1234567, key {secret}. Mr O'Neill-Smith, Mrs van Dyk. Born 01-02-2003, room 12 of 30 1234567 items."
+    )
+    got = surrogates.pseudonymise(docs(spark, [(1, text)]), "k").collect()[0]
+    for original in ("Miller", "Jane", "Anna", "Schmidt", "Oak", "Linden", "1234567 or", "23 45 67", "C1234567", secret[3:], "Neill", "Dyk"):
+        assert original not in got.text, original
+    g = r"[A-Z][a-z]+"
+    found = re.fullmatch(
+        rf"Dr ({g}) ({g}) called\. Later ({g}) ({g}) left, and ({g}) wrote to {g} {g} at \d\d {g} Street, {g}straße \d, phone \d{{3}} \d{{7}} or \d\d \d\d \d\d \d\d \d\d, "
+        rf"passport no\. [A-Z]\d{{7}}, key sk-([a-z][A-Z]\d){{8}}\. Mr O'{g}-{g}, Mrs van {g}\. Born 01-02-2003, room 12 of 30 1234567 items\.",
+        got.text,
+    )
+    assert found and found[1] == found[3] and found[2] == found[4] == found[5]
+
+
+def test_no_entity_of_the_documents_stays(spark):
+    """Leaks counted with patterns of their own: no address, number or key that stood in a text stands in its result."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = {r.doc_id: r for r in surrogates.pseudonymise(docs(spark, rows), "k").collect()}
+    plain = re.compile(r"[\w.]+@[\w.]+\.\w+|\+1 \(\d{3}\) \d{3}-\d{4}|\b[0-9a-f]{40}\b|\b\d{3}-\d{2}-\d{4}\b")
+    met = 0
+    for d, text in rows:
+        seen = plain.findall(text or "")
+        met += len(seen)
+        assert not any(x in got[d].text for x in seen) and (got[d].text == text) == (got[d].n_entities == 0)
+    assert met > 5 and len(got) == len(rows)
+
+
 # --- URL filter ----------------------------------------------------------------------------
 
 
