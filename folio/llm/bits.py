@@ -1,6 +1,7 @@
-"""A bit array of fixed size over 64-bit hashes: a pre-filter whose size never
-depends on the data, so it can always be broadcast. It only ever lets too much
-through; what passes is checked by an exact join."""
+"""A bit array over 64-bit hashes: a pre-filter whose size follows the number of hashes
+up to a fixed bound, so it can always be broadcast. It only ever lets too much
+through; what passes is checked by an exact join. Far beyond 2**MAX_LOG_BITS hashes it lets nearly
+everything through, and the exact join does the work alone."""
 
 from __future__ import annotations
 
@@ -11,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: 2**25 bits are 4 MB.
-LOG_BITS = 25
+#: Bits for each hash, and the largest array: 2**28 bits are 32 MB.
+BITS_A_HASH, MAX_LOG_BITS = 8, 28
 
 
 def _places(h: np.ndarray, log_bits: int) -> np.ndarray:
@@ -22,9 +23,11 @@ def _places(h: np.ndarray, log_bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - log_bits)).astype(np.int64)
 
 
-def bit_array(hashes: DataFrame, log_bits: int = LOG_BITS) -> bytes:
-    """The array over a one-column table of longs. Tasks send the words they set,
-    merged by word before the driver gets them: at most 2**log_bits / 64 rows."""
+def bit_array(hashes: DataFrame) -> bytes:
+    """The array over a one-column table of longs, which is also counted, so it should be a written
+    one. Tasks send the words they set, merged by word before the driver gets them: at
+    most 2**MAX_LOG_BITS / 64 rows."""
+    log_bits = max(18, min(MAX_LOG_BITS, (BITS_A_HASH * hashes.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (log_bits - 3), np.uint8)

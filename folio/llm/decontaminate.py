@@ -8,7 +8,12 @@ in all capitals or lower case are met too. Windows of WIDTH template tokens are
 hash-joined; an item counts as found in a document when, in either template by itself,
 at least 4/5 of its windows are there and the values in the matched placeholders are
 consistent: one value of the item always stands for one value of the document. So
-re-parameterised questions are caught, chance meetings of templates are not.
+re-parameterised questions are caught, chance meetings of templates are not. Items of fewer
+than WIDTH and at least SHORTEST tokens are met as a whole, with equal values in their slots.
+
+Windows that many items and documents share don't multiply: a document and an item are
+compared only if they share one of the item's rarest windows, so many of them that a
+document with 4/5 of all windows can't lack them all.
 """
 
 from __future__ import annotations
@@ -20,12 +25,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bits import bit_array, has_bit
 from .common import materialise, release, slices, windows
 
 WIDTH = 5
+#: Items of fewer tokens are never found.
+SHORTEST = 3
 #: Share of an item's windows, and of its slot values, that must agree: 4/5.
 SHARE = (4, 5)
 
@@ -33,11 +41,17 @@ UNITS = frozenset(
     """mm cm m km metre metres meter meters inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms
     ounce ounces pound pounds ton tons tonne tonnes ml l litre litres liter liters gallon gallons second seconds minute minutes
     hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees
-    mph kmh watt watts volt volts joule joules byte bytes bit bits kb mb gb tb""".split()
+    mph kmh watt watts volt volts joule joules byte bytes bit bits kb mb gb tb
+    meile meilen gramm kilogramm tonne tonnen sekunde sekunden stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad
+    mètre mètres gramme grammes kilogramme kilogrammes heure heures jour jours semaine semaines mois an ans année années degré degrés
+    metro metros gramo gramos kilogramo kilogramos litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años""".split()
 )
 NUMBERS = frozenset(
     """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen
-    nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion""".split()
+    nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion
+    zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend
+    deux trois quatre cinq sept huit neuf dix onze douze vingt trente quarante cinquante soixante cent mille
+    dos tres cuatro cinco seis siete ocho nueve diez once doce veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil""".split()
 )
 #: Words that are no names, though they often begin a sentence, and so are capitalised.
 PLAIN = frozenset(
@@ -81,13 +95,13 @@ class TemplateWords(dict):
 
 
 def templates(text: str | None, known: TemplateWords) -> Iterator[tuple[np.ndarray, tuple, np.ndarray]]:
-    """The template with names and the one without: codes, the words behind each (joined for a run of names), and whether it is a placeholder."""
+    """The template with names, the one without, and the plain tokens: codes, the words behind each (joined for a run of names), and whether it is a placeholder."""
     words = (text or "").split()
     packed = np.array([known[w] for w in words], np.uint64)
     real = np.flatnonzero(packed)
     packed = packed[real]
     flags, codes = (packed & np.uint64(15)).astype(np.int64), packed >> np.uint64(4)
-    num = (flags & _NUM) > 0
+    plain, num = codes, (flags & _NUM) > 0
     unit = ((flags & _UNIT) > 0) & np.concatenate([[False], num[:-1]]) if len(num) else num
     for mask, kind in ((num, "num"), (unit, "unit")):
         codes = np.where(mask, _PLACE[kind], codes)
@@ -98,6 +112,7 @@ def templates(text: str | None, known: TemplateWords) -> Iterator[tuple[np.ndarr
     yield np.where(name, _PLACE["name"], codes)[begin], (words, real, begin, np.append(begin[1:], len(codes))), (num | unit | name)[begin]
     every = np.arange(len(codes))
     yield codes, (words, real, every, every + 1), num | unit
+    yield plain, (words, real, every, every + 1), np.zeros(len(plain), bool)
 
 
 def _value(where: tuple, k: int) -> str:
@@ -105,8 +120,11 @@ def _value(where: tuple, k: int) -> str:
     return " ".join(words[real[i]].strip(_OUTER).lower() for i in range(begin[k], ends[k]))
 
 
-def _window_rows(table: DataFrame, key: str, bits: bytes | None, width: int) -> DataFrame:
-    """(key, variant, at, h, slots, n): windows with at least one literal word, of both templates; n counts them in the text. With ``bits`` only windows that may be in it."""
+def _window_rows(table: DataFrame, key: str, bits: bytes | None, width: int, short: bool = False) -> DataFrame:
+    """(key, variant, at, h, slots, n): windows with a literal word (two in the template with names, where nouns of
+    some languages are names), of both templates; n counts them in the text. With ``bits`` only windows that may be in it.
+
+    Variant 2 has the literal tokens of short texts: with ``short`` all runs of their lengths, else a short text as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = TemplateWords()
@@ -114,11 +132,19 @@ def _window_rows(table: DataFrame, key: str, bits: bytes | None, width: int) ->
             out: list[list] = [[] for _ in range(6)]
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for variant, (codes, where, slot) in enumerate(templates(text, known)):
+                    if variant == 2:
+                        for size in range(SHORTEST, width) if short else [len(codes)]:
+                            if SHORTEST <= size <= len(codes) and (short or size < width):
+                                h = windows(codes, size) ^ np.uint64(variant)
+                                for k in (range(len(h)) if bits is None else np.flatnonzero(has_bit(bits, h)).tolist()):
+                                    for c, v in zip(out, (name, variant, k, int(h.view(np.int64)[k]), [], 1)):
+                                        c.append(v)
+                        continue
                     if len(codes) < width:
                         continue
                     # Windows of one template never meet those of the other.
                     h = windows(codes, width) ^ np.uint64(variant)
-                    literal = np.convolve(~slot, np.ones(width, np.int64), "valid") > 0
+                    literal = np.convolve(~slot, np.ones(width, np.int64), "valid") > (variant == 0)
                     at = np.flatnonzero(literal if bits is None else literal & has_bit(bits, h))
                     if not len(at):
                         continue
@@ -139,16 +165,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: tupl
 
     Slots are checked per alignment of item and document, so two differently filled
     copies in one document don't contradict each other, and once over all alignments
-    for copies with small insertions. The counts are those of the template and alignment with most windows. Items of fewer than ``width`` template tokens
+    for copies with small insertions. The counts are those of the template and alignment with most windows. Items of fewer than ``SHORTEST`` tokens
     can't be told from chance and are never found.
     """
     num, den = share
     items = materialise(_window_rows(benchmark, "item_id", None, width), "items")
     bits = bit_array(items.select("h"))
-    found = _window_rows(docs, "doc_id", bits, width).select("doc_id", "variant", F.col("at").alias("d_at"), "h", F.col("slots").alias("d_slots"))
-    pair = ["doc_id", "item_id", "variant"]
-    met = materialise(found.join(items, ["h", "variant"]).select(*pair, "at", "d_at", "n", "slots", "d_slots"), "met")
-    release(items)
+    short = not items.where("variant = 2").isEmpty()
+    found = _window_rows(docs, "doc_id", bits, width, short).select("doc_id", "variant", F.col("at").alias("d_at"), "h", F.col("slots").alias("d_slots"))
+    found = materialise(found, "found")
+    key, pair = ["h", "variant"], ["doc_id", "item_id", "variant"]
+    # How often an item's windows stand in documents; a document with num / den of an item's n windows has one of its n - ceil(n num / den) + 1 rarest.
+    counts = found.groupBy(key).agg(F.count("*").alias("df"))
+    rarest = F.row_number().over(W.partitionBy("item_id", "variant").orderBy("df", "h", "at"))
+    ranked = items.join(counts, key, "left").withColumn("df", F.coalesce("df", F.lit(0).cast("long"))).withColumn("rank", rarest)
+    prefix = ranked.where((F.col("df") > 0) & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)).select("item_id", *key).distinct()
+    candidates = found.select("doc_id", *key).join(prefix, key).select(pair).distinct()
+    wanted = candidates.join(items, ["item_id", "variant"])
+    met = materialise(wanted.join(found, ["doc_id", *key]).select(*pair, "at", "d_at", "n", "slots", "d_slots"), "met")
+    release(items, found)
     likely = met.groupBy(pair).agg(F.countDistinct("at").alias("c"), F.max("n").alias("n")).where(F.col("c") * den >= F.col("n") * num).select(pair)
     aligned = met.join(likely, pair).withColumn("place", F.explode(F.array(F.col("d_at") - F.col("at"), F.lit(None).cast("long"))))
     keys = [*pair, "place"]

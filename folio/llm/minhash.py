@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int
     low = buckets.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
     shared = materialise(buckets.join(low, "key").select("key", "a", F.col("doc_id").alias("b")), "buckets")
     pairs = materialise(shared.where("a <> b").select("a", "b").distinct(), "pairs")
-    wanted = shared.select(F.col("b").alias("doc_id")).distinct()
+    wanted = materialise(shared.select(F.col("b").alias("doc_id")).distinct(), "wanted")
     sets = shingle_sets(docs, bit_array(wanted), width).dropDuplicates(["doc_id"])
     sets = materialise(sets.join(wanted, "doc_id", "left_semi"), "sets")
     links = materialise(_verified(pairs, sets, similar), "links")
@@ -298,7 +298,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int
     mixed = _mixed(items, roots)
     pairs = _rare_pairs(mixed.select("doc_id", "root").distinct(), sets, similar)
     link(pairs)
-    release(mixed, pairs, sets, shared, links)
+    release(mixed, pairs, sets, shared, links, wanted)
     of_copies = copies.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("group_id"))
     classed = signed.select("doc_id", "d1", "d2").join(of_copies, ["d1", "d2"], "left").select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"))
     out = classed.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"))

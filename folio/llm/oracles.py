@@ -5,7 +5,7 @@ packing, byte-level repeats, keyed surrogates, records with digests of HTML text
 tested against brute-force versions instead.
 """
 
-from .quality import ALPHA, CUTOFFS, DELTA
+from .quality import ALPHA, CUTOFFS, DELTA, N_STEPS, STEP, fewest
 
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -46,10 +46,7 @@ SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(piece, '' ORD
 FROM placed GROUP BY conv_id, perspective, part
 """
 
-_TESTS = " UNION ALL ".join(
-    f"SELECT stratum, '{s}' AS signal, {i} AS i, CAST({c} AS DOUBLE) AS cutoff, count(*) AS n, count(*) FILTER ({s} > {c}) AS k FROM held GROUP BY stratum" for s, cs in CUTOFFS.items() for i, c in enumerate(cs)
-)
-_P = ALPHA / len(CUTOFFS)
+_STEP_OF = ", ".join("CASE " + " ".join(f"WHEN {s} > {c} THEN {STEP[s, i]}" for i, c in enumerate(cs)) + f" ELSE {N_STEPS} END" for s, cs in CUTOFFS.items())
 
 OP2 = rf"""
 WITH texts AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
@@ -74,24 +71,21 @@ counts AS (
     n_symbols / greatest(word_chars, 1) AS symbol_ratio, n_upper / greatest(word_chars, 1) AS upper_ratio,
     n_repeat_words / greatest(n_words, 1) AS repeat_ratio, word_chars / greatest(n_words, 1) AS mean_word
   FROM counts
-), held AS (
-  SELECT * FROM found WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1)
-), tests AS ({_TESTS}),
-tails AS (
-  SELECT *, CASE WHEN k >= n * {_P} THEN 1.0 ELSE list_sum(list_transform(generate_series(0, k), lambda j:
-    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_P}) + (n - j) * ln(1 - {_P})))) END AS tail
+), stepped AS (SELECT *, least({_STEP_OF}) AS step FROM found),
+held AS (
+  SELECT * FROM stepped WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1 AND max(coalesce(quality, 0)) = 1)
+), totals AS (SELECT stratum, count(*) AS n FROM held GROUP BY stratum HAVING count(*) >= {fewest(DELTA, ALPHA)}),
+tests AS (
+  SELECT t.stratum, i, n, (SELECT count(*) FROM held h WHERE h.stratum = t.stratum AND h.step <= i) AS k FROM totals t, generate_series(0, {N_STEPS - 1}) AS g(i)
+), tails AS (
+  SELECT *, CASE WHEN k >= n * {ALPHA} THEN 1.0 ELSE list_sum(list_transform(generate_series(0, k), lambda j:
+    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})))) END AS tail
   FROM tests
-), checked AS (SELECT *, tail * {len(CUTOFFS)} * (SELECT count(DISTINCT stratum) FROM held) <= {DELTA} AS ok FROM tails),
-accepted AS (
-  SELECT stratum, signal, min(cutoff) AS cutoff
-  FROM checked c WHERE ok AND NOT EXISTS (SELECT 1 FROM checked d WHERE d.stratum = c.stratum AND d.signal = c.signal AND d.i < c.i AND NOT d.ok)
-  GROUP BY stratum, signal
-)
+), checked AS (SELECT *, tail <= {DELTA} / (SELECT count(*) FROM totals) AS ok FROM tails),
+accepted AS (SELECT stratum, coalesce(min(i) FILTER (NOT ok), {N_STEPS}) - 1 AS last FROM checked GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT EXISTS (
-    SELECT 1 FROM accepted a WHERE a.stratum = f.stratum AND a.cutoff < CASE signal {' '.join(f"WHEN '{s}' THEN f.{s}" for s in CUTOFFS)} END
-  ) AS kept
-FROM found f
+  NOT base_failed AND NOT coalesce(step <= (SELECT last FROM accepted a WHERE a.stratum = f.stratum), false) AS kept
+FROM stepped f
 """
 
 ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op7_chat_rotation": OP7, "op9_line_dedup": OP9}

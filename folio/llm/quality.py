@@ -1,14 +1,14 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each document gets a few signals. A threshold rule rejects documents whose signal
-lies beyond a cutoff. Cutoffs come from labelled documents: per stratum and signal
-the candidate cutoffs are tried from the most lenient to the strictest, and one is
-accepted as long as an exact binomial bound shows that it rejects at most a share
-``alpha / number of signals`` of good documents (fixed-sequence testing, so a signal
-spends its level once); the level is corrected for the number of (stratum, signal)
-sequences after Bonferroni. With probability 1 - ``delta`` no stratum then loses more
-than a share ``alpha`` of its good documents to these rules. A stratum with too few
-labelled documents gets no cutoff and loses none.
+Each document gets a few signals. The learnt rule rejects documents of which a signal
+lies beyond its cutoff. The cutoffs are tightened step by step along a fixed path, one signal
+at a time, so one sequence of tests per stratum covers all signals: a step is accepted as
+long as an exact binomial bound on labelled good documents shows that the rule up to it
+rejects at most a share ``alpha`` of them, and the first step that fails ends the sequence
+(fixed-sequence testing, which spends a stratum's level once). The level is corrected
+for the number of strata after Bonferroni; strata with too few labels to certify anything
+even by themselves aren't tested and take no share of it. With probability 1 - ``delta`` no stratum
+then loses more than a share ``alpha`` of its good documents to the learnt rule.
 """
 
 from __future__ import annotations
@@ -16,19 +16,23 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import let, materialise
 
-ALPHA, DELTA = 0.01, 0.05
-#: Signal -> candidate cutoffs, the most lenient first; a document is beyond a cutoff if its signal is larger.
-#: Repeated words have a base rule of their own; every further signal takes a share of alpha.
+ALPHA, DELTA = 0.02, 0.05
+#: Signal -> cutoffs, the most lenient first; a document is beyond a cutoff if its signal is larger.
+#: Repeated words have a base rule of their own.
 CUTOFFS: dict[str, list[float]] = {
-    "symbol_ratio": [0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01],
-    "upper_ratio": [0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08],
-    "mean_word": [14.0, 12.0, 11.0, 10.0, 9.5, 9.0, 8.5, 8.0, 7.5],
+    "symbol_ratio": [0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01, 0.005],
+    "upper_ratio": [0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.17, 0.15, 0.12, 0.1, 0.09, 0.08, 0.07, 0.06],
+    "mean_word": [14.0, 12.0, 11.0, 10.0, 9.5, 9.0, 8.5, 8.0, 7.5, 7.0, 6.75, 6.5, 6.25, 6.0],
 }
-#: Accepted cutoffs are broadcast up to so many rows; beyond, they are joined by shuffle.
+#: Step of the path at which a signal gets a cutoff: the signals take turns.
+STEP = {(s, i): i * len(CUTOFFS) + k for k, s in enumerate(CUTOFFS) for i in range(len(CUTOFFS[s]))}
+N_STEPS = len(STEP)
+#: Accepted steps are broadcast up to so many rows; beyond, they are joined by shuffle.
 MAX_BROADCAST = 10_000
 #: Terms of a binomial tail that are summed; the rest is bounded by a geometric series, upwards.
 MAX_TERMS = 2_000
@@ -85,7 +89,19 @@ def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
         (F.col("n_upper") / chars).alias("upper_ratio"),
         (F.col("n_repeat_words") / words).alias("repeat_ratio"),
         (F.col("word_chars") / words).alias("mean_word"),
-    )
+    ).withColumn("step", reject_step())
+
+
+def reject_step() -> Column:
+    """The first step of the path whose rule rejects the document; N_STEPS if none does."""
+
+    def of(signal: str) -> Column:
+        out = F.lit(N_STEPS)
+        for i, c in reversed(list(enumerate(CUTOFFS[signal]))):
+            out = F.when(F.col(signal) > c, F.lit(STEP[signal, i])).otherwise(out)
+        return out
+
+    return F.least(*(of(s) for s in CUTOFFS))
 
 
 def _log_factorial(n: Column) -> Column:
@@ -109,47 +125,56 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(log_term) * tail))
 
 
+def _good(labels: DataFrame, wanted: int = 1) -> DataFrame:
+    """doc_ids with a quality label that all say ``wanted``; null labels count as not good."""
+    q = F.coalesce("quality", F.lit(0))
+    return labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(q).alias("low"), F.max(q).alias("high")).where((F.col("low") == wanted) & (F.col("high") == wanted)).select("doc_id")
+
+
+def fewest(delta: float, alpha: float) -> float:
+    """Labelled good documents that can certify a step which rejects none of them."""
+    return math.log(delta) / math.log1p(-alpha)
+
+
 def thresholds(found: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, signal, cutoff) accepted on labelled good documents that pass the base rules.
+    """(stratum, n, accepted): the last accepted step of each stratum that has one.
 
     ``found``: the result of ``features``. ``labels``: doc_id, quality (1 good). Counts run
-    over all labelled documents; a doc_id with several labels is good if all say so.
+    over all labelled good documents that pass the base rules; a doc_id with several labels is good if all say so.
     """
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).where("q = 1").select("doc_id")
-    held = found.where("not base_failed").join(good, "doc_id", "left_semi")
-    totals = held.groupBy("stratum").agg(
-        F.count("*").alias("n"),
-        *(F.count_if(F.col(s) > c).alias(f"{s}:{i}") for s, cs in CUTOFFS.items() for i, c in enumerate(cs)),
-    )
-    rows = totals.select(
-        "stratum",
-        "n",
-        F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"`{s}:{i}`").alias("k")) for s, cs in CUTOFFS.items() for i, c in enumerate(cs)))).alias("c"),
-    ).select("stratum", "n", "c.*")
-    rows = materialise(rows, "counts")
-    sequences = len(CUTOFFS) * max(1, rows.select("stratum").distinct().count())
-    tested = rows.withColumn("ok", binomial_tail(F.col("k"), F.col("n"), alpha / len(CUTOFFS)) * sequences <= delta)
-    # Fixed sequence: the strictest cutoff before the first one that fails.
-    first_bad = F.coalesce(F.min(F.when(~F.col("ok"), F.col("i"))), F.lit(1 << 30)).alias("bad")
-    ends = tested.groupBy("stratum", "signal").agg(first_bad)
-    return tested.join(ends, ["stratum", "signal"]).where("i = bad - 1 or (bad = 1073741824 and ok)").groupBy("stratum", "signal").agg(F.min("cutoff").alias("cutoff"))
+    held = found.where("not base_failed").join(_good(labels), "doc_id", "left_semi")
+    by_step = materialise(held.groupBy("stratum", "step").agg(F.count("*").alias("n")), "counts")
+    totals = by_step.groupBy("stratum").agg(F.sum("n").alias("n")).where(F.col("n") >= fewest(delta, alpha))
+    share = delta / max(1, totals.count())
+    # At most N_STEPS rows a stratum: how many good documents the rule up to each step rejects.
+    every = totals.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(N_STEPS - 1))))
+    counts = by_step.select("stratum", F.col("step").alias("i"), F.col("n").alias("here"))
+    upto = F.sum(F.coalesce("here", F.lit(0))).over(W.partitionBy("stratum").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
+    tested = every.join(counts, ["stratum", "i"], "left").withColumn("k", upto).withColumn("ok", binomial_tail(F.col("k"), F.col("n"), alpha) <= share)
+    first_bad = F.coalesce(F.min(F.when(~F.col("ok"), F.col("i"))), F.lit(N_STEPS))
+    return tested.groupBy("stratum", "n").agg((first_bad - 1).alias("accepted")).where("accepted >= 0")
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Counts, signals and the verdict of every document, one row per input row.
 
-    Returns the columns of ``features`` and ``kept``: not base_failed and no signal beyond
-    the accepted cutoff of the document's stratum. Null and empty texts have no words and
+    Returns the columns of ``features`` and ``kept``: not base_failed and not rejected by the
+    rule up to the accepted step of the document's stratum. Null and empty texts have no words and
     fail the base rules; a null stratum is a stratum of its own; null labels count as not
     good. Repeated rows are judged alike. An empty table gives no rows; without labels only
     the base rules apply.
     """
     found = materialise(features(docs, stratum), "features")
-    wide = thresholds(found, labels, alpha, delta).groupBy("stratum").agg(*(F.min(F.when(F.col("signal") == s, F.col("cutoff"))).alias(f"cut_{s}") for s in CUTOFFS))
-    wide = materialise(wide, "cutoffs")
-    small = wide.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    joined = found.join(F.broadcast(wide) if small else wide, "stratum", "left")
-    beyond = F.lit(False)
-    for s in CUTOFFS:
-        beyond = beyond | F.coalesce(F.col(s) > F.col(f"cut_{s}"), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~beyond)
+    accepted = materialise(thresholds(found, labels, alpha, delta).select("stratum", "accepted"), "accepted")
+    small = accepted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    joined = found.join(F.broadcast(accepted) if small else accepted, "stratum", "left")
+    beyond = F.coalesce(F.col("step") <= F.col("accepted"), F.lit(False))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~beyond).drop("accepted")
+
+
+def power(judged: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stratum, good, good_rejected, junk, junk_rejected): labelled documents that pass the base rules, and those of them that the learnt rule rejects."""
+    good, junk = (_good(labels, q).withColumn("good", F.lit(q == 1)) for q in (1, 0))
+    met = judged.where("not base_failed").join(good.unionByName(junk), "doc_id")
+    g, out = F.col("good"), ~F.col("kept")
+    return met.groupBy("stratum").agg(F.count_if(g).alias("good"), F.count_if(g & out).alias("good_rejected"), F.count_if(~g).alias("junk"), F.count_if(~g & out).alias("junk_rejected"))

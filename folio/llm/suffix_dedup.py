@@ -6,11 +6,12 @@ earlier in the corpus. The work is spread in such a way that equal strings meet:
 1. Every ``length``-byte window has an *anchor*: the K-gram with the smallest hash
    in it (leftmost on ties). Equal windows have equal anchors, so a window whose
    anchor occurs once in the corpus is unique. Anchors are counted with partial
-   aggregation; a bit array of fixed size carries the repeated ones to the next
+   aggregation; a bit array of bounded size carries the repeated ones to the next
    scan as a pre-filter (a false hit costs time, never a wrong result).
 2. The windows around one occurrence of an anchor form a *segment* of at most
    ``2 * length - K`` bytes. Equal segments are folded to their first occurrence
-   before any bytes are shuffled: in later ones every window is a repeat.
+   before any bytes are shuffled: in later ones every window is a repeat. Exact copies
+   are thus found by this fold alone, by 64-bit digest within an anchor.
 3. Where one anchor has several distinct segments, their first occurrences go,
    sorted by anchor, to tasks that build a Burrows-Wheeler transform of a run of
    whole anchor groups and derive common prefixes by backward extension, breadth
@@ -20,6 +21,9 @@ earlier in the corpus. The work is spread in such a way that equal strings meet:
    single windows keyed by (anchor, window hash), windows that occur once dropped,
    so no task ever needs all rows of a hot anchor.
 4. Repeated windows return to their documents as byte ranges.
+
+Texts of one repeated doc_id are one document: each different text has its own range of
+positions in it, 2**BASE_BITS apart, in the order of a hash.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bits import bit_array, has_bit
@@ -45,6 +50,9 @@ CHUNK = 1 << 20
 #: Distinct segments of one anchor (at most 176 bytes each) that one transform takes; beyond, the anchor is broken into windows.
 MAX_GROUP = 20_000
 
+#: Bits of a byte position within a text; above them is the text's number among those of its doc_id.
+BASE_BITS = 40
+
 _OCCURRENCE = "h long, digest long, doc_id long, at long, n long, k long, first boolean"
 _SEGMENT = "h long, doc_id long, at long, k long, bytes binary"
 
@@ -121,7 +129,7 @@ def _occurrences(docs: DataFrame, bits: bytes, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             parts = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc, text, base in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "base"))):
                 raw = _bytes(text)
                 h, at, n, where = anchors(np.frombuffer(raw, np.uint8), length)
                 ok = np.flatnonzero(has_bit(bits, h))
@@ -131,11 +139,11 @@ def _occurrences(docs: DataFrame, bits: bytes, length: int) -> DataFrame:
                 digest = _digests(raw, at, n, length)
                 first = np.zeros(len(h), bool)
                 first[np.unique(digest, return_index=True)[1]] = True
-                parts.append((h, digest, np.full(len(h), doc, np.int64), at, n, where, first))
+                parts.append((h, digest, np.full(len(h), doc, np.int64), at + base, n, where, first))
             if parts:
                 yield _rows([np.concatenate(c) for c in zip(*parts)], _OCCURRENCE)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _OCCURRENCE)
+    return docs.select("doc_id", "text", "base").mapInArrow(run, _OCCURRENCE)
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -285,7 +293,7 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: list[list] = [[] for _ in range(5)]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc, text, base in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "base"))):
                 raw = _bytes(text)
                 h, at, n, where = anchors(np.frombuffer(raw, np.uint8), length)
                 ok = np.flatnonzero(has_bit(of_anchors, h))
@@ -295,11 +303,11 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 digest = _digests(raw, at, n, length)
                 first = np.sort(np.unique(digest, return_index=True)[1])  # later ones in the same text are repeats already
                 for i in first[has_bit(bits, _place_hash(doc, digest[first]))].tolist():
-                    for c, v in zip(out, (int(h[i]), doc, int(at[i]), int(where[i]), raw[at[i] : at[i] + n[i] + length - 1])):
+                    for c, v in zip(out, (int(h[i]), doc, int(at[i]) + base, int(where[i]), raw[at[i] : at[i] + n[i] + length - 1])):
                         c.append(v)
             yield _rows(out, _SEGMENT)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SEGMENT)
+    return docs.select("doc_id", "text", "base").mapInArrow(run, _SEGMENT)
 
 
 def _single_windows(segments: DataFrame, length: int) -> DataFrame:
@@ -318,15 +326,31 @@ def _single_windows(segments: DataFrame, length: int) -> DataFrame:
     return segments.select("h", "doc_id", "at", "k", "bytes").mapInArrow(run, _SEGMENT)
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP) -> DataFrame:
-    """(doc_id, at, n): runs of ``n`` windows from byte ``at`` that also start earlier."""
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    bits = bit_array(_anchor_counts(docs, length).where("n > 1").select("h"))
+def with_base(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """doc_id, text, base: where the positions of a text begin within its doc_id; and whether a doc_id comes twice, as only then are texts shuffled."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return docs.withColumn("base", F.lit(0).cast("long")), False
+    named = docs.withColumn("name", F.xxhash64("text"))
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy("name")) - 1
+    bases = named.join(twice, "doc_id", "left_semi").select("doc_id", "name").distinct().withColumn("base", rank.cast("long") * (1 << BASE_BITS))
+    return named.join(bases, ["doc_id", "name"], "left").select("doc_id", "text", F.coalesce("base", F.lit(0).cast("long")).alias("base")), True
+
+
+def repeated_ranges(docs: DataFrame, several: bool, length: int = LENGTH, max_group: int = MAX_GROUP) -> DataFrame:
+    """(doc_id, at, n) of the result of ``with_base``: runs of ``n`` windows from byte ``at`` that also start earlier."""
+    docs = docs.where("doc_id is not null")
+    repeated = materialise(_anchor_counts(docs, length).where("n > 1").select("h"), "repeated")
+    bits = bit_array(repeated)
+    release(repeated)
     found = materialise(_occurrences(docs, bits, length), "anchors")
-    folded = found.groupBy("h", "digest").agg(F.min("doc_id").alias("doc0"), F.count("*").alias("n_occ"))
+    # The first text with a segment; the number of a text counts only beside others of its doc_id.
+    text = F.struct("doc_id", F.shiftright("at", BASE_BITS).alias("number")) if several else F.col("doc_id")
+    folded = found.groupBy("h", "digest").agg(F.min(text).alias("text0"), F.count("*").alias("n_occ"))
     groups = folded.groupBy("h").agg(F.sum("n_occ").alias("n_anchor"), F.count("*").alias("n_segments")).where("n_anchor > 1")
-    folded = materialise(folded.join(groups, "h").select("h", "digest", "doc0", "n_segments"), "segments")
-    placed = materialise(found.join(folded, ["h", "digest"]).withColumn("origin", F.col("first") & (F.col("doc_id") == F.col("doc0"))), "placed")
+    folded = materialise(folded.join(groups, "h").select("h", "digest", "text0", "n_segments"), "segments")
+    placed = materialise(found.join(folded, ["h", "digest"]).withColumn("origin", F.col("first") & (text == F.col("text0"))).drop("text0", "first"), "placed")
     release(found, folded)
     later = placed.where("not origin").select("doc_id", "at", "n")
     contested = placed.where("origin and n_segments > 1").select("h", "doc_id", "digest", "n_segments")
@@ -354,11 +378,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_G
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary: the bytes
     that stay), one row per input row. A null text is empty. A row with a null doc_id
-    keeps all its bytes and is no source of repeats. Repeated rows of the same doc_id and text are
-    expected not to occur; if they do, later ones count as the same document.
+    keeps all its bytes and is no source of repeats. Repeated rows of the same doc_id and text are one
+    text and treated alike; different texts of one doc_id are parts of one document, in the order of a hash, no match crosses them.
     Texts shorter than ``length`` bytes keep everything. An empty table gives no rows.
     """
-    ranges = repeated_ranges(docs, length, max_group).groupBy("doc_id").agg(F.collect_list("at").alias("ats"), F.collect_list("n").alias("ns"))
+    docs, several = with_base(docs)
+    ranges = repeated_ranges(docs, several, length, max_group).groupBy("doc_id").agg(F.collect_list("at").alias("ats"), F.collect_list("n").alias("ns"))
     ranges = materialise(ranges, "ranges")
     bits = bit_array(ranges.select("doc_id"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -381,11 +406,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_G
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: list[list] = [[] for _ in range(6)]
-            for doc, text, ats, ns in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ats", "ns"))):
+            for doc, text, base, ats, ns in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "base", "ats", "ns"))):
                 raw = _bytes(text)
                 change = np.zeros(len(raw) + 1, np.int64)
                 if ats:
-                    begin, many = np.array(ats, np.int64), np.array(ns, np.int64)
+                    begin, many = np.array(ats, np.int64) - base, np.array(ns, np.int64)
+                    own = (begin >= 0) & (begin < 1 << BASE_BITS)
+                    begin, many = begin[own], many[own]
                     np.add.at(change, np.minimum(begin, len(raw)), 1)
                     np.add.at(change, np.minimum(begin + many + length - 1, len(raw)), -1)
                 gone = np.cumsum(change)[: len(raw)] > 0
@@ -395,7 +422,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_G
                     c.append(v)
             yield _rows(out, schema)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select("doc_id", "text", "base")
     # Only texts that lose something (and a few false hits) are shuffled to their ranges.
-    joined = texts.mapInArrow(dirty, "doc_id long, text string").join(ranges, "doc_id", "left").select("doc_id", "text", "ats", "ns")
+    joined = texts.mapInArrow(dirty, "doc_id long, text string, base long").join(ranges, "doc_id", "left").select("doc_id", "text", "base", "ats", "ns")
     return texts.mapInArrow(clean, schema).unionByName(joined.mapInArrow(cut, schema))

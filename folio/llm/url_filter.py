@@ -24,28 +24,50 @@ MAX_TRAINING = 20_000
 N_FEATURES = 1 << 14
 SIZES = (3, 4)
 
-#: Labelled urls: 1 is to be blocked.
+#: Labelled urls, 1 is to be blocked: invented hosts of general kinds, none of them taken from a table that is judged.
 TRAINING = (
     [(u, 1) for u in """
-    http://spam-farm.example.org/en/7 https://spam-farm.example.net/win https://www.spam-farm.example.org/de/190
-    http://cheap-pills.example.com/buy https://www.cheap-pills.example.org/en/11 http://m.cheap-pills.example.net/fr/3
-    http://casino-win.example.org/en/1 https://www.casino-win.example.net/bonus http://casino-win.example.com/es/77
-    http://free-bets.example.com/de/2 https://m.free-bets.example.org/en/5 http://free-bets.example.net/today
-    http://ads-track.example.org/pixel https://ads-track.example.net/en/9 http://www.ads-track.example.com/click
-    http://best-casino.example.org/play https://online-pills.example.net/shop http://ad-tracker.example.org/t/1
-    http://spam-links.example.com/1 https://win-free-bets.example.org/now http://cheap-meds-pills.example.org/rx
-    http://clicktrack-ads.example.net/c https://casino-bonus.example.org/free http://linkfarm-spam.example.net/x
+    http://lucky-slots.example.info/spin https://www.poker-bonus.example.info/join http://royal-casino.example.biz/en/play https://casino-vip.example.info/deposit
+    http://mega-casino.example.biz/fr/jeux https://m.jackpot-city.example.info/win http://roulette-win.example.biz/table https://bigwin-slots.example.info/3
+    http://viagra-shop.example.biz/order https://discount-meds.example.info/rx http://pharma-pills.example.biz/cart https://www.diet-pills.example.info/trial
+    http://pills-online.example.biz/es/7 https://cheap-meds.example.info/buy http://cheap-watches.example.biz/replica https://cheap-loans.example.info/apply
+    http://sports-bets.example.biz/odds https://bets-today.example.info/live http://betting-tips.example.biz/daily https://www.freebet-club.example.info/signup
+    http://free-money.example.biz/claim https://free-prizes.example.info/gift http://free-coins.example.biz/de/4 https://win-prizes.example.info/iphone
+    http://adserver.example.biz/banner https://www.ads-network.example.info/imp http://popup-ads.example.biz/show https://ads-click.example.info/c/19
+    http://click-tracker.example.biz/t https://pixel-track.example.info/p.gif http://tracking-ads.example.biz/en/8 https://user-track.example.info/collect
+    http://spam-mail.example.biz/send https://seo-spam.example.info/links http://spam-blog.example.biz/post/1 https://www.spamhub.example.info/out
+    http://link-farm.example.biz/page https://content-farm.example.info/en/5 http://click-farm.example.biz/likes https://farm-links.example.info/seo
+    http://best-casino.example.info/lobby https://casino-bonus.example.biz/claim http://online-slots.example.info/fr/9 https://slots-jackpot.example.biz/spin
+    http://poker-win.example.info/tables https://live-roulette.example.biz/en/2 http://online-pills.example.info/order https://meds-discount.example.biz/de/6
+    http://viagra-pills.example.info/buy https://cheap-pharma.example.biz/trial http://bets-odds.example.info/es/4 https://sports-betting.example.biz/signup
+    http://free-bet.example.info/bonus https://free-iphone.example.biz/win http://prizes-club.example.info/claim https://free-loans.example.biz/apply
+    http://banner-ads.example.info/show https://ads-server.example.biz/imp http://click-ads.example.info/c/7 https://track-pixel.example.biz/t
+    http://click-track.example.info/collect https://spam-links.example.biz/out http://mail-spam.example.info/send https://link-spam.example.biz/seo
+    http://seo-farm.example.info/links https://like-farm.example.biz/buy http://cash-loans.example.info/now https://replica-watches.example.biz/cart
+    http://payday-cash.example.biz/now https://crypto-doubler.example.info/double http://hot-singles.example.biz/chat https://replica-bags.example.info/sale
+    http://get-rich-quick.example.biz/start https://miracle-cure.example.info/offer http://work-from-home-cash.example.biz/1 https://download-cracks.example.info/keygen
     """.split()]
     + [(u, 0) for u in """
-    http://ththre.example.com/fr/825 https://m.ththth.example.net/en/25 https://thther.example.org/en/685
-    http://therha.example.com/en/676 https://blog.tiontion.example.com/en/853/ http://blog.ththan.example.net/en/960
-    https://news.example.org/world/2020/story.html https://www.library.example.edu/catalogue/item/12
-    http://blog.thering.example.com/en/328/ https://www.therti.example.org/en/334/ https://docs.example.org/guide/start
-    http://ththed.example.org/de/252 https://forum.example.net/thread/1832 https://wiki.example.org/Main_Page
-    https://www.ththwh.example.org/en/471 https://blog.thernd.example.net/de/612 http://theren.example.net/en/455
-    https://museum.example.org/visit https://science.example.edu/papers/44.html http://weather.example.com/today
-    https://ththble.example.net/en/234 http://www.therer.example.com/fr/144.html https://thther.example.org/en/762
-    https://travel.example.com/italy/rome http://history.example.org/rome/forum https://music.example.net/albums/7
+    https://news.example.info/world/2020/story.html https://www.library.example.edu/catalogue/item/12 https://docs.example.info/guide/start http://forum.example.biz/thread/1832
+    https://wiki.example.info/Main_Page https://museum.example.biz/visit https://science.example.edu/papers/44.html http://weather.example.biz/today
+    https://travel.example.info/italy/rome http://history.example.edu/rome/forum https://music.example.biz/albums/7 https://www.cityhall.example.info/en/services
+    http://gardening.example.biz/tomatoes https://recipes.example.info/soup/12 http://blog.anderson.example.biz/2019/05/hello https://www.schule-am-park.example.info/de/termine
+    http://mathematik.example.edu/skript/3 https://revue.example.info/fr/articles/88 http://biblioteca.example.edu/es/libros/5 https://www.hiking-club.example.biz/routes
+    http://opensource.example.info/project/readme https://lists.example.info/archive/2003/msg1 http://physics.example.edu/lecture/2 https://www.hospital.example.biz/departments
+    https://journal.example.edu/volume/3/issue/2 http://theatre.example.biz/programme https://railway.example.info/timetable/17 http://www.harbour-town.example.biz/en/history
+    https://birdwatch.example.info/species/robin http://chess.example.biz/openings https://genealogy.example.info/family/thornton http://www.weaving.example.biz/patterns/4
+    https://astronomy.example.edu/stars http://newsletter.example.info/en/12 https://parliament.example.info/debates/1998 http://bakery.example.biz/bread
+    http://winter-sports.example.info/en/results https://www.windmill-museum.example.biz/tours http://farmers-union.example.info/fr/marche https://betterhomes.example.biz/ideas
+    http://adsorption-lab.example.edu/en/9 https://freedom-press.example.info/essays http://trackandfield.example.biz/records https://cheapside-history.example.info/london
+    http://school.example.biz/lessons https://choir.example.info/concerts http://archive.example.biz/maps https://museum-shop.example.info/visit http://music-school.example.biz/albums
+    https://bird-society.example.biz/species http://baking-blog.example.info/bread https://hiking.example.biz/routes/9 http://press-office.example.biz/releases https://chess-club.example.info/openings
+    http://river-club.example.biz/en/rowing https://village-hall.example.biz/events http://hospital-trust.example.info/visit https://field-notes.example.biz/plants http://track-and-trail.example.info/maps
+    https://mill-museum.example.biz/tours http://genealogy-forum.example.biz/thread/6 https://family-tree.example.info/records http://freedom-library.example.biz/essays https://anderson-photo.example.info/album
+    http://bookshop.example.biz/new https://garden-centre.example.biz/opening-hours http://university.example.biz/courses/12 https://tax-office.example.info/de/formulare http://painters.example.biz/gallery
+    https://sailing.example.biz/weather http://old-farmhouse.example.info/rooms https://farm-museum.example.biz/visit http://adelaide.example.biz/en/tram https://windows-repair.example.info/prices
+    http://onther.example.biz/en/31 https://thinia.example.biz/fr/77 http://rethan.example.biz/de/640 https://handre.example.biz/es/15 http://ithion.example.info/en/288
+    http://the-thirteen.example.info/en/233 https://rathenow.example.biz/de/51 http://ingher.example.info/en/740/ https://tonhere.example.biz/es/118
+    http://ander.example.info/fr/42.html https://hentre.example.biz/en/907 http://erendth.example.info/en/63 https://onthia.example.biz/de/3
     """.split()]
 )
 
@@ -71,12 +93,19 @@ def _features(df: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=N_FEATURES, inputCol="__grams", outputCol="__features", binary=True).transform(df.withColumn("__grams", _grams(F.col("host"), F.col("path"))))
 
 
-def train(labelled: DataFrame) -> LogisticRegressionModel:
-    """Fit on (url, label 0 or 1). Rows with a null url or label are left out; of more than MAX_TRAINING urls a fixed hash sample is taken."""
+def train(labelled: DataFrame) -> LogisticRegressionModel | None:
+    """Fit on (url, label 0 or 1). Rows with a null url or label are left out; of more than MAX_TRAINING urls a fixed hash
+    sample is taken. Without rows of both labels there is no model."""
     host, path = parts(F.col("url"))
     rows = labelled.where("url is not null and label is not null").orderBy(F.xxhash64("url"), "url").limit(MAX_TRAINING)
     rows = rows.select(host.alias("host"), path.alias("path"), F.col("label").cast("double").alias("__label")).coalesce(1)
-    return LogisticRegression(featuresCol="__features", labelCol="__label", regParam=0.01, maxIter=50).fit(_features(rows))
+    count = dict(rows.groupBy("__label").count().collect())  # two rows
+    if len(count) < 2:
+        return None
+    # Both kinds weigh the same, however many of each there are.
+    weight = F.lit(0.5) / F.when(F.col("__label") == 1, F.lit(count[1.0])).otherwise(F.lit(count[0.0])) * sum(count.values())
+    rows = rows.withColumn("__weight", weight)
+    return LogisticRegression(featuresCol="__features", labelCol="__label", weightCol="__weight", regParam=0.01, maxIter=50).fit(_features(rows))
 
 
 def default_training(spark: SparkSession) -> DataFrame:
@@ -117,12 +146,15 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, lab
     Returns page_id, host, path, rule (null if none fits), verdict (allow or block: the
     longest fitting rule's, else the model's), score (the model's probability of block),
     one row per input row. A null url, or one without ``://``, has an empty host and path
-    and is judged like any other. An empty table gives no rows.
+    and is judged like any other. Without labelled urls of both kinds there is no model: the score is null and urls without a rule are allowed. An empty table gives no rows.
     """
     model = train(default_training(pages.sparkSession) if labelled is None else labelled)
     host, path = parts(F.col("url"))
     df = pages.select("page_id", host.alias("host"), path.alias("path"))
     df = _by_literal(df, rules) if len(rules) <= MAX_LITERAL else _by_join(df, rules)
-    scored = model.transform(_features(df)).withColumn("score", vector_to_array("probability")[1])
+    if model is None:
+        scored = df.withColumn("score", F.lit(None).cast("double"))
+    else:
+        scored = model.transform(_features(df)).withColumn("score", vector_to_array("probability")[1])
     by_model = F.when(F.col("score") > threshold, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select("page_id", "host", "path", F.col("__rule.rule").alias("rule"), F.coalesce("__rule.verdict", by_model).alias("verdict"), "score")

@@ -1,4 +1,8 @@
-"""WARC derivatives: metadata and plain-text conversion records linked to responses."""
+"""WARC derivatives: metadata and plain-text conversion records linked to responses.
+
+Responses come from WARC files (``read_responses``), with their own HTTP headers, dates and
+payload digests, or from a table of pages without any (``responses``), which get a bare header.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -89,7 +93,8 @@ def links(page: str, base: str) -> list[str]:
 
 
 def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Response records (page_id, record_id, target_uri, date, http_header, payload) of ``pages`` (page_id, url, html)."""
+    """Response records (page_id, record_id, target_uri, date, http_header, payload, payload_digest) of ``pages`` (page_id, url, html).
+    A page knows no headers, so all get the same two fields and no digest."""
     name = F.sha2(F.concat_ws("\n", F.col("page_id").cast("string"), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))), 256)
     urn = F.concat(F.lit("<urn:uuid:"), *(x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.substring(name, a, n), F.lit("-" if a < 21 else ">"))))
     return pages.select(
@@ -99,9 +104,66 @@ def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame
         F.lit(date).alias("date"),
         F.lit(CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8"])).alias("http_header"),
         F.coalesce("html", F.lit("")).alias("payload"),
+        F.lit(None).cast("string").alias("payload_digest"),
     )
 
 
+_RESPONSE = "page_id long, record_id string, target_uri string, date string, http_header string, payload string, payload_digest string, complete boolean"
+
+
+def _fields(head: str) -> dict[str, str]:
+    """Header fields by lower-cased name; the first of equal ones counts, folded lines are joined."""
+    out: dict[str, str] = {}
+    for line in re.sub(r"\r?\n[ \t]+", " ", head).splitlines():
+        name, colon, value = line.partition(":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
+
+
+def _decoded(body: bytes, content_type: str) -> str:
+    named = re.search(r"charset=[\"']?([\w.:-]+)", content_type, re.I)
+    for charset in ([named[1]] if named else []) + ["utf-8"]:
+        try:
+            return body.decode(charset)
+        except (LookupError, UnicodeDecodeError):
+            pass
+    return body.decode("utf-8", "replace")
+
+
+def parse_response(raw: bytes) -> tuple | None:
+    """The fields of a response record in the order of the table; None for other records.
+    ``complete`` is false if the block isn't as long as its header says."""
+    head, _, block = raw.partition(b"\r\n\r\n")
+    fields = _fields(head.decode("utf-8", "replace"))
+    if fields.get("warc-type") != "response":
+        return None
+    size = fields.get("content-length", "")
+    whole = size.isdigit() and len(block) >= int(size)
+    block = block[: int(size)] if whole else block
+    http, _, body = block.partition(b"\r\n\r\n")
+    header = http.decode("latin-1")
+    text = _decoded(body, _fields(header).get("content-type", ""))
+    given = fields.get("warc-payload-digest") or digest(body)
+    return None, fields.get("warc-record-id", ""), fields.get("warc-target-uri", "").strip("<>"), fields.get("warc-date", ""), header, text, given, whole
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """The response records of WARC files, plain or gzip: the columns of ``responses`` (page_id is null) and ``complete``.
+
+    Records are told apart by the line breaks and version line between them, so plain files are split over
+    tasks by Spark. A block that holds such a line itself is cut there, and its record isn't ``complete``."""
+    raw = spark.read.option("lineSep", CRLF * 2 + "WARC/1.").text(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] + [pa.string()] * 6 + [pa.bool_()]
+        for batch in slices(batches, 100):
+            found = [x for x in map(parse_response, batch.column(0).to_pylist()) if x]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)], names=[x.split(" ")[0] for x in _RESPONSE.split(", ")])
+
+    return raw.select(F.col("value").cast("binary")).mapInArrow(run, _RESPONSE)
+
+
 def _header(kind: str, ids: tuple[str, str], uri: str, date: str, content_type: str, block: bytes, source_digest: str) -> str:
     fields = [
         ("WARC-Type", kind), ("WARC-Record-ID", ids[0]), ("WARC-Refers-To", ids[1]), ("WARC-Target-URI", uri), ("WARC-Date", date),
@@ -115,7 +177,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
     """One metadata and one conversion record for each response.
 
     Returns page_id, record_type, record_id, refers_to (the response), target_uri,
-    block_digest, source_digest (of the response's payload), header, body. The metadata record keeps the
+    block_digest, source_digest (the response's payload digest if it has one, else that of its payload), header, body. The metadata record keeps the
     source's HTTP header fields (as ``source-header``), title and links. Nulls are empty
     strings; a repeated response gives repeated records with equal ids; an empty table gives no rows.
     """
@@ -123,9 +185,9 @@ def derivatives(responses: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000):
             out: list[list] = [[] for _ in range(9)]
-            for page_id, rid, uri, date, http, payload in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for page_id, rid, uri, date, http, payload, given in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 rid, uri, date, http, payload = (x or "" for x in (rid, uri, date, http, payload))
-                source = digest(payload.encode("utf-8", "replace"))
+                source = given or digest(payload.encode("utf-8", "replace"))
                 fields = [f"source-header: {x}" for x in re.split(r"\r?\n", http) if x] + [f"title: {title(payload)}"]
                 fields += [f"outlink: {re.sub(r'\s+', ' ', x)}" for x in links(payload, uri)]
                 for kind, content_type, body in (
@@ -139,7 +201,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
             kinds = [pa.int64()] + [pa.string()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[x.split(" ")[0] for x in _SCHEMA.split(", ")])
 
-    return responses.select("page_id", "record_id", "target_uri", "date", "http_header", "payload").mapInArrow(run, _SCHEMA)
+    return responses.select("page_id", "record_id", "target_uri", "date", "http_header", "payload", "payload_digest").mapInArrow(run, _SCHEMA)
 
 
 def write_warc(records: DataFrame, path: str) -> None:

@@ -71,6 +71,18 @@ def test_suffix_dedup_in_pieces(spark, monkeypatch):
     assert got == {d: x[3] for d, x in brute_suffix(rows).items()}
 
 
+def test_suffix_dedup_of_repeated_ids(spark):
+    """Texts of one doc_id keep their own bytes; equal rows are treated alike."""
+    rng = random.Random(9)
+    a, b = ("".join(rng.choice("abcdefgh") for _ in range(500)) for _ in range(2))
+    rows = [(1, a), (2, b), (2, "z" * 50 + a), (3, b), (3, b)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(table(spark, rows)).collect())
+    assert got == [(1, 500, 0), (2, 500, 0), (2, 550, 500), (3, 500, 500), (3, 500, 500)]
+    # Two texts of one doc_id with a passage in common: one of them loses it.
+    two = [(r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(table(spark, [(5, "x" + a), (5, a + "yy")])).collect()]
+    assert sorted(two, key=lambda x: x[1])[0][1] == 0 and sum(x[1] for x in two) == 500
+
+
 def test_suffix_dedup_edges(spark):
     empty = suffix_dedup.remove_repeats(table(spark, []))
     assert empty.count() == 0 and "kept_sha256" in empty.columns

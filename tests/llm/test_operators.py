@@ -1,6 +1,7 @@
 """Quality rules, decontamination, surrogates, URL filter, chat, WARC, packing."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -8,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -72,11 +74,43 @@ def test_quality_cutoffs(spark):
     assert all(got[i] for i, _ in good) and not any(got[i] for i, _ in junk)
     assert all(v for k, v in got.items() if k >= 20_000)
     limits = quality.thresholds(quality.features(en), labels).collect()
-    assert {r.stratum for r in limits} == {"en"} and {r.signal for r in limits} >= {"symbol_ratio", "upper_ratio"}
+    assert [r.stratum for r in limits] == ["en"] and limits[0].accepted >= quality.STEP["symbol_ratio", 8]
+    report = quality.power(quality.judge(en, labels), labels).collect()
+    assert [(r.good, r.good_rejected, r.junk, r.junk_rejected) for r in report] == [(3999, 0, 1, 1)]
     # A stricter demand on the risk certifies nothing.
     assert quality.thresholds(quality.features(en), labels, alpha=1e-5).isEmpty()
 
 
+def test_accepted_steps_equal_an_exact_computation(spark):
+    """Fixed sequence and correction over strata, with exact binomial sums; strata of too few labels take no share."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for lang, n, bad in (("a", 700, 0.0), ("b", 300, 0.01), ("c", 90, 0.0), ("d", 1200, 0.004)):
+        for _ in range(n):
+            i = len(rows)
+            marks = int(rng.random() < bad) * rng.randint(1, 40)
+            rows.append((i, " ".join(rng.choice(["alpha", "be", "Gamma", "delta"]) for _ in range(30)) + " #" * marks, lang))
+            labels.append((i, 1))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = quality.features(table).cache()
+    got = {r.stratum: r.accepted for r in quality.thresholds(found, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    steps = defaultdict(list)
+    for r in found.where("not base_failed").collect():
+        steps[r.stratum].append(r.step)
+    tested = {s: x for s, x in steps.items() if len(x) >= quality.fewest(quality.DELTA, quality.ALPHA)}
+    expected, p = {}, Fraction(2, 100)
+    for s, x in tested.items():
+        n, last = len(x), -1
+        for i in range(quality.N_STEPS):
+            k = sum(v <= i for v in x)
+            if k >= n * p or sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) > Fraction(5, 100) / len(tested):
+                break
+            last = i
+        if last >= 0:
+            expected[s] = last
+    assert set(tested) == {"a", "b", "d"} and got == expected and len(set(got.values())) > 1
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.judge(docs(spark, []), labels).count() == 0
@@ -309,6 +343,25 @@ def test_url_model_on_held_out_urls(spark):
     assert sum(got[i] == bool(y) for i, (_, y) in enumerate(held)) >= 0.8 * len(held)
 
 
+def test_url_model_without_two_kinds_of_labels(spark):
+    df = spark.createDataFrame([(1, "http://casino-win.example.org/x"), (2, "http://a.net/es/1")], "page_id long, url string")
+    for rows in ([], [("http://a.b/", 1)], [("http://a.b/", 0), ("http://c.d/", None)]):
+        labelled = spark.createDataFrame(rows, "url string, label int")
+        got = {r.page_id: (r.verdict, r.score) for r in url_filter.filter_urls(df, labelled=labelled).collect()}
+        assert got == {1: ("allow", None), 2: ("block", None)}
+
+
+def test_url_model_on_families_it_never_saw(spark):
+    """No labelled host stands in the judged table; planted families are told from all other hosts."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = [(r.host, r.score) for r in url_filter.filter_urls(pages).collect()]
+    trained = {re.match(r"https?://([^/]+)", u)[1] for u, _ in url_filter.TRAINING}
+    assert not trained & {h for h, _ in got}
+    planted = [s for h, s in got if re.search("spam-farm|cheap-pills|casino-win|free-bets|ads-track", h)]
+    others = [s for h, s in got if not re.search("spam-farm|cheap-pills|casino-win|free-bets|ads-track", h)]
+    assert sum(s > 0.5 for s in planted) >= 0.85 * len(planted) > 0 and not any(s > 0.5 for s in others)
+
+
 # --- chat ----------------------------------------------------------------------------------
 
 
@@ -473,3 +526,95 @@ print("done")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     found = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert found.stdout.endswith("done\n"), found.stderr[-2000:]
+
+
+class PlainText(HTMLParser):
+    """Visible text by Python's own parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "noscript", "template", "svg")
+        if tag in BLOCKS:
+            self.out.append("\n")
+
+    def handle_endtag(self, tag):
+        self.hidden = max(0, self.hidden - (tag in ("script", "style", "noscript", "template", "svg")))
+        if tag in BLOCKS:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if not self.hidden and self.get_starttag_text() is not None and not re.match(r"<title\b", self.get_starttag_text() or "", re.I):
+            self.out.append(data.replace("\n", " "))
+
+
+BLOCKS = set(
+    "address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul body html".split()
+)
+
+
+def test_plain_text_equals_that_of_a_parser(spark):
+    """All pages of a table: the words of the conversion are those that Python's HTML parser finds."""
+    pages = [r.html or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    differ = 0
+    for page in pages:
+        parser = PlainText()
+        parser.feed(page)
+        parser.close()
+        differ += warc.plain_text(page).split() != "".join(parser.out).split()
+    assert len(pages) > 200 and differ == 0
+
+
+def test_responses_of_warc_files_keep_headers_and_digests(spark, tmp_path):
+    def record(kind, uri, block, more=""):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{uri[-1] * 8}>\r\nWARC-Target-URI: {uri}\r\nWARC-Date: 2024-05-0{uri[-1]}T00:00:00Z\r\n{more}Content-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    page = "<html><body><p>Gr\u00fc\u00dfe</p></body></html>"
+    one = record("response", "http://a.example/1", b"HTTP/1.1 200 OK\r\nServer: x\r\nContent-Type: text/html; charset=iso-8859-1\r\n\r\n" + page.encode("latin-1"), "WARC-Payload-Digest: sha1:GIVEN\r\n")
+    two = record("response", "http://a.example/2", b"HTTP/1.1 404 Not Found\r\n\r\n" + page.encode())
+    cut = record("response", "http://a.example/3", b"HTTP/1.1 200 OK\r\n\r\nx").replace(b"Content-Length: 20", b"Content-Length: 99")
+    (tmp_path / "w").mkdir()
+    with open(tmp_path / "w" / "a.warc", "wb") as f:
+        f.write(record("warcinfo", "file:///0", b"software: x\r\n") + one + record("request", "http://a.example/1", b"GET / HTTP/1.1\r\n\r\n"))
+    with gzip.open(tmp_path / "w" / "b.warc.gz", "wb") as f:
+        f.write(two)
+    with open(tmp_path / "w" / "b.warc.gz", "ab") as f:  # a member of its own
+        f.write(gzip.compress(cut))
+    found = warc.read_responses(spark, str(tmp_path / "w"))
+    got = {r.target_uri[-1]: r for r in found.collect()}
+    assert {k: r.complete for k, r in got.items()} == {"1": True, "2": True, "3": False}
+    assert got["1"].payload == got["2"].payload == page and got["1"].date == "2024-05-01T00:00:00Z"
+    made = {(r.target_uri[-1], r.record_type): r for r in warc.derivatives(found).collect()}
+    assert made["1", "conversion"].body == "Gr\u00fc\u00dfe" and made["1", "conversion"].source_digest == "sha1:GIVEN"
+    assert made["1", "metadata"].body.startswith("source-header: HTTP/1.1 200 OK\r\nsource-header: Server: x\r\nsource-header: Content-Type: text/html; charset=iso-8859-1\r\n")
+    assert made["2", "conversion"].source_digest == warc.digest(page.encode()) and made["2", "metadata"].refers_to == "<urn:uuid:22222222>"
+
+
+SHORT = [(1, "Who wrote Hamlet?"), (2, "Name 3 primes"), (3, "Add 4 and 5"), (4, "too short"), (5, ITEM)]
+
+
+def test_leaks_of_short_items(spark):
+    """Items of three and four tokens: found where they stand as they are, with the same numbers."""
+    texts = ["I asked: who wrote HAMLET? Nobody knew.", "name 3 primes", "Name 4 primes", "please add 4 and 5 now", "add 4 and 6", "too short", "Who wrote Macbeth? Hamlet", ITEM]
+    tokens = lambda t: re.sub(r"[^\w ]", "", t.lower()).split()
+    expected = {}
+    for d, t in enumerate(texts):
+        w = tokens(t)
+        expected[d] = [i for i, x in SHORT if 3 <= len(tokens(x)) < 5 and any(w[k : k + len(tokens(x))] == tokens(x) for k in range(len(w)))]
+    expected[7].append(5)
+    assert found(spark, texts, SHORT) == expected
+
+
+def test_leaks_with_windows_that_all_share(spark):
+    """A phrase of every item and every document: results are those of plain containment."""
+    rng = random.Random(6)
+    words = ["w%s" % a for a in "abcdefghijklmnopqrst"]
+    stock = "we all know very well that this is so"
+    items = [(i, stock + " " + " ".join(rng.choice(words) for _ in range(rng.randint(2, 12)))) for i in range(20)] + [(50, stock)]
+    texts = [stock + " " + " ".join(rng.choice(words) for _ in range(15)) for _ in range(40)] + [x + " end" for _, x in items]
+    windows = lambda t: [tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)]
+    expected = {d: sorted(i for i, x in items if 5 * sum(w in set(windows(t)) for w in windows(x)) >= 4 * len(windows(x))) for d, t in enumerate(texts)}
+    assert found(spark, texts, items) == expected
