@@ -65,24 +65,41 @@ def snippet(text: Column, at: Column, size: Column, margin: int, dots: bool = Fa
     return F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(end < F.length(text), "...").otherwise(""))
 
 
+#: Matches whose places are added up in one fold; more go in blocks of so many.
+_BLOCK = 64
+
+
+def _starts(lengths: Column) -> Column:
+    """Where each match begins, from array<struct<gap, hit>> of lengths. A fold copies the array it
+    builds, so it runs over blocks: the work grows with the number of matches, not with its square."""
+
+    def fold(part: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, start, lambda a, x: F.struct((a["at"] + x["gap"] + x["hit"]).alias("at"), F.concat(a["out"], F.array(a["at"] + x["gap"])).alias("out")))
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.struct(F.lit(0).alias("gap"), b["at"].alias("hit")))
+        return F.flatten(F.zip_with(fold(totals)["out"], blocks, lambda base, b: F.transform(b["out"], lambda x: x + base)))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")), lambda k: fold(F.slice(lengths, k * _BLOCK + 1, F.lit(_BLOCK))))
+    return F.when(F.size(lengths) <= _BLOCK, fold(lengths)["out"]).otherwise(let(blocks, joined))
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """Every match as array<struct<start, text>>.
 
     Spark's regexp functions give the matches without places. The gaps between them come
-    from ``split``; a fold over gaps and matches adds up the places. Meant for patterns with few matches
-    a row; for token-level scans use ``explode_matches``.
+    from ``split``; the places are sums of the lengths of gaps and matches.
     """
-    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        here = acc["at"] + F.length(x["gap"])
-        hit = F.array(F.struct(here.alias("start"), x["hit"].alias("text")))
-        return F.struct((here + F.length(x["hit"])).alias("at"), F.concat(acc["out"], hit).alias("out"))
+    def of(both: Column) -> Column:
+        lengths = F.zip_with(F.slice(both["gaps"], F.lit(1), F.size(both["hits"])), both["hits"], lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit")))
+        return F.zip_with(let(lengths, _starts), both["hits"], lambda s, h: F.struct(s.alias("start"), h.alias("text")))
 
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
     # ``split`` compiles its pattern for every row, ``rlike`` once: texts without a match never reach it.
     none = F.array().cast("array<struct<start:int,text:string>>")
-    return F.when(F.coalesce(~text.rlike(pattern), F.lit(True)), none).otherwise(F.aggregate(F.filter(both, lambda x: x["hit"].isNotNull()), start, add, lambda acc: acc["out"]))
+    return F.when(F.coalesce(~text.rlike(pattern), F.lit(True)), none).otherwise(let(both, of))
 
 
 def explode_matches(df: DataFrame, text: str, pattern: str, keys: list[str]) -> DataFrame:

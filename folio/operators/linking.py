@@ -24,7 +24,9 @@ def candidate_links(people: DataFrame, accept: float = 0.9, review: float = 0.6)
     ``people`` has name_key. Pairs are made between distinct keys of a block, not between mentions."""
     keys = people.select("name_key").distinct().withColumn("block", F.substring_index("name_key", " ", -1))
     a, b = keys.select(F.col("name_key").alias("a"), "block"), keys.select(F.col("name_key").alias("b"), "block")
-    pairs = a.join(b, "block").where("a < b").select("a", "b", similarity(F.col("a"), F.col("b")).alias("score"))
+    # An edit distance of at most (1 - review) of the longer name bounds the difference of lengths; checked before the distance.
+    like = F.least(F.length("a"), F.length("b")) >= review * F.greatest(F.length("a"), F.length("b")) - 1e-9
+    pairs = a.join(b, "block").where((F.col("a") < F.col("b")) & like).select("a", "b", similarity(F.col("a"), F.col("b")).alias("score"))
     return pairs.where(F.col("score") >= review).withColumn("link", F.when(F.col("score") >= accept, "same").otherwise("review"))
 
 
@@ -32,10 +34,11 @@ def co_mentions(mentions: DataFrame, cap: int = 5) -> DataFrame:
     """(a, b, n, evidence): people named in the same sentence, ordered pairs once, with up to ``cap`` first sentence ids.
 
     ``mentions``: doc_id, sentence_id, name_key."""
-    one = mentions.select("doc_id", "sentence_id", "name_key").distinct()
-    other = one.withColumnRenamed("name_key", "b")
-    pairs = one.withColumnRenamed("name_key", "a").join(other, ["doc_id", "sentence_id"]).where("a < b")
-    # A limit by rank is applied before the exchange too, so a frequent pair never gathers its rows.
+    sentence = mentions.groupBy("doc_id", "sentence_id").agg(F.sort_array(F.collect_set("name_key")).alias("names")).where(F.size("names") > 1)
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    every = F.flatten(F.transform("names", lambda x, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda y: pair(x, y))))
+    pairs = sentence.select("doc_id", "sentence_id", F.explode_outer(every).alias("p")).where("p is not null").select("doc_id", "sentence_id", "p.a", "p.b")
+    # Both results read the same exchange. A limit by rank is applied before the exchange too, so a frequent pair never gathers its rows.
     rank = F.row_number().over(W.partitionBy("a", "b").orderBy("doc_id", "sentence_id"))
     shown = pairs.withColumn("r", rank).where(F.col("r") <= cap).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.concat_ws(":", "doc_id", "sentence_id"))).alias("evidence"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).join(shown, ["a", "b"])
@@ -43,9 +46,11 @@ def co_mentions(mentions: DataFrame, cap: int = 5) -> DataFrame:
 
 def people_index(mentions: DataFrame) -> DataFrame:
     """(name_key, display_name, n_mentions, n_documents): the display name is the most frequent spelling, of equal ones the first."""
-    spelled = mentions.groupBy("name_key", "name").agg(F.count("*").alias("n"))
+    # Both results read the exchange of this count.
+    each = mentions.groupBy("name_key", "name", "doc_id").agg(F.count("*").alias("n"))
+    spelled = each.groupBy("name_key", "name").agg(F.sum("n").alias("n"))
     display = spelled.groupBy("name_key").agg(F.min(F.struct(-F.col("n"), F.col("name").alias("display_name"))).alias("d")).select("name_key", "d.display_name")
-    counts = mentions.groupBy("name_key").agg(F.count("*").alias("n_mentions"), F.countDistinct("doc_id").alias("n_documents"))
+    counts = each.groupBy("name_key", "doc_id").agg(F.sum("n").alias("n"), F.count("name").alias("spellings")).groupBy("name_key").agg(F.sum("n").alias("n_mentions"), F.count("*").alias("n_documents"))
     return display.join(counts, "name_key")
 
 

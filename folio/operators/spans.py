@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,18 +51,30 @@ def detector_hits(spans: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", F.col("attributes.detector").alias("detector")).agg(F.count("*").alias("hits"))
 
 
-def document_stats(sentences: DataFrame, emitted: DataFrame, kept: DataFrame) -> DataFrame:
+def span_length(start: Column, end: Column) -> Column:
+    """Length of a span; 0 where the end lies before the start."""
+    return F.greatest(end - start, F.lit(0))
+
+
+def document_stats(emitted: DataFrame) -> DataFrame:
     """Per document: regex_spans and ner_spans (before dedupe), total_spans (after), sentences, passages, detector_hits.
 
-    ``sentences``: (doc_id, passage_ord); ``emitted``, ``kept``: span rows.
-    """
-    base = sentences.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.countDistinct("passage_ord").alias("passages"))
-    before = emitted.groupBy("doc_id").agg(F.count_if(F.col("source") == "regex").alias("regex_spans"), F.count_if(F.col("source") == "ner").alias("ner_spans"))
-    after = kept.groupBy("doc_id").agg(F.count("*").alias("total_spans"))
-    hits = detector_hits(kept).groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("detector", "hits")))).alias("detector_hits"))
-    joined = base.join(before, "doc_id", "left").join(after, "doc_id", "left").join(hits, "doc_id", "left")
-    zero = {c: F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("regex_spans", "ner_spans", "total_spans")}
-    return joined.select("doc_id", *zero.values(), "sentences", "passages", F.coalesce("detector_hits", F.create_map().cast("map<string,bigint>")).alias("detector_hits"))
+    ``emitted``: the rows of ``emit`` with ``all_sentences``. One pass: rows are counted by span key, where the
+    dedupe's choice is a minimum, then by document and detector, then by document."""
+    first = F.coalesce(F.col("k") == 0, F.lit(True))
+    choice = F.struct(-F.coalesce("confidence", F.lit(0.0)), F.struct("passage_ord", "ord", "k"), F.col("attributes.detector").alias("detector"))
+    there = F.col("span_type").isNotNull()
+    keys = emitted.groupBy(*KEY).agg(
+        F.count_if(there).alias("n"), F.count_if(first).alias("sentences"), F.count_if(first & (F.col("ord") == 0)).alias("passages"), F.min(F.when(there, choice)).alias("c")
+    )
+    regex, kept = F.col("source") == "regex", F.col("n") > 0
+    by = keys.groupBy("doc_id", F.when(regex, F.col("c.detector")).alias("detector")).agg(
+        F.sum(F.when(regex, F.col("n")).otherwise(0)).alias("regex_spans"), F.sum(F.when(F.col("source") == "ner", F.col("n")).otherwise(0)).alias("ner_spans"),
+        F.count_if(kept).alias("total_spans"), F.sum("sentences").alias("sentences"), F.sum("passages").alias("passages"),
+    )
+    hits = F.sort_array(F.collect_list(F.when(F.col("detector").isNotNull(), F.struct("detector", F.col("total_spans").alias("hits")))))
+    sums = [F.sum(c).alias(c) for c in ("regex_spans", "ner_spans", "total_spans", "sentences", "passages")]
+    return by.groupBy("doc_id").agg(*sums, F.map_from_entries(hits).alias("detector_hits"))
 
 
 def totals(stats: DataFrame) -> DataFrame:

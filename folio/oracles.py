@@ -277,8 +277,13 @@ ORACLES: dict[str, str] = {
     "review_text": f"""WITH {_VERDICTS} SELECT doc_id, 'Verdict: ' || verdict || chr(10) || 'Issues: ' || issue_count || ' | Missing people: ' || missing_people_count
       || CASE WHEN issue_count = 1 THEN chr(10) || chr(10) || 'Issues' || chr(10) || '[1] ' || first_type || chr(10) || '  ' || CASE WHEN bad THEN 'The answer was not valid JSON.' ELSE 'd' END ELSE '' END
       || CASE WHEN missing_people_count = 1 THEN chr(10) || 'Missing People' || chr(10) || '- A B' ELSE '' END AS report FROM verdicts""",
-    "spans_law_and_ids": r"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, '' AS detector, CAST(0 AS INTEGER) AS span_start, CAST(0 AS INTEGER) AS span_end, text AS span_text, text AS normalized, text AS code FROM documents
-      WHERE regexp_matches(text, '(?i)Điều\s+\d|(?:sinh\s+năm|sinh|sn)\s*(?:19|20)\d{2}|(?:CMND|CCCD)[^\n]{0,12}\d[\d\s.]{8,}')""",
+    "spans_law_and_ids": """WITH m AS (
+        SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(doc_id % 300 AS VARCHAR) AS article, 'Điều ' || doc_id % 300 || ' Bộ luật Hình sự ' || (1999 + doc_id % 20) AS law,
+          CAST(1940 + doc_id % 60 AS VARCHAR) AS y, CAST(doc_id + 100000000 AS VARCHAR) AS n FROM documents),
+      p AS (SELECT *, 5 AS at_law, 5 + length(law) + 8 AS at_year, 5 + length(law) + 8 + 13 + 2 AS at_id FROM m)
+      SELECT doc_id, 'law_article' AS detector, at_law AS span_start, CAST(at_law + length(law) AS INTEGER) AS span_end, law AS span_text, article AS normalized, 'Bộ luật Hình sự' AS code FROM p
+      UNION ALL SELECT doc_id, 'dob_year', CAST(at_year AS INTEGER), CAST(at_year + 13 AS INTEGER), 'sinh năm ' || y, y, NULL FROM p
+      UNION ALL SELECT doc_id, 'national_id', CAST(at_id AS INTEGER), CAST(at_id + 8 + length(n) AS INTEGER), 'CMND số ' || n, n, NULL FROM p""",
     "manual_summary": f"""WITH marks AS (
         SELECT d.doc_id, CASE WHEN toxic = 1 THEN CASE WHEN d.doc_id % 2 = 0 THEN 'invalid' END WHEN quality = 1 THEN 'valid' WHEN quality IS NOT NULL THEN 'invalid' END AS s FROM documents d LEFT JOIN labels l USING (doc_id)),
       c AS (SELECT count(*) AS total, count(*) FILTER (s = 'valid') AS valid, count(*) FILTER (s = 'invalid') AS invalid, count(*) FILTER (s IS NULL) AS unset FROM marks)

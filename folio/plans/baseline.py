@@ -44,11 +44,15 @@ def sentence_rows(articles: DataFrame) -> DataFrame:
     )
 
 
-def emit(rows: DataFrame, detectors: Sequence[Detector] = DETECTORS, ner: str = "simple") -> DataFrame:
-    """All spans of sentence rows, detectors before names in each sentence; ``emit_seq`` orders those of a document."""
+def emit(rows: DataFrame, detectors: Sequence[Detector] = DETECTORS, ner: str = "simple", all_sentences: bool = False) -> DataFrame:
+    """All spans of sentence rows, detectors before names in each sentence; ``emit_seq`` orders those of a document.
+    With ``all_sentences``, a sentence without spans is a row of nulls, and the parts of ``emit_seq`` are columns too."""
     at = (F.col("base"), F.col("sentence_id"), F.col("passage_id"))
     found = F.concat(detect(F.col("sentence"), *at, detectors), entity_spans(backend_entities(F.col("sentence"), ner), *at, ner))
-    spans = rows.select("doc_id", "passage_ord", "ord", F.posexplode_outer(found).alias("k", "s")).where("s is not null")
+    spans = rows.select("doc_id", "passage_ord", "ord", F.posexplode_outer(found).alias("k", "s"))
+    if all_sentences:
+        return spans.select("doc_id", "passage_ord", "ord", "k", "s.*")
+    spans = spans.where("s is not null")
     return spans.select("doc_id", "s.*", F.struct("passage_ord", "ord", "k").alias("emit_seq"))
 
 
@@ -61,4 +65,4 @@ def run(articles: DataFrame, detectors: Sequence[Detector] = DETECTORS, ner: str
     rows = sentence_rows(articles)
     emitted = emit(rows, detectors, ner)
     kept = dedupe(emitted)
-    return Baseline(rows, emitted, kept, document_stats(rows, emitted, kept))
+    return Baseline(rows, emitted, kept, document_stats(emit(rows, detectors, ner, all_sentences=True)))

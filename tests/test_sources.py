@@ -120,3 +120,52 @@ def test_stream_dedupe(spark, tmp_path):
     q = incremental.dedupe_urls(incremental.read_new_articles(spark, str(src))).writeStream.format("memory").queryName("seen_urls").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("seen_urls").count() == 2
+
+
+def test_span_documents_round_trip(spark, tmp_path):
+    from folio.operators import spans as S
+    from folio.operators import verify
+    from folio.plans import baseline
+    from folio.sources import results
+
+    passages = "array<struct<passage_id:int,text:string,start:int,end:int,word_count:int,paragraph_indices:array<int>>>"
+    rows = [("d1", "One", ["Ông Nguyễn Văn An gọi 0912345678. Sinh năm 1980.", "Bà Trần Thị Bình."], None), ("d2", "Two", ["nothing"], None)]
+    articles = spark.createDataFrame(rows, f"doc_id string, title string, paragraphs array<string>, passages {passages}")
+    found = baseline.run(articles)
+    docs = results.span_documents(found.spans, found.stats, articles)
+    results.write_documents(docs, str(tmp_path / "spans"))
+    back = results.read_span_documents(spark, str(tmp_path / "spans"), lines=True)
+    got = {r.doc_id: r for r in back.collect()}
+    assert [len(got[d].spans) for d in ("d1", "d2")] == [found.spans.count(), 0] and got["d1"].title == "One"
+    assert [s.start for s in got["d1"].spans] == sorted(s.start for s in got["d1"].spans) and got["d1"].stats.detector_hits == {"phone": 1, "dob_year": 1}
+    checked = verify.verify(results.spans_of(back), articles)
+    assert checked.where("not verified").isEmpty()
+    made = {r.doc_id: r for r in results.verified_documents(checked, back).collect()}
+    assert made["d1"].verifier_stats.verified_spans == len(made["d1"].spans) == found.spans.count() and made["d2"].verifier_stats.input_spans == 0 and made["d2"].dropped == []
+    lost = {r.doc_id: r for r in results.verified_documents(verify.verify(results.spans_of(back), articles.where("doc_id = 'd2'")), back).collect()}
+    assert {x.reason for x in lost["d1"].dropped} == {"missing_article"} and lost["d1"].spans == []
+    assert S.totals(found.stats).first().docs == 2
+    running = verify.by_type(checked, running=True).where("span_type = 'person'").first()
+    assert running.verified == running.total and 0 < running.avg_confidence <= 1
+    assert spark.range(1).select(S.span_length(F.lit(3), F.lit(8)).alias("a"), S.span_length(F.lit(3), F.lit(1)).alias("b")).first()[:] == (5, 0)
+
+
+def test_extraction_files(spark, tmp_path):
+    import json
+
+    from folio.operators import validation
+    from folio.sources import results
+
+    person = {"name": {"text": "An", "start": 0, "end": 2}}
+    (tmp_path / "x").mkdir()
+    files = {
+        "a_p0.json": {"doc_id": "a", "passage_id": 0, "model": "m", "passage": {"text": "An came"}, "response": {"parsed": {"people": [person]}}},
+        "b_p1.json": {"passage_id": 1, "passage": {"text": "Bo came"}, "response": {"raw": "```json\n" + json.dumps({"people": [person]}) + "\n```"}},
+        "c.json": {"doc_id": "c"},
+    }
+    for name, data in files.items():
+        (tmp_path / "x" / name).write_text(json.dumps(data))
+    got = {r.source_file: r for r in validation.validate(results.read_extractions(spark, str(tmp_path / "x"))).collect()}
+    assert got["a_p0.json"].issues == [] and got["a_p0.json"].original_model == "m"
+    assert got["b_p1.json"].doc_id == "b_p1" and [i.type for i in got["b_p1.json"].issues] == ["hallucination"] and got["b_p1.json"].original_model == "unknown"
+    assert got["c.json"].people is None and got["c.json"].issues == [] and got["c.json"].passage_id == 0
