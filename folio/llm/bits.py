@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits for each hash, and the largest array: 2**28 bits are 32 MB.
-BITS_A_HASH, MAX_LOG_BITS = 8, 28
+#: Bits for each hash, and the smallest and the largest array: 2 and 32 MB. Few hashes get a sparse array, as false hits cost more than its size.
+BITS_A_HASH, MIN_LOG_BITS, MAX_LOG_BITS = 8, 24, 28
 
 
 def _places(h: np.ndarray, log_bits: int) -> np.ndarray:
@@ -27,7 +27,7 @@ def bit_array(hashes: DataFrame) -> bytes:
     """The array over a one-column table of longs, which is also counted, so it should be a written
     one. Tasks send the words they set, merged by word before the driver gets them: at
     most 2**MAX_LOG_BITS / 64 rows."""
-    log_bits = max(18, min(MAX_LOG_BITS, (BITS_A_HASH * hashes.count()).bit_length()))
+    log_bits = max(MIN_LOG_BITS, min(MAX_LOG_BITS, (BITS_A_HASH * hashes.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (log_bits - 3), np.uint8)
