@@ -28,20 +28,28 @@ FROM judged GROUP BY doc_id
 
 OP7 = """
 WITH turns AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, turn // 512 AS part FROM conversations
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) - 1 AS n FROM turns
+), parts AS (
+  SELECT *, n // 512 AS part FROM numbered
+), shown AS (
+  SELECT conv_id, part, n, role, text, false AS again FROM parts
+  UNION ALL
+  SELECT conv_id, later.part, n, role, text, true FROM parts s JOIN (SELECT DISTINCT conv_id, part FROM parts WHERE part > 0) later USING (conv_id) WHERE s.part = 0 AND role = 'system'
 ), speakers AS (
   SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'
 ), seated AS (
-  SELECT conv_id, perspective, part, turn, role, text, role = perspective AS own,
+  SELECT *, role = perspective AS own,
     '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head
-  FROM turns JOIN speakers USING (conv_id)
+  FROM shown JOIN speakers USING (conv_id)
 ), pieces AS (
   SELECT *, head || text || '<|im_end|>' || chr(10) AS piece FROM seated
 ), placed AS (
-  SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, role, text) AS stop FROM pieces
+  SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, perspective, part ORDER BY n) AS stop FROM pieces
 )
-SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(piece, '' ORDER BY turn, role, text) AS text,
-  coalesce(string_agg((stop - length(piece) + length(head)) || '-' || (stop - 1), ' ' ORDER BY turn, role, text) FILTER (own), '') AS mask,
+SELECT conv_id, perspective, part, count(*) FILTER (NOT again) AS n_turns, count(*) FILTER (again) AS n_context, string_agg(piece, '' ORDER BY n) AS text,
+  coalesce(string_agg((stop - length(piece) + length(head)) || '-' || (stop - 1), ' ' ORDER BY n) FILTER (own), '') AS mask,
   CAST(coalesce(sum(length(piece) - length(head) - 1) FILTER (own), 0) AS BIGINT) AS mask_chars
 FROM placed GROUP BY conv_id, perspective, part
 """

@@ -376,10 +376,28 @@ def test_chat_rotation(spark):
     assert [by[1, "ann", 0].text[m.start : m.stop] for m in by[1, "ann", 0]["mask"]] == ["hi<|im_end|>", "<|im_end|>"]
     assert not any(k[0] == 2 for k in by) and by[3, "unknown", 0].text.startswith("<|im_start|>assistant\nq")
     assert sorted(r.perspective for r in got if r.conv_id is None) == ["ann", "bob"]
-    assert {k for k in by if k[0] == 4} == {(4, p, q) for p in ("ann", "bob") for q in (0, 1)} and by[4, "ann", 0]["mask"] == []
+    assert {k for k in by if k[0] == 4} == {(4, p, 0) for p in ("ann", "bob")} and by[4, "bob", 0].n_turns == 2
     assert chat.rotate(df.where("false")).count() == 0
 
 
+def test_chat_long_dialogue(spark):
+    """Parts by rank, whatever the turn numbers; a conversation over several partitions equals a plain rendering."""
+    rows = [(1, 1000 * t if t % 7 else None, "system" if t % 50 == 3 else f"p{t % 3}", f"é{t}" * (t % 4)) for t in range(400)]
+    rows += [(1, 5, "p1", f"tie {k}") for k in range(60)] + [(2, 9, "p0", "only")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {(r.conv_id, r.perspective, r.part): r for r in chat.rotate(df, 100).collect()}
+    mine = sorted({r for r in rows if r[0] == 1}, key=lambda r: (r[1] is not None, r[1] or 0, r[2], hashlib.md5(r[3].encode()).hexdigest()))
+    first = [r for r in mine[:100] if r[2] == "system"]
+    assert first and len(got) == 3 * -(-len(mine) // 100) + 1
+    for (conv, who, part), r in got.items():
+        if conv == 1:
+            own = mine[100 * part : 100 * part + 100]
+            turns = (first if part else []) + own
+            head = [f"<|im_start|>{'assistant' if role == who else 'system' if role == 'system' else 'user name=' + role}\n" for *_, role, _ in turns]
+            assert r.text == "".join(h + t[3] + "<|im_end|>\n" for h, t in zip(head, turns)) and (r.n_turns, r.n_context) == (len(own), len(turns) - len(own))
+            assert [r.text[m.start : m.stop] for m in r["mask"]] == [t[3] + "<|im_end|>" for t in turns if t[2] == who]
+
+
 # --- WARC ----------------------------------------------------------------------------------
 
 PAGE = '<html><head><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head><body><p>One<b>two</b> &eacute;<br>x<!-- <a href="no"> --><a class=k href="/p?a=1&amp;b=2">link</a><p title="a>b">end'
