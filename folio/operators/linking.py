@@ -18,15 +18,23 @@ def similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
+def birth_year(published_at: Column, age: Column) -> Column:
+    """Year of birth of a person of ``age`` in an article of ``published_at``; null if either is."""
+    return F.year(published_at) - age
+
+
 def candidate_links(people: DataFrame, accept: float = 0.9, review: float = 0.6) -> DataFrame:
     """Pairs of distinct name keys with the same last word, scored: ``same`` from ``accept`` on, ``review`` from ``review`` on.
 
-    ``people`` has name_key. Pairs are made between distinct keys of a block, not between mentions."""
-    keys = people.select("name_key").distinct().withColumn("block", F.substring_index("name_key", " ", -1))
-    a, b = keys.select(F.col("name_key").alias("a"), "block"), keys.select(F.col("name_key").alias("b"), "block")
-    # An edit distance of at most (1 - review) of the longer name bounds the difference of lengths; checked before the distance.
-    like = F.least(F.length("a"), F.length("b")) >= review * F.greatest(F.length("a"), F.length("b")) - 1e-9
-    pairs = a.join(b, "block").where((F.col("a") < F.col("b")) & like).select("a", "b", similarity(F.col("a"), F.col("b")).alias("score"))
+    ``people`` has name_key; nulls have no links. An edit distance of at most (1 - review) of the longer name bounds
+    the difference of lengths, so a key meets only the keys of its last word and of a length that can be near enough:
+    the join key is (last word, length), which also splits the names of a frequent last word. Every pair comes once."""
+    keys = people.where("name_key is not null").select("name_key").distinct().select("name_key", F.substring_index("name_key", " ", -1).alias("block"), F.length("name_key").alias("n"))
+    lengths = F.sequence(F.ceil(review * F.col("n") - 1e-9).cast("int"), F.col("n"))
+    longer = keys.select(F.col("name_key").alias("x"), F.col("n").alias("nx"), "block", F.explode(lengths).alias("n"))
+    shorter = keys.withColumnRenamed("name_key", "y")
+    met = longer.join(shorter, ["block", "n"]).where((F.col("nx") > F.col("n")) | (F.col("x") < F.col("y")))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), similarity(F.col("x"), F.col("y")).alias("score"))
     return pairs.where(F.col("score") >= review).withColumn("link", F.when(F.col("score") >= accept, "same").otherwise("review"))
 
 

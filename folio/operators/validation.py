@@ -166,3 +166,12 @@ def batch_summary(reports: DataFrame) -> DataFrame:
 def priority(reports: DataFrame) -> DataFrame:
     """Reports with critical issues."""
     return reports.where("critical_issues > 0")
+
+
+def missed_names(found: DataFrame, people: DataFrame, keys: tuple[str, ...] = ("doc_id", "passage_id")) -> DataFrame:
+    """Rows of ``found`` (keys, name: names in the text) that are part of no extracted name of their passage, without
+    regard to case. ``people``: keys, name. A passage without extracted names misses all of its names."""
+    known = people.where("name is not null").groupBy(*keys).agg(F.collect_set(F.lower("name")).alias("__known"))
+    joined = found.join(known, list(keys), "left")
+    inside = F.exists("__known", lambda k: F.contains(k, F.lower("name")))
+    return joined.where(~F.coalesce(inside, F.lit(False))).drop("__known")

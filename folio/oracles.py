@@ -100,6 +100,9 @@ def _key(name: str) -> str:
 
 
 _KEYED = f"keyed AS (SELECT *, {_key('name')} AS name_key FROM people)"
+_LINKS = """blocks AS (SELECT k, string_split(k, ' ')[-1] AS block FROM keys),
+      pairs AS (SELECT x.k AS a, y.k AS b, 1 - levenshtein(x.k, y.k) / greatest(length(x.k), length(y.k), 1) AS score FROM blocks x JOIN blocks y ON x.block = y.block AND x.k < y.k)
+      SELECT a, b, round(score, 6) AS score, CASE WHEN score >= 0.9 THEN 'same' ELSE 'review' END AS link FROM pairs WHERE score >= 0.6"""
 _CORRUPTED = """corrupted AS (
   SELECT s.* REPLACE (
       CASE span_start % 5 WHEN 1 THEN 10000000 WHEN 2 THEN span_start ELSE span_end END AS span_end,
@@ -206,9 +209,9 @@ ORACLES: dict[str, str] = {
     "co_mentions": f"""WITH {_SENTENCES}, {_TOKENS}, {_PEOPLE}, {_KEYED}, one AS (SELECT DISTINCT doc_id, sentence_id, name_key FROM keyed)
       SELECT x.name_key AS a, y.name_key AS b, count(*) AS n, array_to_string(list_sort(list(x.doc_id || ':' || x.sentence_id ORDER BY x.doc_id, x.sentence_id)[1:5]), ' ') AS evidence
       FROM one x JOIN one y ON x.doc_id = y.doc_id AND x.sentence_id = y.sentence_id AND x.name_key < y.name_key GROUP BY ALL""",
-    "name_links": f"""WITH keys AS (SELECT DISTINCT {_key('p_name')} AS k FROM part), blocks AS (SELECT k, string_split(k, ' ')[-1] AS block FROM keys),
-      pairs AS (SELECT x.k AS a, y.k AS b, 1 - levenshtein(x.k, y.k) / greatest(length(x.k), length(y.k), 1) AS score FROM blocks x JOIN blocks y ON x.block = y.block AND x.k < y.k)
-      SELECT a, b, round(score, 6) AS score, CASE WHEN score >= 0.9 THEN 'same' ELSE 'review' END AS link FROM pairs WHERE score >= 0.6""",
+    "mention_links": f"""WITH {_SENTENCES}, {_TOKENS}, {_PEOPLE}, {_KEYED}, keys AS (SELECT DISTINCT name_key AS k FROM keyed), {_LINKS}""",
+    "name_links": f"""WITH keys AS (SELECT DISTINCT {_key('p_name')} AS k FROM part), {_LINKS}""",
+    "article_loading": "SELECT count(*) FILTER (contains(html, '<h1') AND contains(html, '<article')) AS loaded, count(*) FILTER (NOT (contains(html, '<h1') AND contains(html, '<article'))) AS failed FROM pages",
     "detector_hits": f"WITH {_SPANS}, once AS (SELECT DISTINCT doc_id, span_type, detector, span_start, span_end, span_text FROM spans) SELECT doc_id, detector, count(*) AS hits FROM once GROUP BY ALL",
     "span_dedupe": f"""WITH {_SPANS}, emitted AS (
         SELECT *, 0 AS round FROM spans UNION ALL SELECT * REPLACE (CASE WHEN span_start % 2 = 0 THEN 0.99 ELSE confidence END AS confidence), 1 AS round FROM spans)
@@ -254,7 +257,7 @@ ORACLES: dict[str, str] = {
     "orders_with_lines": """SELECT o_orderkey AS id, CAST(count(l_partkey) AS INTEGER) AS n_lines, coalesce(string_agg(l_linenumber || ':' || l_partkey, ' ' ORDER BY l_linenumber, l_partkey), '') AS children
       FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) ON l_orderkey = o_orderkey GROUP BY o_orderkey""",
     "url_document_id": r"""SELECT page_id, coalesce(nullif(regexp_extract(url, '-(\d+)\.htm', 1), ''), replace(string_split(regexp_replace(url, '/+$', ''), '/')[-1], '.htm', '')) AS from_url,
-      CAST(page_id + 100000 AS VARCHAR) AS from_number, 'https://site.example' || regexp_replace(url, '^https?://[^/]+', '') AS absolute FROM pages""",
+      CAST(page_id + 100000 AS VARCHAR) AS from_number, 'https://site.example' || regexp_replace(url, '^https?://[^/]+', '') AS absolute, 'https://site.example/a/' || page_id || '/x.htm?up=../y' AS climbed FROM pages""",
     "first_url": "SELECT host, page_id, url FROM (SELECT *, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages) QUALIFY row_number() OVER (PARTITION BY host ORDER BY page_id) = 1",
     "timeline_collect": """WITH entries AS (
         SELECT CAST(page_id % 5 + 1 AS INTEGER) AS page, CAST(page_id AS INTEGER) AS position, url, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '') AS canonical_url FROM pages WHERE contains(lower(regexp_replace(url, '[?#].*$', '')), 'example.com'))

@@ -12,7 +12,7 @@ from .operators import extraction, linking, ner, review, selection, spans, valid
 from .operators.detectors import DETECTORS, detect
 from .operators.passages import pack_passages, paragraph_passages
 from .operators.sentences import explode_sentences
-from .plans import baseline
+from .plans import baseline, ingest
 from .schemas import PERSON
 from .sources import articles as source
 from .sources import html
@@ -136,9 +136,15 @@ def co_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.co_mentions(mentions(spark, sf_dir)).select("a", "b", "n", F.array_join("evidence", " ").alias("evidence"))
 
 
+@query
+def mention_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate links between the people named in the documents (distinct keys of a block)."""
+    return linking.candidate_links(mentions(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
 @query
 def name_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate links between customer names (distinct keys of a block)."""
+    """The same links between the names of parts."""
     people = table(spark, sf_dir, "part").select(linking.name_key(F.col("p_name")).alias("name_key"))
     return linking.candidate_links(people).withColumn("score", F.round("score", 6))
 
@@ -274,7 +280,14 @@ def orders_with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_document_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     made = F.concat(F.lit("https://x.example/a-"), (F.col("page_id") + 100000).cast("string"), F.lit(".htm"))
-    return pages.select("page_id", source.document_id(F.col("url")).alias("from_url"), source.document_id(made).alias("from_number"), source.absolute_url(F.regexp_replace("url", "^https?://[^/]+", ""), "https://site.example/").alias("absolute"))
+    return pages.select("page_id", source.document_id(F.col("url")).alias("from_url"), source.document_id(made).alias("from_number"), source.absolute_url(F.regexp_replace("url", "^https?://[^/]+", ""), "https://site.example/").alias("absolute"),
+                        source.absolute_url(F.concat(F.lit("../"), F.col("page_id").cast("string"), F.lit("/./x.htm?up=../y")), "https://site.example/a/b/c").alias("climbed"))
+
+
+@query
+def article_loading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages parsed, packed into passages and counted."""
+    return ingest.outcome(ingest.load_articles(table(spark, sf_dir, "pages"), where=html.PLAIN))
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,10 +89,25 @@ def document_id(url: Column) -> Column:
 
 
 def absolute_url(href: Column, base: str) -> Column:
-    """``href`` against a site root; dot segments are left as they are."""
-    root = base.rstrip("/")
-    scheme = base.split("://")[0]
-    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.lit(scheme + ":"), href)).when(href.startswith("/"), F.concat(F.lit(root), href)).otherwise(F.concat(F.lit(root + "/"), href))
+    """``href`` resolved against the page ``base`` as RFC 3986 says, dot segments included; null stays null."""
+    at = urlsplit(base)
+    root, folder = f"{at.scheme}://{at.netloc}", (at.path or "/").rpartition("/")[0] + "/"
+    path, rest = F.regexp_extract(href, r"^[^?#]*", 0), F.regexp_extract(href, r"(?s)[?#].*$", 0)
+    query = F.when(href.startswith("?"), "").otherwise(f"?{at.query}" if at.query else "")
+    segments = F.split(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(folder), path)), "/")
+
+    def step(out: Column, segment: Column) -> Column:
+        parent = F.when(F.size(out) > 1, F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(out)
+        return F.when(segment == ".", out).when(segment == "..", parent).otherwise(F.concat(out, F.array(segment)))
+
+    resolved = F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/")
+    end = F.when(F.element_at(segments, -1).isin(".", ".."), "/").otherwise("")
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(F.lit(at.scheme + ":"), href))
+        .when(path == "", F.concat(F.lit(root + at.path), query, rest))
+        .otherwise(F.concat(F.lit(root), resolved, end, rest))
+    )
 
 
 def page_urls(spark: SparkSession, template: str, pages: int) -> DataFrame:

@@ -158,17 +158,19 @@ def _article(page: str, url: str, where: Selectors) -> dict:
     }
 
 
-def parse_articles(pages: DataFrame, where: Selectors = Selectors(), key: str = "page_id") -> DataFrame:
+def parse_articles(pages: DataFrame, where: Selectors = Selectors(), key: str = "page_id", keep_html: bool = False) -> DataFrame:
     """(key, url, title, summary, author, category, published_at, canonical_url, paragraphs, error) of ``pages`` (key, url, html).
-    A page without title or body is a row with ``error``, not a failure; a bad time is null."""
+    A page without title or body is a row with ``error``, not a failure; a bad time is null.
+    With ``keep_html`` the page itself is the last column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_article(h or "", u or "", where) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             columns = [batch.column(0), batch.column(1), *(pa.array([x.get(n) for x in found], t) for n, t in _ARTICLE)]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "url", *(n for n, _ in _ARTICLE)])
+            names = [key, "url", *(n for n, _ in _ARTICLE)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(2)], names=[*names, "html"]) if keep_html else pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = f"{key} {pages.schema[key].dataType.simpleString()}, url string, " + ", ".join(f"{n} {'array<string>' if n == 'paragraphs' else 'string'}" for n, _ in _ARTICLE)
+    schema = f"{key} {pages.schema[key].dataType.simpleString()}, url string, " + ", ".join(f"{n} {'array<string>' if n == 'paragraphs' else 'string'}" for n, _ in _ARTICLE) + (", html string" if keep_html else "")
     found = pages.select(key, "url", "html").mapInArrow(run, schema)
     return found.withColumn("published_at", F.try_to_timestamp(F.regexp_replace("published", "Z$", "+00:00"))).drop("published")
 

@@ -169,3 +169,68 @@ def test_extraction_files(spark, tmp_path):
     assert got["a_p0.json"].issues == [] and got["a_p0.json"].original_model == "m"
     assert got["b_p1.json"].doc_id == "b_p1" and [i.type for i in got["b_p1.json"].issues] == ["hallucination"] and got["b_p1.json"].original_model == "unknown"
     assert got["c.json"].people is None and got["c.json"].issues == [] and got["c.json"].passage_id == 0
+
+
+def test_absolute_urls_as_urljoin(spark):
+    from urllib.parse import urljoin
+
+    links = ["", "x", "./x", "../x", "../../../x", "x/../y/", "..", ".", "/a/./b/../c", "?p=../1", "#f", "g?y/../x", "g#s/../x", "//h/p", "mailto:a@b", "https://o/p/../q", "/", "a/b/.."]
+    df = spark.createDataFrame([(h,) for h in [*links, None]], "u string")
+    for base in ("https://s.example/b/c/d?p=1", "https://s.example/", "https://s.example/b/"):
+        got = {r.u: r.x for r in df.select("u", articles.absolute_url(F.col("u"), base).alias("x")).collect()}
+        assert got == {None: None} | {h: urljoin(base, h) for h in links}
+
+
+def test_article_loading(spark):
+    from folio.plans import ingest
+
+    page = "<html><body><h1>T</h1><article><p>one two</p><p>three</p></article></body></html>"
+    pages = spark.createDataFrame([(1, "http://h/a-10001.htm", page), (2, "http://h/b-2.htm", "<p>x"), (3, None, page), (4, "http://h/c-4.htm", None)], "page_id long, url string, html string")
+    loaded = ingest.load_articles(pages, where=html.PLAIN)
+    got = {r.doc_id: r for r in loaded.collect()}
+    assert set(got) == {"10001", "2", "3", "4"} and got["10001"].full_text == "one two\n\nthree" and got["10001"].html == page
+    assert [p.text for p in got["3"].passages] == ["one two\n\nthree"] and got["2"].error and got["4"].error
+    assert ingest.outcome(loaded).first()[:] == (2, 2)
+    assert {r.doc_id for r in ingest.load_articles(pages, loaded.where("doc_id = '10001'"), html.PLAIN).collect()} == {"2", "3", "4"}
+    assert ingest.outcome(ingest.load_articles(pages.where("false"), where=html.PLAIN)).first()[:] == (0, 0)
+
+
+def test_chat_client():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from folio.operators.extraction import ClientError
+    from folio.sources.clients import ChatClient
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            text = " / ".join(m["content"] for m in asked["messages"])
+            forms = {"/chat": {"message": {"content": text}}, "/v1": {"choices": [{"message": {"content": text}}]}, "/odd": {"x": 1}}
+            self.send_response(200 if self.path in forms else 503)
+            self.end_headers()
+            self.wfile.write(json.dumps(forms.get(self.path)).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    for path in ("/chat", "/v1"):
+        assert ChatClient(at + path, "m", temperature=0).generate(system_prompt="s", user_prompt="u") == "s / u"
+    for path, status in (("/none", 503), ("/odd", None)):
+        with pytest.raises(ClientError) as e:
+            ChatClient(at + path, "m").generate(system_prompt="s", user_prompt="u")
+        assert e.value.status_code == status
+    server.shutdown()
+
+
+def test_birth_year_and_missed_names(spark):
+    from folio.operators import linking, validation
+
+    assert spark.range(1).select(linking.birth_year(F.lit("2024-05-01").cast("date"), F.lit(30)).alias("y")).first().y == 1994
+    found = spark.createDataFrame([("d", 0, "Nguyễn Văn An"), ("d", 0, "Lê B"), ("e", 0, "Lê B")], "doc_id string, passage_id int, name string")
+    people = spark.createDataFrame([("d", 0, "ông nguyễn văn an"), ("d", 0, None)], "doc_id string, passage_id int, name string")
+    assert sorted((r.doc_id, r.name) for r in validation.missed_names(found, people).collect()) == [("d", "Lê B"), ("e", "Lê B")]

@@ -177,3 +177,22 @@ def test_linking(spark):
     assert [(r.a, r.b, r.link) for r in links] == [("nguyen van an", "nguyen vann an", "same")]
     old, new = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k int, p string, q string"), spark.createDataFrame([(1, None, "z"), (3, "c", None)], "k int, p string, q string")
     assert {(r.k, r.p, r.q) for r in linking.upsert(old, new, "k", ["p", "q"]).collect()} == {(1, "a", "z"), (2, "b", "y"), (3, "c", None)}
+
+
+def test_links_equal_all_pairs(spark):
+    """The join on last word and length finds the pairs of a plain double loop."""
+    first = ["an", "ann", "anna", "hanna", "bao", "b", "van an", "van anh", "thi ngoc anh", "", "johannes"]
+    names = [f"{f} {last}".strip() for f in first for last in ("nguyen", "li")]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    score = {(a, b): 1 - distance(a, b) / max(len(a), len(b)) for a in names for b in names if a < b and a.split()[-1] == b.split()[-1]}
+    df = spark.createDataFrame([(n,) for n in [*names, *names, None]], "name_key string")
+    got = {(r.a, r.b): (round(r.score, 9), r.link) for r in linking.candidate_links(df).collect()}
+    assert got == {p: (round(s, 9), "same" if s >= 0.9 else "review") for p, s in score.items() if s >= 0.6} and len(got) > 10
