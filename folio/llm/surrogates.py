@@ -77,9 +77,10 @@ _COMMON = "|".join(x for names in COMMON.values() for x in names)
 #: Words that end an English address.
 _STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square"
 _TITLED_OR_NOT = rf"(?:{_TITLED})?"
+_PASSPORT = r"[A-Z0-9]{1,2}\d{6,8}(?![0-9A-Za-z])"
 #: Type -> pattern; the first that fits at a place wins.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
     "token": r"(?<![0-9A-Za-z])(?:(?:sk|pk|rk|ghp|gho|ghs|github_pat|glpat|hf|xox[abprs])[-_][A-Za-z0-9_-]{16,}|AKIA[0-9A-Z]{16})(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
@@ -88,10 +89,14 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{2,4}[ /-]\d{5,8}|0\d{2,4}[ /-]\d{3,4} \d{3,4}|0\d(?:[ .]\d{2}){4})(?![\d])",
     "address": rf"(?<![\p{{L}}\d])\d{{1,5}} (?:\p{{Lu}}\p{{L}}+ ){{1,3}}(?:{_STREETS})(?!\p{{L}})|(?<!\p{{L}})\p{{Lu}}\p{{L}}+(?:straße|strasse|gasse|allee|platz) \d{{1,4}}[a-z]?(?![\p{{L}}\d])",
-    "passport": r"(?<=(?i:passport|reisepass|passeport|pasaporte)(?: (?i:no\.?|number|nr\.?|num\.?))?[ :]{1,2})[A-Z0-9]{1,2}\d{6,8}(?![0-9A-Za-z])",
-    "person": rf"(?<!\p{{L}})(?:{_TITLED}|(?=\p{{Lu}})(?:{_COMMON}) )(?:{_PART} )*{_NAME}",
+    "passport": rf"(?={_PASSPORT})(?<=(?i:passport|reisepass|passeport|pasaporte)(?: (?i:no\.?|number|nr\.?|num\.?))?[ :]{{1,2}}){_PASSPORT}",
+    "person": rf"(?<!\p{{L}})(?=[\p{{Lu}}г])(?:{_TITLED}|(?=\p{{Lu}})(?:{_COMMON}) )(?:{_PART} )*{_NAME}",
 }
-ENTITY = "|".join(PATTERNS.values())
+#: Where a match can begin: after a match, where no word goes on, or at a capital, digit, ``+`` or ``(``. Inside
+#: of words no pattern is tried then, which is most of a text.
+_BEGIN = r"(?:\G|(?<![A-Za-z\d])|(?=[\p{Lu}\d+(]))"
+_ANY = "|".join(PATTERNS.values())
+ENTITY = rf"{_BEGIN}(?:{_ANY})"
 #: Patterns that tell a match's type where its own pattern looks at what stands before it.
 _ALONE = {"passport": r"[A-Z0-9]{1,2}\d{6,8}"}
 
@@ -309,7 +314,7 @@ def _pattern(table: Column) -> Column:
     """The pattern of a row: all entities, and mentions without title of the names in its table."""
     names = F.filter(F.map_keys(table), lambda k: k.rlike(r"^(?:given_.|family):\p{L}{2}|^(?:given_.|family):\p{L}[’'-]"))
     names = F.array_distinct(F.transform(names, lambda k: F.substring_index(k, ":", -1)))
-    untitled = F.concat(F.lit(rf"{ENTITY}|(?<!\p{{L}})(?=\p{{Lu}})(?iu:"), F.array_join(names, "|"), F.lit(r")(?!\p{L})"))
+    untitled = F.concat(F.lit(rf"{_BEGIN}(?:{_ANY}|(?<!\p{{L}})(?=\p{{Lu}})(?iu:"), F.array_join(names, "|"), F.lit(r")(?!\p{L}))"))
     return F.when(F.size(names) > 0, untitled).otherwise(F.lit(ENTITY))
 
 
