@@ -96,4 +96,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM stepped f
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op7_chat_rotation": OP7, "op9_line_dedup": OP9}
+#: CRC-32 of a text of ASCII characters, bit by bit.
+_CRC = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), "
+    "lambda h, b: list_reduce(list_prepend(xor(h, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"
+)
+
+OP12 = rf"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC.format("doc_id::VARCHAR")} AS h FROM documents
+), placed AS (
+  SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM texts
+), planted AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM placed
+), words AS (
+  SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS word FROM planted
+), pairs AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i
+), stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs) GROUP BY doc_id, q, k HAVING count(*) >= greatest(6 - q, 3 * q)
+), runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    list({{start: start, length: length, period: period}} ORDER BY start, period) AS all_runs
+  FROM runs GROUP BY doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) AS k FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words LEFT JOIN listed USING (doc_id)
+  WHERE all_runs IS NULL OR len(list_filter(all_runs, lambda r: i >= r.start + r.period AND i < r.start + r.length)) = 0 GROUP BY doc_id
+)
+SELECT p.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM planted p LEFT JOIN listed USING (doc_id) LEFT JOIN (SELECT * FROM ranked WHERE k = 1) r USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op7_chat_rotation": OP7, "op9_line_dedup": OP9, "op12_periodic_runs": OP12}

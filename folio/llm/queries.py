@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import SPACE, let, read
 
 
 def tokenizer_path() -> str:
@@ -85,6 +85,33 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth, by the CRC of the id, get a periodic end: from a word a on, the words
+    repeat with a period p. The others keep their text."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def text(words: Column) -> Column:
+        g, n = F.floor(h / 10), F.size(words)
+        a = F.pmod(g, n)
+        return let(F.struct(a.alias("a"), (F.floor((n - a) / (F.lit(3) + g % 8)) + 1).alias("p")), lambda at: F.array_join(F.transform(words, lambda w, i: F.when(i < at["a"], w).otherwise(F.get(words, (at["a"] + (i - at["a"]) % at["p"]).cast("int")))), " "))
+
+    words = F.regexp_extract_all("text", F.lit(f"({SPACE.replace('[', '[^')}+)"))
+    planted = F.when((h % 10 == 0) & F.col("text").rlike(SPACE.replace("[", "[^")), let(words, text)).otherwise(F.col("text"))
+    return docs.select("doc_id", planted.alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periods import find_runs
+
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda x, y: F.when(y["length"] * x["period"] > x["length"] * y["period"], y).otherwise(x))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))), "\n")
+    found = find_runs(with_planted_runs(read(spark, sf_dir, "documents"))).withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 _ALL = (
     op1_minhash_near_dedup,
     op2_quality_rules,
@@ -96,5 +123,6 @@ _ALL = (
     op8_warc_derivatives,
     op9_line_dedup,
     op10_packing,
+    op12_periodic_runs,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

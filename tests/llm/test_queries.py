@@ -14,13 +14,14 @@ COLUMNS = {
     "op4_suffix_array_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op6_url_filter": ["page_id", "host", "path", "rule", "verdict"],
     "op9_line_dedup": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
+    "op12_periodic_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
     "op10_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
 }
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
-def test_all_ten_are_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+def test_all_are_registered():
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -42,7 +43,7 @@ def test_query_equals_its_sql(spark, name):
 def test_contract_columns(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.columns == COLUMNS[name]
-    if name.startswith(("op2", "op4", "op9")):
+    if name.startswith(("op2", "op4", "op9", "op12")):
         n = spark.read.parquet(f"{SF}/documents.parquet").count()
         assert df.count() == df.select("doc_id").distinct().count() == n
 
