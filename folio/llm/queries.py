@@ -112,6 +112,15 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that lie in six shards by the hash of their source, so unevenly, to eight shards of equal bytes."""
+    from .resharding import place
+
+    now = F.pmod(F.xxhash64("source"), F.lit(6))
+    placed = place(read(spark, sf_dir, "documents"), now)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 _ALL = (
     op1_minhash_near_dedup,
     op2_quality_rules,
@@ -124,5 +133,6 @@ _ALL = (
     op9_line_dedup,
     op10_packing,
     op12_periodic_runs,
+    op13_reshard,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

@@ -15,6 +15,7 @@ COLUMNS = {
     "op6_url_filter": ["page_id", "host", "path", "rule", "verdict"],
     "op9_line_dedup": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
     "op12_periodic_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op13_reshard": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard"],
     "op10_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
 }
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -43,7 +44,7 @@ def test_query_equals_its_sql(spark, name):
 def test_contract_columns(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.columns == COLUMNS[name]
-    if name.startswith(("op2", "op4", "op9", "op12")):
+    if name.startswith(("op2", "op4", "op9", "op12", "op13")):
         n = spark.read.parquet(f"{SF}/documents.parquet").count()
         assert df.count() == df.select("doc_id").distinct().count() == n
 
