@@ -96,6 +96,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM stepped f
 """
 
+OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM split, range(1, 5) AS g(k) WHERE len(w) >= k
+), frequent AS (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+), totals AS (
+  SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang
+), parts AS (
+  SELECT lang, f, array_to_string(w[i:j], ' ') AS phrase FROM frequent, range(1, 4) AS a(i), range(2, 5) AS b(j) WHERE k > 2 AND i < j AND j <= k AND j - i + 1 < k
+), covers AS (
+  SELECT lang, phrase, max(f) AS cover FROM parts GROUP BY lang, phrase
+), stay AS (
+  SELECT c.lang, c.phrase, c.k, c.w, c.f AS a FROM frequent c LEFT JOIN covers v USING (lang, phrase) WHERE c.k > 1 AND NOT coalesce(100::HUGEINT * cover >= 80::HUGEINT * c.f, false)
+), cuts AS (
+  SELECT s.*, x.f AS l, y.f AS r, cut, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+  FROM stay s, range(1, 4) AS t(cut), frequent x, frequent y
+  WHERE cut < s.k AND x.lang = s.lang AND x.phrase = array_to_string(s.w[1:cut], ' ') AND y.lang = s.lang AND y.phrase = array_to_string(s.w[cut + 1:], ' ')
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM lowest JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
 #: CRC-32 of a text of ASCII characters, bit by bit.
 _CRC = (
     "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), "
@@ -132,4 +160,4 @@ SELECT p.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * le
 FROM planted p LEFT JOIN listed USING (doc_id) LEFT JOIN (SELECT * FROM ranked WHERE k = 1) r USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op7_chat_rotation": OP7, "op9_line_dedup": OP9, "op12_periodic_runs": OP12}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op7_chat_rotation": OP7, "op9_line_dedup": OP9, "op11_phrases": OP11, "op12_periodic_runs": OP12}

@@ -85,6 +85,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import mine
+
+    return mine(read(spark, sf_dir, "documents"))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """Documents of which a tenth, by the CRC of the id, get a periodic end: from a word a on, the words
     repeat with a period p. The others keep their text."""
@@ -132,6 +138,7 @@ _ALL = (
     op8_warc_derivatives,
     op9_line_dedup,
     op10_packing,
+    op11_phrases,
     op12_periodic_runs,
     op13_reshard,
 )

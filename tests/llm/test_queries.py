@@ -14,6 +14,7 @@ COLUMNS = {
     "op4_suffix_array_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op6_url_filter": ["page_id", "host", "path", "rule", "verdict"],
     "op9_line_dedup": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
+    "op11_phrases": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
     "op12_periodic_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
     "op13_reshard": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard"],
     "op10_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
