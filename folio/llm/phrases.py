@@ -34,7 +34,9 @@ COVERED = 80
 #: The share of all pairs from which a prefix is split by its next word: at most 1 / HOT_SHARE pairs have it.
 HOT_SHARE = 0.001
 #: Distinct words, and pointers, that a task folds before it passes them on.
-FOLD_WORDS, FOLD_POINTERS = 1 << 18, 1 << 20
+FOLD_WORDS, FOLD_POINTERS = 1 << 17, 1 << 19
+#: Words whose codes a task remembers, and texts that it holds as Python objects at once.
+KNOWN_WORDS, TEXTS = 1 << 17, 200
 
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _SPACES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b" " * 10)
@@ -49,7 +51,7 @@ class _Codes(dict):
         self.seed = seed
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= 1 << 19:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         code = self[word] = xxhash.xxh3_64_digest(word, self.seed)
         return code
@@ -132,7 +134,7 @@ def count_words(docs: DataFrame, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "code", "n"])
             counts.clear()
 
-        for batch in slices(batches, 1000):
+        for batch in slices(batches, TEXTS):
             for lang, texts in _by_lang(batch).items():
                 found = counts.setdefault(lang, Counter())
                 for text in texts:
@@ -149,7 +151,7 @@ def count_pairs(docs: DataFrame, seed: int, bits: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, folder = _Codes(seed), _Folder(["w1", "w2"])
-        for batch in slices(batches, 1000):
+        for batch in slices(batches, TEXTS):
             for c in _coded(batch, codes):
                 fits = (c != 0) & has_bit(bits, c)
                 at = np.flatnonzero(fits[:-1] & fits[1:])
@@ -170,7 +172,7 @@ def project(docs: DataFrame, seed: int, bits: bytes, hot: np.ndarray, longest: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, folder = _Codes(seed), _Folder([*names, "hot"])
-        for batch in slices(batches, 1000):
+        for batch in slices(batches, TEXTS):
             for c in _coded(batch, codes):
                 if len(c) < 3:
                     continue
