@@ -191,6 +191,31 @@ def _percent(part: str, whole: str) -> str:
     return f"coalesce(round_even({part} * 100.0 / nullif({whole}, 0), 2), 0.0)"
 
 
+_PACKED = f"""{_LINES}, docs AS (
+        SELECT doc_id, list(n ORDER BY i) AS n, list(line ORDER BY i) AS ps, list(start ORDER BY i) AS starts FROM lines GROUP BY doc_id
+      ), filled AS (SELECT *, {_PACK % "acc[len(acc)].n + x[1].n > 120"} AS f FROM docs
+      ), merged AS (
+        SELECT * REPLACE (list_reduce(list_prepend([], list_transform(f, lambda y: [y])), lambda acc, x: CASE WHEN len(acc) = 0 THEN x WHEN acc[len(acc)].n >= 40 THEN list_concat(acc, x)
+          ELSE list_concat(acc[1:len(acc) - 1], [{{'a': acc[len(acc)].a, 'b': x[1].b, 'n': acc[len(acc)].n + x[1].n}}]) END) AS f) FROM filled
+      ), tailed AS (
+        SELECT * REPLACE (CASE WHEN len(f) >= 2 AND f[len(f)].n < 40 THEN list_concat(f[1:len(f) - 2], [{{'a': f[len(f) - 1].a, 'b': f[len(f)].b, 'n': f[len(f) - 1].n + f[len(f)].n}}]) ELSE f END AS f) FROM merged
+      ), rows AS (SELECT doc_id, ps, starts, unnest(f) AS s, unnest(generate_series(0, len(f) - 1)) AS pid FROM tailed)"""
+
+#: BM25 of every packed passage for every benchmark item that shares a term with it.
+_BM25 = _PACKED + r""", passages AS (
+        SELECT doc_id, CAST(pid AS INTEGER) AS passage_id, CAST(s.n AS INTEGER) AS word_count, array_to_string(ps[s.a:s.b], chr(10) || chr(10)) AS text FROM rows
+      ), tokens AS (SELECT doc_id, passage_id, word_count, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM passages
+      ), counts AS (SELECT doc_id, passage_id, term, count(*) AS tf FROM tokens GROUP BY ALL
+      ), sizes AS (SELECT doc_id, passage_id, any_value(word_count) AS word_count, count(*) AS length FROM tokens GROUP BY ALL
+      ), stats AS (SELECT count(*) AS n, sum(length) / count(*) AS mean FROM sizes
+      ), terms AS (SELECT term, count(*) AS df FROM counts GROUP BY term
+      ), asked AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark
+      ), weights AS (SELECT item_id, term, count(*) * ln(1 + (any_value(n) - any_value(df) + 0.5) / (any_value(df) + 0.5)) AS w FROM asked JOIN terms USING (term), stats GROUP BY ALL
+      ), scores AS (
+        SELECT item_id, doc_id, passage_id, any_value(word_count) AS word_count, round(sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+        FROM weights JOIN counts USING (term) JOIN sizes USING (doc_id, passage_id), stats GROUP BY item_id, doc_id, passage_id
+      ), ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, passage_id) AS rank FROM scores)"""
+
 ORACLES: dict[str, str] = {
     "detector_summary": f"WITH {_SENTENCES}, {_SENTENCE_SPANS} SELECT detector, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs FROM sentence_spans GROUP BY detector",
     "sentence_split": f"WITH {_SENTENCES} SELECT doc_id, '0.' || ord AS sentence_id, CAST(base AS INTEGER) AS sentence_start, sentence FROM sentences",
@@ -233,20 +258,16 @@ ORACLES: dict[str, str] = {
       SELECT s.doc_id, coalesce(regex_spans, 0) AS regex_spans, coalesce(ner_spans, 0) AS ner_spans, coalesce(total_spans, 0) AS total_spans, sentences, passages, coalesce(hits, '{{}}') AS detector_hits
       FROM s LEFT JOIN e USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN j USING (doc_id)""",
     "verify_own_spans": f"WITH {_BASELINE} SELECT count(DISTINCT doc_id) AS docs, count(*) AS input_spans, count(*) AS verified_spans, CAST(0 AS BIGINT) AS dropped_spans FROM kept",
-    "passage_pack": f"""WITH {_LINES}, docs AS (
-        SELECT doc_id, list(n ORDER BY i) AS n, list(line ORDER BY i) AS ps, list(start ORDER BY i) AS starts FROM lines GROUP BY doc_id
-      ), filled AS (SELECT *, {_PACK % "acc[len(acc)].n + x[1].n > 120"} AS f FROM docs
-      ), merged AS (
-        SELECT * REPLACE (list_reduce(list_prepend([], list_transform(f, lambda y: [y])), lambda acc, x: CASE WHEN len(acc) = 0 THEN x WHEN acc[len(acc)].n >= 40 THEN list_concat(acc, x)
-          ELSE list_concat(acc[1:len(acc) - 1], [{{'a': acc[len(acc)].a, 'b': x[1].b, 'n': acc[len(acc)].n + x[1].n}}]) END) AS f) FROM filled
-      ), tailed AS (
-        SELECT * REPLACE (CASE WHEN len(f) >= 2 AND f[len(f)].n < 40 THEN list_concat(f[1:len(f) - 2], [{{'a': f[len(f) - 1].a, 'b': f[len(f)].b, 'n': f[len(f) - 1].n + f[len(f)].n}}]) ELSE f END AS f) FROM merged
-      ), rows AS (SELECT doc_id, ps, starts, unnest(f) AS s, unnest(generate_series(0, len(f) - 1)) AS pid FROM tailed)
-      SELECT doc_id, CAST(pid AS INTEGER) AS passage_id, CAST(starts[s.a] AS INTEGER) AS p_start, CAST(starts[s.b] + length(ps[s.b]) AS INTEGER) AS p_end, CAST(s.n AS INTEGER) AS word_count,
+    "passage_pack": f"""WITH {_PACKED} SELECT doc_id, CAST(pid AS INTEGER) AS passage_id, CAST(starts[s.a] AS INTEGER) AS p_start, CAST(starts[s.b] + length(ps[s.b]) AS INTEGER) AS p_end, CAST(s.n AS INTEGER) AS word_count,
         md5(array_to_string(ps[s.a:s.b], chr(10) || chr(10))) AS text_md5, CAST(s.b - s.a + 1 AS INTEGER) AS n_paragraphs FROM rows""",
     "passage_fallback": f"""WITH {_LINES} SELECT doc_id, CAST(i AS INTEGER) AS passage_id, CAST(start + length(line) - length(ltrim(line, {_WS})) AS INTEGER) AS p_start,
       CAST(start + length(line) - length(ltrim(line, {_WS})) + length(trim(line, {_WS})) AS INTEGER) AS p_end, CAST(len(list_filter(string_split_regex(trim(line, {_WS}), '\\s+'), lambda t: t <> '')) AS INTEGER) AS word_count, trim(line, {_WS}) AS p_text
       FROM lines WHERE trim(line, {_WS}) <> ''""",
+    "passage_search": f"WITH {_BM25} SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, passage_id, score FROM ranked WHERE rank <= 5",
+    "passage_gate": f"WITH {_BM25} SELECT doc_id, passage_id, any_value(word_count) AS word_count, count(*) AS n_queries, max(score) AS best_score FROM ranked WHERE rank <= 10 GROUP BY ALL",
+    "vector_neighbours": """WITH pairs AS (
+        SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS distance FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id
+      ) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank, id, distance FROM pairs QUALIFY rank <= 10""",
     "token_count": "SELECT doc_id, CAST(len(list_filter(string_split(text, ' '), lambda t: t <> '')) AS INTEGER) AS n_tokens FROM documents",
     "source_newest": f"WITH {_SOURCE} SELECT * FROM source WHERE site_slug = 'building' AND 'building' IN (lower(ingest_category_slug), lower(category_id), lower(category_name)) ORDER BY publish_date DESC NULLS LAST, created_at DESC NULLS LAST, o_orderkey LIMIT 25",
     "source_oldest": f"WITH {_SOURCE} SELECT * FROM source WHERE 'o' IN (lower(ingest_category_slug), lower(category_id), lower(category_name)) ORDER BY publish_date ASC NULLS FIRST, created_at ASC NULLS FIRST, o_orderkey LIMIT 25",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import blank_to_null, count_tokens, find_all, lenient_json
-from .operators import extraction, linking, ner, review, selection, spans, validation, verdicts, verify
+from .operators import extraction, linking, ner, review, search, selection, spans, validation, vectors, verdicts, verify
 from .operators.detectors import DETECTORS, detect
 from .operators.passages import pack_passages, paragraph_passages
 from .operators.sentences import explode_sentences
@@ -200,10 +200,14 @@ def verify_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.failure_reasons(checked(spark, sf_dir))
 
 
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(pack_passages(F.split("text", "\n"), 40, 120)).alias("p"))
+
+
 @query
 def passage_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines packed into passages of 40 to 120 tokens."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(pack_passages(F.split("text", "\n"), 40, 120)).alias("p"))
+    rows = packed(spark, sf_dir)
     return rows.select("doc_id", "p.passage_id", F.col("p.start").alias("p_start"), F.col("p.end").alias("p_end"), "p.word_count", F.md5("p.text").alias("text_md5"), F.size("p.paragraph_indices").alias("n_paragraphs"))
 
 
@@ -213,6 +217,30 @@ def passage_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "p.passage_id", F.col("p.start").alias("p_start"), F.col("p.end").alias("p_end"), "p.word_count", F.col("p.text").alias("p_text"))
 
 
+@query
+def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k report: the five best passages of the documents for each benchmark item, by BM25."""
+    index = search.build_index(packed(spark, sf_dir).select("doc_id", "p.passage_id", "p.text"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return search.search(index, items, 5).withColumnRenamed("query_id", "item_id")
+
+
+@query
+def passage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages that are among the ten best of a benchmark item; all others are gated out."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    kept = search.gate(packed(spark, sf_dir).select("doc_id", "p.passage_id", "p.text", "p.word_count"), items, 10)
+    return kept.select("doc_id", "passage_id", "word_count", "n_queries", "best_score")
+
+
+@query
+def vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors, other than itself, of every vector whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    index = vectors.build_index(rows)
+    return vectors.search(index, rows.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 10, others_only=True)
+
+
 @query
 def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", count_tokens(F.col("text")).alias("n_tokens"))
