@@ -35,8 +35,8 @@ COVERED = 80
 HOT_SHARE = 0.001
 #: Distinct words, and pointers, that a task folds before it passes them on.
 FOLD_WORDS, FOLD_POINTERS = 1 << 17, 1 << 19
-#: Words whose codes a task remembers, and texts that it holds as Python objects at once.
-KNOWN_WORDS, TEXTS = 1 << 17, 200
+#: Words whose codes a task remembers, texts that it holds as Python objects at once, and rows that it passes on at once.
+KNOWN_WORDS, TEXTS, PASSED = 1 << 17, 200, 1 << 15
 
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _SPACES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b" " * 10)
@@ -117,8 +117,8 @@ class _Folder:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.size:
             columns, n = _fold([np.concatenate(c) for c in zip(*(r[0] for r in self.rows))], np.concatenate([r[1] for r in self.rows]))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(n)], names=[*self.names, "n"])
-        self.rows, self.size = [], 0
+            self.rows, self.size = [], 0
+            yield from slices([pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(n)], names=[*self.names, "n"])], PASSED)
 
 
 def count_words(docs: DataFrame, seed: int) -> DataFrame:
