@@ -235,6 +235,17 @@ ORACLES: dict[str, str] = {
       SELECT x.name_key AS a, y.name_key AS b, count(*) AS n, array_to_string(list_sort(list(x.doc_id || ':' || x.sentence_id ORDER BY x.doc_id, x.sentence_id)[1:5]), ' ') AS evidence
       FROM one x JOIN one y ON x.doc_id = y.doc_id AND x.sentence_id = y.sentence_id AND x.name_key < y.name_key GROUP BY ALL""",
     "mention_links": f"""WITH {_SENTENCES}, {_TOKENS}, {_PEOPLE}, {_KEYED}, keys AS (SELECT DISTINCT name_key AS k FROM keyed), {_LINKS}""",
+    "people_clusters": f"""WITH RECURSIVE {_SENTENCES}, {_TOKENS}, {_PEOPLE}, {_KEYED},
+      keys AS (SELECT DISTINCT name_key, length(name_key) AS n, translate(name_key, 'äöüßñçëîïœæåø', 'ABCDEFGHIJKLM') AS plain FROM keyed),
+      links AS (SELECT x.name_key AS a, y.name_key AS b FROM keys x JOIN keys y ON x.name_key <> y.name_key AND greatest(x.n, y.n) >= 7 AND abs(x.n - y.n) <= 0.15 * greatest(x.n, y.n) + 1e-9
+        WHERE 1 - levenshtein(x.plain, y.plain) / greatest(x.n, y.n) >= 0.85 - 1e-9),
+      reach(node, other) AS (SELECT name_key, name_key FROM keys UNION SELECT node, b FROM reach JOIN links ON other = a),
+      members AS (SELECT node AS name_key, min(other) AS cluster FROM reach GROUP BY node),
+      placed AS (SELECT * FROM keyed JOIN members USING (name_key)),
+      spelled AS (SELECT cluster, name, count(*) AS n FROM placed GROUP BY ALL),
+      display AS (SELECT cluster, name AS display_name FROM spelled QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, name) = 1)
+      SELECT name_key, cluster, display_name, n_keys, n_mentions, n_documents FROM members JOIN display USING (cluster)
+      JOIN (SELECT cluster, count(DISTINCT name_key) AS n_keys, count(*) AS n_mentions, count(DISTINCT doc_id) AS n_documents FROM placed GROUP BY cluster) USING (cluster)""",
     "name_links": f"""WITH keys AS (SELECT DISTINCT {_key('p_name')} AS k FROM part), {_LINKS}""",
     "article_loading": "SELECT count(*) FILTER (contains(html, '<h1') AND contains(html, '<article')) AS loaded, count(*) FILTER (NOT (contains(html, '<h1') AND contains(html, '<article'))) AS failed FROM pages",
     "detector_hits": f"WITH {_SPANS}, once AS (SELECT DISTINCT doc_id, span_type, detector, span_start, span_end, span_text FROM spans) SELECT doc_id, detector, count(*) AS hits FROM once GROUP BY ALL",

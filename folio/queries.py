@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import blank_to_null, count_tokens, find_all, lenient_json
-from .operators import extraction, linking, ner, review, search, selection, spans, validation, vectors, verdicts, verify
+from .operators import clusters, extraction, linking, ner, review, search, selection, spans, validation, vectors, verdicts, verify
 from .operators.detectors import DETECTORS, detect
 from .operators.passages import pack_passages, paragraph_passages
 from .operators.sentences import explode_sentences
@@ -142,6 +142,12 @@ def mention_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.candidate_links(mentions(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
+@query
+def people_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The people named in the documents, nearly equal names joined to clusters."""
+    return clusters.people_clusters(mentions(spark, sf_dir), accept=0.85)
+
+
 @query
 def name_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same links between the names of parts."""
