@@ -34,9 +34,9 @@ COVERED = 80
 #: The share of all pairs from which a prefix is split by its next word: at most 1 / HOT_SHARE pairs have it.
 HOT_SHARE = 0.001
 #: Distinct words, and pointers, that a task folds before it passes them on.
-FOLD_WORDS, FOLD_POINTERS = 1 << 17, 1 << 19
+FOLD_WORDS, FOLD_POINTERS = 1 << 16, 1 << 17
 #: Words whose codes a task remembers, texts that it holds as Python objects at once, and rows that it passes on at once.
-KNOWN_WORDS, TEXTS, PASSED = 1 << 17, 200, 1 << 15
+KNOWN_WORDS, TEXTS, PASSED = 1 << 16, 100, 1 << 14
 
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _SPACES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b" " * 10)
@@ -158,7 +158,8 @@ def count_pairs(docs: DataFrame, seed: int, bits: bytes) -> DataFrame:
                 yield from folder.add([c[at], c[at + 1]])
         yield from folder.flush()
 
-    return docs.mapInArrow(run, "w1 long, w2 long, n long").groupBy("w1", "w2").agg(F.sum("n").alias("n"))
+    # Tasks fold on their own; most pairs are rare, so a hash table before the shuffle would hold much and fold little.
+    return docs.mapInArrow(run, "w1 long, w2 long, n long").repartition("w1", "w2").groupBy("w1", "w2").agg(F.sum("n").alias("n"))
 
 
 def _names(longest: int) -> list[str]:
