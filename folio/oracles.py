@@ -216,6 +216,22 @@ _BM25 = _PACKED + r""", passages AS (
         FROM weights JOIN counts USING (term) JOIN sizes USING (doc_id, passage_id), stats GROUP BY item_id, doc_id, passage_id
       ), ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, passage_id) AS rank FROM scores)"""
 
+
+
+def _periods(value: str, max_age: int | None, name: str) -> str:
+    """Periods of a column of orders by customer."""
+    old = f"day - prior_day > {max_age}" if max_age else "false"
+    end = "least(max(coalesce(next_day, 1099511627775)), max(day) + " + str(max_age) + ")" if max_age else "max(coalesce(next_day, 1099511627775))"
+    return f"""{name}_said AS (
+        SELECT o_custkey AS key, datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day, {value} AS value FROM orders
+        QUALIFY row_number() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderkey DESC, {value} DESC) = 1
+      ), {name}_next AS (
+        SELECT *, lag(day) OVER w AS prior_day, lag(value) OVER w AS prior, lead(day) OVER w AS next_day FROM {name}_said WINDOW w AS (PARTITION BY key ORDER BY day)
+      ), {name}_numbered AS (
+        SELECT *, sum(CASE WHEN prior_day IS NULL OR value IS DISTINCT FROM prior OR {old} THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY day) AS k FROM {name}_next
+      ), {name} AS (SELECT key, any_value(value) AS value, min(day) AS valid_from, {end} AS valid_to, count(*) AS n FROM {name}_numbered GROUP BY key, k)"""
+
+
 ORACLES: dict[str, str] = {
     "detector_summary": f"WITH {_SENTENCES}, {_SENTENCE_SPANS} SELECT detector, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs FROM sentence_spans GROUP BY detector",
     "sentence_split": f"WITH {_SENTENCES} SELECT doc_id, '0.' || ord AS sentence_id, CAST(base AS INTEGER) AS sentence_start, sentence FROM sentences",
@@ -279,6 +295,17 @@ ORACLES: dict[str, str] = {
     "vector_neighbours": """WITH pairs AS (
         SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS distance FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id
       ) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank, id, distance FROM pairs QUALIFY rank <= 10""",
+    "explain_drops": f"""WITH {_SPANS}, {_CORRUPTED} SELECT doc_id, span_type, span_text, span_start, CAST(span_end AS INTEGER) AS span_end, reason,
+      CAST(span_start - CASE WHEN span_start % 5 = 3 AND span_start > 0 THEN 1 ELSE 0 END AS INTEGER) AS found_start,
+      CAST(span_start + length(span_text) - CASE WHEN span_start % 5 = 3 THEN 1 ELSE 0 END AS INTEGER) AS found_end,
+      CAST(CASE WHEN span_start % 5 = 3 THEN 1 ELSE 0 END AS INTEGER) AS cost, CASE WHEN span_start % 5 = 3 THEN 'edited' ELSE 'moved' END AS explanation FROM judged WHERE NOT verified""",
+    "fact_periods": f"WITH {_periods('o_orderpriority', 400, 'p')} SELECT key, value, valid_from, valid_to, n FROM p",
+    "fact_as_of": f"""WITH {_periods('o_orderpriority', 400, 'p')}, reads AS (
+        SELECT o_orderkey AS seq, o_custkey AS key, datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 45 AS asked_day FROM orders
+      ) SELECT seq, r.key, asked_day, value, valid_from, valid_to FROM reads r LEFT JOIN p ON p.key = r.key AND asked_day >= valid_from AND asked_day < valid_to""",
+    "fact_overlaps": f"""WITH {_periods('o_orderpriority', 400, 'p')}, {_periods('o_orderstatus', None, 's')}
+      SELECT p.key, p.value AS left_value, s.value AS right_value, greatest(p.valid_from, s.valid_from) AS valid_from, least(p.valid_to, s.valid_to) AS valid_to
+      FROM p JOIN s ON p.key = s.key AND p.valid_from < s.valid_to AND s.valid_from < p.valid_to""",
     "token_count": "SELECT doc_id, CAST(len(list_filter(string_split(text, ' '), lambda t: t <> '')) AS INTEGER) AS n_tokens FROM documents",
     "source_newest": f"WITH {_SOURCE} SELECT * FROM source WHERE site_slug = 'building' AND 'building' IN (lower(ingest_category_slug), lower(category_id), lower(category_name)) ORDER BY publish_date DESC NULLS LAST, created_at DESC NULLS LAST, o_orderkey LIMIT 25",
     "source_oldest": f"WITH {_SOURCE} SELECT * FROM source WHERE 'o' IN (lower(ingest_category_slug), lower(category_id), lower(category_name)) ORDER BY publish_date ASC NULLS FIRST, created_at ASC NULLS FIRST, o_orderkey LIMIT 25",

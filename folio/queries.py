@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import blank_to_null, count_tokens, find_all, lenient_json
-from .operators import clusters, extraction, linking, ner, review, search, selection, spans, validation, vectors, verdicts, verify
+from .operators import approximate, clusters, coreference, extraction, facts, linking, ner, review, search, selection, spans, validation, vectors, verdicts, verify
 from .operators.detectors import DETECTORS, detect
 from .operators.passages import pack_passages, paragraph_passages
 from .operators.sentences import explode_sentences
@@ -210,6 +210,46 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(pack_passages(F.split("text", "\n"), 40, 120)).alias("p"))
 
 
+@query
+def explain_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the texts of dropped spans nearly stand in their documents."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("full_text"))
+    found = approximate.explain_drops(checked(spark, sf_dir), docs)
+    return found.select("doc_id", "span_type", F.col("text").alias("span_text"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), "reason", "found_start", "found_end", "cost", "explanation")
+
+
+@query
+def coreference_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and pronouns of every document with the person they mean."""
+    found = coreference.coreference(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("start").alias("mention_start"), F.col("end").alias("mention_end"), F.col("text").alias("mention"), "kind", "sentence", "person", "person_name")
+
+
+def statements(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
+    """A column of orders as dated statements about their customer; days since 1970."""
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.unix_date(F.col("o_orderdate").cast("date")).cast("long").alias("at"), F.col(value).alias("value"), F.col("o_orderkey").alias("seq"))
+
+
+@query
+def fact_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods of equal order priority of each customer; what isn't said again within 400 days has expired."""
+    return facts.periods(statements(spark, sf_dir, "o_orderpriority"), max_age=400, bucket=365)
+
+
+@query
+def fact_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The priority of each customer 45 days after each of their orders."""
+    known = facts.periods(statements(spark, sf_dir, "o_orderpriority"), max_age=400, bucket=365)
+    reads = statements(spark, sf_dir, "o_orderstatus").select("seq", "key", (F.col("at") + 45).alias("at"))
+    return facts.as_of(known, reads).withColumnRenamed("at", "asked_day")
+
+
+@query
+def fact_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods of priority and of status of the same customer at the same time."""
+    return facts.overlaps(facts.periods(statements(spark, sf_dir, "o_orderpriority"), max_age=400, bucket=365), facts.periods(statements(spark, sf_dir, "o_orderstatus"), bucket=365))
+
+
 @query
 def passage_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines packed into passages of 40 to 120 tokens."""
