@@ -63,8 +63,8 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n < 5, F.lit(0)).otherwise(let(F.transform(words, lambda x: F.xxhash64(x)), of_hashes))
 
 
-def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum, counts and signals of every document; one scan, no shuffle."""
+def features(docs: DataFrame, stratum: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, stratum, counts and signals of every document, and the columns named in ``keep``; one scan, no shuffle."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = let(
@@ -73,6 +73,7 @@ def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     )
     solid = F.regexp_replace(text, _WORD_SPLIT, "")
     of = docs.select(
+        *keep,
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col(stratum), F.lit("")).alias("stratum"),
         counted.alias("w"),
@@ -80,7 +81,7 @@ def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
         (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))).cast("long").alias("n_upper"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-    ).select("doc_id", "stratum", "w.n_words", "word_chars", "n_symbols", "n_upper", "n_dup_lines", "w.n_repeat_words")
+    ).select(*keep, "doc_id", "stratum", "w.n_words", "word_chars", "n_symbols", "n_upper", "n_dup_lines", "w.n_repeat_words")
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     return of.select(
         "*",
@@ -155,16 +156,16 @@ def thresholds(found: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     return tested.groupBy("stratum", "n").agg((first_bad - 1).alias("accepted")).where("accepted >= 0")
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, keep: tuple[str, ...] = ()) -> DataFrame:
     """Counts, signals and the verdict of every document, one row per input row.
 
-    Returns the columns of ``features`` and ``kept``: not base_failed and not rejected by the
+    Returns the columns of ``features`` (with those named in ``keep``) and ``kept``: not base_failed and not rejected by the
     rule up to the accepted step of the document's stratum. Null and empty texts have no words and
     fail the base rules; a null stratum is a stratum of its own; null labels count as not
     good. Repeated rows are judged alike. An empty table gives no rows; without labels only
     the base rules apply.
     """
-    found = materialise(features(docs, stratum), "features")
+    found = materialise(features(docs, stratum, keep), "features")
     accepted = materialise(thresholds(found, labels, alpha, delta).select("stratum", "accepted"), "accepted")
     small = accepted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     joined = found.join(F.broadcast(accepted) if small else accepted, "stratum", "left")

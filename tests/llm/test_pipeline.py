@@ -52,6 +52,25 @@ def test_stages(spark, corpus):
     assert {r.doc_id for r in corpus_pipeline.run(spark, path).collect()} == set(ids)
 
 
+def test_null_and_repeated_ids(spark, corpus):
+    """Every row has a verdict of its own: null ids and several texts of one id are judged, deduplicated and decontaminated one by one."""
+    path, _, item = corpus
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    a, b, c, d = (text(60) for _ in range(4))
+    leak = text(40) + " " + item + " " + text(40)
+    made = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t or ""), "e") for i, t in rows], SCHEMA)
+    ask = lambda stage, rows: sorted(((r.doc_id, r.text) for r in stage(spark, made(rows), path).collect()), key=repr)
+    mixed = [(None, a), (None, "junk"), (5, b), (5, "x y " * 50), (6, c), (None, None), (7, ""), (8, d)]
+    assert ask(corpus_pipeline.quality_rules, mixed) == sorted([(None, a), (5, b), (6, c), (8, d)], key=repr)
+    twice = [(None, a), (None, a), (None, b), (5, c), (5, d), (6, d), (6, d), (9, a)]
+    kept = ask(corpus_pipeline.near_dedup, twice)
+    assert sorted(t for _, t in kept) == sorted([a, b, c, d]) and set(kept) <= set(twice)
+    assert ask(corpus_pipeline.decontamination, [(None, leak), (None, a), (5, leak), (5, b), (6, c)]) == sorted([(None, a), (5, b), (6, c)], key=repr)
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.near_dedup, corpus_pipeline.decontamination):
+        assert ask(stage, []) == []
+
+
 def test_run_covers_every_token_once(spark, corpus):
     from tokenizers import Tokenizer
 
