@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialise, parted, read
+from folio.llm.common import materialise, named, parted, read
 from folio.llm.decontaminate import contaminated
 from folio.llm.line_dedup import dedup_lines
 from folio.llm.minhash import near_duplicates
@@ -21,19 +21,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or a certified cutoff reject go. Rows with a null
-    doc_id can't be told apart; they stay if one of them passes."""
-    judged = judge(docs, read(spark, sf_dir, "labels")).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    gone = materialise(judged.where("not kept").select("doc_id"), "rejected")
-    nulls = docs.where("doc_id is null").select(*COLUMNS)
-    stay = _without(docs.where("doc_id is not null").select(*COLUMNS), gone.where("doc_id is not null"))
-    return stay.unionByName(nulls.limit(0) if not gone.where("doc_id is null").isEmpty() else nulls)
+    """Documents that the base rules or a certified cutoff reject go."""
+    rows = named(docs.select(*COLUMNS))
+    judged = judge(rows, read(spark, sf_dir, "labels"), keep=("name",))
+    return _without(rows, materialise(judged.where("not kept").select("name").distinct(), "rejected"))
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` but those with a doc_id in ``gone`` (doc_id, distinct); only texts that may go are shuffled."""
-    maybe, others = parted(docs, gone, "doc_id")
-    return maybe.join(gone, "doc_id", "left_anti").select(*COLUMNS).unionByName(others)
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The named ``rows`` but those with a name in ``gone`` (name, distinct); only texts that may go are shuffled."""
+    maybe, others = parted(rows, gone, "name")
+    return maybe.join(gone, "name", "left_anti").select(*COLUMNS).unionByName(others.select(*COLUMNS))
+
+
+def _as_docs(rows: DataFrame) -> DataFrame:
+    """Named rows for an operator: the name is the id."""
+    return rows.drop("doc_id").withColumnRenamed("name", "doc_id")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +44,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays, the one with the smallest doc_id."""
-    gone = materialise(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "copies")
-    return _without(docs.select(*COLUMNS), gone)
+    """One document of each class of near-duplicates stays, the one with the smallest doc_id (or hash, where ids are null or repeated). Of rows
+    that agree in id and text one stays."""
+    rows = named(docs.select(*COLUMNS))
+    found = near_duplicates(_as_docs(rows))
+    gone = materialise(found.where("not kept").select(F.col("doc_id").alias("name")).distinct(), "copies")
+    again = materialise(rows.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name"), "again")
+    many, single = parted(rows, again, "name")
+    once = many.join(again, "name", "left_semi").groupBy("name").agg(*(F.first(c).alias(c) for c in COLUMNS))
+    rows = single.unionByName(many.join(again, "name", "left_anti")).unionByName(once)
+    return _without(rows, gone)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    gone = materialise(contaminated(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct(), "leaked")
-    return _without(docs.select(*COLUMNS), gone)
+    rows = named(docs.select(*COLUMNS))
+    found = contaminated(_as_docs(rows), read(spark, sf_dir, "benchmark"))
+    return _without(rows, materialise(found.where("contaminated").select(F.col("doc_id").alias("name")).distinct(), "leaked"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
