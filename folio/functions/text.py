@@ -69,7 +69,7 @@ def snippet(text: Column, at: Column, size: Column, margin: int, dots: bool = Fa
 _BLOCK = 64
 
 
-def _starts(lengths: Column) -> Column:
+def starts(lengths: Column) -> Column:
     """Where each match begins, from array<struct<gap, hit>> of lengths. A fold copies the array it
     builds, so it runs over blocks: the work grows with the number of matches, not with its square."""
 
@@ -94,7 +94,7 @@ def find_all(text: Column, pattern: str) -> Column:
 
     def of(both: Column) -> Column:
         lengths = F.zip_with(F.slice(both["gaps"], F.lit(1), F.size(both["hits"])), both["hits"], lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit")))
-        return F.zip_with(let(lengths, _starts), both["hits"], lambda s, h: F.struct(s.alias("start"), h.alias("text")))
+        return F.zip_with(let(lengths, starts), both["hits"], lambda s, h: F.struct(s.alias("start"), h.alias("text")))
 
     both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
     # ``split`` compiles its pattern for every row, ``rlike`` once: texts without a match never reach it.

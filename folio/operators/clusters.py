@@ -3,7 +3,8 @@
 ``similar_keys`` finds every pair of different keys whose edit distance is at most (1 - accept) of the longer one. Keys meet on signatures that two
 keys within the distance d must share, so a frequent surname or first name brings nobody together by itself:
 
-* d = 1 or 2: what is left after deleting up to d characters anywhere (symmetric deletion). Keys that meet are at most 2d apart.
+* d = 1: what is left after deleting one character, with its place for keys of one length, against the whole shorter key otherwise. Only keys that are one edit apart meet.
+* d = 2: what is left after deleting up to two characters anywhere (symmetric deletion). Keys that meet are at most four edits apart.
 * d >= 3, keys of 30 characters and more at the usual 0.9: the shorter key is cut into d + 1 pieces, one of which is in the longer one, moved by at most d. Places
   are compared by stretches of 2d + 1, so a key has a few signatures for each of its characters.
 
@@ -36,6 +37,10 @@ def _deletions(key: str, d: int) -> set[str]:
     return {"".join(c for i, c in enumerate(key) if i not in gone) for k in range(d + 1) for gone in map(set, combinations(range(len(key)), k))} if d else {key}
 
 
+def _without_one(key: str) -> list[str]:
+    return [key[:i] + key[i + 1 :] for i in range(len(key))]
+
+
 def _pieces(n: int, d: int) -> list[tuple[int, int]]:
     """Start and length of d + 1 nearly equal pieces of n characters."""
     edges = [n * i // (d + 1) for i in range(d + 2)]
@@ -51,7 +56,12 @@ def _cuts(d: int) -> int:
 def _signatures(key: str, accept: float) -> Iterator[tuple[bool, str]]:
     """(as the longer one, signature). The longer of two keys tells how many edits are allowed; the shorter one lists its signatures for each number that a longer one may allow."""
     n, d = len(key), _allowed(len(key), accept)
-    if 0 < d <= DELETED:
+    if d == 1:
+        for i, s in enumerate(_without_one(key)):
+            yield True, f"1={i}:{s}"
+        for s in set(_without_one(key)):
+            yield True, f"1-:{s}"
+    elif d == DELETED:
         for s in _deletions(key, d):
             yield True, f"{d}:{s}"
     elif d:
@@ -67,7 +77,11 @@ def _signatures(key: str, accept: float) -> Iterator[tuple[bool, str]]:
         numbers.add(most if most <= DELETED else _cuts(most))
         longer += 1
     for d in numbers - {0}:
-        if d <= DELETED:
+        if d == 1:
+            yield False, f"1-:{key}"
+            for i, s in enumerate(_without_one(key)):
+                yield False, f"1={i}:{s}"
+        elif d == DELETED:
             for s in _deletions(key, d):
                 yield False, f"{d}:{s}"
         else:
@@ -80,21 +94,28 @@ def similar_keys(keys: DataFrame, accept: float = 0.9) -> DataFrame:
     if not 0.6 <= accept <= 1:
         raise ValueError("accept lies between 0.6 and 1")
 
+    def rows(batch: pa.RecordBatch, at: list[int], longer: list[bool], signs: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("name_key").take(pa.array(at, pa.int64())), pa.array(longer, pa.bool_()), pa.array(signs, pa.string())], names=["k", "longer", "s"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                rows = list(_signatures(batch.column("name_key")[at].as_py(), accept))
-                # The key goes with each of its signatures, so a long one goes a few at a time.
-                for part in range(0, len(rows), 1000):
-                    longer, s = zip(*rows[part : part + 1000])
-                    k = batch.column("name_key").take(pa.array([at] * len(s)))
-                    yield pa.RecordBatch.from_arrays([k, pa.array(longer, pa.bool_()), pa.array(s, pa.string())], names=["k", "longer", "s"])
+            at, longer, signs, size = [], [], [], 0
+            for k, key in enumerate(batch.column("name_key").to_pylist()):
+                for side, s in _signatures(key, accept):
+                    at.append(k), longer.append(side), signs.append(s)
+                    size += len(key) + len(s)
+                    # The key goes with each of its signatures, so a long one goes a few at a time.
+                    if size > 1 << 22:
+                        yield rows(batch, at, longer, signs)
+                        at, longer, signs, size = [], [], [], 0
+            yield rows(batch, at, longer, signs)
 
     signed = written(keys.where("name_key is not null").select("name_key").distinct().mapInArrow(run, "k string, longer boolean, s string"), "signatures")
     x, y = signed.where("longer").select(F.col("k").alias("x"), "s"), signed.where("not longer").select(F.col("k").alias("y"), "s")
     met = x.join(y, "s").where((F.length("x") > F.length("y")) | ((F.length("x") == F.length("y")) & (F.col("x") < F.col("y"))))
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().withColumn("score", similarity(F.col("a"), F.col("b")))
-    found = written(pairs.where(F.col("score") >= accept - 1e-9), "similar")
+    # Most that meet aren't near enough, so they are compared before equal pairs are folded.
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).withColumn("score", similarity(F.col("a"), F.col("b"))).where(F.col("score") >= accept - 1e-9)
+    found = written(pairs.distinct(), "similar")
     delete(signed)
     return found
 

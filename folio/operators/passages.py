@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import count_tokens, let, strip
+from ..functions.text import count_tokens, let, starts, strip
 from ..schemas import PASSAGE
 
 MIN_TOKENS, MAX_TOKENS = 512, 1000
@@ -14,35 +16,38 @@ _SEGMENTS = "array<struct<first:int,last:int,n:int>>"
 
 def _paragraph_starts(paragraphs: Column) -> Column:
     """Place of each paragraph in the text that joins them by blank lines."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(paragraphs, zero, lambda a, p: F.struct((a["at"] + F.length(p) + 2).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    return let(F.transform(paragraphs, lambda p, i: F.struct(F.when(i > 0, 2).otherwise(0).alias("gap"), F.length(p).alias("hit"))), starts)
 
 
 def _segments(tokens: Column, min_tokens: int, max_tokens: int) -> Column:
     """(first, last, tokens) of the packed segments: fill up to ``max_tokens``, merge a short
     segment with the next one, and a short last one with the one before it."""
-    empty = F.array().cast(_SEGMENTS)
+    one = "struct<first:int,last:int,n:int>"
     numbered = F.transform(tokens, lambda n, i: F.struct(i.alias("first"), i.alias("last"), n.alias("n")))
 
-    def last(out: Column) -> Column:
-        return F.element_at(out, -1)
+    def joined(a: Column, b: Column) -> Column:
+        return F.struct(a["first"].alias("first"), b["last"].alias("last"), (a["n"] + b["n"]).alias("n"))
 
-    def joined(out: Column, x: Column) -> Column:
-        tail = F.struct(last(out)["first"].alias("first"), x["last"].alias("last"), (last(out)["n"] + x["n"]).alias("n"))
-        return F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(tail))
+    def grouped(items: Column, goes_on: Callable[[Column, Column], Column]) -> Column:
+        """Neighbours joined while ``goes_on`` (the open segment, the next one). Only closed segments are copied, so the work grows with their number."""
+        zero = F.struct(F.array().cast(_SEGMENTS).alias("done"), F.lit(None).cast(one).alias("open"))
 
-    def fill(out: Column, x: Column) -> Column:
-        return F.when(F.size(out) == 0, F.array(x)).when(last(out)["n"] + x["n"] > max_tokens, F.concat(out, F.array(x))).otherwise(joined(out, x))
+        def add(acc: Column, x: Column) -> Column:
+            stays = acc["open"].isNull() | goes_on(acc["open"], x)
+            return F.struct(
+                F.when(stays, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"),
+                F.when(acc["open"].isNotNull() & stays, joined(acc["open"], x)).otherwise(x).cast(one).alias("open"),
+            )
 
-    def merge(out: Column, x: Column) -> Column:
-        return F.when(F.size(out) == 0, F.array(x)).when(last(out)["n"] < min_tokens, joined(out, x)).otherwise(F.concat(out, F.array(x)))
+        return F.aggregate(items, zero, add, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
 
     def tail(out: Column) -> Column:
-        short = (F.size(out) >= 2) & (last(out)["n"] < min_tokens)
-        return F.when(short, joined(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), last(out))).otherwise(out)
+        last, before = F.element_at(out, -1), F.element_at(out, -2)
+        short = (F.size(out) >= 2) & (last["n"] < min_tokens)
+        return F.when(short, F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 2, F.lit(0))), F.array(joined(before, last)))).otherwise(out)
 
-    merged = F.aggregate(F.aggregate(numbered, empty, fill), empty, merge)
-    return let(merged, tail)
+    filled = grouped(numbered, lambda a, x: a["n"] + x["n"] <= max_tokens)
+    return let(grouped(filled, lambda a, x: a["n"] < min_tokens), tail)
 
 
 def pack_passages(paragraphs: Column, min_tokens: int = MIN_TOKENS, max_tokens: int = MAX_TOKENS) -> Column:

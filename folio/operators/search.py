@@ -1,113 +1,148 @@
 """Passage gating by BM25: an inverted index and an exact top-k search that never meets every passage with every query.
 
-The index is a table of postings (term, passage, count in it, its length), ordered by term and then passage, so a frequent
-term's list is spread over many files; and a table of terms with the number of passages that have them.
+The index is a table of postings (term, passage, count in it, length of the passage) in segments: each task sorts its own postings by term and writes
+them, so building shuffles nothing, and Parquet's statistics skip the row groups of other terms.
 
-The search adds up few lists. Scores of the ``PROBED`` rarest terms of a query give a score that its k-th best passage reaches at least. The most common terms whose
-best possible scores together stay below that can't bring a passage into the first k: only passages with one of the other terms are candidates. Candidates whose
-score from those, with all that the common terms could add, stays below too are dropped; for the rest the common terms are looked up one by one. A
-term that nearly every passage has is thus never expanded, unless a query has nothing rarer.
+A search reads few lists. Each query first reads those of its rare terms; the best passages found that way are scored in full, and the k-th of
+them is a score that the answer reaches at least. Terms whose greatest gains in any passage together stay below that can't bring a passage into the answer: only
+passages with one of the other terms are candidates, and of those only the ones that could still reach it with all that the left-out terms add; these are looked up one by one.
+A term that nearly every passage has is thus hardly ever expanded.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import let
 from ..sources.scratch import delete, written
 
 K1, B = 1.2, 0.75
 #: Scores are compared at six decimals, so sums in another order rank alike.
 PLACES, SLACK = 6, 1e-5
-#: Rarest terms of a query whose lists are read first.
-PROBED = 3
-_TERM = r"[\p{L}\p{N}]+"
+#: Lists of up to so many passages are read first, always the shortest one that has enough for an answer; and of each query so many
+#: passages for each place of the answer are scored in full.
+PROBED, SCORED = 1000, 20
+_TERM = re.compile(r"[^\W_]+")
 KEY = ["doc_id", "passage_id"]
 
 
-def terms(text: Column) -> Column:
-    """Lower-cased runs of letters and digits; none of a null text."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)), F.array().cast("array<string>"))
-
-
-def term_counts(text: Column) -> Column:
-    """array<struct<term, tf>> of a text, from the runs of its sorted terms."""
-
-    def runs(s: Column) -> Column:
-        firsts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return let(firsts, lambda a: F.zip_with(a, F.concat(F.slice(a, F.lit(2), F.size(a)), F.array(F.size(s))), lambda x, y: F.struct(F.get(s, x).alias("term"), (y - x).alias("tf"))))
-
-    none = F.array().cast("array<struct<term:string,tf:int>>")
-    return let(F.array_sort(terms(text)), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none))
+def terms(text: str | None) -> list[str]:
+    """Lower-cased runs of letters and digits."""
+    return _TERM.findall((text or "").lower())
 
 
 @dataclass
 class Index:
-    """``postings`` (term, doc_id, passage_id, tf, length), ``dictionary`` (term, df), the number of passages with a term and their mean length."""
+    """``postings`` (term, doc_id, passage_id, tf, length), the number of passages with a term and their mean length."""
 
     postings: DataFrame
-    dictionary: DataFrame
     passages: int
     mean_length: float
 
 
 def build_index(passages: DataFrame, path: str | None = None) -> Index:
-    """Index ``passages`` (doc_id, passage_id, text), below ``path`` or in the scratch folder. A passage is named by its two ids: rows without them or without a term aren't
-    searched, and of several rows with the same ids each is a passage of its own only in the counts, so keep ids unique."""
-    rows = passages.where("doc_id is not null and passage_id is not null").select(*KEY, term_counts(F.col("text")).alias("counts"))
-    rows = rows.withColumn("length", F.aggregate("counts", F.lit(0), lambda a, c: a + c["tf"]))
-    lists = rows.select(*KEY, "length", F.explode_outer("counts").alias("c")).where("c is not null").select("c.term", *KEY, "c.tf", "length")
-    # By range of (term, passage): a frequent term takes several partitions.
-    postings = written(lists.repartitionByRange("term", *KEY).sortWithinPartitions("term", *KEY), "postings", path and f"{path}/postings")
-    dictionary = written(postings.groupBy("term").agg(F.count("*").alias("df")), "terms", path and f"{path}/terms")
-    return _opened(postings, dictionary)
-
-
-def open_index(spark, path: str) -> Index:
-    """An index that ``build_index`` wrote below ``path``."""
-    return _opened(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"))
-
-
-def _opened(postings: DataFrame, dictionary: DataFrame) -> Index:
-    # Each posting has the share 1 / length of (its tf): summed, a passage counts once.
+    """Index ``passages`` (doc_id, passage_id, text), at ``path`` or in the scratch folder. A passage is named by its two ids, which should be unique: rows without them or without a term aren't searched."""
+    rows = passages.where("doc_id is not null and passage_id is not null").select(*KEY, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                names, tfs, sizes, lengths = [], [], [], []
+                for text in part.column("text").to_pylist():
+                    counts = Counter(terms(text))
+                    names += counts
+                    tfs += counts.values()
+                    sizes.append(len(counts))
+                    lengths.append(counts.total())
+                of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                columns = [pa.array(names, pa.string()), *(part.column(k).take(of) for k in KEY), pa.array(tfs, pa.int32()), pa.array(np.repeat(np.array(lengths, np.int32), sizes))]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", *KEY, "tf", "length"])
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in KEY)
+    return _opened(written(rows.mapInArrow(run, f"term string, {kinds}, tf int, length int").sortWithinPartitions("term"), "postings", path))
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """An index that ``build_index`` wrote at ``path``."""
+    return _opened(spark.read.parquet(path))
+
+
+def _opened(postings: DataFrame) -> Index:
+    # A passage's counts sum to its length, so its postings' shares of it sum to one.
     one = postings.agg(F.sum("tf").alias("words"), F.sum(F.col("tf") / F.col("length")).alias("n")).first()
     n = round(one.n or 0)
-    return Index(postings, dictionary, n, (one.words or 0) / n if n else 0.0)
+    return Index(postings, n, (one.words or 0) / n if n else 0.0)
 
 
 def _gain(index: Index) -> Column:
-    """What a posting adds to a query whose term weighs ``weight``."""
+    """What a posting adds to a query, but for the term's weight."""
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.lit(index.mean_length or 1.0))
-    return F.col("weight") * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + norm)
+    return F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + norm)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf) of queries with an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, t, n) for k, text in enumerate(batch.column("text").to_pylist()) for t, n in Counter(terms(text)).items()]
+            if rows:
+                k, t, n = zip(*rows)
+                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(k)), pa.array(t, pa.string()), pa.array(n, pa.int64())], names=["query_id", "term", "qtf"])
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    found = queries.where("query_id is not null").select("query_id", "text").mapInArrow(run, f"query_id {kind}, term string, qtf long")
+    return found.groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf"))
 
 
 def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, doc_id, passage_id, score) of the ``k`` best passages of each of ``queries`` (query_id, text), equal scores by doc_id and
     passage_id. Passages that share no term with a query aren't found; neither are queries with a null id."""
-    asked = queries.where("query_id is not null").select("query_id", F.explode_outer(term_counts(F.col("text"))).alias("c")).where("c is not null").groupBy("query_id", F.col("c.term").alias("term")).agg(F.sum("c.tf").alias("qtf"))
-    idf = F.log(F.lit(1.0) + (F.lit(index.passages) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = written(asked.join(index.dictionary, "term").select("query_id", "term", "df", (F.col("qtf") * idf).alias("weight")), "query-terms")
     by_query = W.partitionBy("query_id")
-    rare = known.withColumn("r", F.row_number().over(by_query.orderBy("df", "term"))).where(F.col("r") <= PROBED)
-    first = rare.join(index.postings, "term").groupBy("query_id", *KEY).agg(F.sum(_gain(index)).alias("score"))
-    kth = first.withColumn("r", F.row_number().over(by_query.orderBy(F.desc("score")))).where(F.col("r") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("reached"))
-    # The most common terms first, as they weigh least; those that together stay below are looked up later.
-    upto = F.sum(F.col("weight") * (K1 + 1)).over(by_query.orderBy(F.col("weight"), "term").rowsBetween(W.unboundedPreceding, 0))
+    asked = written(_asked(queries), "query-terms")
+    # Of the words of the queries: how many passages have them, and what they add at most.
+    words = index.postings.join(asked.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"), F.max(_gain(index)).alias("top"))
+    weight = F.col("qtf") * F.log(F.lit(1.0) + (F.lit(index.passages) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = asked.join(words, "term").select("query_id", "term", "df", weight.alias("weight"), "top")
+    enough = F.min(F.when(F.col("df") >= k, F.col("df"))).over(by_query)
+    known = written(known.withColumn("probe", (F.col("df") <= PROBED) | (F.col("df") <= enough)), "query-weights")
+
+    def sums(some: DataFrame) -> DataFrame:
+        """Score of every passage that has one of these terms of a query, from these terms."""
+        return some.select("query_id", "term", "weight").join(index.postings, "term").groupBy("query_id", *KEY).agg(F.sum(F.col("weight") * _gain(index)).alias("score"))
+
+    def added(rows: DataFrame, some: DataFrame) -> DataFrame:
+        """``rows`` (query_id, the ids of a passage, score) with what these terms of the query add."""
+        lists = index.postings.join(rows.select(*KEY).distinct(), KEY)
+        more = rows.select("query_id", *KEY).join(some.select("query_id", "term", "weight"), "query_id").join(lists, ["term", *KEY])
+        more = more.groupBy("query_id", *KEY).agg(F.sum(F.col("weight") * _gain(index)).alias("more"))
+        return rows.join(more, ["query_id", *KEY], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))).drop("more")
+
+    first = sums(known.where("probe")).withColumn("r", F.row_number().over(by_query.orderBy(F.desc("score"), *KEY))).where(F.col("r") <= SCORED * k).drop("r")
+    first = written(first, "probed")
+    full = added(first, known.where("not probe"))
+    kth = full.withColumn("r", F.row_number().over(by_query.orderBy(F.desc("score")))).where(F.col("r") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("reached"))
+    # Terms by what they can add, the least first: those that together stay below what is reached are looked up later.
+    most = F.col("weight") * F.col("top")
+    upto = F.sum(most).over(by_query.orderBy(most, "term").rowsBetween(W.unboundedPreceding, 0))
     split = known.join(kth, "query_id", "left").withColumn("reached", F.coalesce("reached", F.lit(0.0)) - SLACK).withColumn("later", upto < F.col("reached"))
-    split = written(split, "query-split")
+    split = written(split.withColumn("most", most), "query-split")
     essential, common = split.where("not later"), split.where("later")
-    most = common.groupBy("query_id").agg(F.sum(F.col("weight") * (K1 + 1)).alias("most"))
-    candidates = essential.join(index.postings, "term").groupBy("query_id", "reached", *KEY).agg(F.sum(_gain(index)).alias("score"))
-    candidates = written(candidates.join(most, "query_id", "left").where(F.col("score") + F.coalesce("most", F.lit(0.0)) >= F.col("reached")).drop("most", "reached"), "candidates")
-    added = candidates.select("query_id", *KEY).join(common.select("query_id", "term", "weight"), "query_id").join(index.postings, ["term", *KEY]).groupBy("query_id", *KEY).agg(F.sum(_gain(index)).alias("more"))
-    whole = candidates.join(added, ["query_id", *KEY], "left").withColumn("score", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), PLACES))
+    open_ = split.groupBy("query_id").agg(F.first("reached").alias("reached"), F.sum(F.when(F.col("later"), F.col("most")).otherwise(0.0)).alias("most"))
+    candidates = written(sums(essential).join(open_, "query_id").where(F.col("score") + F.col("most") >= F.col("reached")).select("query_id", *KEY, "score"), "candidates")
+    whole = added(candidates, common).withColumn("score", F.round("score", PLACES))
     best = whole.withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), *KEY))).where(F.col("rank") <= k)
     found = written(best.select("query_id", "rank", *KEY, "score"), "found")
-    delete(known, split, candidates)
+    delete(asked, known, first, split, candidates)
     return found
 
 
@@ -115,5 +150,5 @@ def gate(passages: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The ``passages`` that are among the ``k`` best of a query, with n_queries and best_score; the others are left out."""
     index = build_index(passages)
     hits = search(index, queries, k).groupBy(*KEY).agg(F.count("*").alias("n_queries"), F.max("score").alias("best_score"))
-    delete(index.postings, index.dictionary)
+    delete(index.postings)
     return passages.join(hits, KEY)

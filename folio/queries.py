@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import blank_to_null, count_tokens, find_all, lenient_json
+from .functions.text import blank_to_null, count_tokens, lenient_json
 from .operators import approximate, clusters, coreference, extraction, facts, linking, ner, review, search, selection, spans, validation, vectors, verdicts, verify
 from .operators.detectors import DETECTORS, detect
 from .operators.passages import pack_passages, paragraph_passages
@@ -110,9 +110,11 @@ def detector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and name tokens of every document, counted in its row."""
-    tokens = table(spark, sf_dir, "documents").select("doc_id", find_all(F.col("text"), r"(?U)\S+").alias("t")).where(F.size("t") > 0)
-    names = F.size(F.filter("t", lambda t: ner.is_name_token(t["text"])))
-    return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), names.cast("long").alias("n_names"), F.element_at("t", -1)["start"].cast("long").alias("last_start"))
+    tokens = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0)).alias("t")).where(F.size("t") > 0)
+    names = F.size(F.filter("t", ner.is_name_token))
+    # The last token starts where it and the white space behind it begin.
+    last = F.length("text") - F.length(F.regexp_extract("text", r"(?U)(?<!\S)\S++\s*+$", 0))
+    return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), names.cast("long").alias("n_names"), last.cast("long").alias("last_start"))
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,8 +47,9 @@ def corpus():
     return passages, queries | {30: "the of", 31: "the", 32: None, 33: "", 34: "unknown", 35: "same same w1", 36: "ZÜRICH a1"}
 
 
-@pytest.mark.parametrize("k", [1, 5, 200])
-def test_search_equals_brute_force(spark, k):
+@pytest.mark.parametrize("k, probed", [(1, 0), (1, 1000), (5, 5), (5, 1000), (200, 10)])
+def test_search_equals_brute_force(spark, monkeypatch, k, probed):
+    monkeypatch.setattr(search, "PROBED", probed)
     passages, queries = corpus()
     rows = [(d, p, t, "clash", "clash") for (d, p), t in passages.items()] + [(None, 0, "the w1", "", ""), (1, None, "the w1", "", "")]
     df = spark.createDataFrame(rows, "doc_id long, passage_id int, text string, score string, term string").repartition(5)
@@ -57,11 +58,12 @@ def test_search_equals_brute_force(spark, k):
     assert sorted((r.query_id, r["rank"], r.doc_id, r.passage_id, r.score) for r in found) == bm25(passages, queries, k)
 
 
-def test_common_terms_are_not_expanded(spark):
+def test_common_terms_are_not_expanded(spark, monkeypatch):
     """A term of every passage meets only the candidates that rarer terms name."""
     passages = {(d, 0): "the the of " + (f"rare{d % 50} " * (d % 3 + 1)) for d in range(1000)}
     df = spark.createDataFrame([(d, p, t) for (d, p), t in passages.items()], "doc_id long, passage_id int, text string")
     queries = {q: f"the of rare{q}" for q in range(20)}
+    monkeypatch.setattr(search, "PROBED", 30)
     index = search.build_index(df)
     kept = []
     original = search.written
@@ -74,7 +76,7 @@ def test_common_terms_are_not_expanded(spark):
     tables = dict(kept)
     assert sorted((r.query_id, r["rank"], r.doc_id, r.passage_id, r.score) for r in found) == bm25(passages, queries, 3)
     assert tables["query-split"].where("later").select("term").distinct().count() == 2
-    assert tables["candidates"].count() <= 20 * 20
+    assert tables["candidates"].count() <= 20 * 20 and tables["probed"].count() <= 20 * 20
 
 
 def test_index_on_disk_and_empty(spark, tmp_path):
