@@ -29,7 +29,7 @@ PRONOUNS = {"m": ["ông ta", "ông ấy", "anh ta", "anh ấy", "hắn", "he", "
 #: Sentences that a pronoun looks back.
 WINDOW = 3
 _BARE = {"m": [w.capitalize() for w in MALE], "f": [w.capitalize() for w in FEMALE]}
-_PRONOUN = rf"(?<!\p{{L}})(?:(?iu:{'|'.join(p for ps in PRONOUNS.values() for p in ps)})|(?:{'|'.join(_BARE['m'] + _BARE['f'])})(?! \p{{Lu}}))(?!\p{{L}})"
+_PRONOUN = rf"(?<!\p{{L}})(?=[{''.join(sorted({c for ps in (*PRONOUNS.values(), *_BARE.values()) for p in ps for c in (p[0].lower(), p[0].upper())}))}])(?:(?iu:{'|'.join(p for ps in PRONOUNS.values() for p in ps)})|(?:{'|'.join(_BARE['m'] + _BARE['f'])})(?! \p{{Lu}}))(?!\p{{L}})"
 _MENTION = "struct<start:int,end:int,text:string,sentence:int,kind:string,gender:string,name:string>"
 
 

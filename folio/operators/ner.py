@@ -11,6 +11,9 @@ from .detectors import attributes
 
 #: Fixed values. Only one token before a name is looked at, so the longer ones never match.
 HONORIFICS = ["ông", "bà", "anh", "chị", "cô", "chú", "thiếu tá", "trung tá", "thượng tá", "đại tá", "thiếu tướng", "thượng tướng", "trung tướng", "luật sư", "thẩm phán"]
+#: Tokens up to which a sentence's places are found for each run on its own.
+_FEW = 200
+#: What is stripped from a token.
 _EDGE = ".,:;!?()[]{}\"'“”‘’"
 LABELS = {"PER": "person", "ORG": "organization", "LOC": "location"}
 _ENTITY = "array<struct<label:string,text:string,start:int,end:int,score:double>>"
@@ -24,7 +27,8 @@ def is_name_token(token: Column) -> Column:
     """Starts with a capital, isn't all capitals, has no digit."""
     c = _cleaned(token)
     shout = (F.upper(c) == c) & (F.lower(c) != c)
-    return c.rlike(r"^[\p{Lu}\p{Lt}]") & ~c.rlike(r"\p{Nd}") & ~shout
+    # The first test is cheap and fails for most tokens.
+    return token.rlike(r"[\p{Lu}\p{Lt}]") & c.rlike(r"^[\p{Lu}\p{Lt}]") & ~c.rlike(r"\p{Nd}") & ~shout
 
 
 def person_names(sentence: Column) -> Column:
@@ -32,33 +36,43 @@ def person_names(sentence: Column) -> Column:
 
     Score: 0.55, 0.1 more with an honorific, 0.02 for each token beyond two, at most 0.85.
     A run of one token of up to two characters is dropped."""
-    run = "array<struct<start:int,end:int,n:int,clean:string,first:int,last:int>>"
-
-    def number(t: Column, i: Column) -> Column:
-        return F.struct(i.alias("i"), t["start"].alias("start"), (t["start"] + F.length(t["text"])).alias("end"), t["text"].alias("text"))
+    run = "array<struct<n:int,clean:string,first:int,last:int>>"
 
     def add(runs: Column, t: Column) -> Column:
         last = F.element_at(runs, -1)
-        longer = F.struct(last["start"].alias("start"), t["end"].alias("end"), (last["n"] + 1).alias("n"), last["clean"].alias("clean"), last["first"].alias("first"), t["i"].alias("last"))
-        new = F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit(1).alias("n"), _cleaned(t["text"]).alias("clean"), t["i"].alias("first"), t["i"].alias("last"))
+        longer = F.struct((last["n"] + 1).alias("n"), last["clean"].alias("clean"), last["first"].alias("first"), t["i"].alias("last"))
+        new = F.struct(F.lit(1).alias("n"), _cleaned(t["text"]).alias("clean"), t["i"].alias("first"), t["i"].alias("last"))
         goes_on = (F.size(runs) > 0) & F.coalesce(last["last"] + 1 == t["i"], F.lit(False))
         return F.when(goes_on, F.concat(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(runs, F.array(new))).cast(run)
 
-    def of_tokens(tokens: Column) -> Column:
+    def of_tokens(found: Column) -> Column:
+        tokens = found["tokens"]
+
+        def place(i: Column) -> Column:
+            before = F.when(i > 0, F.length(F.array_join(F.slice(tokens, F.lit(1), i), " ")) + 1).otherwise(0)
+            return F.when(found["starts"].isNull(), before).otherwise(F.get(found["starts"], i))
+
         def finish(r: Column) -> Column:
-            before = F.get(tokens, r["first"] - 1)
-            titled = F.coalesce(F.lower(_cleaned(before["text"])).isin(HONORIFICS), F.lit(False))
-            start = F.when(titled, before["start"]).otherwise(r["start"])
-            n = r["n"] + titled.cast("int")
-            score = F.bround(F.least(F.lit(0.55) + F.when(titled, 0.1).otherwise(0.0) + F.lit(0.02) * (n - 2), F.lit(0.85)), 3)
-            return F.struct(F.lit("person").alias("label"), slice_text(sentence, start, r["end"]).alias("text"), start.alias("start"), r["end"].alias("end"), score.alias("score"))
-
-        # Only name tokens, a few of each sentence, reach the fold.
-        named = F.filter(F.transform(tokens, number), lambda t: is_name_token(t["text"]))
+            titled = F.coalesce(F.lower(_cleaned(F.get(tokens, r["first"] - 1))).isin(HONORIFICS), F.lit(False))
+            return let(F.struct(titled.alias("titled"), place(r["first"] - titled.cast("int")).alias("start"), (place(r["last"]) + F.length(F.get(tokens, r["last"]))).alias("end")), lambda at: entity(r, at))
+
+        def entity(r: Column, at: Column) -> Column:
+            n = r["n"] + at["titled"].cast("int")
+            score = F.bround(F.least(F.lit(0.55) + F.when(at["titled"], 0.1).otherwise(0.0) + F.lit(0.02) * (n - 2), F.lit(0.85)), 3)
+            return F.struct(F.lit("person").alias("label"), slice_text(sentence, at["start"], at["end"]).alias("text"), at["start"].alias("start"), at["end"].alias("end"), score.alias("score"))
+
+        # Only name tokens, a few of each sentence, reach the fold, and only runs need places.
+        named = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.alias("text"))), lambda t: is_name_token(t["text"]))
         runs = F.aggregate(named, F.array().cast(run), add)
         return F.transform(F.filter(runs, lambda r: (r["n"] > 1) | (F.length(r["clean"]) > 2)), finish).cast(_ENTITY)
 
-    return let(find_all(sentence, r"(?U)\S+"), of_tokens)
+    def placed(tokens: Column) -> Column:
+        # Between single spaces a token's place follows from the tokens before it; a sentence of other gaps or of many tokens gets all places at once.
+        plain = ~sentence.rlike(r"(?U)[\s&&[^ ]]|  |^ | $") & (F.size(tokens) <= _FEW)
+        starts = F.when(plain, F.lit(None).cast("array<int>")).otherwise(F.transform(find_all(sentence, r"(?U)\S+"), lambda t: t["start"]))
+        return let(F.struct(tokens.alias("tokens"), starts.alias("starts")), of_tokens)
+
+    return let(F.regexp_extract_all(sentence, F.lit(r"(?U)\S+"), F.lit(0)), placed)
 
 
 def align(sentence: Column, tokens: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import blank_to_null, count_tokens, lenient_json
-from .operators import approximate, clusters, coreference, extraction, facts, linking, ner, review, search, selection, spans, validation, vectors, verdicts, verify
+from .operators import approximate, clusters, consistency, coreference, extraction, facts, linking, ner, review, search, selection, spans, validation, vectors, verdicts, verify
 from .operators.detectors import DETECTORS, detect
 from .operators.passages import pack_passages, paragraph_passages
 from .operators.sentences import explode_sentences
@@ -220,6 +220,25 @@ def explain_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "span_type", F.col("text").alias("span_text"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), "reason", "found_start", "found_end", "cost", "explanation")
 
 
+def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The people found in single sentences, aligned with those found in whole lines, where names beside a full stop fuse."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("passage_id"), F.lit(0).alias("passage_ord"), "text")
+    by_sentence = explode_sentences(docs.withColumn("start", F.lit(0))).withColumn("passage_ord", F.lit(0))
+    by_line = docs.select("doc_id", "passage_id", "passage_ord", F.posexplode(paragraph_passages(F.split("text", "\n"))).alias("ord", "p"))
+    by_line = by_line.select("doc_id", "passage_id", "passage_ord", "ord", F.col("ord").cast("string").alias("sentence_id"), (F.col("p.start") - F.get("p.paragraph_indices", F.lit(0))).alias("base"), F.col("p.text").alias("sentence"))
+    return consistency.compare_runs(*(baseline.emit(rows, []) for rows in (by_sentence, by_line)))
+
+
+@query
+def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return two_runs(spark, sf_dir).select("doc_id", "left_span_type", "left_start", "left_end", "right_span_type", "right_start", "right_end", "agreement")
+
+
+@query
+def run_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consistency.agreement(two_runs(spark, sf_dir))
+
+
 @query
 def coreference_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names and pronouns of every document with the person they mean."""
