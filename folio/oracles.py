@@ -299,6 +299,13 @@ ORACLES: dict[str, str] = {
       CAST(span_start - CASE WHEN span_start % 5 = 3 AND span_start > 0 THEN 1 ELSE 0 END AS INTEGER) AS found_start,
       CAST(span_start + length(span_text) - CASE WHEN span_start % 5 = 3 THEN 1 ELSE 0 END AS INTEGER) AS found_end,
       CAST(CASE WHEN span_start % 5 = 3 THEN 1 ELSE 0 END AS INTEGER) AS cost, CASE WHEN span_start % 5 = 3 THEN 'edited' ELSE 'moved' END AS explanation FROM judged WHERE NOT verified""",
+    "allegation_status": """WITH said AS (
+        SELECT user_id AS person, event_id % 3 AS allegation, ts, CAST(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 3 WHEN 'purchase' THEN 7 WHEN 'error' THEN 11 END AS INTEGER) AS mask FROM events
+      ), merged AS (
+        SELECT person, allegation, bit_or(mask) AS mask, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n_statements, min(ts) AS alleged_at, min(ts) FILTER (mask & 3 = 3) AS charged_at,
+          min(ts) FILTER (mask & 7 = 7) AS convicted_at, min(ts) FILTER (mask & 11 = 11) AS acquitted_at
+        FROM said WHERE person IS NOT NULL AND mask IS NOT NULL GROUP BY ALL
+      ) SELECT *, CASE mask WHEN 1 THEN 'alleged' WHEN 3 THEN 'charged' WHEN 7 THEN 'convicted' WHEN 11 THEN 'acquitted' WHEN 15 THEN 'contested' END AS status, mask = 7 AS as_fact FROM merged""",
     "fact_periods": f"WITH {_periods('o_orderpriority', 400, 'p')} SELECT key, value, valid_from, valid_to, n FROM p",
     "fact_as_of": f"""WITH {_periods('o_orderpriority', 400, 'p')}, reads AS (
         SELECT o_orderkey AS seq, o_custkey AS key, datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 45 AS asked_day FROM orders

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import blank_to_null, count_tokens, lenient_json
-from .operators import approximate, clusters, consistency, coreference, extraction, facts, linking, ner, review, search, selection, spans, validation, vectors, verdicts, verify
+from .operators import allegations, approximate, clusters, consistency, coreference, extraction, facts, linking, ner, review, search, selection, spans, validation, vectors, verdicts, verify
 from .operators.detectors import DETECTORS, detect
 from .operators.passages import pack_passages, paragraph_passages
 from .operators.sentences import explode_sentences
@@ -220,6 +220,14 @@ def explain_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "span_type", F.col("text").alias("span_text"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), "reason", "found_start", "found_end", "cost", "explanation")
 
 
+@query
+def allegation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as statements about three allegations of each user, merged."""
+    status = F.create_map(*(F.lit(x) for kv in (("view", "alleged"), ("click", "Charged"), ("purchase", "convicted"), ("error", "acquitted")) for x in kv))
+    said = table(spark, sf_dir, "events").select(F.col("user_id").alias("person"), (F.col("event_id") % 3).alias("allegation"), F.try_element_at(status, F.col("event_type")).alias("status"), F.col("ts").alias("at"))
+    return allegations.present(allegations.merge(said)).select(*(c for c in allegations.STATE), "status", "as_fact")
+
+
 def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The people found in single sentences, aligned with those found in whole lines, where names beside a full stop fuse."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("passage_id"), F.lit(0).alias("passage_ord"), "text")
