@@ -299,6 +299,8 @@ ORACLES: dict[str, str] = {
       CAST(span_start - CASE WHEN span_start % 5 = 3 AND span_start > 0 THEN 1 ELSE 0 END AS INTEGER) AS found_start,
       CAST(span_start + length(span_text) - CASE WHEN span_start % 5 = 3 THEN 1 ELSE 0 END AS INTEGER) AS found_end,
       CAST(CASE WHEN span_start % 5 = 3 THEN 1 ELSE 0 END AS INTEGER) AS cost, CASE WHEN span_start % 5 = 3 THEN 'edited' ELSE 'moved' END AS explanation FROM judged WHERE NOT verified""",
+    "backend_spans": f"""WITH {_SENTENCES}, {_TOKENS}, {_PEOPLE} SELECT CAST(g.doc_id AS VARCHAR) AS doc_id, '0.' || g.ord AS sentence_id, 'person' AS span_type, CAST(g.base + s0 AS INTEGER) AS span_start, CAST(g.base + e0 AS INTEGER) AS span_end,
+      substring(sentence, s0 + 1, e0 - s0) AS span_text, CAST(0.8 AS DOUBLE) AS confidence, 'capitals' AS backend FROM grouped g JOIN sentences s ON s.doc_id = g.doc_id AND s.ord = g.ord""",
     "allegation_status": """WITH said AS (
         SELECT user_id AS person, event_id % 3 AS allegation, ts, CAST(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 3 WHEN 'purchase' THEN 7 WHEN 'error' THEN 11 END AS INTEGER) AS mask FROM events
       ), merged AS (

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..operators.backends import choose, with_tags
 from ..operators.detectors import DETECTORS, Detector, detect
-from ..operators.ner import backend_entities, entity_spans
+from ..operators.ner import backend_entities, decode_bio, entity_spans
 from ..operators.passages import with_passages
 from ..operators.sentences import sentences
 from ..operators.spans import dedupe, document_stats
@@ -46,9 +47,15 @@ def sentence_rows(articles: DataFrame) -> DataFrame:
 
 def emit(rows: DataFrame, detectors: Sequence[Detector] = DETECTORS, ner: str = "simple", all_sentences: bool = False) -> DataFrame:
     """All spans of sentence rows, detectors before names in each sentence; ``emit_seq`` orders those of a document.
-    With ``all_sentences``, a sentence without spans is a row of nulls, and the parts of ``emit_seq`` are columns too."""
+    ``ner`` is ``simple``, ``none``, ``auto`` or a registered backend. With ``all_sentences``, a sentence without spans is a row of nulls, and the parts of ``emit_seq`` are columns too."""
     at = (F.col("base"), F.col("sentence_id"), F.col("passage_id"))
-    found = F.concat(detect(F.col("sentence"), *at, detectors), entity_spans(backend_entities(F.col("sentence"), ner), *at, ner))
+    model = choose(ner)
+    if model is None:
+        entities = backend_entities(F.col("sentence"), ner)
+    else:
+        rows, ner = with_tags(rows, model), model.name
+        entities = decode_bio(F.col("sentence"), F.col("tagged"), model.score)
+    found = F.concat(detect(F.col("sentence"), *at, detectors), entity_spans(entities, *at, ner))
     spans = rows.select("doc_id", "passage_ord", "ord", F.posexplode_outer(found).alias("k", "s"))
     if all_sentences:
         return spans.select("doc_id", "passage_ord", "ord", "k", "s.*")

@@ -220,6 +220,14 @@ def explain_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "span_type", F.col("text").alias("span_text"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), "reason", "found_start", "found_end", "cost", "explanation")
 
 
+@query
+def backend_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People found by a registered tagging model, as spans of the documents."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("passage_id"), "text", F.lit(0).alias("start"))
+    found = baseline.emit(explode_sentences(docs).withColumn("passage_ord", F.lit(0)), [], ner="capitals")
+    return found.select("doc_id", "sentence_id", "span_type", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.col("text").alias("span_text"), "confidence", "attributes.backend")
+
+
 @query
 def allegation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types as statements about three allegations of each user, merged."""
