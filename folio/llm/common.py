@@ -84,15 +84,18 @@ def parted(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, Da
     return marked.where(there).select(*names), marked.where(~there).select(*names)
 
 
-def named(docs: DataFrame) -> DataFrame:
-    """``docs`` with a ``name`` for each row: its doc_id, or a hash of id and text where the id is null or stands on several rows. Rows of one name
-    are equal in both. Only ids are shuffled to find the repeated ones."""
-    repeated = materialise(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "repeated")
+def named(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with a ``name`` for each row, and whether rows may share one: the name is the doc_id, or a hash of id and text where the id is null or stands on
+    several rows. Rows of one name are equal in both. Only ids are shuffled to find the repeated ones."""
+    several = docs.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 or doc_id is null")
+    if several.isEmpty():
+        return docs.withColumn("name", F.col("doc_id")), False
+    repeated = materialise(several.where("doc_id is not null").select("doc_id"), "repeated")
     maybe, others = parted(docs, repeated, "doc_id")
     digest = F.xxhash64("doc_id", "text")
     marked = maybe.join(repeated.withColumn("__again", F.lit(True)), "doc_id", "left")
     marked = marked.select(*docs.columns, F.when(F.col("__again"), digest).otherwise(F.col("doc_id")).alias("name"))
-    return marked.unionByName(others.withColumn("name", F.when(F.col("doc_id").isNull(), digest).otherwise(F.col("doc_id"))))
+    return marked.unionByName(others.withColumn("name", F.when(F.col("doc_id").isNull(), digest).otherwise(F.col("doc_id")))), True
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -22,54 +22,56 @@ MAX_LITERAL = 500
 #: At most so many labelled urls train the model (the smallest hashes of the urls).
 MAX_TRAINING = 20_000
 N_FEATURES = 1 << 14
+#: The score from which a url is blocked: above one half, as hosts without any known word lie near it.
+THRESHOLD = 0.7
 SIZES = (3, 4)
 
-#: Labelled urls, 1 is to be blocked: invented hosts of general kinds, none of them taken from a table that is judged.
-TRAINING = (
-    [(u, 1) for u in """
-    http://lucky-slots.example.info/spin https://www.poker-bonus.example.info/join http://royal-casino.example.biz/en/play https://casino-vip.example.info/deposit
-    http://mega-casino.example.biz/fr/jeux https://m.jackpot-city.example.info/win http://roulette-win.example.biz/table https://bigwin-slots.example.info/3
-    http://viagra-shop.example.biz/order https://discount-meds.example.info/rx http://pharma-pills.example.biz/cart https://www.diet-pills.example.info/trial
-    http://pills-online.example.biz/es/7 https://cheap-meds.example.info/buy http://cheap-watches.example.biz/replica https://cheap-loans.example.info/apply
-    http://sports-bets.example.biz/odds https://bets-today.example.info/live http://betting-tips.example.biz/daily https://www.freebet-club.example.info/signup
-    http://free-money.example.biz/claim https://free-prizes.example.info/gift http://free-coins.example.biz/de/4 https://win-prizes.example.info/iphone
-    http://adserver.example.biz/banner https://www.ads-network.example.info/imp http://popup-ads.example.biz/show https://ads-click.example.info/c/19
-    http://click-tracker.example.biz/t https://pixel-track.example.info/p.gif http://tracking-ads.example.biz/en/8 https://user-track.example.info/collect
-    http://spam-mail.example.biz/send https://seo-spam.example.info/links http://spam-blog.example.biz/post/1 https://www.spamhub.example.info/out
-    http://link-farm.example.biz/page https://content-farm.example.info/en/5 http://click-farm.example.biz/likes https://farm-links.example.info/seo
-    http://best-casino.example.info/lobby https://casino-bonus.example.biz/claim http://online-slots.example.info/fr/9 https://slots-jackpot.example.biz/spin
-    http://poker-win.example.info/tables https://live-roulette.example.biz/en/2 http://online-pills.example.info/order https://meds-discount.example.biz/de/6
-    http://viagra-pills.example.info/buy https://cheap-pharma.example.biz/trial http://bets-odds.example.info/es/4 https://sports-betting.example.biz/signup
-    http://free-bet.example.info/bonus https://free-iphone.example.biz/win http://prizes-club.example.info/claim https://free-loans.example.biz/apply
-    http://banner-ads.example.info/show https://ads-server.example.biz/imp http://click-ads.example.info/c/7 https://track-pixel.example.biz/t
-    http://click-track.example.info/collect https://spam-links.example.biz/out http://mail-spam.example.info/send https://link-spam.example.biz/seo
-    http://seo-farm.example.info/links https://like-farm.example.biz/buy http://cash-loans.example.info/now https://replica-watches.example.biz/cart
-    http://payday-cash.example.biz/now https://crypto-doubler.example.info/double http://hot-singles.example.biz/chat https://replica-bags.example.info/sale
-    http://get-rich-quick.example.biz/start https://miracle-cure.example.info/offer http://work-from-home-cash.example.biz/1 https://download-cracks.example.info/keygen
-    """.split()]
-    + [(u, 0) for u in """
-    https://news.example.info/world/2020/story.html https://www.library.example.edu/catalogue/item/12 https://docs.example.info/guide/start http://forum.example.biz/thread/1832
-    https://wiki.example.info/Main_Page https://museum.example.biz/visit https://science.example.edu/papers/44.html http://weather.example.biz/today
-    https://travel.example.info/italy/rome http://history.example.edu/rome/forum https://music.example.biz/albums/7 https://www.cityhall.example.info/en/services
-    http://gardening.example.biz/tomatoes https://recipes.example.info/soup/12 http://blog.anderson.example.biz/2019/05/hello https://www.schule-am-park.example.info/de/termine
-    http://mathematik.example.edu/skript/3 https://revue.example.info/fr/articles/88 http://biblioteca.example.edu/es/libros/5 https://www.hiking-club.example.biz/routes
-    http://opensource.example.info/project/readme https://lists.example.info/archive/2003/msg1 http://physics.example.edu/lecture/2 https://www.hospital.example.biz/departments
-    https://journal.example.edu/volume/3/issue/2 http://theatre.example.biz/programme https://railway.example.info/timetable/17 http://www.harbour-town.example.biz/en/history
-    https://birdwatch.example.info/species/robin http://chess.example.biz/openings https://genealogy.example.info/family/thornton http://www.weaving.example.biz/patterns/4
-    https://astronomy.example.edu/stars http://newsletter.example.info/en/12 https://parliament.example.info/debates/1998 http://bakery.example.biz/bread
-    http://winter-sports.example.info/en/results https://www.windmill-museum.example.biz/tours http://farmers-union.example.info/fr/marche https://betterhomes.example.biz/ideas
-    http://adsorption-lab.example.edu/en/9 https://freedom-press.example.info/essays http://trackandfield.example.biz/records https://cheapside-history.example.info/london
-    http://school.example.biz/lessons https://choir.example.info/concerts http://archive.example.biz/maps https://museum-shop.example.info/visit http://music-school.example.biz/albums
-    https://bird-society.example.biz/species http://baking-blog.example.info/bread https://hiking.example.biz/routes/9 http://press-office.example.biz/releases https://chess-club.example.info/openings
-    http://river-club.example.biz/en/rowing https://village-hall.example.biz/events http://hospital-trust.example.info/visit https://field-notes.example.biz/plants http://track-and-trail.example.info/maps
-    https://mill-museum.example.biz/tours http://genealogy-forum.example.biz/thread/6 https://family-tree.example.info/records http://freedom-library.example.biz/essays https://anderson-photo.example.info/album
-    http://bookshop.example.biz/new https://garden-centre.example.biz/opening-hours http://university.example.biz/courses/12 https://tax-office.example.info/de/formulare http://painters.example.biz/gallery
-    https://sailing.example.biz/weather http://old-farmhouse.example.info/rooms https://farm-museum.example.biz/visit http://adelaide.example.biz/en/tram https://windows-repair.example.info/prices
-    http://onther.example.biz/en/31 https://thinia.example.biz/fr/77 http://rethan.example.biz/de/640 https://handre.example.biz/es/15 http://ithion.example.info/en/288
-    http://the-thirteen.example.info/en/233 https://rathenow.example.biz/de/51 http://ingher.example.info/en/740/ https://tonhere.example.biz/es/118
-    http://ander.example.info/fr/42.html https://hentre.example.biz/en/907 http://erendth.example.info/en/63 https://onthia.example.biz/de/3
-    """.split()]
-)
+#: Words of hosts by topic: what is to be blocked, and what isn't.
+BLOCKED = {
+    "gambling": "casino poker slots roulette betting jackpot blackjack bingo lottery wager odds bookmaker",
+    "pharmacy": "viagra cialis pills pharmacy meds tramadol xanax steroids rxonline slimming",
+    "adult": "porn xxx sexcam nude escort erotic hentai milf adultvideo singles",
+    "malware": "malware cracked keygen warez torrents serialz hacktool trojan pirated nulled",
+    "advertising": "ads adserver banner popunder clickads affiliate pixel tracker adnetwork adclick",
+    "scams": "payday loans giveaway prizes doubler forex quickcash replica miracle getrich",
+    "spam": "spam seo backlinks linkfarm clickfarm traffic bulkmail mailer followers likes",
+}
+ALLOWED = {
+    "news": "news times herald gazette journal press chronicle daily tribune courier",
+    "learning": "university school college library academy campus courses lectures students codecamp",
+    "state": "council parliament ministry court police customs embassy cityhall statistics elections",
+    "health": "hospital clinic dentist nursing health medicine doctors therapy surgery midwives",
+    "science": "physics biology chemistry astronomy geology mathematics research institute observatory laboratory",
+    "software": "software developer docs linux database wiki forum compiler opensource hosting",
+    "culture": "museum theatre opera gallery orchestra cinema books poetry archive film",
+    "sport": "football tennis cycling running hockey rowing sailing chess skiing athletics",
+    "travel": "travel hotel railway airport island camping hiking tours maps ferry",
+    "home": "garden recipes kitchen bakery furniture knitting family pets birds farmhouse",
+    "trade": "bookshop market bank insurance logistics engineering printing tools repair bicycles",
+    "people": "anderson whitfield moreau schneider garcia windsor thornton adelaide freedom betterton",
+}
+#: What hosts of all topics have beside the word, and the rest of a url; each goes with both labels alike, so it tells nothing.
+_BESIDE = ["", "my", "the", "best-", "online-", "new", "top", "-club", "-shop", "24", "-world", "-online", "free", "-net", "city", "-info"]
+_ENDS = ["com", "net", "org", "info", "biz", "de", "fr", "es", "io", "co.uk"]
+_PATHS = ["", "/", "/index.html", "/en/12", "/fr/825", "/de/4/", "/es/640.html", "/page/3", "/about", "/blog/2019/05/hello", "/shop/item/7?id=1"]
+
+
+def labelled_urls(topics: dict[str, str], label: int) -> list[tuple[str, int]]:
+    """Four urls for each word: alone, with something before or behind it, with the next word of its topic, and as a subdomain."""
+    out = []
+    for words in topics.values():
+        every = words.split()
+        for k, w in enumerate(every):
+            n = len(out) // 4
+            beside = _BESIDE[n % len(_BESIDE)]
+            joined = w + beside if beside.startswith(("-", "2")) else beside + w
+            hosts = [f"http://{w}", f"https://www.{joined}", f"http://{w}{'-' if n % 2 else ''}{every[(k + 1) % len(every)]}", f"https://{w}.example"]
+            out += [(f"{h}.{_ENDS[(n + i) % len(_ENDS)]}{_PATHS[(n + 3 * i) % len(_PATHS)]}", label) for i, h in enumerate(hosts)]
+    return out
+
+
+#: The labelled table, built by that rule; another one can be given.
+TRAINING = labelled_urls(BLOCKED, 1) + labelled_urls(ALLOWED, 0)
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -140,7 +142,7 @@ def _by_join(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return df.join(best, ["host", "path"], "left")
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Judge every url of ``pages`` (page_id, url).
 
     Returns page_id, host, path, rule (null if none fits), verdict (allow or block: the
