@@ -22,7 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a certified cutoff reject go."""
-    rows = named(docs.select(*COLUMNS))
+    rows, _ = named(docs.select(*COLUMNS))
     judged = judge(rows, read(spark, sf_dir, "labels"), keep=("name",))
     return _without(rows, materialise(judged.where("not kept").select("name").distinct(), "rejected"))
 
@@ -46,19 +46,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays, the one with the smallest doc_id (or hash, where ids are null or repeated). Of rows
     that agree in id and text one stays."""
-    rows = named(docs.select(*COLUMNS))
+    rows, shared = named(docs.select(*COLUMNS))
     found = near_duplicates(_as_docs(rows))
     gone = materialise(found.where("not kept").select(F.col("doc_id").alias("name")).distinct(), "copies")
+    return _without(_once(rows) if shared else rows, gone)
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """One of the named rows of each name; only texts whose name is shared (and a few more) move."""
     again = materialise(rows.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name"), "again")
     many, single = parted(rows, again, "name")
     once = many.join(again, "name", "left_semi").groupBy("name").agg(*(F.first(c).alias(c) for c in COLUMNS))
-    rows = single.unionByName(many.join(again, "name", "left_anti")).unionByName(once)
-    return _without(rows, gone)
+    return single.unionByName(many.join(again, "name", "left_anti")).unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    rows = named(docs.select(*COLUMNS))
+    rows, _ = named(docs.select(*COLUMNS))
     found = contaminated(_as_docs(rows), read(spark, sf_dir, "benchmark"))
     return _without(rows, materialise(found.where("contaminated").select(F.col("doc_id").alias("name")).distinct(), "leaked"))
 
