@@ -11,6 +11,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -35,6 +36,8 @@ _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fie
 _TAG = re.compile(r"<[/!?]?[a-zA-Z](?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|<![^>]*>|<\?[^>]*>")
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
+_BASE = re.compile(r"<base\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+
 _SCHEMA = "page_id long, record_type string, record_id string, refers_to string, target_uri string, block_digest string, source_digest string, header string, body string"
 
 
@@ -82,8 +85,15 @@ def title(page: str) -> str:
 
 
 def links(page: str, base: str) -> list[str]:
-    out = []
-    for m in _LINK.finditer(visible(page)):
+    """Link targets, relative ones against the page's ``<base href>`` if it has one, else its own address."""
+    out, shown = [], visible(page)
+    own = _BASE.search(shown)
+    if own:
+        try:
+            base = urljoin(base, html.unescape(next(x for x in own.groups() if x is not None)).strip())
+        except ValueError:
+            pass
+    for m in _LINK.finditer(shown):
         href = html.unescape(next(x for x in m.groups() if x is not None)).strip()
         try:
             out.append(urljoin(base, href))
@@ -121,6 +131,50 @@ def _fields(head: str) -> dict[str, str]:
     return out
 
 
+def media_type(http_header: str) -> str:
+    """``type/subtype`` of a response in lower case; empty if it has none."""
+    return _fields(http_header).get("content-type", "").partition(";")[0].strip().lower()
+
+
+def is_text(media: str) -> bool:
+    """Whether a response of that type is text; one without a type is taken for HTML."""
+    return not media or media.startswith("text/") or media.endswith(("+xml", "+json")) or media in ("application/xml", "application/json", "application/javascript")
+
+
+def is_html(media: str) -> bool:
+    return media in ("", "text/html", "application/xhtml+xml")
+
+
+def _unchunked(body: bytes) -> bytes:
+    """The content of a chunked body; what isn't chunked after all stays."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].partition(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return b"".join(out) if out else body
+        n = int(size, 16)
+        out.append(body[end + 2 : end + 2 + n])
+        if not n:
+            return b"".join(out)
+        at = end + 4 + n
+
+
+def _unpacked(body: bytes, encodings: str) -> bytes | None:
+    """The body without its content encodings, the last one first; a damaged one as far as it goes, None for an unknown one."""
+    for name in reversed([e.strip().lower() for e in encodings.split(",") if e.strip()]):
+        if name in ("gzip", "x-gzip", "deflate"):
+            for bits in (47, -15):  # gzip or zlib by their heads, else bare deflate
+                try:
+                    body = zlib.decompressobj(bits).decompress(body)
+                    break
+                except zlib.error:
+                    continue
+        elif name != "identity":
+            return None
+    return body
+
+
 def _decoded(body: bytes, content_type: str) -> str:
     named = re.search(r"charset=[\"']?([\w.:-]+)", content_type, re.I)
     for charset in ([named[1]] if named else []) + ["utf-8"]:
@@ -132,7 +186,8 @@ def _decoded(body: bytes, content_type: str) -> str:
 
 
 def parse_response(raw: bytes) -> tuple | None:
-    """The fields of a response record in the order of the table; None for other records.
+    """The fields of a response record in the order of the table; None for other records. The payload is the text without chunks and
+    content encodings; that of another media type, or in an unknown encoding, is empty.
     ``complete`` is false if the block isn't as long as its header says."""
     head, _, block = raw.partition(b"\r\n\r\n")
     fields = _fields(head.decode("utf-8", "replace"))
@@ -143,7 +198,10 @@ def parse_response(raw: bytes) -> tuple | None:
     block = block[: int(size)] if whole else block
     http, _, body = block.partition(b"\r\n\r\n")
     header = http.decode("latin-1")
-    text = _decoded(body, _fields(header).get("content-type", ""))
+    about = _fields(header)
+    plain = _unchunked(body) if "chunked" in about.get("transfer-encoding", "").lower() else body
+    unpacked = _unpacked(plain, about.get("content-encoding", ""))
+    text = _decoded(unpacked, about.get("content-type", "")) if unpacked is not None and is_text(media_type(header)) else ""
     given = fields.get("warc-payload-digest") or digest(body)
     return None, fields.get("warc-record-id", ""), fields.get("warc-target-uri", "").strip("<>"), fields.get("warc-date", ""), header, text, given, whole
 
@@ -174,7 +232,7 @@ def _header(kind: str, ids: tuple[str, str], uri: str, date: str, content_type:
 
 
 def derivatives(responses: DataFrame) -> DataFrame:
-    """One metadata and one conversion record for each response.
+    """One metadata record for each response, and one conversion record if its media type is text.
 
     Returns page_id, record_type, record_id, refers_to (the response), target_uri,
     block_digest, source_digest (the response's payload digest if it has one, else that of its payload), header, body. The metadata record keeps the
@@ -188,12 +246,14 @@ def derivatives(responses: DataFrame) -> DataFrame:
             for page_id, rid, uri, date, http, payload, given in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 rid, uri, date, http, payload = (x or "" for x in (rid, uri, date, http, payload))
                 source = given or digest(payload.encode("utf-8", "replace"))
-                fields = [f"source-header: {x}" for x in re.split(r"\r?\n", http) if x] + [f"title: {title(payload)}"]
-                fields += [f"outlink: {re.sub(r'\s+', ' ', x)}" for x in links(payload, uri)]
-                for kind, content_type, body in (
-                    ("metadata", "application/warc-fields", CRLF.join(fields) + CRLF),
-                    ("conversion", "text/plain; charset=utf-8", plain_text(payload)),
-                ):
+                media = media_type(http)
+                fields = [f"source-header: {x}" for x in re.split(r"\r?\n", http) if x]
+                if is_html(media):
+                    fields += [f"title: {title(payload)}"] + [f"outlink: {re.sub(r'\s+', ' ', x)}" for x in links(payload, uri)]
+                records = [("metadata", "application/warc-fields", CRLF.join(fields) + CRLF)]
+                if is_text(media):
+                    records.append(("conversion", "text/plain; charset=utf-8", plain_text(payload) if is_html(media) else payload))
+                for kind, content_type, body in records:
                     block, own = body.encode("utf-8", "replace"), record_id(rid, kind)
                     header = _header(kind, (own, rid), uri, date, content_type, block, source)
                     for c, v in zip(out, (page_id, kind, own, rid, uri, digest(block), source, header, body)):
