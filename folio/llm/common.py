@@ -119,7 +119,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
 class WordCodes(dict):
     """Word to its 64-bit code (as bytes), remembered per task; ``LIMIT`` bounds the memory."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 17
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.LIMIT:
