@@ -30,6 +30,8 @@ PLACES, SLACK = 6, 1e-5
 #: Lists of up to so many passages are read first, always the shortest one that has enough for an answer; and of each query so many
 #: passages for each place of the answer are scored in full.
 PROBED, SCORED = 1000, 20
+#: Passages that are looked up are broadcast up to so many rows of two ids; more are joined by shuffle.
+MAX_BROADCAST = 200_000
 _TERM = re.compile(r"[^\W_]+")
 KEY = ["doc_id", "passage_id"]
 
@@ -122,7 +124,9 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
 
     def added(rows: DataFrame, some: DataFrame) -> DataFrame:
         """``rows`` (query_id, the ids of a passage, score) with what these terms of the query add."""
-        lists = index.postings.join(rows.select(*KEY).distinct(), KEY)
+        asked_for = rows.select(*KEY).distinct()
+        small = asked_for.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+        lists = index.postings.join(F.broadcast(asked_for) if small else asked_for, KEY)
         more = rows.select("query_id", *KEY).join(some.select("query_id", "term", "weight"), "query_id").join(lists, ["term", *KEY])
         more = more.groupBy("query_id", *KEY).agg(F.sum(F.col("weight") * _gain(index)).alias("more"))
         return rows.join(more, ["query_id", *KEY], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))).drop("more")
