@@ -94,3 +94,25 @@ def test_a_period_takes_few_rows(spark):
     df = spark.createDataFrame([("k", "v", 12345, facts.FOREVER)], "key string, value string, valid_from long, valid_to long")
     assert facts._in_blocks(df).count() <= 2 * facts.LEVELS
     assert facts._in_blocks(df).agg(F.sum(F.expr("shiftleft(1L, level)"))).first()[0] == facts.FOREVER - 12345
+
+
+def test_rows_that_were_multiplied_are_not_broadcast(spark):
+    """Tables that are small before a row is listed for each length or block."""
+    known = spark.range(50).selectExpr("id % 7 key", "'v' value", "id * 10 valid_from", f"if(id % 2 = 0, {facts.FOREVER}, id * 10 + 10) valid_to")
+    reads = spark.range(50).selectExpr("id % 7 key", "id * 11 at")
+    for df in (facts.as_of(known.where(f"valid_to < {facts.FOREVER}"), reads), facts.overlaps(known, known), facts.periods(reads.selectExpr("key", "at", "'v' value", "1 seq"))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_open_periods_take_few_lengths(spark):
+    """Moments are listed for the lengths that meet within their time, not up to the end of time."""
+    known = spark.createDataFrame([("k", "v", 100, facts.FOREVER), ("k", "w", 5, 100), (None, "n", 0, 9)], "key string, value string, valid_from long, valid_to long")
+    reads = spark.createDataFrame([("k", t) for t in (99, 100, 106, 4, None, -1, facts.FOREVER + 1)], "key string, at long")
+    made = []
+    plain, facts._in_blocks = facts._in_blocks, lambda rows: made.append(plain(rows)) or made[-1]
+    try:
+        got = facts.as_of(known, reads).collect()
+    finally:
+        facts._in_blocks = plain
+    assert {r.at: r.value for r in got} == {99: "w", 100: "v", 106: "v", 4: None, None: None, -1: None, facts.FOREVER + 1: None}
+    assert made[0].agg(F.max("level")).first()[0] <= 7
