@@ -5,6 +5,8 @@ Detectors are data, so a caller can pass others; they run as Catalyst expression
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -56,6 +58,16 @@ def _digits(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)\D", "")
 
 
+#: All digits that are not ASCII, and the ASCII digits they stand for.
+_OTHER_DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
+_AS_ASCII = "".join(str(unicodedata.digit(c)) for c in _OTHER_DIGITS)
+
+
+def _number(x: Column) -> Column:
+    """The whole number that a run of digits of any script writes, null where there is none."""
+    return F.when(x.rlike(r"[^\x00-\x7F]"), F.translate(x, _OTHER_DIGITS, _AS_ASCII)).otherwise(x).try_cast("int")
+
+
 def _phone(m: Column) -> dict[str, Column]:
     raw = _digits(m)
     rest = F.substring(raw, 3, 100)
@@ -71,7 +83,7 @@ def _national_id(m: Column) -> dict[str, Column]:
 
 def _full_date(m: Column) -> dict[str, Column]:
     # No calendar check: 31 February passes, so the value stays a string.
-    part = [F.regexp_extract(m, r"(?U)(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})$", g).cast("int") for g in (1, 2, 3)]
+    part = [_number(F.regexp_extract(m, r"(?U)(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})$", g)) for g in (1, 2, 3)]
     day, month = part[0], part[1]
     year = F.when(part[2] >= 1900, part[2]).when(part[2] >= 30, part[2] + 1900).otherwise(part[2] + 2000)
     ok = day.between(1, 31) & month.between(1, 12)
@@ -79,8 +91,8 @@ def _full_date(m: Column) -> dict[str, Column]:
 
 
 def _birth_year(m: Column) -> dict[str, Column]:
-    year = F.regexp_extract(m, r"(\d{4})$", 1)
-    return {"normalized": year, "precision": F.lit("year"), "year": year.cast("int")}
+    year = _number(F.regexp_extract(m, r"(?U)(\d{4})$", 1))
+    return {"normalized": year.cast("string"), "precision": F.lit("year"), "year": year}
 
 
 #: Multiples of a dong by unit.
@@ -99,8 +111,11 @@ def _currency(m: Column) -> dict[str, Column]:
     scale = F.lit(1)
     for name, value in MULTIPLES.items():
         scale = F.when(unit == name, F.lit(value)).otherwise(scale)
-    dong = F.bround(number * scale).cast("long")
-    return {"normalized": dong.cast("string"), "amount_vnd": dong, "unit": F.coalesce(F.nullif(unit, F.lit("")), F.lit("đồng"))}
+    # A long run of digits, as in a digest, can pass 64 bits: then only the text has the amount. One that no double holds is no number.
+    dong = F.bround(number * scale)
+    amount = dong.try_cast("long")
+    digits = F.when(dong < float("inf"), F.format_string("%.0f", dong))
+    return {"normalized": F.coalesce(amount.cast("string"), digits), "amount_vnd": amount, "unit": F.coalesce(F.nullif(unit, F.lit("")), F.lit("đồng"))}
 
 
 _CODE = r"(?:Bộ\s+luật\s+Hình\s+sự)|BLHS"
@@ -110,7 +125,7 @@ def _law(m: Column) -> dict[str, Column]:
     article = F.regexp_extract(m, rf"{FLAGS}^Điều\s+(\d{{1,3}}[A-Za-z]?)", 1)
     code = strip(F.regexp_extract(m, rf"{FLAGS}\s((?:{_CODE}))", 1))
     year = F.regexp_extract(m, rf"{FLAGS}(?:{_CODE})\s+(\d{{4}})$", 1)
-    return {"normalized": F.nullif(article, F.lit("")), "code": F.nullif(code, F.lit("")), "year": F.nullif(year, F.lit("")).cast("int")}
+    return {"normalized": F.nullif(article, F.lit("")), "code": F.nullif(code, F.lit("")), "year": _number(year)}
 
 
 #: Fixed patterns, in the order in which their spans are emitted. The date's prefix has the word

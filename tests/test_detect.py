@@ -6,6 +6,7 @@ from folio.operators.detectors import detect
 from folio.operators.passages import pack_passages, paragraph_passages
 from folio.operators.sentences import sentences
 from folio.plans import baseline
+from folio.queries import QUERIES
 
 
 def detected(spark, text):
@@ -172,3 +173,25 @@ def test_span_rules(spark):
     assert spans.strict(df.limit(1)).count() == 1
     with pytest.raises(Exception, match="invalid span"):
         spans.strict(df).collect()
+
+
+def test_amounts_beyond_64_bits(spark):
+    """A digest's digits before a d; the job goes on, the amount is in the text alone."""
+    texts = ["id 99999999999999999999d end", "12345678901 tỷ", "9223372036854775807 d", "9" * 400 + "d", "7 đồng"]
+    got = [[(s.attributes.normalized, s.attributes.amount_vnd) for k, s in sorted(detected(spark, t).items()) if k[0] == "currency"] for t in texts]
+    assert got == [[("100000000000000000000", None)], [("12345678901000000000", None)], [("9223372036854775807", 9223372036854775807)], [], [("7", 7)]]
+
+
+def test_digits_of_other_scripts(spark):
+    """Dates, years of birth and of laws in digits that the patterns match but no cast reads."""
+    texts = {"dob_full": ["ngày ٣/2/١٩٩٩ x", "\U0001d7d9/2/34", "٣٣/2/34"], "dob_year": ["sinh năm 19٤٥ x"], "law_article": ["Điều 3 BLHS ١٩٩٩"]}
+    got = {d: [(s.attributes.normalized, s.attributes.year) for t in some for k, s in detected(spark, t).items() if k[0] == d] for d, some in texts.items()}
+    assert got == {"dob_full": [("1999-02-03", 1999), ("1934-02-01", 1934)], "dob_year": [("1945", 1945)], "law_article": [("3", 1999)]}
+
+
+@pytest.mark.parametrize("name", ["detector_hits", "spans_currency", "span_dedupe", "baseline_stats", "verify_spans"])
+def test_queries_over_a_digest(spark, tmp_path, name):
+    text = "key 99999999999999999999d and 5 đồng, 1.5.99\n" + "1.234 567" * 2000 + " đ\n" + "1 " * 5000
+    spark.createDataFrame([(1, text, "en"), (2, "x 7 d", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} == {"1", "2"}
