@@ -16,6 +16,8 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .ner import decode
+
 #: Sentences that a model tags at once.
 BATCH = 256
 #: Backends that ``auto`` prefers to the rules, in this order.
@@ -71,32 +73,56 @@ def _loaded(backend: Backend) -> Tagger:
     return models[backend.name]
 
 
+def _tagged(backend: Backend, texts: list[str | None]) -> list[list[tuple[str, str]]]:
+    asked = [k for k, t in enumerate(texts) if t and not t.isspace()]
+    tags: list[list[tuple[str, str]]] = [[] for _ in texts]
+    if asked:
+        found = _loaded(backend).tag([texts[k] for k in asked])
+        if len(found) != len(asked):
+            raise ValueError(f"backend {backend.name!r} tagged {len(found)} of {len(asked)} sentences")
+        for k, tokens in zip(asked, found):
+            tags[k] = tokens
+    return tags
+
+
 def with_tags(rows: DataFrame, backend: Backend, sentence: str = "sentence", out: str = "tagged") -> DataFrame:
     """``rows`` with the tagged tokens of a sentence column; none for a null or blank sentence."""
     names = rows.columns
     kind = pa.list_(pa.struct([("token", pa.string()), ("tag", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = None
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                texts = part.column(sentence).to_pylist()
-                asked = [k for k, t in enumerate(texts) if t and not t.isspace()]
-                tags: list[list[dict]] = [[] for _ in texts]
-                if asked:
-                    model = model or _loaded(backend)
-                    found = model.tag([texts[k] for k in asked])
-                    if len(found) != len(asked):
-                        raise ValueError(f"backend {backend.name!r} tagged {len(found)} of {len(asked)} sentences")
-                    for k, tokens in zip(asked, found):
-                        tags[k] = [{"token": t, "tag": g} for t, g in tokens]
+                tags = [[{"token": t, "tag": g} for t, g in tokens] for tokens in _tagged(backend, part.column(sentence).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tags, kind)], names=[*names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{schema}, {out} {TAGGED}")
 
 
+def with_entities(rows: DataFrame, backend: Backend, sentence: str = "sentence", out: str = "entities") -> DataFrame:
+    """``rows`` with the entities of the tagged tokens of a sentence column, found in the same batches; see ``ner.decode_bio``."""
+    names = rows.columns
+    fields = [("label", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                texts = part.column(sentence).to_pylist()
+                found, offsets = [], [0]
+                for text, tokens in zip(texts, _tagged(backend, texts)):
+                    found += [(label, text[a : max(a, b)], a, b, backend.score) for label, a, b in decode(text, tokens)] if tokens else []
+                    offsets.append(len(found))
+                columns = list(zip(*found)) or [[]] * len(fields)
+                items = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)], names=[*names, out])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{schema}, {out} array<struct<label:string,text:string,start:int,end:int,score:double>>")
+
+
 class Capitals:
     """Runs of capitalised words are persons."""
 
@@ -105,8 +131,10 @@ class Capitals:
 
     def _is_name(self, token: str) -> bool:
         c = token.strip(self.EDGE)
+        if not c or unicodedata.category(c[0]) not in ("Lu", "Lt"):
+            return False
         shout = c.upper() == c and c.lower() != c
-        return bool(c) and unicodedata.category(c[0]) in ("Lu", "Lt") and not shout and not any(unicodedata.category(x) == "Nd" for x in c)
+        return not shout and not any(unicodedata.category(x) == "Nd" for x in c)
 
     def tag(self, sentences: list[str]) -> list[list[tuple[str, str]]]:
         out = []

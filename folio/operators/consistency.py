@@ -7,6 +7,7 @@ characters comes first, and each span is used once. Overlapping pairs are found
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Iterator
 from fractions import Fraction
 from heapq import heappop, heappush
 
@@ -68,11 +69,11 @@ def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:
     sides = [df.select(F.col("doc_id").cast("string").alias("doc_id"), "span_type", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "text", F.col("confidence").cast("double").alias("confidence")) for df in (left, right)]
     kinds = {"span_type": pa.string(), "start": pa.int32(), "end": pa.int32(), "text": pa.string(), "confidence": pa.float64()}
 
-    def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+    def one(doc_id: str | None, both: list[dict]) -> pa.RecordBatch:
         order = lambda s: tuple((s[c] is not None, s[c]) for c in ("start", "end", "span_type", "text", "confidence"))
-        spans = [sorted(t.select(_SIDE).to_pylist(), key=order) for t in (a, b)]
+        spans = [sorted((s for s in both if s["side"] == side), key=order) for side in (0, 1)]
         pairs = align(*spans)
-        columns = {"doc_id": pa.array([key[0].as_py()] * len(pairs), pa.string())}
+        columns = {"doc_id": pa.array([doc_id] * len(pairs), pa.string())}
         for side, name in ((0, "left"), (1, "right")):
             for c in _SIDE:
                 columns[f"{name}_{c}"] = pa.array([None if p[side] is None else spans[side][p[side]][c] for p in pairs], kinds[c])
@@ -83,11 +84,20 @@ def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:
             x, y = spans[0][i], spans[1][j]
             return "retyped" if x["span_type"] != y["span_type"] else "same" if (x["start"], x["end"]) == (y["start"], y["end"]) else "moved"
 
-        return pa.table({**columns, "agreement": pa.array([judge(*p) for p in pairs], pa.string())})
+        return pa.RecordBatch.from_pydict({**columns, "agreement": pa.array([judge(*p) for p in pairs], pa.string())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                made = [one(d, part.column("spans")[k].as_py()) for k, d in enumerate(part.column("doc_id").to_pylist())]
+                yield from pa.Table.from_batches(made).combine_chunks().to_batches()
 
     sql = {"span_type": "string", "start": "int", "end": "int", "text": "string", "confidence": "double"}
     schema = "doc_id string, " + ", ".join(f"{n}_{c} {sql[c]}" for n in ("left", "right") for c in _SIDE) + ", agreement string"
-    return sides[0].groupBy("doc_id").cogroup(sides[1].groupBy("doc_id")).applyInArrow(run, schema)
+    # A document is a row with the spans of both runs: many of them go to Python at once, which a group each does not.
+    both = sides[0].withColumn("side", F.lit(0)).unionByName(sides[1].withColumn("side", F.lit(1)))
+    return both.groupBy("doc_id").agg(F.collect_list(F.struct("side", *_SIDE)).alias("spans")).mapInArrow(run, schema)
 
 
 def agreement(compared: DataFrame) -> DataFrame:

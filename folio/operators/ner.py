@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+import unicodedata
+from collections.abc import Iterator
+from decimal import ROUND_HALF_EVEN, Decimal
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import find_all, let, slice_text, squeeze
@@ -75,6 +81,105 @@ def person_names(sentence: Column) -> Column:
     return let(F.regexp_extract_all(sentence, F.lit(r"(?U)\S+"), F.lit(0)), placed)
 
 
+#: White space as the patterns above have it (``str.split`` knows a few more).
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Tokens that may be name tokens: behind stripped marks comes a capital, or no ASCII at all.
+_CANDIDATE = re.compile(rf"(?<![^{_SPACE}])[{re.escape(_EDGE)}]*[^\x00-@\[-\x7f{_SPACE}][^{_SPACE}]*")
+_SENTENCE = re.compile(r"[^.!?\n]+[.!?…]*")
+
+
+def _is_name(token: str) -> str:
+    """The token without marks if it is a name token, else an empty text."""
+    c = token.strip(_EDGE)
+    if not c or unicodedata.category(c[0]) not in ("Lu", "Lt") or (c.upper() == c and c.lower() != c):
+        return ""
+    return "" if any(unicodedata.category(x) == "Nd" for x in c) else c
+
+
+#: The score of a run of up to 20 tokens, without and with an honorific; beyond that it grows no more.
+_SCORES = [[float(Decimal(repr(min(0.55 + title + 0.02 * (n - 2), 0.85))).quantize(Decimal("0.001"), ROUND_HALF_EVEN)) for n in range(21)] for title in (0.0, 0.1)]
+
+
+def names_of(sentence: str) -> Iterator[tuple[int, int, float]]:
+    """(start, end, score) of the entities that ``person_names`` finds: the same rules for Arrow batches, where only tokens with a capital are looked at."""
+    runs: list[list] = []
+    for m in _CANDIDATE.finditer(sentence):
+        clean = _is_name(m.group())
+        if clean:
+            start, end = m.span()
+            if runs and not sentence[runs[-1][1] : start].strip(_SPACE):
+                runs[-1][1] = end
+                runs[-1][2] += 1
+            else:
+                runs.append([start, end, 1, clean])
+    for start, end, n, clean in runs:
+        if n > 1 or len(clean) > 2:
+            stop = start
+            while stop and sentence[stop - 1] in _SPACE:
+                stop -= 1
+            begin = stop
+            while begin and sentence[begin - 1] not in _SPACE:
+                begin -= 1
+            titled = sentence[begin:stop].strip(_EDGE).lower() in HONORIFICS
+            yield begin if titled else start, end, _SCORES[titled][min(n + titled, 20)]
+
+
+def _units(text: str, lines: bool) -> Iterator[tuple[int, str]]:
+    """(start, text) of the sentences, or of the lines, stripped and not empty, as ``sentences`` and ``paragraph_passages`` make them."""
+    found, at = False, 0
+    for part in text.split("\n") if lines else _SENTENCE.findall(text):
+        at = at if lines else text.index(part, at)
+        unit = part.strip(_SPACE)
+        if unit:
+            found = True
+            yield at + len(part) - len(part.lstrip(_SPACE)), unit
+        at += len(part) + lines
+    whole = text.strip(_SPACE)
+    if not found and whole:
+        yield len(text) - len(text.lstrip(_SPACE)), whole
+
+
+def document_names(docs: DataFrame, lines: bool = False) -> DataFrame:
+    """(doc_id, ord, start, end, text, score) of the person names in the sentences, or with ``lines`` in the lines, of ``docs`` (doc_id, text). ``ord`` numbers the sentences of a document, places are its own."""
+    kinds = {"ord": pa.int32(), "start": pa.int32(), "end": pa.int32(), "text": pa.string(), "score": pa.float64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                at, rows = [], []
+                for k, text in enumerate(part.column("text").to_pylist()):
+                    for ord, (base, unit) in enumerate(_units(text or "", lines)):
+                        for a, b, score in names_of(unit):
+                            at.append(k)
+                            rows.append((ord, base + a, base + b, unit[a:b], score))
+                columns = list(zip(*rows)) or [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds.values()))], names=["doc_id", *kinds])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ord int, start int, end int, text string, score double")
+
+
+def decode(sentence: str, tagged: list[tuple[str, str]]) -> list[tuple[str, int, int]]:
+    """(label, start, end): what ``decode_bio`` finds in a sentence, for Arrow batches."""
+    low, at, opened, found = sentence.lower(), 0, None, []
+    for token, tag in tagged:
+        needle = re.sub(f"[{_SPACE}]+", " ", token.replace("_", " ").lower()).strip(" ")
+        start = low.find(needle, at) if needle else -1
+        start = low.find(needle) if needle and start < 0 else start
+        if start < 0:
+            continue
+        at = start + len(needle)
+        tag = (tag or "O").upper()
+        if tag.startswith("I-") and opened and opened[0] == tag[2:]:
+            opened[2] = at
+            continue
+        opened = [tag[2:], start, at] if tag.startswith("B-") else None
+        if opened:
+            found.append(opened)
+    return [(LABELS[label], a, b) for label, a, b in found if label in LABELS]
+
+
 def align(sentence: Column, tokens: Column) -> Column:
     """Place of each token (``_`` stands for a space) in the sentence, searched from the last
     one on and then from the start; (-1, -1) if it isn't there."""

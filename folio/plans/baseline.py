@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..operators.backends import choose, with_tags
+from ..operators.backends import choose, with_entities
 from ..operators.detectors import DETECTORS, Detector, detect
-from ..operators.ner import backend_entities, decode_bio, entity_spans
+from ..operators.ner import backend_entities, entity_spans
 from ..operators.passages import with_passages
 from ..operators.sentences import sentences
 from ..operators.spans import dedupe, document_stats
@@ -53,8 +53,8 @@ def emit(rows: DataFrame, detectors: Sequence[Detector] = DETECTORS, ner: str =
     if model is None:
         entities = backend_entities(F.col("sentence"), ner)
     else:
-        rows, ner = with_tags(rows, model), model.name
-        entities = decode_bio(F.col("sentence"), F.col("tagged"), model.score)
+        rows, ner = with_entities(rows, model), model.name
+        entities = F.col("entities")
     found = F.concat(detect(F.col("sentence"), *at, detectors), entity_spans(entities, *at, ner))
     spans = rows.select("doc_id", "passage_ord", "ord", F.posexplode_outer(found).alias("k", "s"))
     if all_sentences:

@@ -118,9 +118,8 @@ def name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("passage_id"), "text", F.lit(0).alias("start"))
-    found = explode_sentences(docs).select("doc_id", "sentence_id", "base", F.explode_outer(ner.person_names(F.col("sentence"))).alias("e")).where("e is not null")
-    return found.select("doc_id", "sentence_id", F.col("e.text").alias("name"), (F.col("base") + F.col("e.start")).alias("name_start"), (F.col("base") + F.col("e.end")).alias("name_end"), F.col("e.score").alias("score"), linking.name_key(F.col("e.text")).alias("name_key"))
+    found = ner.document_names(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+    return found.select("doc_id", F.concat(F.lit("0."), F.col("ord").cast("string")).alias("sentence_id"), F.col("text").alias("name"), F.col("start").alias("name_start"), F.col("end").alias("name_end"), "score", linking.name_key(F.col("text")).alias("name_key"))
 
 
 @query
@@ -238,11 +237,9 @@ def allegation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The people found in single sentences, aligned with those found in whole lines, where names beside a full stop fuse."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("passage_id"), F.lit(0).alias("passage_ord"), "text")
-    by_sentence = explode_sentences(docs.withColumn("start", F.lit(0))).withColumn("passage_ord", F.lit(0))
-    by_line = docs.select("doc_id", "passage_id", "passage_ord", F.posexplode(paragraph_passages(F.split("text", "\n"))).alias("ord", "p"))
-    by_line = by_line.select("doc_id", "passage_id", "passage_ord", "ord", F.col("ord").cast("string").alias("sentence_id"), (F.col("p.start") - F.get("p.paragraph_indices", F.lit(0))).alias("base"), F.col("p.text").alias("sentence"))
-    return consistency.compare_runs(*(baseline.emit(rows, []) for rows in (by_sentence, by_line)))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    runs = (ner.document_names(docs, lines).withColumns({"span_type": F.lit("person"), "confidence": F.col("score")}) for lines in (False, True))
+    return consistency.compare_runs(*runs)
 
 
 @query

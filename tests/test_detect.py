@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import ner, spans
+from folio.operators import backends, ner, spans
 from folio.operators.detectors import detect
 from folio.operators.passages import pack_passages, paragraph_passages
 from folio.operators.sentences import sentences
@@ -195,3 +197,20 @@ def test_queries_over_a_digest(spark, tmp_path, name):
     spark.createDataFrame([(1, text, "en"), (2, "x 7 d", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = QUERIES[name](spark, str(tmp_path)).collect()
     assert {r.doc_id for r in rows} == {"1", "2"}
+
+
+def test_names_in_batches_equal_the_expressions(spark):
+    """The same entities, sentences and lines as the Column expressions find, also with odd white space, capitals and digits; so do decoded tags."""
+    rng = random.Random(5)
+    bits = ["Ông", "Nguyễn", "Văn", "ông", "bà.", "(Anh)", "USA", "Ab3", "x", "ǅa", "“Lê", "Straße", "İpek", "ΣΑΣ", "Σα", "\x1c", "\xa0", "  ", "\n", ". ", "! ", "…", " ", "A", "Bo", "\U00010400\U00010428", "\x85", "\x1fAbc", " ", "B_c", '"Ana"']
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", "", "\n"]) for _ in range(rng.randrange(25))) for _ in range(1500)] + [None, "", "...", " \n ! "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select("doc_id", F.posexplode(sentences(F.coalesce("text", F.lit("")))).alias("ord", "s")).select("doc_id", "ord", F.col("s.start").alias("base"), F.col("s.text").alias("sentence"))
+    lines = docs.select("doc_id", F.posexplode(paragraph_passages(F.split("text", "\n"))).alias("ord", "p")).select("doc_id", "ord", (F.col("p.start") - F.get("p.paragraph_indices", F.lit(0))).alias("base"), F.col("p.text").alias("sentence"))
+    for units, by_line in ((rows, False), (lines, True)):
+        found = units.select("doc_id", "ord", "base", F.explode(ner.person_names(F.col("sentence"))).alias("e"))
+        expected = found.select("doc_id", "ord", F.col("base") + F.col("e.start"), F.col("base") + F.col("e.end"), "e.text", "e.score").collect()
+        assert sorted(map(tuple, expected)) == sorted(map(tuple, ner.document_names(docs, by_line).collect())) and len(expected) > 1000
+    model = backends.choose("capitals")
+    plain = backends.with_tags(rows, model).select("doc_id", "ord", ner.decode_bio(F.col("sentence"), F.col("tagged"), model.score).alias("e"))
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, backends.with_entities(rows, model).select("doc_id", "ord", F.col("entities").alias("e")).collect()))
