@@ -74,3 +74,14 @@ def test_sweep_looks_at_open_ranges_only():
     assert len(consistency.overlapping(left, right)) == 99_999
     same = [{"span_type": "a", "start": 0, "end": 9, "text": "", "confidence": None}] * 3000
     assert consistency.align(same, same) == [(i, i) for i in range(3000)]
+
+
+def test_documents_meet_as_rows(spark):
+    """A document isn't a group of its own for Python, and a null id is one document."""
+    kind = "doc_id string, span_type string, start int, end int, text string, confidence double"
+    left = spark.createDataFrame([(d, "person", 0, 3, "Ann", 0.5) for d in ("a", None, None)], kind)
+    right = spark.createDataFrame([(d, "person", 0, 3, "Ann", 0.5) for d in (None, "b")], kind)
+    df = consistency.compare_runs(left, right)
+    assert "CoGroup" not in df._jdf.queryExecution().executedPlan().toString()
+    got = sorted((str(r.doc_id), r.agreement) for r in df.collect())
+    assert got == [("None", "left_only"), ("None", "same"), ("a", "left_only"), ("b", "right_only")]
