@@ -16,6 +16,7 @@ import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 from unicodedata import is_normalized
 
 import numpy as np
@@ -50,11 +51,17 @@ class Words:
     No token of this kind of vocabulary spans white space or a border of pieces, so the ids
     of a text are those of its words one after the other, and those of a word the ids
     of its pieces. New pieces are encoded many at a time, joined by spaces, and told apart
-    by the tokens that end a word. ``LIMIT`` bounds what is remembered."""
+    by the tokens that end a word. ``LIMIT`` bounds what is remembered: of words and of pieces
+    so many. A ``thrifty`` one takes less than half the memory at more CPU time: it only remembers what is met a
+    second time, as most words of a large table are rare, and fewer of them."""
 
-    LIMIT = 1 << 20
+    LIMIT, THRIFTY_LIMIT = 1 << 20, 1 << 17
+    #: Texts that are split at once.
+    TEXTS, THRIFTY_TEXTS = 1000, 250
+    #: Places by hash that tell what was met before (a few are remembered too early).
+    PLACES = 1 << 22
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, thrifty: bool = False):
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -68,6 +75,10 @@ class Words:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.limit, self.texts = (self.THRIFTY_LIMIT, self.THRIFTY_TEXTS) if thrifty else (self.LIMIT, self.TEXTS)
+        #: What was met of words and of pieces.
+        self.met = [np.zeros(self.PLACES, bool) for _ in range(2)] if thrifty else None
+        self.once: list[tuple[dict[str, bytes], list[str]]] = []
         #: Whether this vocabulary splits texts as assumed here; if not, every text is encoded whole.
         self.fits = self._fits()
 
@@ -96,13 +107,32 @@ class Words:
             else:
                 self.pieces.update((x, self.whole(x)) for x in some)
 
+    def _meet(self, known: dict[str, bytes], new: list[str]) -> None:
+        """Note which of these are met for the first time."""
+        if self.met is None:
+            return
+        met = self.met[known is self.pieces]
+        places = np.fromiter(map(hash, new), np.int64, len(new)) & (self.PLACES - 1)
+        self.once.append((known, list(compress(new, (~met[places]).tolist()))))
+        met[places] = True
+
+    def _forget(self) -> None:
+        for known, once in self.once:
+            for x in once:
+                known.pop(x, None)
+        self.once.clear()
+        for known in (self.words, self.pieces):
+            if len(known) > self.limit:
+                known.clear()
+        for met in self.met or []:
+            if np.count_nonzero(met) > self.PLACES // 2:
+                met[:] = False
+
     def learn(self, words: set[str]) -> None:
-        """Make sure that these words are known."""
-        if len(self.words) > self.LIMIT:
-            self.words.clear()
-        if len(self.pieces) > self.LIMIT:
-            self.pieces.clear()
+        """Make sure that these words are known, until the next are learnt."""
+        self._forget()
         new = list(words - self.words.keys())
+        self._meet(self.words, new)
         # Lower-casing and splitting them together must give what the normaliser gives for each.
         odd = [w for w in new if not w.isascii() and (not is_normalized("NFC", w) or "Σ" in w or "İ" in w)]
         self.words.update((w, self.whole(w)) for w in odd)
@@ -113,18 +143,20 @@ class Words:
         pieces = self.split("\n".join(new).lower())
         pieces.append("\n")
         self.pieces["\n"] = _BORDER
-        self._learn_pieces(list(set(pieces) - self.pieces.keys()))
+        fresh = list(set(pieces) - self.pieces.keys())
+        self._meet(self.pieces, fresh)
+        self._learn_pieces(fresh)
         ids = np.frombuffer(b"".join(map(self.pieces.__getitem__, pieces)), "<u4")
         borders = np.flatnonzero(ids == 0xFFFFFFFF)
         self.words.update(zip(new, _slices(ids[ids != 0xFFFFFFFF].tobytes(), (borders - np.arange(len(borders))) * 4)))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
-        for k in range(0, len(texts), 1000):
-            some = [t.split() if self.fits and not any(x in t for x in _UNSURE) else None for t in texts[k : k + 1000]]
+        for k in range(0, len(texts), self.texts):
+            some = [t.split() if self.fits and not any(x in t for x in _UNSURE) else None for t in texts[k : k + self.texts]]
             self.learn(set().union(*(x for x in some if x)))
             get = self.words.__getitem__
-            for text, words in zip(texts[k : k + 1000], some):
+            for text, words in zip(texts[k : k + self.texts], some):
                 yield self.whole(text) if words is None else b"".join(map(get, words))
 
 
@@ -140,13 +172,13 @@ def _slices(raw: bytes, stops: np.ndarray) -> list[bytes]:
     return out
 
 
-def _words(path: str) -> Words:
+def _words(path: str, thrifty: bool = False) -> Words:
     """The ``Words`` of this worker process, made once for all its tasks. Kept on ``sys``, as functions
     and classes that are shipped by value are new in each task."""
     kept = sys.__dict__.setdefault("_folio_words", {})
-    if path not in kept:
-        kept[path] = Words(path)
-    return kept[path]
+    if (path, thrifty) not in kept:
+        kept[path, thrifty] = Words(path, thrifty)
+    return kept[path, thrifty]
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -156,12 +188,12 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(k, capacity) for k in range(0, full, capacity)] + [(k, min(quarter, n - k)) for k in range(full, n, quarter)]
 
 
-def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, keep_ids: bool = False, thrifty: bool = False) -> DataFrame:
     """One row per document: doc_id, doc_tokens and, for each piece of at most
     ``capacity`` ids, its checksum (and its ids if ``keep_ids``); ``salt`` numbers equal rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _words(tokenizer), np.array([end_id], "<u4").tobytes()
+        words, end = _words(tokenizer, thrifty), np.array([end_id], "<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), Counter()
         for batch in slices(batches, 1000):
             sums, sizes, ids, salts = [], [], [], []
@@ -248,7 +280,7 @@ def pack_group(sizes: list[int], capacity: int) -> list[list[int]]:
         m += 1
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, group_docs: int = GROUP_DOCS, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, group_docs: int = GROUP_DOCS, keep_ids: bool = False, thrifty: bool = False) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of at most ``capacity`` tokens.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens,
@@ -256,10 +288,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
     A null or empty text is the end id alone. Repeated rows are packed as often as
     they occur. Rows with a null doc_id are packed too. An empty table gives no rows.
+    ``thrifty``: the tokenisers hold less memory, for executors that other steps have filled.
     """
     spark = docs.sparkSession
     groups = max(1, -(-docs.count() // group_docs))
-    of = tokenised(docs, tokenizer, capacity, end_id, keep_ids).withColumn("g", F.pmod(F.xxhash64("doc_id", "doc_tokens", "sums", "salt"), F.lit(groups)))
+    of = tokenised(docs, tokenizer, capacity, end_id, keep_ids, thrifty).withColumn("g", F.pmod(F.xxhash64("doc_id", "doc_tokens", "sums", "salt"), F.lit(groups)))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "doc_tokens"], kind="stable").reset_index(drop=True)

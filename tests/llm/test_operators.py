@@ -508,6 +508,22 @@ def test_packing_is_an_exact_round_trip(spark):
     assert packing.pack(docs(spark, []), tokenizer_path()).count() == 0
 
 
+def test_thrifty_words_forget_rare_ones(monkeypatch):
+    """The same ids, though only what is met twice is remembered, and no more than the limit."""
+    rng = random.Random(5)
+    rare = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    texts = [" ".join(["The", "same", "words,", "Straße's"] + [rare() + rng.choice([".", ",", ""]) for _ in range(40)]) for _ in range(200)]
+    full = packing.Words(tokenizer_path())
+    want = list(full.encode(texts))
+    for limit in (1 << 17, 100, 2):
+        monkeypatch.setattr(packing.Words, "THRIFTY_LIMIT", limit)
+        monkeypatch.setattr(packing.Words, "THRIFTY_TEXTS", 10)
+        words = packing.Words(tokenizer_path(), thrifty=True)
+        assert list(words.encode(texts)) == want == [full.whole(t) for t in texts]
+        words._forget()
+        assert len(words.words) <= min(limit, 400) and len(words.pieces) <= min(limit, 400) and len(full.words) > 7000
+
+
 def test_packing_spreads_equal_rows(spark):
     """Rows that can't be told apart still meet in many groups."""
     rows = spark.range(0, 6000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
