@@ -58,6 +58,24 @@ def test_search_equals_brute_force(spark, monkeypatch, k, probed):
     assert sorted((r.query_id, r["rank"], r.doc_id, r.passage_id, r.score) for r in found) == bm25(passages, queries, k)
 
 
+@pytest.mark.parametrize("k, terms, hits", [(1, 50_000, 50_000), (5, 20, 10), (200, 50_000, 100)])
+def test_scan_equals_brute_force(spark, monkeypatch, k, terms, hits):
+    """With many candidates the index is scanned: the same answer, and only the best of each task are written."""
+    monkeypatch.setattr(search, "MAX_EXPANDED", 0)
+    monkeypatch.setattr(search, "SCAN_TERMS", terms)
+    monkeypatch.setattr(search, "SCAN_HITS", hits)
+    monkeypatch.setattr(search, "SCAN_ROWS", 7)
+    passages, queries = corpus()
+    df = spark.createDataFrame([(f"d{d:03}", p, t) for (d, p), t in passages.items()], "doc_id string, passage_id int, text string").repartition(5)
+    asked = spark.createDataFrame(list(queries.items()), "query_id long, text string")
+    kept, original = [], search.written
+    monkeypatch.setattr(search, "written", lambda df, name, path=None: kept.append(name) or original(df, name, path))
+    found = search.search(search.build_index(df), asked, k).collect()
+    named = {(f"d{d:03}", p): t for (d, p), t in passages.items()}
+    assert sorted((r.query_id, r["rank"], r.doc_id, r.passage_id, r.score) for r in found) == bm25(named, queries, k)
+    assert "scanned" in kept and "candidates" not in kept
+
+
 def test_common_terms_are_not_expanded(spark, monkeypatch):
     """A term of every passage meets only the candidates that rarer terms name."""
     passages = {(d, 0): "the the of " + (f"rare{d % 50} " * (d % 3 + 1)) for d in range(1000)}
