@@ -192,6 +192,18 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     enough = F.min(F.when(F.col("df") >= k, F.col("df"))).over(by_query)
     known = written(known.withColumn("probe", (F.col("df") <= PROBED) | (F.col("df") <= enough)), "query-weights")
 
+    def ranked(whole: DataFrame) -> DataFrame:
+        best = whole.withColumn("score", F.round("score", PLACES)).withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), *KEY))).where(F.col("rank") <= k)
+        return written(best.select("query_id", "rank", *KEY, "score"), "found")
+
+    # A single scan is cheaper than to find out which of very many postings could be left out.
+    postings, pairs = known.agg(F.coalesce(F.sum("df"), F.lit(0)), F.count("*")).first()
+    if postings > MAX_EXPANDED and pairs <= SCAN_TERMS:
+        scanned = written(_scanned(index, known.withColumn("reached", F.lit(-SLACK)), k), "scanned")
+        found = ranked(scanned)
+        delete(asked, known, scanned)
+        return found
+
     def sums(some: DataFrame) -> DataFrame:
         """Score of every passage that has one of these terms of a query, from these terms."""
         return _small(some.select("query_id", "term", "weight")).join(index.postings, "term").groupBy("query_id", *KEY).agg(F.sum(F.col("weight") * _gain(index)).alias("score"))
@@ -214,17 +226,16 @@ def search(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     split = written(split.withColumn("most", most), "query-split")
     essential, common = split.where("not later"), split.where("later")
     open_ = split.groupBy("query_id").agg(F.first("reached").alias("reached"), F.sum(F.when(F.col("later"), F.col("most")).otherwise(0.0)).alias("most"))
-    expanded, pairs = split.agg(F.coalesce(F.sum(F.when(~F.col("later"), F.col("df"))), F.lit(0)), F.count("*")).first()
+    expanded = split.where("not later").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     if expanded > MAX_EXPANDED:
         parts = -(-pairs // SCAN_TERMS)
         some = [_scanned(index, split.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i), k) for i in range(parts)]
         candidates = written(reduce(DataFrame.unionByName, some), "scanned")
-        whole = candidates.withColumn("score", F.round("score", PLACES))
+        whole = candidates
     else:
         candidates = written(sums(essential).join(open_, "query_id").where(F.col("score") + F.col("most") >= F.col("reached")).select("query_id", *KEY, "score"), "candidates")
-        whole = added(candidates, common).withColumn("score", F.round("score", PLACES))
-    best = whole.withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), *KEY))).where(F.col("rank") <= k)
-    found = written(best.select("query_id", "rank", *KEY, "score"), "found")
+        whole = added(candidates, common)
+    found = ranked(whole)
     delete(asked, known, first, split, candidates)
     return found
 
