@@ -144,8 +144,12 @@ def lenient_json(x: Column, fence: Callable[[Column], Column] = unfence_block) -
     return F.when(is_json(x), strip(x)).when(is_json(fenced), strip(fenced)).when(is_json(inner), inner)
 
 
+#: Small letters of Vietnamese with marks, and the plain ones; combining marks.
+PLAIN = "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyyd"
+MARKED = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
+COMBINING = "[̛̣̀́̃̉̂̆]"
+
+
 def fold_name(x: Column) -> Column:
     """Name key: lower case, no diacritics (Vietnamese đ is d), white space squeezed."""
-    plain = "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyyd"
-    marked = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
-    return F.translate(squeeze(F.lower(F.regexp_replace(x, "[̛̣̀́̃̉̂̆]", ""))), marked, plain)
+    return F.translate(squeeze(F.lower(F.regexp_replace(x, COMBINING, ""))), MARKED, PLAIN)

@@ -1,6 +1,6 @@
 """Coreference within a document: names, short names and pronouns in reading order, each resolved to what was mentioned before.
 
-Mentions are found by Catalyst on the row of their document; a small fold over the ordered mentions of one document then resolves them with a
+Mentions are found in Arrow batches, by the rules that ``mentions`` has as a Column; a small fold over the ordered mentions of one document then resolves them with a
 salience list, the people in the order of their last mention, and with the people last named by each word. A step is a few look-ups, whatever the number of people.
 
 * A name of several words is the person with the same name, else a person known so far only by its last or first word, else somebody new.
@@ -12,14 +12,15 @@ An honorific before a name tells its gender and isn't part of the name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import find_all, fold_name, let
-from .ner import person_names
+from ..functions.text import COMBINING, MARKED, PLAIN, find_all, fold_name, let
+from .ner import _SPACE, _units, names_of, person_names
 from .sentences import sentences
 
 #: What tells a gender before a name.
@@ -60,6 +61,39 @@ def mentions(text: Column) -> Column:
     return F.array_sort(found).cast(f"array<{_MENTION}>")
 
 
+def finder() -> Callable[[str], list[dict]]:
+    """A function from a text to what ``mentions`` finds in it, in the same order, for Arrow batches."""
+    import regex
+
+    pronouns, honorific = regex.compile(_PRONOUN.replace("(?iu:", "(?i:")), re.compile(rf"({'|'.join(MALE + FEMALE)})[ \t\n\x0b\f\r.]+", re.I)
+    combining, space, other = re.compile(COMBINING), re.compile(f"[{_SPACE}]+"), regex.compile(r"[^\p{L}\p{N}' -]+")
+    plain = str.maketrans(MARKED, PLAIN)
+
+    def named(start: int, raw: str, sentence: int) -> dict:
+        lead = honorific.match(raw)
+        title = lead.group(1).lower() if lead else None
+        folded = space.sub(" ", combining.sub("", raw[lead.end() :] if lead else raw).lower()).strip(" ").translate(plain)
+        gender = "m" if title in MALE else "f" if title in FEMALE else None
+        return {"start": start, "end": start + len(raw), "text": raw, "sentence": sentence, "kind": "name", "gender": gender, "name": other.sub("", folded).strip(" ")}
+
+    def find(text: str) -> list[dict]:
+        found = []
+        for ord, (base, unit) in enumerate(_units(text, False)):
+            names = [named(base + a, unit[a:b], ord) for a, b, _ in names_of(unit)]
+            said = [
+                {"start": base + m.start(), "end": base + m.end(), "text": m.group(), "sentence": ord, "kind": "pronoun", "gender": "m" if m.group().lower() in PRONOUNS["m"] + MALE else "f", "name": None}
+                for m in pronouns.finditer(unit)
+            ]
+            if names and said:
+                inside = lambda x, y: y["start"] <= x["start"] and y["end"] >= x["end"]
+                both = [n for n in names if not any(inside(n, p) for p in said)], [p for p in said if not any(inside(p, n) and len(n["text"]) > len(p["text"]) for n in names)]
+                names, said = both
+            found += sorted([n for n in names if n["name"]] + said, key=lambda x: (x["start"], x["end"]))
+        return found
+
+    return find
+
+
 def resolve(found: list[dict], window: int = WINDOW) -> list[int | None]:
     """For each of the ordered mentions of a document the number of its person, by first mention; None for an unresolved pronoun."""
     genders: list[str | None] = []
@@ -124,9 +158,10 @@ def coreference(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("kind", pa.string()), ("sentence", pa.int32())]
+        find = finder()
         for batch in batches:
             for k in range(batch.num_rows):
-                found = batch.column("found")[k].as_py() or []
+                found = find(batch.column("text")[k].as_py() or "")
                 people = resolve(found, window)
                 names: dict[int, str] = {}
                 for m, p in zip(found, people):
@@ -137,5 +172,4 @@ def coreference(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([k] * len(found), pa.int64())), *columns], names=["doc_id", *(c for c, _ in kinds), "person", "person_name"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", mentions(F.col("text")).alias("found"))
-    return rows.mapInArrow(run, f"doc_id {kind}, start int, end int, text string, kind string, sentence int, person int, person_name string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start int, end int, text string, kind string, sentence int, person int, person_name string")

@@ -87,6 +87,19 @@ def test_coreference(spark):
     assert coreference.coreference(df.limit(0)).collect() == []
 
 
+def test_batches_find_what_the_column_finds(spark):
+    """Titles, pronouns in and around names, marks, odd white space; and no interpreted names in the plan."""
+    words = ["Ông", "ông ấy", "Bà", "bà", "Chị ta", "HE", "he", "She", "Hers", "hắn", "Hắn", "An", "Nguyễn", "Ti\u0302n", "O'Brien", "Jean-Luc", "(Lan)", "ông.", "CÔ", "Anh", "x", "3", "🎉", "\u00a0", "\t", "\n", ".", "…", "Ǆ", "ĐẠT", "Đạt", "_He", "he_", "…!"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", ""]) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    find = coreference.finder()
+    for r in df.select("text", coreference.mentions(F.col("text")).alias("m")).collect():
+        assert find(r.text) == [m.asDict() for m in r.m], r.text
+    plan = coreference.coreference(df)._jdf.queryExecution().toString()
+    assert "lambdafunction" not in plan and "regexp" not in plan
+
+
 def test_long_document(spark):
     text = " ".join(f"Ông Lê Văn A{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} đi. Ông ấy về." for i in range(5000))
     rows = coreference.coreference(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
