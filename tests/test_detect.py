@@ -214,3 +214,9 @@ def test_names_in_batches_equal_the_expressions(spark):
     model = backends.choose("capitals")
     plain = backends.with_tags(rows, model).select("doc_id", "ord", ner.decode_bio(F.col("sentence"), F.col("tagged"), model.score).alias("e"))
     assert sorted(map(repr, plain.collect())) == sorted(map(repr, backends.with_entities(rows, model).select("doc_id", "ord", F.col("entities").alias("e")).collect()))
+
+
+@pytest.mark.parametrize("name", ["detector_summary", "baseline_spans", "explain_drops", "verify_by_type", "verify_reasons", "verify_stats"])
+def test_more_queries_over_a_digest(spark, tmp_path, name):
+    spark.createDataFrame([(1, "key 99999999999999999999d and 5 đồng, 1.5.99 gặp Ông An", "en"), (2, "x 7 d", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES[name](spark, str(tmp_path)).collect()
