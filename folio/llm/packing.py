@@ -12,6 +12,7 @@ Windows that come out below the capacity are padded to it.
 from __future__ import annotations
 
 import heapq
+import os
 import sys
 import zlib
 from collections import Counter
@@ -65,6 +66,7 @@ class Words:
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         # The same vocabulary for text that is already normalised and split into pieces.
         self.of_pieces = Tokenizer(self.tokenizer.model)
@@ -100,7 +102,9 @@ class Words:
     def _learn_pieces(self, new: list[str]) -> None:
         for k in range(0, len(new), 5000):
             some = new[k : k + 5000]
-            ids = np.array(self.of_pieces.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            # Without the places of tokens in the text, which nobody reads.
+            found = self.of_pieces.encode_batch_fast([" ".join(some[i : i + 1000]) for i in range(0, len(some), 1000)], add_special_tokens=False)
+            ids = np.concatenate([np.array(x.ids, "<u4") for x in found])
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some) and stops[-1] == len(ids):
                 self.pieces.update(zip(some, _slices(ids.tobytes(), stops * 4)))
@@ -220,48 +224,48 @@ def difference(sizes: list[int], m: int) -> list[list[int]]:
     """Karmarkar-Karp: split items into ``m`` sets of near-equal sums; returns item numbers by set."""
     if m == 1:
         return [list(range(len(sizes)))]
-    # A partial partition: loads less the smallest, in falling order, and a tree of members for each nonzero load.
+    # A partial partition: loads less the smallest, in falling order, and a set of members for each nonzero load. Below len(sizes)
+    # a set is that item, above it one that joins two others.
     heap: list = []
     for k, s in enumerate(sizes):
-        heap.append((-s, k, np.array([s], np.int64), [(k,)]))
+        heap.append((-s, k, np.array([s], np.int64), np.array([k])))
     heapq.heapify(heap)
+    joined, made = [], len(sizes)
     while len(heap) > 1:
         _, k, a, of_a = heapq.heappop(heap)
         _, _, b, of_b = heapq.heappop(heap)
         free = m - len(a)
         # The largest loads of one side meet the smallest (here: empty) of the other.
-        if len(b) <= free:
-            loads, members = np.concatenate([a, b]), of_a + of_b
-        else:
+        loads, members = np.concatenate([a, b[:free]]), np.concatenate([of_a, of_b[:free]])
+        if len(b) > free:
             over = len(b) - free
-            loads = np.concatenate([a, b[:free]])
-            members = of_a + of_b[:free]
-            loads[len(a) - over : len(a)] += b[free:][::-1]
-            for i in range(over):
-                j = len(a) - 1 - i
-                members[j] = (members[j], of_b[free + i])
+            met = slice(len(a) - over, len(a))
+            loads[met] += b[free:][::-1]
+            joined += zip(members[met].tolist(), of_b[free:][::-1].tolist())
+            members[met] = range(made, made + over)
+            made += over
         order = np.argsort(-loads, kind="stable")
-        loads, members = loads[order], [members[i] for i in order]
-        heapq.heappush(heap, (-_spread(loads, m), k, *_reduced(loads, members, m)))
-    final = heap[0][3] if heap else []
-    return [_leaves(x) for x in final] + [[] for _ in range(m - len(final))]
+        loads, members = loads[order], members[order]
+        heapq.heappush(heap, (-_spread(loads, m), k, _reduced(loads, m), members))
+    final = heap[0][3].tolist() if heap else []
+    return [_leaves(x, joined, len(sizes)) for x in final] + [[] for _ in range(m - len(final))]
 
 
 def _spread(loads: np.ndarray, m: int) -> int:
     return int(loads[0] - (loads[-1] if len(loads) == m else 0))
 
 
-def _reduced(loads: np.ndarray, members: list, m: int) -> tuple[np.ndarray, list]:
+def _reduced(loads: np.ndarray, m: int) -> np.ndarray:
     """Loads stay relative to the smallest; a set whose relative load is 0 keeps its members."""
-    return (loads - loads[-1] if len(loads) == m else loads), members
+    return loads - loads[-1] if len(loads) == m else loads
 
 
-def _leaves(tree) -> list[int]:
-    out, stack = [], [tree]
+def _leaves(root: int, joined: list[tuple[int, int]], n: int) -> list[int]:
+    out, stack = [], [root]
     while stack:
         x = stack.pop()
-        if isinstance(x, tuple):
-            stack.extend(x)
+        if x >= n:
+            stack.extend(joined[x - n])
         else:
             out.append(x)
     return out

@@ -481,6 +481,27 @@ def test_differencing():
     assert packing.pack_group([], 10) == [] and len(packing.pack_group([7, 7, 7], 10)) == 3
 
 
+def test_differencing_moves_no_sets_one_by_one():
+    """A merge of partial partitions is a fixed number of steps of the interpreter, whatever the number of windows."""
+    import sys
+
+    steps = Counter()
+
+    def count(frame, event, arg):
+        frame.f_trace_opcodes = frame.f_code is packing.difference.__code__
+        steps[event] += frame.f_trace_opcodes
+        return count
+
+    before, rng = sys.gettrace(), random.Random(3)
+    sizes = [rng.randint(1, 500) for _ in range(600)]
+    sys.settrace(count)
+    try:
+        sets = packing.difference(sizes, 80)
+    finally:
+        sys.settrace(before)
+    assert sorted(i for s in sets for i in s) == list(range(600)) and 0 < steps["opcode"] < 250 * len(sizes)
+
+
 def test_packing_is_an_exact_round_trip(spark):
     from tokenizers import Tokenizer
 
