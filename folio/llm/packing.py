@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialise, slices
 
 CAPACITY = 2048
 #: Expected documents of a group; bounds the memory and time of one packing task.
@@ -292,11 +292,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
     A null or empty text is the end id alone. Repeated rows are packed as often as
     they occur. Rows with a null doc_id are packed too. An empty table gives no rows.
-    ``thrifty``: the tokenisers hold less memory, for executors that other steps have filled.
+    ``thrifty``: the tokenisers hold less memory, for executors that other steps have filled; they run at once, and their
+    checksums (and ids) are written into the shared folder.
     """
-    spark = docs.sparkSession
-    groups = max(1, -(-docs.count() // group_docs))
-    of = tokenised(docs, tokenizer, capacity, end_id, keep_ids, thrifty).withColumn("g", F.pmod(F.xxhash64("doc_id", "doc_tokens", "sums", "salt"), F.lit(groups)))
+    of = tokenised(docs, tokenizer, capacity, end_id, keep_ids, thrifty)
+    if thrifty:
+        of = materialise(of, "tokens")
+    groups = max(1, -(-(of if thrifty else docs).count() // group_docs))
+    of = of.withColumn("g", F.pmod(F.xxhash64("doc_id", "doc_tokens", "sums", "salt"), F.lit(groups)))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "doc_tokens"], kind="stable").reset_index(drop=True)

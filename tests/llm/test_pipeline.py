@@ -100,3 +100,23 @@ def test_empty_documents(spark, corpus, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, path)
     assert docs.count() == 0 and re.match("doc_id", docs.columns[0])
+
+
+def test_texts_go_to_python_in_small_batches(spark, corpus, monkeypatch):
+    """While a stage runs jobs over texts in Python; the session's own setting is back behind it."""
+    from folio.llm import packing
+
+    key, found = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before = spark.conf.get(key)
+
+    def watch(module, name):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda df, label: found.update({label: spark.conf.get(key)}) or real(df, label))
+
+    watch(corpus_pipeline, "materialise")
+    watch(packing, "materialise")
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.decontamination, corpus_pipeline.packing):
+        stage(spark, docs, corpus[0])
+        assert spark.conf.get(key) == before != "1000"
+    assert {k: found[k] for k in ("copies", "leaked", "tokens")} == dict.fromkeys(("copies", "leaked", "tokens"), "1000")
