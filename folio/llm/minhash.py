@@ -111,22 +111,28 @@ def _darts(elements: np.ndarray, weights: np.ndarray, k: int, bound: float) -> t
         own, limit = elements[some], weights[some]
         ids, low, height, area = _CELLS[strip, level]
         used = int(np.searchsorted(low, bound))
-        seeds = mix(own[:, None] ^ ids[None, :used])
+        # One row a cell. All darts of a strip are made at once: documents are short, so the number of calls is what they cost.
+        seeds = mix(ids[:used, None] ^ own)
         u = (seeds >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        for value in np.unique(area[:used]):
-            at = np.flatnonzero(area[:used] == value)
-            many = np.searchsorted(_POISSON[(float(value),)], u[:, at], side="right")
-            for j in range(int(many.max(initial=0))):
-                row, cell = np.nonzero(many > j)
-                cell = at[cell]
-                dart = mix(seeds[row, cell] + np.uint64((j + 1) * int(_GOLDEN) % (1 << 64)))
-                rank = low[cell] + (dart & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * height[cell]
-                place = mix(dart ^ _GOLDEN)
-                weight = base + (place & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * 2**strip
-                hit = (rank < bound) & (weight < limit[row])
-                ranks.append(rank[hit])
-                coordinates.append((((place[hit] >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)).astype(np.int64))
-                names.append(dart[hit])
+        many = np.empty(seeds.shape, np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(area[:used])) + 1).tolist(), used]
+        for a, b in zip(edges, edges[1:]):  # cells of one area
+            many[a:b] = np.searchsorted(_POISSON[(float(area[a]),)], u[a:b], side="right")
+        counts = many.ravel()
+        ends = counts.cumsum()
+        at = np.repeat(np.arange(len(counts)), counts)
+        j = np.arange(1, len(at) + 1) - np.repeat(ends - counts, counts)
+        cell = np.repeat(np.arange(used), many.sum(axis=1))
+        dart = mix(seeds.ravel()[at] + j.astype(np.uint64) * _GOLDEN)
+        rank = low[cell] + (dart & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * height[cell]
+        early = np.flatnonzero(rank < bound)
+        dart, rank, row = dart[early], rank[early], at[early] - cell[early] * len(own)
+        place = mix(dart ^ _GOLDEN)
+        weight = base + (place & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * 2**strip
+        hit = weight < limit[row]
+        ranks.append(rank[hit])
+        coordinates.append((((place[hit] >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)).astype(np.int64))
+        names.append(dart[hit])
         strip += 1
     if not ranks:
         return np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.uint64)

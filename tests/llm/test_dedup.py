@@ -180,6 +180,19 @@ def test_dart_minhash_estimates_similarity(weighted):
     assert len(minhash.dart_minhash(names[:0], weights[:0], 80)) == 0
 
 
+def test_dart_minhash_takes_few_calls(monkeypatch):
+    """A strip's darts are hashed at once, whatever the number of its cells; the signatures are those of the loop over the cells."""
+    calls, names = [], np.arange(1, 251, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mix = minhash.mix
+    monkeypatch.setattr(minhash, "mix", lambda h: calls.append(1) or mix(h))
+    minhash.dart_minhash(names, np.ones(250), 80)  # the cells are made once
+    calls.clear()
+    plain = minhash.dart_minhash(names, np.ones(250), 80)
+    assert len(calls) % 3 == 0 and len(calls) <= 6  # a second turn where a coordinate stayed empty
+    weighted = minhash.dart_minhash(names, np.arange(250) % 5 + 1.0, 80)
+    assert [int(np.bitwise_xor.reduce(s)) for s in (plain, weighted)] == [0xA5988501AACBC3E0, 0x1EF96EC96311A81C]
+
+
 def test_weighted_signatures(spark):
     df = spark.createDataFrame([(1, "a b c d e f a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert minhash.signatures(df, weighting="count").first().keys != minhash.signatures(df).first().keys
