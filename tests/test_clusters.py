@@ -105,3 +105,29 @@ def test_people_clusters(spark):
     df = spark.createDataFrame([(*r, "clash") for r in rows], "name_key string, name string, doc_id string, cluster string")
     got = sorted(tuple(r) for r in clusters.people_clusters(df).collect())
     assert got == [("le", "le", "Lê", 1, 2, 1), ("tran thi mai", "tran thi mai", "Trần Thị Mai", 2, 4, 3), ("tran thi may", "tran thi mai", "Trần Thị Mai", 2, 4, 3)]
+
+
+def test_clusters_meet_without_texts(spark):
+    """Signatures carry no keys, keys that differ in one place make a star and no clique, and the clusters are those of all pairs."""
+    rng = random.Random(5)
+    alike = [f"nguyen va{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    words = ["ement", "onnttion,", "by"]
+    long = [" ".join([w] * k) for w in words for k in (4, 5, 9, 20, 22, 23, 31)] + [edited(rng, " ".join(["ement"] * 22), 9) for _ in range(3)]
+    keys = sorted({*alike, *long, *(k for k in names(6)[:80] if k)})
+    kept = []
+    original, drop = clusters.written, clusters.delete
+    try:
+        clusters.written = lambda df, name, path=None: kept.append((name, original(df, name, path))) or kept[-1][1]
+        clusters.delete = lambda *t: None
+        df = spark.createDataFrame([(k, k.title(), str(i % 7)) for i, k in enumerate(keys)], "name_key string, name string, doc_id string")
+        got = {r.name_key: r.cluster for r in clusters.people_clusters(df, 0.85).collect()}
+    finally:
+        clusters.written, clusters.delete = original, drop
+    links = near(keys, 0.85)
+    first = {}
+    for name, table in kept:
+        first.setdefault(name, table)
+    assert "string" not in dict(first["signatures"].dtypes).values()
+    among = [(a, b) for a, b, _ in links if a in alike and b in alike]
+    assert len(among) == 26 * 25 // 2 and first["edges"].count() < len(links) - len(among) + 2 * len(alike)
+    assert got == {k: k for k in keys} | dict(union([(a, b) for a, b, _ in links]))
