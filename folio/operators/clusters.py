@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import delete, written
+from .linking import name_key
 
 #: Edits up to which whole deletions are listed; names of that many have under 30 characters at 0.9.
 DELETED = 2
@@ -62,8 +63,8 @@ def _cuts(d: int) -> int:
     return -(-d // step) * step
 
 
-def _signatures(key: str, accept: float, least: int = 1) -> Iterator[tuple[bool, str]]:
-    """(as the longer one, signature) for ``least`` edits and more. The longer of two keys tells how many edits are allowed; the shorter one lists its signatures for each number that a longer one may allow."""
+def _signatures(key: str, accept: float, least: int = 1) -> Iterator[tuple[bool | None, str]]:
+    """(as the longer one, None as either, signature) for ``least`` edits and more. The longer of two keys tells how many edits are allowed; the shorter one lists its signatures for each number that a longer one may allow."""
     n, d = len(key), _allowed(len(key), accept)
     if d < least:
         pass
@@ -74,7 +75,7 @@ def _signatures(key: str, accept: float, least: int = 1) -> Iterator[tuple[bool,
             yield True, f"1-:{s}"
     elif d == DELETED:
         for s in _deletions(key, d):
-            yield True, f"{d}:{s}"
+            yield None, f"{d}:{s}"
     else:
         cuts, found = _cuts(d), set()
         width = 2 * cuts + 1
@@ -87,8 +88,8 @@ def _signatures(key: str, accept: float, least: int = 1) -> Iterator[tuple[bool,
     while longer - (most := _allowed(longer, accept)) <= n:
         if most >= least:
             numbers.add(most if most <= DELETED else _cuts(most))
-            # A key two, one or no characters shorter than one that loses two itself loses none, one or two.
-            fewer += [DELETED - (longer - n)] if most == DELETED else []
+            # A key two or one characters shorter than one that loses two itself loses none or one.
+            fewer += [DELETED - (longer - n)] if most == DELETED and longer > n else []
         longer += 1
     for d in numbers - {0}:
         if d == 1:
@@ -113,7 +114,7 @@ def _numbered(keys: DataFrame) -> DataFrame:
 def _near(keys: DataFrame, accept: float, least: int = 1) -> DataFrame:
     """(x, y, a, b, score): pairs of ids and keys of ``keys`` (id, name_key) with a similarity of ``accept`` or more where the longer one allows ``least`` edits or more; written."""
 
-    def rows(batch: pa.RecordBatch, at: list[int], longer: list[bool], signs: list[str]) -> pa.RecordBatch:
+    def rows(batch: pa.RecordBatch, at: list[int], longer: list[bool | None], signs: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in ("id", "n")), pa.array(longer, pa.bool_()), pa.array(signs, pa.string())], names=["id", "n", "longer", "s"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,9 +133,11 @@ def _near(keys: DataFrame, accept: float, least: int = 1) -> DataFrame:
     n = F.length("name_key")
     # Keys too short for any edit have no signatures; the others are dealt out, as few rows of theirs become many.
     some = keys.where(_edits(n / accept + 1, accept) >= least).select("id", "name_key", n.alias("n")).repartition(parts, "id")
-    # Equal hashes only bring keys together, which are compared below.
-    signed = written(some.mapInArrow(run, "id long, n int, longer boolean, s string").withColumn("s", F.xxhash64("s")), "signatures")
-    x, y = signed.where("longer").select(F.col("id").alias("x"), F.col("n").alias("nx"), "s"), signed.where("not longer").select(F.col("id").alias("y"), F.col("n").alias("ny"), "s")
+    # Equal hashes only bring keys together, which are compared below. Most signatures are found once, so only the few others are written.
+    every = some.mapInArrow(run, "id long, n int, longer boolean, s string").withColumn("s", F.xxhash64("s"))
+    signed = written(every.withColumn("met", F.count("*").over(W.partitionBy("s"))).where("met > 1").drop("met"), "signatures")
+    x = signed.where("longer is null or longer").select(F.col("id").alias("x"), F.col("n").alias("nx"), "s")
+    y = signed.where("longer is null or not longer").select(F.col("id").alias("y"), F.col("n").alias("ny"), "s")
     order = (F.col("ny") < F.col("nx")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     met = x.join(y, "s").where(order & (F.col("nx") - F.col("ny") <= _edits(F.col("nx"), accept))).select("x", "y", "nx", "ny").distinct()
     texts = lambda k, t: keys.select(F.col("id").alias(k), F.col("name_key").alias(t))
@@ -212,19 +215,22 @@ def components(links: DataFrame) -> DataFrame:
 
 def people_clusters(mentions: DataFrame, accept: float = 0.9) -> DataFrame:
     """(name_key, cluster, display_name, n_keys, n_mentions, n_documents) for every key of ``mentions`` (name_key, name, doc_id): the cluster is the smallest key that similar ones
-    lead to, its display name the most frequent spelling in it (of equal ones the first), the counts are those of the cluster."""
+    lead to, its display name the most frequent spelling in it (of equal ones the first), the counts are those of the cluster. Without a column name_key, ``linking.name_key`` makes the key of each different name."""
     if not 0.6 <= accept <= 1:
         raise ValueError("accept lies between 0.6 and 1")
-    known = written(mentions.where("name_key is not null").select("name_key", "name", "doc_id"), "mentions")
-    names = written(known.groupBy("name_key", "name").agg(F.count("*").alias("n")), "names")
+    on = "name_key" if "name_key" in mentions.columns else "name"
+    known = written(mentions.where(F.col(on).isNotNull()).select(*dict.fromkeys((on, "name", "doc_id"))), "mentions")
+    counted = known.groupBy(*dict.fromkeys((on, "name"))).agg(F.count("*").alias("n"))
+    names = written(counted if on == "name_key" else counted.withColumn("name_key", name_key(F.col("name"))), "names")
     keys = _numbered(names)
     near = _near(keys, accept, least=2)
     roots = _contracted(_one_edit(keys, accept).unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))))
     delete(near)
-    placed = keys.withColumnRenamed("id", "root") if roots is None else keys.join(roots, "id", "left").select("name_key", F.coalesce("root", "id").alias("root"))
-    members = written(placed, "members")
+    rooted = keys.withColumnRenamed("id", "root") if roots is None else keys.join(roots, "id", "left").select("name_key", F.coalesce("root", "id").alias("root"))
+    members = written(rooted, "members")
     clusters = members.groupBy("root").agg(F.min("name_key").alias("cluster"), F.count("*").alias("n_keys"))
-    spelled = names.join(members, "name_key").groupBy("root", "name").agg(F.sum("n").alias("n"))
+    placed = names.join(members, "name_key")
+    spelled = placed.groupBy("root", "name").agg(F.sum("n").alias("n"))
     display = spelled.groupBy("root").agg(F.min(F.struct(-F.col("n"), F.col("name").alias("display_name"))).alias("d"), F.sum("n").alias("n_mentions")).select("root", "d.display_name", "n_mentions")
-    counts = known.join(members, "name_key").select("root", "doc_id").distinct().groupBy("root").agg(F.count("doc_id").alias("n_documents"))
+    counts = known.join(members if on == "name_key" else placed.select("name", "root"), on).select("root", "doc_id").distinct().groupBy("root").agg(F.count("doc_id").alias("n_documents"))
     return members.join(clusters, "root").join(display, "root").join(counts, "root").select("name_key", "cluster", "display_name", "n_keys", "n_mentions", "n_documents")

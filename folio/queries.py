@@ -146,7 +146,7 @@ def mention_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def people_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The people named in the documents, nearly equal names joined to clusters."""
-    return clusters.people_clusters(mentions(spark, sf_dir), accept=0.85)
+    return clusters.people_clusters(mentions(spark, sf_dir).drop("name_key"), accept=0.85)
 
 
 @query
