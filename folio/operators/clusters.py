@@ -8,8 +8,11 @@ keys within the distance d must share, so a frequent surname or first name bring
 * d >= 3, keys of 30 characters and more at the usual 0.9: the shorter key is cut into d + 1 pieces, one of which is in the longer one, moved by at most d. Places
   are compared by stretches of 2d + 1, so a key has a few signatures for each of its characters.
 
-``components`` joins links to clusters by alternating large and small stars: in turns logarithmic in the size of a cluster, each a few aggregations, all
-nodes point to the smallest one. Every turn is written, so its plan doesn't grow.
+Signatures carry the number of a key and a hash, never the key; pairs that meet are compared once each, no further than the edits allowed.
+``people_clusters`` needs no pairs of keys one edit apart: they are joined by stars, as many links as deletions.
+
+``components`` joins links to clusters by turns: each node goes to the smallest one that its smallest neighbour knows (by random numbers), and links are folded to
+links between those, so that each turn has a part of the nodes and links of the one before. Every turn is written, so its plan doesn't grow.
 """
 
 from __future__ import annotations
